@@ -74,7 +74,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(starts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of whole rows of about ``most`` bytes each (a longer row stands alone)."""
     i, n = 0, len(starts) - 1
     while i < n:
@@ -157,3 +157,69 @@ def by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a key side by side in one partition, keys first: the input that ``key_runs`` reads."""
     rest = [c for c in df.columns if c not in keys]
     return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys)
+
+
+class Bloom:
+    """A set of ids in a bit table of a fixed size (16 MB), built in pieces: what fails it isn't in the set.
+
+    It thins a large table before an exact join; where the set outgrows the table it lets more through,
+    but never changes the join's result.
+    """
+
+    BITS, PIECES = 1 << 27, 256
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    @staticmethod
+    def _places(ids: np.ndarray) -> list[np.ndarray]:
+        return [(mix64(ids, 21 + k) % U64(Bloom.BITS)).astype(np.int64) for k in range(3)]
+
+    @staticmethod
+    def of(ids: DataFrame) -> Bloom:
+        width = Bloom.BITS // Bloom.PIECES
+
+        def emit(piece: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.concatenate(([True], piece[1:] // width != piece[:-1] // width))) if len(piece) else []
+            ends = [*cut[1:], len(piece)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(piece[a] // width) for a in cut], pa.int32()),
+                    pa.array([(piece[a:b] % width).astype("<u4").tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary()),
+                ],
+                ["piece", "bits"],
+            )
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+                yield emit(np.unique(np.concatenate(Bloom._places(x))))
+
+        def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (piece,), rows in key_runs(batches, 1):
+                table = np.zeros(width, bool)
+                for (bits,) in rows:
+                    table[np.frombuffer(bits, "<u4")] = True
+                packed = np.packbits(table).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "bits"])
+
+        found = by_key(ids.mapInArrow(places, "piece int, bits binary"), ["piece"]).mapInArrow(tables, "piece int, bits binary")
+        whole = np.zeros(Bloom.BITS // 8, np.uint8)
+        size = width // 8
+        for piece, bits in found.collect():  # 256 pieces of 64 KB, whatever the input
+            whole[piece * size : (piece + 1) * size] = np.frombuffer(bits, np.uint8)
+        return Bloom(ids.sparkSession.sparkContext.broadcast(whole))
+
+    def where(self, df: DataFrame, column: int) -> DataFrame:
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            for batch in batches:
+                ids = batch.column(column).fill_null(0).to_numpy(zero_copy_only=False)
+                keep = np.ones(len(ids), bool)
+                for at in Bloom._places(ids):
+                    keep &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                yield batch.filter(pa.array(keep))
+
+        return df.mapInArrow(run, df.schema)

@@ -8,11 +8,12 @@ subtree that can't hold a partner, and surviving pairs are verified on the sets
 On a cluster the search is cut into tasks without losing a link:
 
 1. Equal sets get one identity (a 64-bit sum over mixed shingle hashes), so copies cost nothing.
-2. Two sets that link share one of their first ``n - ceil(3n/4) + 1`` shingles under any common order.
-   A first pass posts these, in hash order, in packed arrays; sets none of whose postings meet another
-   set link with nothing and leave.
-3. The rest are clustered around seed shingles, in salted blocks of bounded size: verified trees join
-   nearly all near copies.
+2. A first pass posts each set's ``p = n - ceil(3n/4) + 1`` smallest hashes in packed arrays and counts how
+   many of them another set posts too. A set that links shares at least one; as hashes are random, it
+   shares fewer than ``least_shared(n)`` only with a probability below 1e-12 (a hypergeometric tail), which
+   is of the order of the 64-bit hashes' own. Sets below that link with nothing and leave.
+3. The rest are clustered around two seed shingles each, in salted blocks of bounded size: verified trees
+   join most near copies.
 4. Shingles that many sets hold go last in the order (frequencies are counted over all remaining
    sets); the first shingles under this order are posted again with each set's cluster, and only
    shingles that two *different* clusters share are searched, by the R-tree, in pairs of blocks.
@@ -23,21 +24,23 @@ matter: the smallest id names a component. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import U64, Scratch, UnionFind, by_key, components, key_runs, mix64, slices, text_bytes
+from citeloom.llm.common import U64, Bloom, Scratch, UnionFind, by_key, components, key_runs, mix64, slices, text_bytes
 
 SHINGLE = 5
 GROUPS = 64
 BLOCK = 256  # sets of one seed shingle that are clustered together
 PAIR_BLOCK = 2048  # points of one R-tree
 HEAVY_ENTRIES = 2_000_000  # most shingles that the list of frequent ones may hold
-BUCKETS = 1024
+BUCKETS = 1024  # of postings: more for larger inputs
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -97,7 +100,8 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         for i in range(n_docs):
             a, b = doc_at[i], doc_at[i + 1]
             if b - a >= SHINGLE:
-                out.append(np.unique(grams[a : b - SHINGLE + 1]))
+                x = np.sort(grams[a : b - SHINGLE + 1])
+                out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
             elif b > a:
                 x = U64(b - a)
                 for j in range(b - a):
@@ -119,6 +123,22 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
+@lru_cache(100_000)
+def least_shared(n: int) -> int:
+    """The shared ones among a set's posted hashes that a link undercuts with a probability under 1e-12."""
+    k, p = -(-3 * n // 4), prefix_length(n)
+    if n == 0:
+        return 0
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    below, m = 0.0, max(0, p - (n - k))
+    while m < p:
+        below += math.exp(choose(k, m) + choose(n - k, p - m) - choose(n, p))
+        if below > 1e-12:
+            break
+        m += 1
+    return max(1, m)
+
+
 def links(overlap: int, a: int, b: int) -> bool:
     """Jaccard of at least 3/4, in whole numbers."""
     return 7 * overlap >= 3 * (a + b)
@@ -275,7 +295,7 @@ def _prefix_posts(n_buckets: int):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that share a posting with another set, and the rarest such shingle under two orders."""
+    """Sets that share postings with another set: how many, the rarest such shingle and the one of least hash."""
     for bucket, posts in _bucket_rows(batches, _POST):
         posts = np.unique(posts)
         new = np.concatenate(([True], posts["k"][1:] != posts["k"][:-1]))
@@ -286,25 +306,40 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key = (U64(bucket) << U64(32)) | posts["k"].astype(U64)
         rank = np.log2(df).astype(U64) << U64(56)
-        first = rank | (mix64(key, 8) >> U64(8))
-        second = rank | (mix64(key, 9) >> U64(8))
+        rarest = rank | (mix64(key, 8) >> U64(8))
+        least = mix64(key, 9) >> U64(1)
         order = np.argsort(posts["s"], kind="stable")
         sids = posts["s"][order]
         cut = np.flatnonzero(np.concatenate(([True], sids[1:] != sids[:-1])))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sids[cut].astype(np.int64)), *(pa.array(np.minimum.reduceat(x[order], cut).astype(np.int64)) for x in (first, second))],
-            ["sid", "k1", "k2"],
+            [
+                pa.array(sids[cut].astype(np.int64)),
+                *(pa.array(np.minimum.reduceat(x[order], cut).astype(np.int64)) for x in (rarest, least)),
+                pa.array(np.diff(np.append(cut, len(sids)))),
+            ],
+            ["sid", "seed", "other", "shared"],
         )
 
 
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [c >= least_shared(n) for n, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, starts = text_bytes(batch.column(1))
+        data, starts = text_bytes(batch.column(2))
         for i, j in slices(starts, 4 << 20):
             sets = shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["sid", "n", "hashes"],
+                [
+                    batch.column(0).slice(i, j - i),
+                    batch.column(1).slice(i, j - i),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
+                ["sid", "seeds", "n", "hashes"],
             )
 
 
@@ -462,21 +497,20 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sign = scratch.write(base.mapInArrow(_signatures, "doc_id long, n long, sid long"))
     posts = base.select("text").mapInArrow(_prefix_posts(BUCKETS), "bucket int, posts binary")
-    met = by_key(posts, ["bucket"]).mapInArrow(_meetings, "sid long, k1 long, k2 long")
-    met = scratch.write(met.groupBy("sid").agg(F.min("k1").alias("k1"), F.min("k2").alias("k2")))
-
-    first = sign.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    chosen = first.join(met.select("sid"), "sid")
-    texts = base.join(chosen, "doc_id").select("sid", "text").dropDuplicates(["sid"])
-    sets = scratch.write(texts.mapInArrow(_full_sets, "sid long, n long, hashes binary"), "lz4")
-
-    seeds = met.select("sid", F.explode(F.array("k1", "k2")).alias("seed")).distinct()
-    sizes = seeds.groupBy("seed").agg(F.count("*").alias("m")).where("m >= 2")
-    seeds = seeds.join(sizes, "seed").select(
-        "sid", "seed", F.pmod(F.xxhash64("sid", "seed"), F.ceil(F.col("m") / BLOCK)).alias("salt")
-    )
-    blocks = by_key(seeds.join(sets.select("sid", "hashes"), "sid").select("seed", "salt", "sid", "hashes"), ["seed", "salt"])
-    trees = scratch.write(blocks.mapInArrow(_cluster_blocks, "a long, b long"))
+    met = by_key(posts, ["bucket"]).mapInArrow(_meetings, "sid long, seed long, other long, shared long")
+    met = met.groupBy("sid").agg(F.min("seed").alias("seed"), F.min("other").alias("other"), F.sum("shared").alias("shared"))
+    first = sign.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
+    near = first.join(met, "sid").select("sid", "doc_id", "n", "shared", "seed", "other")
+    near = scratch.write(near.mapInArrow(_enough, near.schema))
+
+    some = Bloom.of(near.select("doc_id")).where(base, 0)
+    sets = some.join(near.select("doc_id", "sid", F.array("seed", "other").alias("seeds")), "doc_id").select("sid", "seeds", "text")
+    sets = scratch.write(sets.mapInArrow(_full_sets, "sid long, seeds array<long>, n long, hashes binary"), "lz4")
+
+    sizes = near.select(F.explode(F.array("seed", "other")).alias("seed")).groupBy("seed").agg(F.count("*").alias("m")).where("m >= 2")
+    salt = F.pmod(F.xxhash64("sid", "seed"), F.ceil(F.col("m") / BLOCK)).alias("salt")
+    blocks = sets.select("sid", "hashes", F.explode("seeds").alias("seed")).join(sizes, "seed").select("seed", salt, "sid", "hashes")
+    trees = scratch.write(by_key(blocks, ["seed", "salt"]).mapInArrow(_cluster_blocks, "a long, b long"))
     comps = components(trees, scratch)
 
     total = sets.agg(F.sum("n")).first()[0] or 0
