@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,7 +127,8 @@ def _share(spark: SparkSession, vocabulary: str):
     return spark.sparkContext.broadcast((hash(spec), spec))
 
 
-def _appended(df: DataFrame, column: str, name: str, kind: str, of) -> DataFrame:
+def _appended(df: DataFrame, column: str, name: str, kind: DataType, of) -> DataFrame:
+    df = df.drop(name)
     at = df.columns.index(column)
     names = [*df.columns, name]
 
@@ -137,7 +139,7 @@ def _appended(df: DataFrame, column: str, name: str, kind: str, of) -> DataFrame
                 if part.num_rows:
                     yield pa.RecordBatch.from_arrays([*part.columns, of(part.column(at))], names)
 
-    schema = df.schema.add(name, kind)
+    schema = StructType([*df.schema.fields, StructField(name, kind)])
     return df.mapInArrow(run, schema)
 
 
@@ -149,7 +151,7 @@ def bpe_encode(spark: SparkSession, df: DataFrame, vocabulary: str, text_col: st
         bpe = _of(shared)
         return pa.array([bpe.encode(t or "") for t in col.to_pylist()], pa.binary())
 
-    return _appended(df, text_col, out_col, "binary", of)
+    return _appended(df, text_col, out_col, BinaryType(), of)
 
 
 def bpe_decode(spark: SparkSession, df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -160,7 +162,7 @@ def bpe_decode(spark: SparkSession, df: DataFrame, vocabulary: str, ids_col: str
         bpe = _of(shared)
         return pa.array([bpe.decode(x or b"") for x in col.to_pylist()], pa.string())
 
-    return _appended(df, ids_col, out_col, "string", of)
+    return _appended(df, ids_col, out_col, StringType(), of)
 
 
 def bpe_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -143,12 +143,13 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
     """
     held_key, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (k := row[:keys]) != held_key:
-                if held:
-                    yield held_key, held
-                held_key, held = k, []
-            held.append(row[keys:])
+        for at in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if (k := row[:keys]) != held_key:
+                    if held:
+                        yield held_key, held
+                    held_key, held = k, []
+                held.append(row[keys:])
     if held:
         yield held_key, held
 

@@ -259,6 +259,15 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator
         yield bucket, np.frombuffer(b"".join(r[0] for r in rows), dtype)
 
 
+def _in_order(posts: np.ndarray) -> np.ndarray:
+    """Postings by shingle and set, repeated ones once."""
+    order = np.argsort((posts["k"].astype(U64) << U64(32)) | (posts["s"] & U64(0xFFFFFFFF)))
+    posts = posts[order]
+    new = np.ones(len(posts), bool)
+    new[1:] = (posts["k"][1:] != posts["k"][:-1]) | (posts["s"][1:] != posts["s"][:-1])
+    return posts[new]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, starts = text_bytes(batch.column(1))
@@ -286,7 +295,7 @@ def _prefix_posts(n_buckets: int):
                             rows = np.zeros(len(keys), _POST)
                             rows["s"] = U64(s & 0xFFFFFFFFFFFFFFFF)
                             yield keys, rows
-                    if len(seen) > 1_000_000:  # copies that come later are found by the reducer
+                    if len(seen) > 100_000:  # copies that come later are found by the reducer
                         seen.clear()
 
         yield from _packed(parts(), n_buckets, _POST)
@@ -297,7 +306,7 @@ def _prefix_posts(n_buckets: int):
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that share postings with another set: how many, the rarest such shingle and the one of least hash."""
     for bucket, posts in _bucket_rows(batches, _POST):
-        posts = np.unique(posts)
+        posts = _in_order(posts)
         new = np.concatenate(([True], posts["k"][1:] != posts["k"][:-1]))
         group = np.cumsum(new) - 1
         df = np.bincount(group)[group]
@@ -330,7 +339,7 @@ def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, starts = text_bytes(batch.column(2))
-        for i, j in slices(starts, 4 << 20):
+        for i, j in slices(starts, 1 << 19):
             sets = shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -374,8 +383,8 @@ def _count_posts(n_buckets: int):
                 return keys, rows
 
             for batch in batches:
-                for x in batch.column(0).to_pylist():
-                    keys = mix64(_key(np.frombuffer(x, U64)), 4)
+                for x in batch.column(0):
+                    keys = mix64(_key(np.frombuffer(x.as_buffer(), U64)), 4)
                     held.append(keys)
                     size += len(keys)
                     if size > 1 << 20:
@@ -411,8 +420,8 @@ def _ordered_posts(n_buckets: int, heavy):
 
         def parts():
             for batch in batches:
-                for sid, comp, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    base = _key(np.frombuffer(x, U64))
+                for sid, comp, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    base = _key(np.frombuffer(x.as_buffer(), U64))
                     keys = mix64(base, 4)
                     short = ((keys >> shift) << U64(32)) | (keys & U64(0xFFFFFFFF))
                     df = np.zeros(len(keys), np.int64)
@@ -432,7 +441,7 @@ def _ordered_posts(n_buckets: int, heavy):
 def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Posting lists that hold two clusters or more; equal lists of a bucket once."""
     for _, posts in _bucket_rows(batches, _POST_C):
-        posts = np.unique(posts)
+        posts = _in_order(posts)
         cut = np.flatnonzero(np.concatenate(([True], posts["k"][1:] != posts["k"][:-1])))
         low, high = np.minimum.reduceat(posts["c"], cut), np.maximum.reduceat(posts["c"], cut)
         with np.errstate(over="ignore"):
@@ -454,7 +463,7 @@ def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        points = [point(np.frombuffer(x, U64)).tobytes() for x in batch.column(2).to_pylist()]
+        points = [point(np.frombuffer(x.as_buffer(), U64)).tobytes() for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(points, pa.binary())], ["sid", "comp", "point"])
 
 
@@ -480,10 +489,9 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
         keep = []
-        for i in range(len(a)):
-            p, q = np.frombuffer(x[i], U64), np.frombuffer(y[i], U64)
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
             keep.append(links(overlap(p, q), len(p), len(q)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from citeloom.llm.bpe import op2_bpe_codec
 from citeloom.llm.chat_format import ORACLE_OP10, op10_chat_format
+from citeloom.llm.decontam import op6_decontaminate
 from citeloom.llm.ngram_join import op1_ngram_jaccard_join
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
+    "op6_decontaminate": op6_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
 
 #: Equivalent DuckDB SQL, where SQL can express the whole query in reasonable time.
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontaminate": op6_decontaminate,
     "op10_chat_format": ORACLE_OP10,
 }
