@@ -39,7 +39,8 @@ SHINGLE = 5
 GROUPS = 64
 BLOCK = 256  # sets of one seed shingle that are clustered together
 PAIR_BLOCK = 2048  # points of one R-tree
-HEAVY_ENTRIES = 2_000_000  # most shingles that the list of frequent ones may hold
+FINE = 256  # groups of the points that candidates between clusters are searched by
+HEAVY_ENTRIES = 3_000_000  # most shingles that the list of frequent ones may hold
 BUCKETS = 1024  # of postings: more for larger inputs
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -463,8 +464,15 @@ def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        points = [point(np.frombuffer(x.as_buffer(), U64)).tobytes() for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(points, pa.binary())], ["sid", "comp", "point"])
+        points = []
+        for x in batch.column(1):
+            p = point(np.frombuffer(x.as_buffer(), U64), FINE)
+            points.append(p.astype(np.uint16 if p.max() < 1 << 16 else np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], ["sid", "point"])
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint16 if len(packed) == 2 * FINE else np.uint32).astype(np.uint32)
 
 
 def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,9 +483,9 @@ def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         left = [r for r in rows if r[0] == 0] or right
         if not right:
             continue
-        tree = CountRTree(np.stack([np.frombuffer(r[3], np.uint32) for r in right]))
+        tree = CountRTree(np.stack([_unpack(r[3]) for r in right]))
         for r in left:
-            for j in tree.search(np.frombuffer(r[3], np.uint32))[0]:
+            for j in tree.search(_unpack(r[3]))[0]:
                 if right[j][2] != r[2]:
                     a.append(min(r[1], right[j][1]))
                     b.append(max(r[1], right[j][1]))
@@ -522,7 +530,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     comps = components(trees, scratch)
 
     total = sets.agg(F.sum("n")).first()[0] or 0
-    least = max(32, -(-total // HEAVY_ENTRIES))
+    least = max(2, -(-total // HEAVY_ENTRIES))  # no more than HEAVY_ENTRIES shingles can be as frequent
     counts = by_key(sets.select("hashes").mapInArrow(_count_posts(BUCKETS), "bucket int, posts binary"), ["bucket"])
     heavy = counts.mapInArrow(_heavy(least), "key long, n long").toArrow()  # HEAVY_ENTRIES rows at most
     known = heavy.column("key").to_numpy().astype(U64)
@@ -538,7 +546,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     parts = F.ceil(F.col("m") / PAIR_BLOCK).cast("int")
     items = lists.select("lid", parts.alias("parts"), F.explode("sids").alias("sid"))
     wanted = items.select("sid").distinct()
-    points = scratch.write(grouped.join(wanted, "sid", "left_semi").mapInArrow(_points, "sid long, comp long, point binary"))
+    points = sets.select("sid", "hashes").join(wanted, "sid", "left_semi").mapInArrow(_points, "sid long, point binary")
+    points = points.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+    points = scratch.write(points.select("sid", F.coalesce("component", "sid").alias("comp"), "point"))
     items = items.join(points, "sid").withColumn("own", F.pmod(F.xxhash64("sid", "lid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     items = items.select("lid", "sid", "comp", "point", "own", other).select(
