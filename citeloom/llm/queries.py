@@ -6,23 +6,30 @@ from citeloom.llm.bpe import op2_bpe_codec
 from citeloom.llm.cdc_dedup import op7_substring_dedup
 from citeloom.llm.chat_format import ORACLE_OP10, op10_chat_format
 from citeloom.llm.decontam import op6_decontaminate
+from citeloom.llm.embed_dedup import op4_embedding_near_dedup
+from citeloom.llm.html_template import op9_html_main_text
 from citeloom.llm.license_scan import ORACLE_OP3, op3_license_scan
 from citeloom.llm.ngram_join import op1_ngram_jaccard_join
 from citeloom.llm.quality_cnn import op5_quality_cnn
+from citeloom.llm.url_tree import op8_url_verdicts
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_license_scan": op3_license_scan,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_url_verdicts": op8_url_verdicts,
+    "op9_html_main_text": op9_html_main_text,
     "op10_chat_format": op10_chat_format,
 }
 
 #: Equivalent DuckDB SQL, where SQL can express the whole query in reasonable time.
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": op3_license_scan,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_decontaminate": op6_decontaminate,
     "op3_license_scan": ORACLE_OP3,
