@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import U64, Scratch, by_key, key_runs, mix64, slices, text_bytes
+from citeloom.llm.common import U64, Bloom, Scratch, by_key, key_runs, mix64, slices, text_bytes
 
 REACH = 24
 MIN_WORDS = 20
@@ -263,15 +263,17 @@ def _cut(column: int, spans: int):
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without their repeated spans; documents that nothing is left of go.
 
-    The spans are one small row for each document concerned; texts move once, to meet them.
+    The spans are one small row for each document concerned; only texts that a Bloom table of those
+    documents lets through move, to meet them. Untouched documents stay as they are.
     """
     spans = Scratch(spark, "cdc").write(repeated_spans(docs))
     one = F.struct(F.col("start_byte").cast("int").alias("start"), F.col("n_bytes").cast("int").alias("length"))
     cuts = spans.groupBy("doc_id").agg(F.collect_list(one).alias("_cuts"))
-    both = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
-    text, last = docs.columns.index("text"), len(docs.columns)
-    out = both.mapInArrow(_cut(text, last), docs.schema)
-    return out.where(F.col("text").isNull() | (F.trim("text") != ""))
+    some = Bloom.of(cuts.select(F.col("doc_id").cast("long").alias("doc_id")))
+    at, text, last = docs.columns.index("doc_id"), docs.columns.index("text"), len(docs.columns)
+    both = some.where(docs, at).join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
+    out = both.mapInArrow(_cut(text, last), docs.schema).where(F.col("text").isNull() | (F.trim("text") != ""))
+    return out.unionByName(some.where(docs, at, within=False))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,16 +211,32 @@ class Bloom:
             whole[piece * size : (piece + 1) * size] = np.frombuffer(bits, np.uint8)
         return Bloom(ids.sparkSession.sparkContext.broadcast(whole))
 
-    def where(self, df: DataFrame, column: int) -> DataFrame:
+    def where(self, df: DataFrame, column: int, within: bool = True) -> DataFrame:
+        """Rows whose id passes; with ``within=False`` those whose id is certainly not in the set, or null."""
         shared = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for batch in batches:
                 ids = batch.column(column).fill_null(0).to_numpy(zero_copy_only=False)
-                keep = np.ones(len(ids), bool)
+                keep = batch.column(column).is_valid().to_numpy(zero_copy_only=False)
                 for at in Bloom._places(ids):
                     keep &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(keep if within else ~keep))
 
         return df.mapInArrow(run, df.schema)
+
+
+def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id isn't in ``removed``, each id once.
+
+    Only rows that the Bloom table of removed and of repeated ids lets through meet others in a shuffle;
+    all the rest, and so nearly all texts, stay where they are. Rows without an id stay.
+    """
+    ids = removed.select(F.col(id_col).cast("long").alias("_id")).distinct()
+    again = docs.groupBy(F.col(id_col).cast("long").alias("_id")).count().where("count > 1 and _id is not null").select("_id")
+    some = Bloom.of(ids.unionByName(again))
+    at = docs.columns.index(id_col)
+    near = some.where(docs.where(F.col(id_col).isNotNull()), at).dropDuplicates([id_col])
+    near = near.join(ids, F.col(id_col) == F.col("_id"), "left_anti")
+    return some.where(docs, at, within=False).unionByName(near)

@@ -40,7 +40,7 @@ GROUPS = 64
 BLOCK = 256  # sets of one seed shingle that are clustered together
 PAIR_BLOCK = 2048  # points of one R-tree
 FINE = 256  # groups of the points that candidates between clusters are searched by
-HEAVY_ENTRIES = 3_000_000  # most shingles that the list of frequent ones may hold
+HEAVY_ENTRIES = 2_000_000  # most shingles that the list of frequent ones may hold
 BUCKETS = 1024  # of postings: more for larger inputs
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,7 +54,6 @@ _STEP = [U64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(SHINGLE)]
 _POWERS: dict[str, np.ndarray] = {}
 
 _POST = np.dtype([("k", "<u4"), ("s", "<u8")])
-_POST_C = np.dtype([("k", "<u4"), ("s", "<u8"), ("c", "<i8")])
 _COUNT = np.dtype([("k", "<u4"), ("n", "<u4")])
 
 
@@ -413,7 +412,7 @@ def _heavy(least: int):
 
 
 def _ordered_posts(n_buckets: int, heavy):
-    """Postings of each set's first shingles with frequent ones last, with the set's cluster."""
+    """Postings of each set's first shingles with frequent ones last."""
     shift = U64(64 - (n_buckets - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +420,7 @@ def _ordered_posts(n_buckets: int, heavy):
 
         def parts():
             for batch in batches:
-                for sid, comp, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for sid, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     base = _key(np.frombuffer(x.as_buffer(), U64))
                     keys = mix64(base, 4)
                     short = ((keys >> shift) << U64(32)) | (keys & U64(0xFFFFFFFF))
@@ -430,35 +429,34 @@ def _ordered_posts(n_buckets: int, heavy):
                         at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                         df = np.where(known[at] == short, counts[at], 0)
                     keys = keys[np.lexsort((base, df))[: prefix_length(len(keys))]]
-                    rows = np.zeros(len(keys), _POST_C)
-                    rows["s"], rows["c"] = U64(sid & 0xFFFFFFFFFFFFFFFF), comp
+                    rows = np.zeros(len(keys), _POST)
+                    rows["s"] = U64(sid & 0xFFFFFFFFFFFFFFFF)
                     yield keys, rows
 
-        yield from _packed(parts(), n_buckets, _POST_C)
+        yield from _packed(parts(), n_buckets, _POST)
 
     return run
 
 
-def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists that hold two clusters or more; equal lists of a bucket once."""
-    for _, posts in _bucket_rows(batches, _POST_C):
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of two sets or more; equal lists of a bucket once."""
+    for _, posts in _bucket_rows(batches, _POST):
         posts = _in_order(posts)
         cut = np.flatnonzero(np.concatenate(([True], posts["k"][1:] != posts["k"][:-1])))
-        low, high = np.minimum.reduceat(posts["c"], cut), np.maximum.reduceat(posts["c"], cut)
         with np.errstate(over="ignore"):
             sign = np.add.reduceat(mix64(posts["s"], 6), cut)
         ends = np.append(cut[1:], len(posts))
-        mixed = np.flatnonzero(low != high)
-        _, once = np.unique(sign[mixed], return_index=True)
-        mixed = mixed[once]
-        if len(mixed):
+        some = np.flatnonzero(ends - cut > 1)
+        _, once = np.unique(sign[some], return_index=True)
+        some = some[once]
+        for k in range(0, len(some), 1000):
+            part = some[k : k + 1000]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(sign[mixed].astype(np.int64)),
-                    pa.array((ends - cut)[mixed]),
-                    pa.array([posts["s"][cut[i] : ends[i]].astype(np.int64).tolist() for i in mixed], pa.list_(pa.int64())),
+                    pa.array(sign[part].astype(np.int64)),
+                    pa.array([posts["s"][cut[i] : ends[i]].astype(np.int64).tolist() for i in part], pa.list_(pa.int64())),
                 ],
-                ["lid", "m", "sids"],
+                ["lid", "sids"],
             )
 
 
@@ -519,13 +517,18 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     near = first.join(met, "sid").select("sid", "doc_id", "n", "shared", "seed", "other")
     near = scratch.write(near.mapInArrow(_enough, near.schema))
 
-    some = Bloom.of(near.select("doc_id")).where(base, 0)
-    sets = some.join(near.select("doc_id", "sid", F.array("seed", "other").alias("seeds")), "doc_id").select("sid", "seeds", "text")
-    sets = scratch.write(sets.mapInArrow(_full_sets, "sid long, seeds array<long>, n long, hashes binary"), "lz4")
-
-    sizes = near.select(F.explode(F.array("seed", "other")).alias("seed")).groupBy("seed").agg(F.count("*").alias("m")).where("m >= 2")
+    # seed shingles with more sets than a block are salted; this meets the small rows, not the sets
+    seeds = near.select("sid", "doc_id", F.explode(F.array("seed", "other")).alias("seed"))
+    sizes = seeds.groupBy("seed").agg(F.count("*").alias("m")).where("m >= 2")
     salt = F.pmod(F.xxhash64("sid", "seed"), F.ceil(F.col("m") / BLOCK)).alias("salt")
-    blocks = sets.select("sid", "hashes", F.explode("seeds").alias("seed")).join(sizes, "seed").select("seed", salt, "sid", "hashes")
+    seeds = seeds.join(sizes, "seed").groupBy("sid", "doc_id").agg(F.collect_set(F.struct("seed", salt)).alias("seeds"))
+    chosen = near.select("sid", "doc_id").join(seeds, ["sid", "doc_id"], "left")
+
+    texts = Bloom.of(near.select("doc_id")).where(base, 0).join(chosen, "doc_id").select("sid", "seeds", "text")
+    kind = "sid long, seeds array<struct<seed:long,salt:long>>, n long, hashes binary"
+    sets = scratch.write(texts.mapInArrow(_full_sets, kind), "lz4")
+
+    blocks = sets.select(F.explode("seeds").alias("b"), "sid", "hashes").select("b.seed", "b.salt", "sid", "hashes")
     trees = scratch.write(by_key(blocks, ["seed", "salt"]).mapInArrow(_cluster_blocks, "a long, b long"))
     comps = components(trees, scratch)
 
@@ -537,18 +540,15 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], heavy.column("n").to_numpy()[order]))
 
-    grouped = sets.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "sid", F.coalesce("component", "sid").alias("comp"), "hashes"
-    )
-    posts = grouped.mapInArrow(_ordered_posts(BUCKETS, shared), "bucket int, posts binary")
-    lists = by_key(posts, ["bucket"]).mapInArrow(_mixed_lists, "lid long, m long, sids array<long>")
-    lists = scratch.write(lists.dropDuplicates(["lid"]))
+    posts = sets.select("sid", "hashes").mapInArrow(_ordered_posts(BUCKETS, shared), "bucket int, posts binary")
+    lists = by_key(posts, ["bucket"]).mapInArrow(_lists, "lid long, sids array<long>").dropDuplicates(["lid"])
+    items = lists.select("lid", F.explode("sids").alias("sid")).join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+    items = scratch.write(items.select("lid", "sid", F.coalesce("component", "sid").alias("comp")))
+    mixed = items.groupBy("lid").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     parts = F.ceil(F.col("m") / PAIR_BLOCK).cast("int")
-    items = lists.select("lid", parts.alias("parts"), F.explode("sids").alias("sid"))
+    items = items.join(mixed.where("low <> high").select("lid", parts.alias("parts")), "lid")
     wanted = items.select("sid").distinct()
-    points = sets.select("sid", "hashes").join(wanted, "sid", "left_semi").mapInArrow(_points, "sid long, point binary")
-    points = points.join(comps.withColumnRenamed("node", "sid"), "sid", "left")
-    points = scratch.write(points.select("sid", F.coalesce("component", "sid").alias("comp"), "point"))
+    points = Bloom.of(wanted).where(sets.select("sid", "hashes"), 0).mapInArrow(_points, "sid long, point binary")
     items = items.join(points, "sid").withColumn("own", F.pmod(F.xxhash64("sid", "lid"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     items = items.select("lid", "sid", "comp", "point", "own", other).select(
@@ -563,7 +563,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     pairs = by_key(items, ["lid", "i", "j"]).mapInArrow(_search_blocks, "a long, b long")
     pairs = scratch.write(pairs.distinct())
     used = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    few = sets.join(used, "sid", "left_semi").select("sid", "hashes")
+    few = Bloom.of(used).where(sets.select("sid", "hashes"), 0)
     pairs = pairs.join(few.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
     pairs = pairs.join(few.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b")
     more = scratch.write(pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
