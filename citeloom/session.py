@@ -21,6 +21,9 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(path, f"citeloom/{path.relative_to(PACKAGE)}")
         context.addPyFile(str(file))
         context._citeloom_shipped = True
+    # long texts: a tenth of the default rows in an Arrow batch keeps Python workers small
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
