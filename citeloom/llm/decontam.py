@@ -27,6 +27,7 @@ from citeloom.llm.common import Scratch
 
 WINDOW = 10
 NEAR = 2  # words that a proximity match may be off
+GAP = WINDOW + 2 * NEAR + 1
 SLICE_BYTES = 32_000_000  # of item text that one pass holds
 SHARD_WORDS = 400_000
 
@@ -66,6 +67,11 @@ class Windows:
             self.offset[i, : len(key)] = order
 
 
+def _firsts(sizes: list[int]) -> np.ndarray:
+    """Each document's first position in its shard; gaps keep phrases and near matches inside a document."""
+    return np.cumsum([GAP, *(s + GAP for s in sizes)])[:-1]
+
+
 def _build(shared):
     """Index shards of some documents, over the test terms."""
 
@@ -75,8 +81,7 @@ def _build(shared):
 
         def out() -> pa.RecordBatch:
             term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            # a gap of one window keeps phrases inside their document
-            start = np.cumsum([0, *(s + WINDOW for s in sizes)])[:-1]
+            start = _firsts(sizes)
             place = np.repeat(start - np.cumsum([0, *sizes])[:-1], sizes) + np.arange(len(term))
             place, term = place[term >= 0], term[term >= 0]
             order = np.argsort(term, kind="stable")
@@ -100,7 +105,7 @@ def _build(shared):
                 ids.append(name)
                 sizes.append(len(own))
                 parts.append(np.fromiter(map(get, own, repeat(-1)), np.int32, len(own)))
-                total += len(own) + WINDOW
+                total += len(own) + GAP
                 if total >= SHARD_WORDS:
                     yield out()
                     ids, sizes, parts, total = [], [], [], 0
@@ -168,7 +173,7 @@ def _search(shared):
             for ids, sizes, terms, bounds, posts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lists = [np.frombuffer(x, "<u4").astype(np.int64) for x in (terms, bounds, posts)]
                 window, start, near_window, near_start = _find(win, *lists)
-                first = np.cumsum([0, *(s + WINDOW for s in sizes)])[:-1]
+                first = _firsts(sizes)
                 spans: list[list[dict]] = [[] for _ in ids]
                 doc = np.searchsorted(first, start, "right") - 1
                 by_item: dict[tuple[int, str], list[tuple[int, int]]] = {}
@@ -272,3 +277,33 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _oracle() -> str:
+    upper, gaps = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{gaps}'), lambda w: w <> '')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {split} AS w FROM documents),
+dw AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+i AS (SELECT item_id::VARCHAR AS item, {split} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item, list_slice(w, s + 1, s + {WINDOW}) AS win FROM (SELECT item, w, unnest(range(greatest(1, len(w) - {WINDOW - 1}))) AS s FROM i WHERE len(w) > 0)),
+one AS MATERIALIZED (SELECT DISTINCT win FROM win),
+n AS (SELECT word, count(*) AS n FROM dw GROUP BY 1),
+t AS (SELECT win, unnest(win) AS word, generate_subscripts(win, 1) - 1 AS j FROM one),
+r AS MATERIALIZED (SELECT win, t.word, j, row_number() OVER (PARTITION BY win ORDER BY coalesce(n.n, 0), j) AS r FROM t LEFT JOIN n ON t.word = n.word),
+start AS MATERIALIZED (SELECT dw.doc_id, r.win, dw.pos - r.j AS s FROM r JOIN dw ON dw.word = r.word WHERE r.r = 1),
+exact AS MATERIALIZED (SELECT start.doc_id, start.win, s FROM start JOIN d ON d.doc_id = start.doc_id WHERE s >= 0 AND list_slice(d.w, s + 1, s + len(win)) = win),
+hits AS (SELECT DISTINCT doc_id, unnest(range(s, s + len(win))) AS pos FROM exact),
+items AS MATERIALIZED (SELECT DISTINCT exact.doc_id, win.item FROM exact JOIN win ON win.win = exact.win),
+near AS (SELECT DISTINCT start.doc_id, win.item FROM start JOIN win ON win.win = start.win
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.win = start.win AND r.r IN (2, 3) AND NOT EXISTS (
+    SELECT 1 FROM dw WHERE dw.doc_id = start.doc_id AND dw.word = r.word AND abs(dw.pos - (start.s + r.j)) <= {NEAR})))
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(x.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(x.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, coalesce(y.n, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1) h ON h.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM items GROUP BY 1) x ON x.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT * FROM near EXCEPT SELECT * FROM items) GROUP BY 1) y ON y.doc_id = d.doc_id
+"""
+
+
+ORACLE_OP6 = _oracle()

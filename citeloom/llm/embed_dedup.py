@@ -226,3 +226,17 @@ def embedding_near_dedup(
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_OP4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings
+), p AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.e IS NOT NULL AND b.e IS NOT NULL WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, p.b FROM reach JOIN p ON p.a = reach.b
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) c ON c.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY 1) n ON n.a = v.vec_id
+"""

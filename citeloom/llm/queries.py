@@ -5,11 +5,11 @@ from __future__ import annotations
 from citeloom.llm.bpe import op2_bpe_codec
 from citeloom.llm.cdc_dedup import op7_substring_dedup
 from citeloom.llm.chat_format import ORACLE_OP10, op10_chat_format
-from citeloom.llm.decontam import op6_decontaminate
-from citeloom.llm.embed_dedup import op4_embedding_near_dedup
+from citeloom.llm.decontam import ORACLE_OP6, op6_decontaminate
+from citeloom.llm.embed_dedup import ORACLE_OP4, op4_embedding_near_dedup
 from citeloom.llm.html_template import op9_html_main_text
 from citeloom.llm.license_scan import ORACLE_OP3, op3_license_scan
-from citeloom.llm.ngram_join import op1_ngram_jaccard_join
+from citeloom.llm.ngram_join import ORACLE_OP1, op1_ngram_jaccard_join
 from citeloom.llm.quality_cnn import op5_quality_cnn
 from citeloom.llm.url_tree import op8_url_verdicts
 
@@ -32,6 +32,9 @@ ORACLE_SQL: dict[str, str] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_decontaminate": op6_decontaminate,
+    "op1_ngram_jaccard_join": ORACLE_OP1,
     "op3_license_scan": ORACLE_OP3,
+    "op4_embedding_near_dedup": ORACLE_OP4,
+    "op6_decontaminate": ORACLE_OP6,
     "op10_chat_format": ORACLE_OP10,
 }
