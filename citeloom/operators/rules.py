@@ -129,7 +129,8 @@ class SeedCues:
 def classify_context(snippet: Column, cues: SeedCues, is_biblio: Column) -> dict[str, Column]:
     """Nine cue flags, a three-way label, a seven-way function by precedence, the section and a score."""
     low = F.lower(snippet)
-    has = {n: low.rlike(getattr(cues, n)) for n in ("title", "author", "year", "group", "modeling", "critique", "policy", "history", "sustainability")}
+    # (?U): word bounds know letters of all scripts, whatever the Java version
+    has = {n: low.rlike("(?U)" + getattr(cues, n)) for n in ("title", "author", "year", "group", "modeling", "critique", "policy", "history", "sustainability")}
     label = cascade(
         [
             (has["author"] & has["year"], "SEED_WORK"),
@@ -163,8 +164,8 @@ def seed_variant(snippet: Column, cues: SeedCues) -> Column:
         [
             (low.rlike(rf"(?:{cues.author})\s+et\s+al\.?\s*,?\s*(?:{cues.year})"), "author_et_al_year"),
             (low.rlike(rf"\(\s*(?:{cues.author})[^)]*(?:{cues.year})\s*\)"), "parenthetical_author_year"),
-            (low.rlike(cues.title) & low.rlike(cues.group), "title_and_group"),
-            (low.rlike(cues.title), "title_only"),
+            (low.rlike("(?U)" + cues.title) & low.rlike("(?U)" + cues.group), "title_and_group"),
+            (low.rlike("(?U)" + cues.title), "title_only"),
         ],
         "unknown_variant",
     )
@@ -175,7 +176,7 @@ def false_positive_risk(snippet: Column, label: Column, cues: SeedCues) -> Colum
     return cascade(
         [
             (label == "SEED_WORK", "low"),
-            (low.rlike(cues.title) & ~low.rlike(f"(?:{cues.author})|(?:{cues.group})"), "high_generic_phrase"),
+            (low.rlike("(?U)" + cues.title) & ~low.rlike(f"(?U)(?:{cues.author})|(?:{cues.group})"), "high_generic_phrase"),
             (label == "LOW_CONFIDENCE", "medium_low_confidence"),
         ],
         "medium",

@@ -85,10 +85,10 @@ def bibliography_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CASCADE = r"""WITH d AS (SELECT doc_id, lower(text) AS t, text FROM documents), h AS (SELECT doc_id, t,
-  regexp_matches(t, '\bapache\b|\bmit\b') AS has_title, regexp_matches(t, '\blicense\b') AS has_author, regexp_matches(t, '\b(2\.0|version)\b') AS has_year, regexp_matches(t, '\breleased\b') AS has_group,
-  regexp_matches(t, '\b(model|models|simulation|system\s+dynamics|scenario|forecast)\b') AS has_modeling, regexp_matches(t, '\b(critique|criticis|refut|controvers|wrong|failed|debate)\b') AS has_critique,
-  regexp_matches(t, '\b(policy|governance|planning|regulation|development\s+strategy|sustainable\s+development)\b') AS has_policy,
-  regexp_matches(t, '\b(historical|history|early|classic|seminal|landmark|foundational)\b') AS has_history, regexp_matches(t, '\b(sustainab|ecological\s+limits|planetary\s+boundaries|overshoot|collapse|growth)\b') AS has_sustainability FROM d),
+  regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(?:apache|mit)(?:[^\p{L}\p{N}_]|$)') AS has_title, regexp_matches(t, '(?:^|[^\p{L}\p{N}_])license(?:[^\p{L}\p{N}_]|$)') AS has_author, regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(2\.0|version)(?:[^\p{L}\p{N}_]|$)') AS has_year, regexp_matches(t, '(?:^|[^\p{L}\p{N}_])released(?:[^\p{L}\p{N}_]|$)') AS has_group,
+  regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(model|models|simulation|system\s+dynamics|scenario|forecast)(?:[^\p{L}\p{N}_]|$)') AS has_modeling, regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(critique|criticis|refut|controvers|wrong|failed|debate)(?:[^\p{L}\p{N}_]|$)') AS has_critique,
+  regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(policy|governance|planning|regulation|development\s+strategy|sustainable\s+development)(?:[^\p{L}\p{N}_]|$)') AS has_policy,
+  regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(historical|history|early|classic|seminal|landmark|foundational)(?:[^\p{L}\p{N}_]|$)') AS has_history, regexp_matches(t, '(?:^|[^\p{L}\p{N}_])(sustainab|ecological\s+limits|planetary\s+boundaries|overshoot|collapse|growth)(?:[^\p{L}\p{N}_]|$)') AS has_sustainability FROM d),
 c AS (SELECT *, CASE WHEN has_author AND has_year THEN 'SEED_WORK' WHEN has_title AND (has_group OR has_modeling OR has_critique OR has_sustainability) THEN 'SEED_DISCOURSE' ELSE 'LOW_CONFIDENCE' END AS semantic_label,
   CASE WHEN has_critique THEN 'critique' WHEN has_modeling THEN 'modeling_simulation_reference' WHEN has_policy THEN 'policy_governance_framing' WHEN has_history THEN 'historical_framing'
   WHEN has_sustainability THEN 'sustainability_discourse' WHEN has_author AND has_year THEN 'foundational_citation' ELSE 'background_or_ambiguous' END AS citation_function,
