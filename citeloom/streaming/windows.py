@@ -10,9 +10,14 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _timed(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark, which needs a timestamp in the session's time zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
+
+
 def tumbling(events: DataFrame, time: str, size: str, keys: list[str], value: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Counts and sums in tumbling or sliding windows; ``late``: how long late rows are waited for."""
-    e = events.withWatermark(time, late) if late else events
+    e = _timed(events, time, late)
     w = F.window(time, size, slide) if slide else F.window(time, size)
     out = e.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
@@ -20,14 +25,14 @@ def tumbling(events: DataFrame, time: str, size: str, keys: list[str], value: st
 
 def sessions(events: DataFrame, time: str, gap: str, key: str, late: str | None = None) -> DataFrame:
     """Sessions of a key: rows not further than ``gap`` apart."""
-    e = events.withWatermark(time, late) if late else events
+    e = _timed(events, time, late)
     out = e.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def without_repeats(events: DataFrame, key: list[str], time: str, late: str) -> DataFrame:
     """Each key once while its watermark lasts."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+    return _timed(events, time, late).dropDuplicatesWithinWatermark(key)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, kind: str = "json"):
