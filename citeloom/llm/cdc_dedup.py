@@ -173,7 +173,7 @@ def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["words"] = np.minimum(n, 255)
             held.append(rows)
             size += len(rows)
-            if size >= 1 << 19:
+            if size >= 1 << 18:
                 yield from out()
                 held, size = [], 0
     if size:

@@ -1,6 +1,6 @@
 """HTML extraction by equivalence classes of template tokens.
 
-Pages of a host are dealt into groups of about ``GROUP`` pages. Within a group every start tag, with its
+Pages of a host are read in groups of about ``GROUP`` pages, in the order of a hash. Within a group every start tag, with its
 marks and its container path, is a token role; roles that occur equally often on every page (the same
 occurrence vector) form a class. A class is valid if its roles stand in the same order on all pages;
 valid classes are nested by the places between whose tokens they lie. The class of roles that occur
@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import by_key, key_runs
 from citeloom.llm.url_tree import host_of
 
 GROUP = 64
@@ -176,28 +175,33 @@ def main_texts(sources: list[str]) -> list[str]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, urls, texts = [], [], []
-    for _, rows in key_runs(batches, 2):
-        # groups are of about GROUP pages; an uneven one is read in parts
-        for k in range(0, len(rows), 2 * GROUP):
-            part = rows[k : k + 2 * GROUP]
-            ids += [r[0] for r in part]
-            urls += [r[1] for r in part]
-            texts += main_texts([r[2] or "" for r in part])
-        if len(ids) >= 500:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-            ids, urls, texts = [], [], []
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
+    """Pages sorted by host, in groups of GROUP to twice that many pages (or as many as there are)."""
+
+    def out(part: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.string())]
+        texts = main_texts([r[3] or "" for r in part])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                yield out(held)
+                held = []
+            elif len(held) == 2 * GROUP:
+                yield out(held[:GROUP])
+                held = held[GROUP:]
+            held.append(row)
+    if held:
+        yield out(held)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """A row for each page: (page_id, url, text)."""
     base = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sizes = base.groupBy("host").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    dealt = base.join(sizes, "host").withColumn("deal", F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"))
-    rows = by_key(dealt.select("host", "deal", "page_id", "url", "html"), ["host", "deal"])
+    # ranges of (host, hash) keep a host's pages together and cut a large host evenly; html moves once
+    order = ["host", F.xxhash64("page_id")]
+    rows = base.select("host", "page_id", "url", "html").repartitionByRange(*order).sortWithinPartitions(*order)
     return rows.mapInArrow(_extract, "page_id long, url string, text string")
 
 

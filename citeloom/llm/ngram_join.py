@@ -229,7 +229,7 @@ def _flush(rows: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _packed(parts: Iterator[tuple[np.ndarray, np.ndarray]], n_buckets: int, dtype: np.dtype, most: int = 1 << 19):
+def _packed(parts: Iterator[tuple[np.ndarray, np.ndarray]], n_buckets: int, dtype: np.dtype, most: int = 1 << 18):
     """Arrow rows (bucket, packed postings) from pairs (shingle keys, postings without k), a bounded number at a time."""
     shift, held, size = U64(64 - (n_buckets - 1).bit_length()), [], 0
 
@@ -387,7 +387,7 @@ def _count_posts(n_buckets: int):
                     keys = mix64(_key(np.frombuffer(x.as_buffer(), U64)), 4)
                     held.append(keys)
                     size += len(keys)
-                    if size > 1 << 20:
+                    if size > 1 << 19:
                         yield counted()
                         held, size = [], 0
             if size:
@@ -424,7 +424,7 @@ def _ordered_posts(n_buckets: int, heavy):
                     base = _key(np.frombuffer(x.as_buffer(), U64))
                     keys = mix64(base, 4)
                     short = ((keys >> shift) << U64(32)) | (keys & U64(0xFFFFFFFF))
-                    df = np.zeros(len(keys), np.int64)
+                    df = np.zeros(len(keys), np.int32)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                         df = np.where(known[at] == short, counts[at], 0)
@@ -538,7 +538,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     heavy = counts.mapInArrow(_heavy(least), "key long, n long").toArrow()  # HEAVY_ENTRIES rows at most
     known = heavy.column("key").to_numpy().astype(U64)
     order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[order], heavy.column("n").to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((known[order], np.minimum(heavy.column("n").to_numpy()[order], 2**31 - 1).astype(np.int32)))
 
     posts = sets.select("sid", "hashes").mapInArrow(_ordered_posts(BUCKETS, shared), "bucket int, posts binary")
     lists = by_key(posts, ["bucket"]).mapInArrow(_lists, "lid long, sids array<long>").dropDuplicates(["lid"])
