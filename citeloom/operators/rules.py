@@ -46,6 +46,17 @@ FUNCTIONS = (
 STANCES = ("supportive", "neutral_descriptive", "critical", "mixed", "unclear")
 
 
+# Patterns of bibliographies and of pages that aren't the text.
+REFERENCE_HEADING = r"\b(references|bibliography|works\s+cited|literature\s+cited)\b"
+DOI_CUE = r"\bdoi\b|\b10\.\d{4,9}/"
+DOI_PREFIX = r"\b10\.\d{4,9}/"
+PAGES_CUE = r"\bpp\.?\s*\d+\b|\bvol\.?\b|\bno\.?\b|\bed\.?\b"
+YEAR = r"\b(19|20)\d{2}\b"
+PUBLISHER = r"\b(?:press|publisher|new\s+york|london|google\s+scholar|doi|https?://|vol\.?|pp?\.)\b"
+BOILERPLATE = r"cloudflare|captcha|access\s+denied|verify\s+you\s+are\s+human|attention\s+required|security\s+challenge"
+REFERENCE_ENTRY = r"^[A-Z][A-Za-z'\-]+(?:\s+[A-Z]\.?|\s+[A-Z][a-z]+)?(?:,\s*|\s+and\s+).{0,180}\(\d{4}\)\s+[^.]{5,120}\.?$"
+
+
 def any_of(text: Column, terms) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms), F.lit(False))
 
@@ -88,10 +99,10 @@ def word_count(text: Column) -> Column:
 def bibliography_score(snippet: Column) -> Column:
     low = F.lower(snippet)
     return points(
-        (low.rlike(r"\b(references|bibliography|works\s+cited|literature\s+cited)\b"), 2),
-        (low.rlike(r"\bdoi\b|\b10\.\d{4,9}/"), 2),
-        (low.rlike(r"\bpp\.?\s*\d+\b|\bvol\.?\b|\bno\.?\b|\bed\.?\b"), 1),
-        (count_of(low, r"\b(19|20)\d{2}\b") >= 2, 1),
+        (low.rlike(REFERENCE_HEADING), 2),
+        (low.rlike(DOI_CUE), 2),
+        (low.rlike(PAGES_CUE), 1),
+        (count_of(low, YEAR) >= 2, 1),
         (count_of(snippet, ",") >= 4, 1),
     )
 
@@ -104,10 +115,10 @@ def page_bibliography_score(page: Column) -> Column:
     raw = F.trim(F.regexp_replace(page, r"\s+", " "))
     low = F.lower(raw)
     return points(
-        (low.rlike(r"^(references|bibliography|works\s+cited|literature\s+cited)\b"), 3),
-        (count_of(low, r"\b(19|20)\d{2}\b") >= 5, 1),
+        (low.rlike("^" + REFERENCE_HEADING[2:]), 3),
+        (count_of(low, YEAR) >= 5, 1),
         (count_of(raw, ",") >= 20, 1),
-        (count_of(low, r"\b10\.\d{4,9}/") >= 2, 1),
+        (count_of(low, DOI_PREFIX) >= 2, 1),
     )
 
 
@@ -196,7 +207,7 @@ def context_quality(fraction: Column, heading: Column, window: Column, citing: C
     """Exclusion flags of an extracted context, and whether it can be annotated."""
     hit = lambda c, p: c.rlike(f"(?i){p}")
     title, author = hit(window, cues.title), hit(window, cues.author)
-    publisher = hit(window, r"\b(?:press|publisher|new\s+york|london|google\s+scholar|doi|https?://|vol\.?|pp?\.)\b")
+    publisher = hit(window, PUBLISHER)
     short = (word_count(citing) <= 18) & (title | author)
     score = points(
         (fraction >= 0.75, 1),
@@ -212,7 +223,7 @@ def context_quality(fraction: Column, heading: Column, window: Column, citing: C
         ((title | author) & ((score >= 3) | structured), "likely_bibliography_only"),
         (kind == "title_phrase_unattributed", "seed_attribution_ambiguous"),
         (~((a & y) | (t & (a | y))), "citing_sentence_missing_seed_attribution"),
-        (hit(window, r"cloudflare|captcha|access\s+denied|verify\s+you\s+are\s+human|attention\s+required|security\s+challenge"), "network_or_antibot_boilerplate"),
+        (hit(window, BOILERPLATE), "network_or_antibot_boilerplate"),
     )
     return {"reference_score": score, "quality_flags": F.array_join(found, "|"), "annotation_eligible": complete & (F.size(found) == 0)}
 
@@ -245,8 +256,7 @@ def topic_of(text: Column, lex: Lexicons) -> Column:
 
 
 def is_reference_entry(text: Column) -> Column:
-    pattern = r"^[A-Z][A-Za-z'\-]+(?:\s+[A-Z]\.?|\s+[A-Z][a-z]+)?(?:,\s*|\s+and\s+).{0,180}\(\d{4}\)\s+[^.]{5,120}\.?$"
-    return F.trim(text).rlike(pattern)
+    return F.trim(text).rlike(REFERENCE_ENTRY)
 
 
 def is_incoherent(text: Column) -> Column:
