@@ -13,6 +13,7 @@ n log n steps. Repeated rows give equal results. An empty table gives an empty r
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -25,7 +26,7 @@ from pyspark.sql.types import BinaryType, DataType, StringType, StructField, Str
 
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 150_000  # pieces that a worker remembers at most
+CACHE = 200_000  # pieces of a generation; a worker remembers two at most, some 80 MB
 LONG = 64  # characters of the longest piece that is remembered
 
 
@@ -37,16 +38,19 @@ def byte_characters() -> list[str]:
 
 
 class _Pieces(dict):
-    """Piece -> packed ids; a bounded memory of what has been merged."""
+    """Piece -> packed ids; a bounded memory in two generations, so that frequent pieces stay in it."""
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.older = merge, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= LONG:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -61,10 +65,12 @@ class Bpe:
         chars = byte_characters()
         value = {c: b for b, c in enumerate(chars)}
         self.byte_id = [vocab[c] for c in chars]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of a pair of ids
+        self.made: list[int] = []  # the id that a rank's pair becomes
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.ranks.setdefault(vocab[left] << 20 | vocab[right], rank)
+            self.made.append(vocab[left + right])
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in [*vocab.items(), *added.items()]:
@@ -76,24 +82,26 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         ids = [self.byte_id[b] for b in piece]
-        n, merges = len(ids), self.merges
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        n, ranks, made = len(ids), self.ranks.get, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # an entry is rank and place in one number: the lowest rank first, then the leftmost
+        queue = [r << 32 | i for i in range(n - 1) if (r := ranks(ids[i] << 20 | ids[i + 1])) is not None]
         heapify(queue)
         while queue:
-            _, i, left, right, new = heappop(queue)
-            j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            entry = heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or ranks(left << 20 | ids[j]) != rank:
                 continue  # stale: one of the two has been merged since
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = made[rank], -1
             after[i] = k = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heappush(queue, (m[0], i, new, ids[k], m[1]))
+                if (r := ranks(new << 20 | ids[k])) is not None:
+                    heappush(queue, r << 32 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], new))):
-                heappush(queue, (m[0], h, ids[h], new, m[1]))
+            if h >= 0 and (r := ranks(ids[h] << 20 | new)) is not None:
+                heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
