@@ -6,51 +6,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.normalize import normalize_title
-from citeloom.functions.similarity import jaro, levenshtein_similarity
+from citeloom.functions.similarity import jaro, jaro_possible, levenshtein_similarity
 from citeloom.operators import linkage, sampling, stats
 from citeloom.plans.network_queries import WILSON_SQL
 from citeloom.plans.registry import query, table
 from citeloom.plans.scratch import Tables
 
-_TITLE = "nullif(trim(regexp_replace(replace(lower(substring(text, 1, 80)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '')"
+_TITLE = "nullif(trim(regexp_replace(replace(lower(p_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '')"
+_T = f"t AS (SELECT p_partkey, {_TITLE} AS title, p_brand || '_' || p_type AS author FROM part)"
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
-    return docs.select("doc_id", normalize_title(F.substring("text", 1, 80)).alias("title"), F.concat_ws("_", "lang", "source").alias("author"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("venue"))
+    """Parts as works: the name is the title, brand and type are the author, the size is the year."""
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return p.select("p_partkey", normalize_title(F.col("p_name")).alias("title"), F.concat_ws("_", "p_brand", "p_type").alias("author"), F.col("p_size").alias("year"), F.lower("p_type").alias("venue"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TITLE} AS title, lang || '_' || source AS author FROM documents)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(jaro_similarity(a.title, b.title), 6) AS title_sim FROM t a JOIN t b ON a.author = b.author AND a.doc_id < b.doc_id AND a.title IS NOT NULL AND b.title IS NOT NULL WHERE round(jaro_similarity(a.title, b.title), 6) >= 0.8""")
-def pair_scores_jaro(spark: SparkSession, d: str) -> DataFrame:
+def _title_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = _titles(spark, d).where("title is not null")
-    a, b = (t.select("author", F.col("doc_id").alias(f"doc_{x}"), F.col("title").alias(x)) for x in "ab")
-    pairs = a.join(b, "author").where("doc_a < doc_b").select("doc_a", "doc_b", F.round(jaro(F.col("a"), F.col("b")), 6).alias("title_sim"))
-    return pairs.where("title_sim >= 0.8")
+    a, b = (t.select("author", F.col("p_partkey").alias(f"part_{x}"), F.col("title").alias(x)) for x in "ab")
+    return a.join(b, "author").where("part_a < part_b")
+
+
+@query(f"""WITH {_T} SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, round(jaro_similarity(a.title, b.title), 6) AS title_sim FROM t a JOIN t b ON a.author = b.author AND a.p_partkey < b.p_partkey WHERE round(jaro_similarity(a.title, b.title), 6) >= 0.6""")
+def pair_scores_jaro(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _title_pairs(spark, d).where(jaro_possible(F.col("a"), F.col("b"), 0.6))
+    return pairs.select("part_a", "part_b", F.round(jaro(F.col("a"), F.col("b")), 6).alias("title_sim")).where("title_sim >= 0.6")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_TITLE} AS title, lang || '_' || source AS author FROM documents)
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE, 6) AS sim FROM t a JOIN t b ON a.author = b.author AND a.doc_id < b.doc_id
+@query(f"""WITH {_T} SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, round(1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE, 6) AS sim FROM t a JOIN t b ON a.author = b.author AND a.p_partkey < b.p_partkey
 WHERE round(1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE, 6) >= 0.5""")
 def pair_scores_lev(spark: SparkSession, d: str) -> DataFrame:
-    t = _titles(spark, d).where("title is not null")
-    a, b = (t.select("author", F.col("doc_id").alias(f"doc_{x}"), F.col("title").alias(x)) for x in "ab")
-    pairs = a.join(b, "author").where("doc_a < doc_b")
-    return pairs.select("doc_a", "doc_b", F.round(levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("sim")).where("sim >= 0.5")
+    pairs = _title_pairs(spark, d)
+    return pairs.select("part_a", "part_b", F.round(levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("sim")).where("sim >= 0.5")
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = _titles(spark, d).withColumn("ord", F.col("doc_id"))
-    pairs = linkage.scored_pairs(t, "doc_id", "title", "author", "year", "venue", "ord", least=0.60)
-    # venues are unknown here, so a perfect title scores 0.95
-    return t, pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "score")
+    t = _titles(spark, d).withColumn("ord", F.col("p_partkey"))
+    pairs = linkage.scored_pairs(t, "p_partkey", "title", "author", "year", "venue", "ord")
+    return t, pairs.select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"), "score")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_TITLE} AS title, p_brand || '_' || p_type AS author, p_size AS year FROM part), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b,
+  round(least(1.0, 0.70 * jaro_similarity(a.title, b.title) + 0.15 + 0.10 + 0.05), 6)::DOUBLE AS score FROM t a JOIN t b ON a.author = b.author AND a.p_partkey < b.p_partkey AND abs(a.year - b.year) <= 1) SELECT a, b, score FROM p WHERE score >= 0.86""")
+def dedup_pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)[1]
 
 
 @query()
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     t, pairs = _scored(spark, d)
     tables = Tables(spark, "leaders")
-    nodes = t.where("title is not null").select(F.col("doc_id").alias("id"))
+    nodes = t.where("title is not null").select(F.col("p_partkey").alias("id"))
     return linkage.leader_clusters(nodes, pairs.where("score >= 0.92"), tables)
 
 
@@ -59,7 +66,7 @@ def ambiguous_pairs(spark: SparkSession, d: str) -> DataFrame:
     t, pairs = _scored(spark, d)
     tables = Tables(spark, "ambiguous")
     pairs = tables.write(pairs)
-    nodes = t.where("title is not null").select(F.col("doc_id").alias("id"))
+    nodes = t.where("title is not null").select(F.col("p_partkey").alias("id"))
     return linkage.ambiguous_pairs(pairs, linkage.leader_clusters(nodes, pairs.where("score >= 0.92"), tables))
 
 
@@ -164,7 +171,10 @@ def kripp_alpha_nominal(spark: SparkSession, d: str) -> DataFrame:
     return stats.krippendorff(_ratings(spark, d), "nominal")
 
 
-@query()
+@query("""WITH r AS (SELECT p_partkey AS u, p_size % 5 AS v FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN (p_size + 1) % 5 ELSE p_size % 5 END FROM part),
+c AS (SELECT u, v, count(*) AS n FROM r GROUP BY 1, 2), o AS (SELECT a.v AS c, b.v AS k, sum(a.n * (b.n - (a.v = b.v)::INT)) AS o FROM c a JOIN c b ON a.u = b.u GROUP BY 1, 2), m AS (SELECT v, count(*) AS n FROM r GROUP BY 1),
+d AS (SELECT a.v AS c, b.v AS k, a.n * b.n AS nn, power((SELECT sum(n) FROM m WHERE m.v BETWEEN least(a.v, b.v) AND greatest(a.v, b.v)) - (a.n + b.n) / 2.0, 2) AS delta FROM m a, m b WHERE a.v <> b.v)
+SELECT (SELECT count(DISTINCT u) FROM r) AS n_units, (SELECT count(*) FROM r) AS n_values, round(1 - ((SELECT count(*) FROM r) - 1) * sum(coalesce(o.o, 0) * delta) / sum(nn * delta), 6) AS alpha FROM d LEFT JOIN o ON d.c = o.c AND d.k = o.k""")
 def kripp_alpha_ordinal(spark: SparkSession, d: str) -> DataFrame:
     ages = table(spark, d, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("unit"), F.col("p_size"))
     one = ages.select("unit", F.lit("a").alias("coder"), (F.col("p_size") % 5).alias("value"))
@@ -191,12 +201,12 @@ def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", "cluster")
 
 
-_CELLS = "c AS (SELECT year(o_orderdate) AS stratum, count(*) AS population, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS attempted, count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderstatus = 'F') AS yielded FROM orders GROUP BY 1)"
+_CELLS = "c AS (SELECT year(o_orderdate) AS stratum, count(*) AS population, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS attempted, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS yielded FROM orders GROUP BY 1)"
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
-    tried = F.col("o_orderkey") % 5 == 0
+    o = table(spark, d, "orders", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    tried = F.col("o_orderpriority") == "1-URGENT"
     return o.groupBy(F.year("o_orderdate").alias("stratum")).agg(F.count("*").alias("population"), F.count_if(tried).alias("attempted"), F.count_if(tried & (F.col("o_orderstatus") == "F")).alias("yielded"))
 
 
@@ -216,13 +226,13 @@ def projection_borrowed(spark: SparkSession, d: str) -> DataFrame:
     return stats.projection_borrowed(cells, F.lit(True))
 
 
-@query(f"""WITH t AS (SELECT o_orderpriority, count(*) AS population, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS k FROM orders GROUP BY 1), s AS (SELECT *, (sum(k) OVER ())::BIGINT AS n, population / sum(population) OVER () AS share FROM t),
+@query(f"""WITH t AS (SELECT o_orderpriority, count(*) AS population, count(*) FILTER (WHERE o_orderstatus = 'P') AS k FROM orders GROUP BY 1), s AS (SELECT *, (sum(k) OVER ())::BIGINT AS n, population / sum(population) OVER () AS share FROM t),
 w AS (SELECT o_orderpriority, share, {WILSON_SQL.format(k='k', n='n')} FROM s) SELECT o_orderpriority, round(share, 6) AS census_share, rate, ci_low, ci_high, share BETWEEN ci_low AND ci_high AS inside, abs(share - rate) >= 0.1 AS far FROM w""")
 def representativeness_flag(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    o = table(spark, d, "orders", "o_orderkey", "o_orderpriority")
-    t = o.groupBy("o_orderpriority").agg(F.count("*").alias("population"), F.count_if(F.col("o_orderkey") % 5 == 0).alias("k"))
+    o = table(spark, d, "orders", "o_orderstatus", "o_orderpriority")
+    t = o.groupBy("o_orderpriority").agg(F.count("*").alias("population"), F.count_if(F.col("o_orderstatus") == "P").alias("k"))
     every = Window.partitionBy(F.lit(0))  # a row for each level
     t = t.withColumns({"n": F.sum("k").over(every), "share": F.col("population") / F.sum("population").over(every)})
     w = {n: F.round(c, 6) for n, c in stats.wilson(F.col("k"), F.col("n")).items()}

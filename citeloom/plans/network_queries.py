@@ -63,11 +63,10 @@ def cocitation_by_field_topk(spark: SparkSession, d: str) -> DataFrame:
     return network.top_k(pairs, 20, ("c_mktsegment",), F.desc("n"), "ref1", "ref2")
 
 
-@query("""WITH e AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 40)
+@query("""WITH e AS (SELECT l_orderkey, l_partkey FROM lineitem)
 SELECT a.l_orderkey AS work1, b.l_orderkey AS work2, count(*) AS n FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2""")
 def bibliographic_coupling(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity").where("l_quantity >= 40")
-    return network.coupling(edges, "l_orderkey", "l_partkey")
+    return network.coupling(_edges(spark, d), "l_orderkey", "l_partkey")
 
 
 @query(f"""WITH {_PAIRS}, m AS (

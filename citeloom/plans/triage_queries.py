@@ -77,11 +77,11 @@ def recover_contexts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", "recoverability", "quality_before", "quality_after", "expected_effect", "repaired_window")
 
 
-@query("""WITH c AS (SELECT CAST(year(o_orderdate) AS VARCHAR) || '-' || o_orderpriority AS cell, count(*) AS raw, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS attempted, count(*) FILTER (WHERE o_orderkey % 3 = 0 AND o_totalprice > 300000) AS yielded FROM orders GROUP BY 1)
+@query("""WITH c AS (SELECT CAST(year(o_orderdate) AS VARCHAR) || '-' || o_orderpriority AS cell, count(*) AS raw, count(*) FILTER (WHERE o_orderstatus <> 'O') AS attempted, count(*) FILTER (WHERE o_orderstatus <> 'O' AND o_totalprice > 300000) AS yielded FROM orders GROUP BY 1)
 SELECT cell, raw, attempted, yielded, CASE WHEN raw < 20 THEN 'thin_census' WHEN attempted = 0 THEN 'not_attempted' WHEN yielded / attempted < 0.05 THEN 'access_limited' WHEN yielded / attempted >= 0.25 THEN 'adequate' ELSE 'partial' END AS diagnosis FROM c""")
 def census_diagnosis(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    tried = F.col("o_orderkey") % 3 == 0
+    o = table(spark, d, "orders", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_totalprice")
+    tried = F.col("o_orderstatus") != "O"
     cells = o.groupBy(F.concat_ws("-", F.year("o_orderdate").cast("string"), "o_orderpriority").alias("cell")).agg(
         F.count("*").alias("raw"), F.count_if(tried).alias("attempted"), F.count_if(tried & (F.col("o_totalprice") > 300000)).alias("yielded")
     )
