@@ -230,16 +230,18 @@ class Bloom:
         return df.mapInArrow(run, df.schema)
 
 
-def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``removed``, each id once.
+def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id isn't in ``removed``; with ``once`` rows that agree in everything stay once.
 
-    Only rows that the Bloom table of removed and of repeated ids lets through meet others in a shuffle;
+    Only rows that the Bloom table of removed (and of repeated) ids lets through meet others in a shuffle;
     all the rest, and so nearly all texts, stay where they are. Rows without an id stay.
     """
-    ids = removed.select(F.col(id_col).cast("long").alias("_id")).distinct()
-    again = docs.groupBy(F.col(id_col).cast("long").alias("_id")).count().where("count > 1 and _id is not null").select("_id")
-    some = Bloom.of(ids.unionByName(again))
-    at = docs.columns.index(id_col)
-    near = some.where(docs.where(F.col(id_col).isNotNull()), at).dropDuplicates([id_col])
-    near = near.join(ids, F.col(id_col) == F.col("_id"), "left_anti")
+    ids = removed.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    some = ids
+    if once:
+        again = docs.groupBy(F.col(id_col).cast("long").alias("_id")).count().where("count > 1 and _id is not null")
+        some = ids.unionByName(again.select("_id"))
+    some, at = Bloom.of(some), docs.columns.index(id_col)
+    near = some.where(docs.where(F.col(id_col).isNotNull()), at)
+    near = (near.dropDuplicates() if once else near).join(ids, F.col(id_col) == F.col("_id"), "left_anti")
     return some.where(docs, at, within=False).unionByName(near)

@@ -104,8 +104,9 @@ def test_components_and_without(spark):
     got = {r.node: r.component for r in components(edges, Scratch(spark, "t")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | {i: 100 for i in range(100, 140)}
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "n"), (3, "c")], "doc_id long, text string")
-    left = without(df, spark.createDataFrame([(3,)], "doc_id long")).collect()
-    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "None"]
+    gone = spark.createDataFrame([(3,), (None,)], "doc_id long")
+    assert sorted(str(r.doc_id) for r in without(df, gone, once=True).collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in without(df, gone).collect()) == ["1", "2", "2", "None"]
     assert Bloom.of(df.select("doc_id")).where(df, 0).count() == 4
 
 
