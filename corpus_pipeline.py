@@ -25,10 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that link, the document with the smallest id stays."""
+    """Of each group of texts that link, the document with the smallest id stays; repeated rows stay once."""
     scratch = Scratch(ship(spark), "near")
     groups = ngram_jaccard_join(spark, docs)
-    return without(docs, scratch.write(groups.where("doc_id <> component_id").select("doc_id")))
+    return without(docs, scratch.write(groups.where("doc_id <> component_id").select("doc_id")), once=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
