@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, DataType, StringType, StructField, Str
 
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 200_000  # pieces of a generation; a worker remembers two at most, some 80 MB
+CACHE = 120_000  # pieces of a generation; a worker remembers two at most, some 50 MB
 LONG = 64  # characters of the longest piece that is remembered
 
 

@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import U64, Bloom, Scratch, by_key, key_runs, mix64, slices, text_bytes
+from citeloom.llm.common import U64, Bloom, Scratch, bucket_count, by_key, key_runs, mix64, slices, text_bytes
 
 REACH = 24
 MIN_WORDS = 20
 STRONG_WORDS = 14
 MOST_BYTES = 255
-BUCKETS = 1024
 SPANS = "array<struct<start:int,length:int>>"
 
 _GEAR = (mix64(np.arange(256, dtype=U64), 31) >> U64(40)).astype(np.uint32)
@@ -148,19 +147,19 @@ def _spread(rows: np.ndarray, bucket: np.ndarray, kind: int) -> pa.RecordBatch:
     )
 
 
-def _doc_bucket(doc: np.ndarray) -> np.ndarray:
-    return (mix64(doc.astype(U64), 34) % U64(BUCKETS)).astype(np.int64)
+def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(doc.astype(U64), 34) % U64(buckets)).astype(np.int64)
 
 
-def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
         firsts, again, first = _settle(np.concatenate(held))
-        yield _spread(firsts, (firsts["h"] % U64(BUCKETS)).astype(np.int64), 0)
+        yield _spread(firsts, (firsts["h"] % U64(buckets)).astype(np.int64), 0)
         # a place that isn't its task's first can't be the first of all: only its document needs to know
         if len(again):
-            yield _spread(_as_repeats(firsts, again, first), _doc_bucket(again["doc"]), 1)
+            yield _spread(_as_repeats(firsts, again, first), _doc_bucket(again["doc"], buckets), 1)
 
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
@@ -180,12 +179,12 @@ def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for _, rows in key_runs(batches, 1):
         known = np.frombuffer(b"".join(r[1] for r in rows if r[0] == 1), _REPEAT)
         out = np.concatenate((known, _as_repeats(*_settle(np.frombuffer(b"".join(r[1] for r in rows if r[0] == 0), _POST)))))
         if len(out):
-            yield _spread(out, _doc_bucket(out["doc"]), 1)
+            yield _spread(out, _doc_bucket(out["doc"], buckets), 1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +234,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = "bucket int, kind int, posts binary"
-    again = by_key(base.mapInArrow(_posts, packed), ["bucket"]).mapInArrow(_repeats, packed)
+    n = bucket_count(base)
+    posts = base.mapInArrow(lambda batches: _posts(batches, n), packed)
+    again = by_key(posts, ["bucket"]).mapInArrow(lambda batches: _repeats(batches, n), packed)
     schema = "doc_id long, start_byte long, n_bytes long, n_words long, source_doc_ids array<long>"
     return by_key(again, ["bucket"]).mapInArrow(_runs, schema)
 

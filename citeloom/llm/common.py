@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-# freed Arrow buffers go back to the system at once: an executor runs several Python workers
-pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _lean() -> None:
+    """An executor runs several Python workers: what they free goes back to the system at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:  # glibc: fixed thresholds for mapping and trimming (options -3 and -1 of mallopt)
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 19)
+        libc.mallopt(-1, 1 << 19)
+    except (AttributeError, OSError):
+        pass
+
+
+_lean()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +64,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucket_count(df: DataFrame, least: int = 1024, each: int = 64 << 20) -> int:
+    """A power of two: about one bucket for each 64 MB of input as the optimiser estimates it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(1 << 22, max(least, 1 << max(0, (size // each)).bit_length()))
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambler of 64-bit words (the finaliser of the public SplitMix64 generator)."""
     with np.errstate(over="ignore"):

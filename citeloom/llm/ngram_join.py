@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import U64, Bloom, Scratch, UnionFind, by_key, components, key_runs, mix64, slices, text_bytes
+from citeloom.llm.common import U64, Bloom, Scratch, UnionFind, bucket_count, by_key, components, key_runs, mix64, slices, text_bytes
 
 SHINGLE = 5
 GROUPS = 64
@@ -41,7 +41,7 @@ BLOCK = 256  # sets of one seed shingle that are clustered together
 PAIR_BLOCK = 2048  # points of one R-tree
 FINE = 256  # groups of the points that candidates between clusters are searched by
 HEAVY_ENTRIES = 2_000_000  # most shingles that the list of frequent ones may hold
-BUCKETS = 1024  # of postings: more for larger inputs
+HOT_LIST = 100_000  # sets of one shingle that a task lists together
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -229,20 +229,25 @@ def _flush(rows: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _packed(parts: Iterator[tuple[np.ndarray, np.ndarray]], n_buckets: int, dtype: np.dtype, most: int = 1 << 18):
-    """Arrow rows (bucket, packed postings) from pairs (shingle keys, postings without k), a bounded number at a time."""
+def _packed(parts: Iterator[tuple[np.ndarray, ...]], n_buckets: int, dtype: np.dtype, most: int = 1 << 18):
+    """Arrow rows (bucket, packed postings), a bounded number at a time, from shingle keys, postings without k, and salts if any.
+
+    A salt of s puts a posting into the s-th further range of buckets.
+    """
     shift, held, size = U64(64 - (n_buckets - 1).bit_length()), [], 0
 
     def out():
-        keys = np.concatenate([k for k, _ in held])
-        rows = np.concatenate([r for _, r in held])
+        keys = np.concatenate([x[0] for x in held])
+        rows = np.concatenate([x[1] for x in held])
         rows["k"] = keys.astype(np.uint32)
         b = (keys >> shift).astype(np.int64)
+        if len(held[0]) > 2:
+            b += n_buckets * np.concatenate([x[2] for x in held])
         return _flush(rows, b)
 
-    for keys, rows in parts:
-        held.append((keys, rows))
-        size += len(keys)
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
         if size >= most:
             yield out()
             held, size = [], 0
@@ -411,7 +416,7 @@ def _heavy(least: int):
     return run
 
 
-def _ordered_posts(n_buckets: int, heavy):
+def _ordered_posts(n_buckets: int, heavy, hot: int):
     """Postings of each set's first shingles with frequent ones last."""
     shift = U64(64 - (n_buckets - 1).bit_length())
 
@@ -428,36 +433,46 @@ def _ordered_posts(n_buckets: int, heavy):
                     if len(known):
                         at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                         df = np.where(known[at] == short, counts[at], 0)
-                    keys = keys[np.lexsort((base, df))[: prefix_length(len(keys))]]
-                    rows = np.zeros(len(keys), _POST)
+                    first = np.lexsort((base, df))[: prefix_length(len(keys))]
+                    rows = np.zeros(len(first), _POST)
                     rows["s"] = U64(sid & 0xFFFFFFFFFFFFFFFF)
-                    yield keys, rows
+                    # a shingle of very many sets is spread over several tasks
+                    spread = -(-df[first].astype(np.int64) // hot)
+                    salt = np.where(spread > 1, 1 + (sid * 0x9E3779B1 & 0x7FFFFFFF) % np.maximum(spread, 1), 0)
+                    yield keys[first], rows, salt
 
         yield from _packed(parts(), n_buckets, _POST)
 
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists of two sets or more; equal lists of a bucket once."""
-    for _, posts in _bucket_rows(batches, _POST):
-        posts = _in_order(posts)
-        cut = np.flatnonzero(np.concatenate(([True], posts["k"][1:] != posts["k"][:-1])))
-        with np.errstate(over="ignore"):
-            sign = np.add.reduceat(mix64(posts["s"], 6), cut)
-        ends = np.append(cut[1:], len(posts))
-        some = np.flatnonzero(ends - cut > 1)
-        _, once = np.unique(sign[some], return_index=True)
-        some = some[once]
-        for k in range(0, len(some), 1000):
-            part = some[k : k + 1000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(sign[part].astype(np.int64)),
-                    pa.array([posts["s"][cut[i] : ends[i]].astype(np.int64).tolist() for i in part], pa.list_(pa.int64())),
-                ],
-                ["lid", "sids"],
-            )
+def _lists(n_buckets: int):
+    """Posting lists of two sets or more, equal lists of a bucket once; parts of spread lists under their shingle."""
+
+    def out(lids: list[int], parts: list[int], sids: list[list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array(parts, pa.int64()), pa.array(sids, pa.list_(pa.int64()))], ["lid", "part", "sids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, posts in _bucket_rows(batches, _POST):
+            posts = _in_order(posts)
+            cut = np.flatnonzero(np.concatenate(([True], posts["k"][1:] != posts["k"][:-1])))
+            ends = np.append(cut[1:], len(posts))
+            if bucket >= n_buckets:
+                key = mix64((U64(bucket % n_buckets) << U64(32)) | posts["k"][cut].astype(U64), 10).astype(np.int64)
+                for lid, a, b in zip(key.tolist(), cut, ends, strict=True):
+                    for k in range(a, b, 10_000):
+                        yield out([lid], [bucket << 20 | (k - a) // 10_000], [posts["s"][k : min(b, k + 10_000)].astype(np.int64).tolist()])
+                continue
+            with np.errstate(over="ignore"):
+                sign = np.add.reduceat(mix64(posts["s"], 6), cut)
+            some = np.flatnonzero(ends - cut > 1)
+            _, once = np.unique(sign[some], return_index=True)
+            some = some[once]
+            for k in range(0, len(some), 1000):
+                part = some[k : k + 1000]
+                yield out(sign[part].astype(np.int64).tolist(), [0] * len(part), [posts["s"][cut[i] : ends[i]].astype(np.int64).tolist() for i in part])
+
+    return run
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,8 +524,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     """
     scratch = Scratch(spark, "ngram")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = bucket_count(base)
     sign = scratch.write(base.mapInArrow(_signatures, "doc_id long, n long, sid long"))
-    posts = base.select("text").mapInArrow(_prefix_posts(BUCKETS), "bucket int, posts binary")
+    posts = base.select("text").mapInArrow(_prefix_posts(buckets), "bucket int, posts binary")
     met = by_key(posts, ["bucket"]).mapInArrow(_meetings, "sid long, seed long, other long, shared long")
     met = met.groupBy("sid").agg(F.min("seed").alias("seed"), F.min("other").alias("other"), F.sum("shared").alias("shared"))
     first = sign.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
@@ -534,14 +550,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // HEAVY_ENTRIES))  # no more than HEAVY_ENTRIES shingles can be as frequent
-    counts = by_key(sets.select("hashes").mapInArrow(_count_posts(BUCKETS), "bucket int, posts binary"), ["bucket"])
+    counts = by_key(sets.select("hashes").mapInArrow(_count_posts(buckets), "bucket int, posts binary"), ["bucket"])
     heavy = counts.mapInArrow(_heavy(least), "key long, n long").toArrow()  # HEAVY_ENTRIES rows at most
     known = heavy.column("key").to_numpy().astype(U64)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], np.minimum(heavy.column("n").to_numpy()[order], 2**31 - 1).astype(np.int32)))
 
-    posts = sets.select("sid", "hashes").mapInArrow(_ordered_posts(BUCKETS, shared), "bucket int, posts binary")
-    lists = by_key(posts, ["bucket"]).mapInArrow(_lists, "lid long, sids array<long>").dropDuplicates(["lid"])
+    posts = sets.select("sid", "hashes").mapInArrow(_ordered_posts(buckets, shared, HOT_LIST), "bucket int, posts binary")
+    lists = by_key(posts, ["bucket"]).mapInArrow(_lists(buckets), "lid long, part long, sids array<long>").dropDuplicates(["lid", "part"])
     items = lists.select("lid", F.explode("sids").alias("sid")).join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     items = scratch.write(items.select("lid", "sid", F.coalesce("component", "sid").alias("comp")))
     mixed = items.groupBy("lid").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))

@@ -175,7 +175,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: ByteCnn) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_bytes(batch.column(at))
-            found = [shared.value.score(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) for i, j in slices(starts)]
+            found = [shared.value.score(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) for i, j in slices(starts, 1 << 17)]
             score = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "score"])
 

@@ -58,7 +58,11 @@ def brute_components(texts):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def test_ngram_join_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT_LIST", hot)  # at 3 nearly all lists are spread
+    monkeypatch.setattr(ngram_join, "PAIR_BLOCK", 2 if hot == 3 else 2048)
+    monkeypatch.setattr(ngram_join, "BLOCK", 1 if hot == 3 else 256)  # nothing is clustered beforehand
     rng = random.Random(5)
     texts = []
     shared = prose(40, rng)
