@@ -27,6 +27,7 @@ from pyspark.sql.types import BinaryType, DataType, StringType, StructField, Str
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 120_000  # pieces of a generation; a worker remembers two at most, some 50 MB
+ALONE = 400_000  # the same where nothing else needs the workers' memory
 LONG = 64  # characters of the longest piece that is remembered
 
 
@@ -40,16 +41,16 @@ def byte_characters() -> list[str]:
 class _Pieces(dict):
     """Piece -> packed ids; a bounded memory in two generations, so that frequent pieces stay in it."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, most: int):
         super().__init__()
-        self.merge, self.older = merge, {}
+        self.merge, self.most, self.older = merge, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = array("I", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= LONG:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -59,7 +60,7 @@ class _Pieces(dict):
 class Bpe:
     """Encoder and decoder of one vocabulary file (the JSON form of the public tokenizers library)."""
 
-    def __init__(self, spec: str | dict):
+    def __init__(self, spec: str | dict, cache: int = CACHE):
         spec = json.loads(spec) if isinstance(spec, str) else spec
         vocab = spec["model"]["vocab"]
         chars = byte_characters()
@@ -78,7 +79,7 @@ class Bpe:
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.split = regex.compile(PATTERN)
-        self.pieces = _Pieces(self.merge)
+        self.pieces = _Pieces(self.merge, cache)
 
     def merge(self, piece: bytes) -> list[int]:
         ids = [self.byte_id[b] for b in piece]
@@ -117,22 +118,23 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Bpe] = {}
+_LOADED: dict[tuple[int, int], Bpe] = {}
 
 
 def _of(shared) -> Bpe:
     """One encoder for each Python worker and vocabulary."""
-    if shared.value[0] not in _LOADED:
+    key, spec = shared.value
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[shared.value[0]] = Bpe(shared.value[1])
-    return _LOADED[shared.value[0]]
+        _LOADED[key] = Bpe(spec, key[1])
+    return _LOADED[key]
 
 
-def _share(spark: SparkSession, vocabulary: str):
+def _share(spark: SparkSession, vocabulary: str, cache: int):
     """The vocabulary file (some MB, whatever the input) as a broadcast."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
-    return spark.sparkContext.broadcast((hash(spec), spec))
+    return spark.sparkContext.broadcast(((hash(spec), cache), spec))
 
 
 def _appended(df: DataFrame, column: str, name: str, kind: DataType, of) -> DataFrame:
@@ -151,9 +153,9 @@ def _appended(df: DataFrame, column: str, name: str, kind: DataType, of) -> Data
     return df.mapInArrow(run, schema)
 
 
-def bpe_encode(spark: SparkSession, df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def bpe_encode(spark: SparkSession, df: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids", cache: int = CACHE) -> DataFrame:
     """``df`` with the binary column ``out_col``: ids as little-endian unsigned 32-bit integers."""
-    shared = _share(spark, vocabulary)
+    shared = _share(spark, vocabulary, cache)
 
     def of(col: pa.Array) -> pa.Array:
         bpe = _of(shared)
@@ -162,9 +164,9 @@ def bpe_encode(spark: SparkSession, df: DataFrame, vocabulary: str, text_col: st
     return _appended(df, text_col, out_col, BinaryType(), of)
 
 
-def bpe_decode(spark: SparkSession, df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def bpe_decode(spark: SparkSession, df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded", cache: int = CACHE) -> DataFrame:
     """``df`` with the string column ``out_col``: the vocabulary's strings of the ids, one after another."""
-    shared = _share(spark, vocabulary)
+    shared = _share(spark, vocabulary, cache)
 
     def of(col: pa.Array) -> pa.Array:
         bpe = _of(shared)
@@ -173,10 +175,10 @@ def bpe_decode(spark: SparkSession, df: DataFrame, vocabulary: str, ids_col: str
     return _appended(df, ids_col, out_col, StringType(), of)
 
 
-def bpe_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
+def bpe_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, cache: int = CACHE) -> DataFrame:
     """Each document's token count and the digests of its ids and of what they decode to."""
-    ids = bpe_encode(spark, docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    both = bpe_decode(spark, ids, vocabulary)
+    ids = bpe_encode(spark, docs.select("doc_id", "text"), vocabulary, cache=cache).select("doc_id", "ids")
+    both = bpe_decode(spark, ids, vocabulary, cache=cache)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -193,4 +195,4 @@ def default_vocabulary() -> str:
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe_digests(spark, docs, default_vocabulary())
+    return bpe_digests(spark, docs, default_vocabulary(), ALONE)
