@@ -132,6 +132,19 @@ def test_leader_clusters_equal_the_greedy_loop(spark):
     assert {r.id: r.leader for r in got.collect()} == greedy(nodes, pairs)
 
 
+def test_ambiguous_pairs_are_of_leaders_and_rows_not_taken_earlier(spark):
+    rng = random.Random(12)
+    nodes = list(range(40))
+    scored = [(*sorted(rng.sample(nodes, 2)), rng.choice([0.87, 0.9, 0.93, 0.99])) for _ in range(120)]
+    scored = sorted({(a, b): s for a, b, s in scored}.items())
+    merge = [ab for ab, s in scored if s >= 0.92]
+    lead = greedy(nodes, merge)
+    want = sorted((a, b) for (a, b), s in scored if 0.86 <= s < 0.92 and lead[a] == a and lead[b] >= a)
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in scored], "a long, b long, score double")
+    clusters = spark.createDataFrame(list(lead.items()), "id long, leader long")
+    assert sorted((r.a, r.b) for r in linkage.ambiguous_pairs(df, clusters).collect()) == want
+
+
 def test_quota_level(spark):
     pools = spark.createDataFrame([("s", "a", 2), ("s", "b", 50), ("s", "c", 7), ("s", "d", 50), ("t", "a", 1), ("t", "b", 1)], "by string, stratum string, size long")
     out = {(r["by"], r.stratum): r.target for r in sampling.allocate_quotas(pools, "by", "stratum", "size", 30).collect()}
