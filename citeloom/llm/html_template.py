@@ -40,6 +40,7 @@ _TOKEN = re.compile(
 )
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
+_TEXT_TAGS = frozenset("html body main article".split())  # never beside the main text by a name
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split()
 )
@@ -50,6 +51,17 @@ _SIDE_MARKS = frozenset(
     "footer form header login masthead menu modal nav navbar navigation newsletter notice notices popup promo related replies reply search share "
     "sidebar skip social sponsor sponsored subscribe widget".split()
 )
+# what a class name may hold beside such a word; "no-sidebar", "has-header" and "comments-open" say something else
+_PLACE_MARKS = frozenset(
+    "area bar block bottom box container content global inner item items left link links list main page post primary right secondary section "
+    "site top wrap wrapper".split()
+)
+
+
+def side_name(name: str) -> bool:
+    """Whether a whole class, id or role names what stands beside the main text."""
+    pieces = [x for x in _NOT_WORD.split(name) if x]
+    return any(x in _SIDE_MARKS for x in pieces) and all(x in _SIDE_MARKS or x in _PLACE_MARKS for x in pieces)
 
 
 class Page:
@@ -83,11 +95,13 @@ class Page:
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                     stack.pop()
                     up = stack[-1][1] if stack else -1
-                marks = [x for v in _MARKS.findall(m[4]) for x in _NOT_WORD.split(v.lower()) if x] if m[4] else []
+                marked = [x for v in _MARKS.findall(m[4]) for x in v.lower().strip("\"'").split()] if m[4] else []
+                marks = [x for v in marked for x in _NOT_WORD.split(v) if x]
                 role = ".".join([name, *marks])
                 self.parent.append(up)
                 self.names.append(name)
-                self.side.append(name in _SIDE_TAGS or any(x in _SIDE_MARKS for x in marks) or (up >= 0 and self.side[up]))
+                beside = name in _SIDE_TAGS or (name not in _TEXT_TAGS and any(map(side_name, marked)))
+                self.side.append(beside or (up >= 0 and self.side[up]))
                 self.roles.append(f"{self.roles[up]}/{role}" if up >= 0 else role)
                 if not (m[4] or "").rstrip().endswith("/") or name not in ("path", "circle"):
                     stack.append((name, len(self.names) - 1))

@@ -340,6 +340,19 @@ def test_html_main_text(spark):
     assert html_template.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_names_that_mark_no_side_matter():
+    shapes = [
+        "<body class='single no-sidebar'><article class='post comments-open'><p>{}</p></article></body>",
+        "<body><main id='main' class='has-header search'><p>{}</p></main></body>",
+        "<body><div class='has-header no-share'><p>{}</p></div></body>",
+    ]
+    for shape in shapes:
+        texts = [prose(20) for _ in range(4)]
+        side = "<div class='sidebar-left'>S</div><div id='site-header'>H</div>"
+        pages = [shape.format(t).replace("</body>", side + "</body>") for t in texts]
+        assert html_template.main_texts(pages) == texts and html_template.main_texts(pages[:1]) == texts[:1]
+
+
 def test_html_skeleton():
     pages = [html_template.Page(PAGE.format(main=f"<main><h2>{i}</h2>" + "<section>x</section>" * i + "</main>")) for i in range(1, 5)]
     order = html_template.skeleton(pages)
