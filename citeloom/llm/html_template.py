@@ -1,20 +1,24 @@
 """HTML extraction by equivalence classes of template tokens.
 
 Pages of a host are read in groups of about ``GROUP`` pages, in the order of a hash. Within a group every start tag, with its
-marks and its container path, is a token role; roles that occur equally often on every page (the same
-occurrence vector) form a class. A class is valid if its roles stand in the same order on all pages;
-valid classes are nested by the places between whose tokens they lie. The class of roles that occur
-once on every page is the template's skeleton, the stretches between its tokens are slots, and the
-slots of the element that carries the changing text, without those that are marked as menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments, are the main text.
+marks and its container path, is a token role, and so is every stretch of text at its place; roles that occur
+equally often on every page (the same occurrence vector, of ones, of any counts or with zeros) form a class if a
+tag is among them and enough pages hold them. A class is valid as far as its roles alternate in one order on all
+pages; valid classes are nested by the places between whose tokens they lie, and one that reaches across a token of a
+class around it is dropped. The class of roles that occur once on every page is the template's skeleton, the others are
+its optional and repeated parts. Text of a valid class is template text; the stretches between the tokens of the
+classes are slots, and the slots of the element that carries the changing text are the main text.
 
-Of the skeleton's elements an ``article`` or ``main`` with changing text is taken first, else the deepest one
-with most of the group's changing text. A page without that element gives its own ``article``, ``main`` or
-``body``.
+Two choices are made by names, not by classes: what is marked as menu, header, footer, sidebar, notice, advert, form,
+script, style or comment is left out, and of the skeleton's elements an ``article`` or ``main`` with changing text is taken
+first, else the deepest one with most of the group's changing text. A page without that element gives its own ``article``,
+``main`` or ``body``.
 
 Blocks are what block tags and line breaks separate. Null html is empty, null urls have an empty host;
-broken, unclosed and truncated markup is read as far as it goes. Repeated pages give equal results; a
-page alone in its group is its own template. Empty tables give no rows.
+broken, unclosed and truncated markup is read as far as it goes. Pages with equal
+tags and text give equal results and count once. Text
+counts as template from ``LEAST`` different pages on, within a block with other text from ``LEAST_INSIDE``; a page that
+nothing would be left of keeps its text. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from citeloom.llm.url_tree import host_of
 
 GROUP = 64
 MOST = 0.6  # share of a group's changing text that its main element must hold
+LEAST, LEAST_INSIDE = 3, 8  # pages that template text is on: as a whole block, as part of one
+SUPPORT = 0.25  # share of a group's pages that a class is on
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)"""
@@ -73,18 +79,31 @@ class Page:
         self.side: list[bool] = []  # marked as beside the main text, or inside such
         self.parent: list[int] = []
         self.runs: list[tuple[int, str]] = []  # (element, text); a break has the element -1
+        self.tokens: list[tuple[str, int]] = []  # (role, run or -1 for a tag), in order
+        inline: list[str] = []  # inline tags open since the last break
         stack: list[tuple[str, int]] = []
         for m in _TOKEN.finditer(source):
             name = m[3]
             if name is None:
                 if m[0][0] != "<" or m[0] == "<":
-                    self.runs.append((stack[-1][1] if stack else -2, m[0]))
+                    element = stack[-1][1] if stack else -2
+                    if element >= 0 and not self.side[element]:
+                        text = " ".join(m[0].split())
+                        if text:
+                            self.tokens.append((f"{self.roles[element]} {'/'.join(inline)} {text}", len(self.runs)))
+                    self.runs.append((element, m[0]))
                 elif m[1] and m[1].lower() in ("textarea", "title"):
                     self.runs.append((-1, ""))
                 continue
             name = name.lower()
             if name not in _INLINE:
                 self.runs.append((-1, ""))
+                inline.clear()
+            elif m[2]:
+                if name in inline:
+                    del inline[len(inline) - 1 - inline[::-1].index(name) :]
+            elif name not in _VOID:
+                inline.append(name)
             if m[2]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -103,6 +122,7 @@ class Page:
                 beside = name in _SIDE_TAGS or (name not in _TEXT_TAGS and any(map(side_name, marked)))
                 self.side.append(beside or (up >= 0 and self.side[up]))
                 self.roles.append(f"{self.roles[up]}/{role}" if up >= 0 else role)
+                self.tokens.append((self.roles[-1], -1))
                 if not (m[4] or "").rstrip().endswith("/") or name not in ("path", "circle"):
                     stack.append((name, len(self.names) - 1))
 
@@ -113,56 +133,124 @@ class Page:
             out.append(i in chosen or (up >= 0 and out[up]))
         return out
 
-    def text(self, chosen: set[int] | None) -> str:
-        """The blocks inside the chosen elements (None: anywhere) that aren't beside the main text."""
+    def text(self, chosen: set[int] | None, template: dict[str, bool] | None = None) -> str:
+        """The slots inside the chosen elements (None: anywhere) that aren't beside the main text, by blocks.
+
+        Text of ``template`` roles is cut where it is a whole block and, where their value is true, as part of one.
+        """
         within = self.inside(chosen) if chosen is not None else None
-        blocks, now = [], []
-        for element, run in [*self.runs, (-1, "")]:
+        fixed = {run: template[role] for role, run in self.tokens if run >= 0 and role in template} if template else {}
+        blocks, slot, whole = [], [], True
+        for k, (element, run) in enumerate([*self.runs, (-1, "")]):
             if element == -1:
-                if now:
-                    block = " ".join("".join(map(entities.unescape, now)).split())
+                if slot:
+                    block = "" if whole else " ".join("".join(map(entities.unescape, slot)).split())
                     if block:
                         blocks.append(block)
-                    now = []
+                    slot, whole = [], True
             elif element == -2:
                 if chosen is None:
-                    now.append(run)
+                    slot.append(run)
+                    whole = False
             elif not self.side[element] and (within is None or within[element]):
-                now.append(run)
+                slot.append(" " if fixed.get(k) else run)
+                whole = whole and (k in fixed or not run.strip())
         return "\n".join(blocks)
 
 
-def skeleton(pages: list[Page]) -> list[str]:
-    """The valid class of roles with the occurrence vector (1, ..., 1), in their common order."""
-    vectors: dict[str, list[int]] = {}
+def _ordered(roles: list[str], places: list[dict[str, list[int]]]) -> list[str]:
+    """The roles of a class that alternate in one order wherever it occurs: of each repetition the first role comes first."""
+    out = roles[:1]
+    for role in roles[1:]:
+        for at in places:
+            if role in at:
+                first, last, own = at[out[0]], at[out[-1]], at[role]
+                if any(p <= q for p, q in zip(own, last, strict=True)) or any(p >= q for p, q in zip(own, first[1:], strict=False)):
+                    break
+        else:
+            out.append(role)
+    return out
+
+
+def _nested(classes: list[list[str]], pages: list[Page]) -> list[list[str]]:
+    """The classes without those that reach across a token of a class that is open around them."""
+    alive = set(range(len(classes)))
+    while True:
+        index = {role: (c, i) for c in alive for i, role in enumerate(classes[c])}
+        crossing: set[int] = set()
+        for page in pages:
+            open_: list[list[int]] = []  # (class, next role)
+            for role, _ in page.tokens:
+                if role not in index:
+                    continue
+                c, i = index[role]
+                if c in crossing:
+                    continue
+                if i == 0:
+                    if len(classes[c]) > 1:
+                        open_.append([c, 1])
+                    continue
+                while open_ and open_[-1][0] != c:
+                    crossing.add(open_.pop()[0])
+                if open_:
+                    open_[-1][1] = i + 1
+                    if i + 1 == len(classes[c]):
+                        open_.pop()
+        if not crossing:
+            return [classes[c] for c in sorted(alive)]
+        alive -= crossing
+
+
+def valid_classes(pages: list[Page]) -> list[list[str]]:
+    """The valid, nested classes of roles with equal occurrence vectors, each in its order; the skeleton is the first."""
+    places: list[dict[str, list[int]]] = []
+    vectors: dict[str, list[tuple[int, int]]] = {}
     for k, page in enumerate(pages):
-        for role, n in Counter(page.roles).items():
-            vectors.setdefault(role, [0] * len(pages))[k] = n
-    classes: dict[tuple[int, ...], list[str]] = {}
+        at: dict[str, list[int]] = {}
+        for place, (role, _) in enumerate(page.tokens):
+            at.setdefault(role, []).append(place)
+        places.append(at)
+        for role, own in at.items():
+            vectors.setdefault(role, []).append((k, len(own)))
+    by_vector: dict[tuple[tuple[int, int], ...], list[str]] = {tuple((k, 1) for k in range(len(pages))): []}
+    least = max(min(LEAST, len(pages)), SUPPORT * len(pages))
     for role, vector in vectors.items():
-        classes.setdefault(tuple(vector), []).append(role)
-    once = set(classes.get((1,) * len(pages), []))
-    order = [r for r in pages[0].roles if r in once]
-    for page in pages[1:]:
-        place = {r: i for i, r in enumerate(r for r in page.roles if r in once)}
-        # a role out of order makes the class invalid for it: the longest rising run of places stays
-        best, out = -1, []
-        for r in order:
-            if place[r] > best:
-                best = place[r]
-                out.append(r)
-        order = out
-    return order
-
-
-def main_role(pages: list[Page], order: list[str]) -> str | None:
+        if len(vector) >= least:
+            by_vector.setdefault(tuple(vector), []).append(role)
+    classes = []
+    for vector, roles in by_vector.items():
+        at = places[vector[0][0]]
+        # a text can't be its class's first role: without the tag that it belongs to its place isn't the template's
+        roles.sort(key=lambda r: at[r][0])
+        while roles and " " in roles[0]:
+            roles.pop(0)
+        own = _ordered(roles, [places[k] for k, _ in vector])
+        classes.append(own)
+    kept = _nested([c for c in classes if c], pages)
+    return [classes[0], *(c for c in kept if c is not classes[0])]
+
+
+def skeleton(pages: list[Page]) -> list[str]:
+    """The tags of the valid class of roles with the occurrence vector (1, ..., 1), in their common order."""
+    return [r for r in valid_classes(pages)[0] if " " not in r]
+
+
+def template_texts(pages: list[Page], classes: list[list[str]]) -> dict[str, bool]:
+    """The text roles of the valid classes that pages enough hold, and whether they may be part of a block."""
+    roles = {r for c in classes for r in c if " " in r}
+    held = Counter(r for page in pages for r in {r for r, _ in page.tokens} & roles)
+    return {r: n >= LEAST_INSIDE for r, n in held.items() if n >= LEAST}
+
+
+def main_role(pages: list[Page], order: list[str], template: dict[str, bool] | None = None) -> str | None:
     """The deepest skeleton element that holds most of the group's changing text."""
     seen = Counter(run for page in pages for run in {r for e, r in page.runs if e >= 0})
     changing: Counter[str] = Counter()
     total = 0
     for page in pages:
-        for element, run in page.runs:
-            if element < 0 or page.side[element] or (len(pages) > 1 and seen[run] == len(pages)):
+        fixed = {run for role, run in page.tokens if run >= 0 and role in template} if template else set()
+        for k, (element, run) in enumerate(page.runs):
+            if element < 0 or page.side[element] or k in fixed or (len(pages) > 1 and seen[run] == len(pages)):
                 continue
             total += len(run)
             while element >= 0:
@@ -178,13 +266,16 @@ def main_role(pages: list[Page], order: list[str]) -> str | None:
 def main_texts(sources: list[str]) -> list[str]:
     """Main texts of the pages of one group."""
     pages = [Page(s) for s in sources]
-    distinct = list({s: p for s, p in zip(sources, pages, strict=True)}.values())
-    role, out = main_role(distinct, skeleton(distinct)), []
+    distinct = list({tuple(r for r, _ in p.tokens): p for p in pages}.values())
+    classes = valid_classes(distinct)
+    template = template_texts(distinct, classes)
+    role, out = main_role(distinct, [r for r in classes[0] if " " not in r], template), []
     for page in pages:
         chosen = {i for i, r in enumerate(page.roles) if r == role}
         for name in ("article", "main", "body"):  # a page whose layout isn't the group's
             chosen = chosen or {i for i, n in enumerate(page.names) if n == name and not page.side[i]}
-        out.append(page.text(chosen or None))
+        # where all is equal on all pages, nothing tells a template from its slots
+        out.append(page.text(chosen or None, template) or page.text(chosen or None))
     return out
 
 

@@ -353,6 +353,34 @@ def test_html_names_that_mark_no_side_matter():
         assert html_template.main_texts(pages) == texts and html_template.main_texts(pages[:1]) == texts[:1]
 
 
+def test_html_slots_without_template_text():
+    def page(n, k, notice):
+        records = "".join(f"<li><b>Author:</b> {prose(2, rng)} <i>on</i> {prose(1, rng)}</li>" for _ in range(n))
+        more = "<div class='hint'>Sign up today</div>" if notice else ""
+        return PAGE.format(main=f"<article><h1>{k}</h1><p>{prose(30, rng)}</p>{more}<p>Read <a>more</a></p><ul>{records}</ul><p>All rights kept</p></article>")
+
+    rng = random.Random(5)
+    pages = [page(rng.randint(1, 6), k, k % 2) for k in range(20)]
+    for k, text in enumerate(html_template.main_texts(pages)):
+        assert text.split("\n")[0] == str(k) and len(text.split("\n")[1].split()) == 30
+        assert not any(x in text for x in ("Author:", "Read", "more", "rights", "Sign up", " on "))
+        assert len(text.split("\n")) == 2 + pages[k].count("Author:") and all(len(x.split()) == 3 for x in text.split("\n")[2:])
+    for own in (pages[:1], pages[:1] * 5, [p.replace("<h1>", f"<h1><!-- {i} -->") for i, p in enumerate(pages[:1] * 5)]):
+        assert all("Author:" in t and "Read more" in t for t in html_template.main_texts(own))
+
+
+def test_html_classes_are_ordered_and_nested():
+    shape = "<html><body><main><ul>{}</ul><ol>{}</ol></main></body></html>"
+    pages = [html_template.Page(shape.format("<li><div>a</div><h3>T</h3></li>" * k, "<li>x</li>" * (k % 2))) for k in range(2, 8)]
+    classes = html_template.valid_classes(pages)
+    ul = "html/body/main/ul/li"
+    assert classes[0] == ["html", "html/body", "html/body/main", "html/body/main/ul", "html/body/main/ol"]
+    assert [ul, f"{ul}/div", f"{ul}/div  a", f"{ul}/h3", f"{ul}/h3  T"] in classes
+    # one order on some pages, the other on the rest: not a class
+    mixed = [html_template.Page(shape.format(("<li><b>a</b></li><dl>x</dl>" if k % 2 else "<dl>x</dl><li><b>a</b></li>") * 2, "")) for k in range(6)]
+    assert not any(ul in c and "html/body/main/ul/dl" in c for c in html_template.valid_classes(mixed))
+
+
 def test_html_skeleton():
     pages = [html_template.Page(PAGE.format(main=f"<main><h2>{i}</h2>" + "<section>x</section>" * i + "</main>")) for i in range(1, 5)]
     order = html_template.skeleton(pages)
