@@ -9,8 +9,10 @@ edges of all passes are united into components, and each component's links are t
   each other, so their links are the core's size, without any comparison;
 * the others are compared with their whole component in blocks, which emit counts and no pairs.
 
-So what a window misses within a component is still counted; only a component that no pass connects is
-lost (the recall against brute force is measured in the tests). Equal vectors are one vector with a
+The number of passes grows with the number of distinct vectors (``passes_for``), so that a lone pair at the
+link angle before an even background meets in a window with a probability of ``RECALL``, whatever the table's
+size. So what a window misses within a component is still counted; only a component that no pass connects is
+lost (the recall against brute force and of such pairs is measured in the tests). Equal vectors are one vector with a
 weight. Vectors that are null, zero or hold null or non-finite components link with nothing. Labels are
 never looked at. Empty tables give no rows.
 """
@@ -28,27 +30,45 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import Scratch, UnionFind, by_key, components, key_runs
 
 COSINE = 0.9
-PASSES = 12
+PASSES = 12  # at least
+RECALL = 0.99  # of lone pairs at the link angle
 WINDOW = 48
 BLOCK = 2048
 #: Two angles of at most this much can't add up to more than the link angle.
 CORE = math.acos(COSINE) / 2 - 1e-7
 
 
+def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    """How many passes ``n`` vectors need.
+
+    Two vectors at the link angle share a sign with probability 1 - angle / pi. They are within a window once they share
+    the log2(n / window) signs that leave about a window's vectors together.
+    """
+    signs = max(0.0, math.log2(max(n, 1) / window))
+    meet = (1 - math.acos(cosine) / math.pi) ** signs
+    return PASSES if meet >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-meet)))
+
+
+def _vector(packed: bytes) -> np.ndarray:
+    """A packed vector in double precision."""
+    return np.frombuffer(packed, "<f4" if packed[-1] else "<f8", (len(packed) - 1) // (4 if packed[-1] else 8)).astype(np.float64)
+
+
 def _unit(packed: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, "<f8") for b in packed])
+    x = np.stack([_vector(b) for b in packed])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as packed doubles; null where they can't link."""
+    """Vectors packed as floats where those hold them exactly, else as doubles, and which; null where they can't link."""
     for batch in batches:
         out = []
         for v in batch.column(1).to_pylist():
             x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
             with np.errstate(over="ignore"):
                 good = len(x) and np.isfinite(x).all() and np.isfinite(x @ x) and x @ x > 0
-            out.append((x + 0.0).astype("<f8").tobytes() if good else None)
+                short = good and (x.astype(np.float32) == x).all()
+            out.append((x + 0.0).astype("<f4" if short else "<f8").tobytes() + (b"\1" if short else b"\0") if good else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
@@ -61,7 +81,7 @@ def _codes(passes: int, bits: int, seed: int):
                 packed = part.column(1).to_pylist()
                 by_size: dict[int, list[int]] = {}
                 for i, b in enumerate(packed):
-                    by_size.setdefault(len(b) // 8, []).append(i)
+                    by_size.setdefault((len(b) - 1) // (4 if b[-1] else 8), []).append(i)
                 for size, at in by_size.items():
                     if size not in planes:
                         planes[size] = np.random.default_rng([seed, size]).normal(size=(size, passes * bits))
@@ -121,7 +141,7 @@ def _partial_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         sums: dict[int, np.ndarray] = {}
         for comp, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(b, "<f8")
+            x = _vector(b)
             x = x / np.linalg.norm(x)
             sums[comp] = sums[comp] + x if comp in sums else x
         yield pa.RecordBatch.from_arrays(
@@ -139,7 +159,7 @@ def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for b, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            x, y = np.frombuffer(b, "<f8"), np.frombuffer(c, "<f8")
+            x, y = _vector(b), np.frombuffer(c, "<f8")
             size = np.linalg.norm(x) * np.linalg.norm(y)
             out.append(bool(size > 0 and math.acos(max(-1.0, min(1.0, float(x @ y / size)))) <= CORE))
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], ["comp", "id", "n", "v", "core"])
@@ -170,14 +190,16 @@ def _block_counts(cosine: float):
 
 
 def embedding_near_dedup(
-    spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 41
+    spark: SparkSession, vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, seed: int = 41
 ) -> DataFrame:
-    """A row for each vector: (vec_id, n_links, component_id, kept)."""
+    """A row for each vector: (vec_id, n_links, component_id, kept). Without ``passes`` there are as many as the table needs."""
     scratch = Scratch(spark, "embed")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     packed = scratch.write(base.mapInArrow(_pack, "vec_id long, v binary"))
     distinct = packed.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     distinct = scratch.write(distinct.where("id is not null").select("id", "v", "n"))
+    if passes is None:
+        passes = passes_for(distinct.count(), cosine, window)
 
     order = ["pass", "size", "code", "id"]
     coded = distinct.select("id", "v").mapInArrow(_codes(passes, 64, seed), "pass int, size int, code long, id long, v binary")

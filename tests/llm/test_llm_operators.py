@@ -201,6 +201,22 @@ def test_embeddings_recall_against_brute_force(spark):
     assert embed_dedup.embedding_near_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_lone_pairs_in_a_large_background(spark):
+    # a narrow window is to a small table what the usual one is to a table ten times as large
+    rng = np.random.default_rng(3)
+    base, other = rng.normal(size=(2, 800, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.901 * base + np.sqrt(1 - 0.901**2) * other
+    vectors = np.concatenate((rng.normal(size=(8000, 32)), base, near))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embed_dedup.embedding_near_dedup(spark, df, window=4).collect()}
+    assert np.mean([got[8000 + i] == got[8800 + i] for i in range(800)]) >= 0.97
+    counts = [embed_dedup.passes_for(10**k) for k in range(9)]
+    assert counts == sorted(counts) and counts[0] == embed_dedup.PASSES and counts[6] >= 38 and counts[7] >= 65
+
+
 def test_quality_network(spark, edge):
     rng = random.Random(9)
     good = [(i, prose(rng.randint(20, 400), rng)) for i in range(0, 300, 2)]
