@@ -5,7 +5,8 @@ within ``REACH`` bytes on both sides (at white space where there is any), so an
 chunks around it. Chunks are posted by digest; the first place of each digest (smallest document, then
 position) stays, all others are repeats. Neighbouring repeats join into runs. As short chunks repeat by
 chance, a run counts only as far as it holds chunks that follow one source at one distance for at
-least ``STRONG_WORDS`` words; from ``MIN_WORDS`` words on it is a repeated span. What is repeated more than
+least ``STRONG_WORDS`` words or ``STRONG_BYTES`` bytes; from ``MIN_WORDS`` words or ``MIN_BYTES`` bytes on it is a
+repeated span, so that texts without spaces have theirs too. What is repeated more than
 once in a task's rows is settled there and posted once, so a chunk that a third of all documents hold
 costs one posting a task.
 
@@ -28,6 +29,8 @@ from citeloom.llm.common import U64, Bloom, Scratch, bucket_count, by_key, key_r
 REACH = 24
 MIN_WORDS = 20
 STRONG_WORDS = 14
+MIN_BYTES = 16 * MIN_WORDS
+STRONG_BYTES = 16 * STRONG_WORDS
 MOST_BYTES = 255
 SPANS = "array<struct<start:int,length:int>>"
 
@@ -206,14 +209,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line[1:] = (run[order][1:] != run[order][:-1]) | (r["first"][order][1:] != r["first"][order][:-1]) | (away[order][1:] != away[order][:-1])
         cut = np.flatnonzero(line)
         strong = np.zeros(len(r), bool)
-        strong[order] = (np.add.reduceat(words[order], cut) >= STRONG_WORDS)[np.cumsum(line) - 1]
+        size = np.add.reduceat(r["length"][order].astype(np.int64), cut)
+        strong[order] = ((np.add.reduceat(words[order], cut) >= STRONG_WORDS) | (size >= STRONG_BYTES))[np.cumsum(line) - 1]
         at = np.flatnonzero(strong)
         if not len(at):
             continue
         head = np.flatnonzero(np.concatenate(([True], run[at][1:] != run[at][:-1])))
         low, high = at[head], at[np.append(head[1:], len(at)) - 1]
         total = np.concatenate(([0], np.cumsum(words)))
-        keep = total[high + 1] - total[low] >= MIN_WORDS
+        keep = (total[high + 1] - total[low] >= MIN_WORDS) | (end[high] - r["start"][low] >= MIN_BYTES)
         low, high = low[keep], high[keep]
         yield pa.RecordBatch.from_arrays(
             [

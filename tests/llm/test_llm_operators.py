@@ -298,6 +298,19 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert all(passage[80:-80] not in kept[101 + i] for i in range(29))
 
 
+def test_cdc_texts_without_spaces(spark):
+    rng = random.Random(9)
+    signs = lambda n, low, high: "".join(chr(rng.randint(low, high)) for _ in range(n))
+    han, thai, code = signs(600, 0x4E00, 0x9FA5), signs(600, 0x0E01, 0x0E2E), signs(900, 65, 90)
+    docs = [(1, han), (2, thai), (3, code), (11, han), (12, signs(300, 0x0E01, 0x0E2E) + thai), (13, "a key " + code), (20, signs(500, 0x4E00, 0x9FA5)), (21, han[:40])]
+    frame = docs_frame(spark, docs)
+    spans = {r.doc_id: r for r in cdc_dedup.repeated_spans(frame).collect()}
+    assert set(spans) == {11, 12, 13} and spans[11].n_bytes == 1800 and spans[12].n_bytes >= 1600 and spans[13].n_bytes >= 750
+    assert all(spans[10 + i].source_doc_ids == [i] for i in (1, 2, 3))
+    kept = {r.doc_id: r.text for r in cdc_dedup.substring_dedup(spark, frame).collect()}
+    assert 11 not in kept and all(kept[i] == t for i, t in docs if i not in (11, 12, 13)) and len(kept[12]) < 370
+
+
 def test_cdc_edges(spark, edge):
     rows = cdc_dedup.substring_dedup(spark, edge).collect()
     assert {r.doc_id for r in rows} >= {1, 2, 4, 5, 7, 10} and 6 not in {r.doc_id for r in rows}
