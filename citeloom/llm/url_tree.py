@@ -16,12 +16,13 @@ there. Empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import Scratch
 
-LEVELS = 5  # deeper segments are one wildcard
 MANY, LARGE = 12, 0.2  # branches of a place that make a wildcard: more than MANY, none with a LARGE share
 SIMILAR = 1.96  # standard errors
 WEIGHT, REJECT = 4.0, 0.8
@@ -55,7 +56,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def shapes(path: Column) -> Column:
-    """The path's first LEVELS segments, variable ones as typed wildcards; what is deeper as one."""
+    """The path's segments, variable ones as typed wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def shape(s: Column) -> Column:
@@ -69,17 +70,28 @@ def shapes(path: Column) -> Column:
         )
         return F.concat(kind, ending)
 
-    head = F.transform(F.slice(parts, 1, LEVELS), shape)
-    return F.when(F.size(parts) > LEVELS, F.concat(head, F.array(F.lit("<deep>")))).otherwise(head)
+    return F.transform(parts, shape)
 
 
 def generalise(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (host, segs, n, known, bad) with ``template``: the segments after generalising and merging.
 
-    Each level's tree is written, so that the next level's aggregates and joins read it instead of its history.
+    Levels go on as long as paths that share a place have further segments. Paths that have ended are in no later place, and
+    a path alone at its place keeps its own segments, so both are done. Each level's tree is written, so that the next
+    level's aggregates and joins read it instead of its history.
     """
     tree = scratch.write(counts.withColumn("template", F.array().cast("array<string>")))
-    for level in range(1, LEVELS + 2):
+    done, level, columns = [], 0, ["host", "segs", "n", "known", "bad", "template"]
+    while True:
+        level += 1
+        alone = tree.groupBy("host", "template").agg((F.count("*") == 1).alias("alone"))
+        tree = tree.join(alone, ["host", "template"])
+        ended = F.col("alone") | (F.size("segs") < level - 1)
+        rest = F.slice("segs", level, F.greatest(F.size("segs") - level + 1, F.lit(0)))
+        done.append(tree.where(ended).withColumn("template", F.concat("template", rest)).select(*columns))
+        tree = tree.where(~ended).select(*columns)
+        if not tree.agg(F.max(F.size("segs") >= level)).first()[0]:  # the rest ends here
+            return reduce(DataFrame.unionByName, [*done, tree])
         seg = F.coalesce(F.get("segs", F.lit(level - 1)), F.lit(""))
         tree = tree.withColumn("seg", seg)
         place = ["host", "template"]
@@ -104,8 +116,7 @@ def generalise(counts: DataFrame, scratch: Scratch) -> DataFrame:
         tree = tree.join(named, [*place, "seg"]).withColumn(
             "template", F.when(F.col("name") == "", F.col("template")).otherwise(F.array_append("template", F.col("name")))
         )
-        tree = scratch.write(tree.select("host", "segs", "n", "known", "bad", "template"))
-    return tree
+        tree = scratch.write(tree.select(*columns))
 
 
 def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -353,6 +353,19 @@ def test_url_templates_merge_and_reject(spark):
     assert by[0] == by[1] and by[0].endswith("/~/<number>") and by[60].endswith("<mixed>/p.html") and by[80] == "/*/<number>"
 
 
+def test_url_sections_that_part_deep(spark):
+    bad = ("block", "deep.org", "/a/b/c/d/e/f/bad/1")
+    good = ("allow", "deep.org", "/a/b/c/d/e/f/good/1")
+    paths = [f"/a/b/c/d/e/f/{k}/{i}" for k in ("bad", "good") for i in range(40)]
+    paths += ["/a/b", "/a/b/c/d/e/f", "/" + "/".join("x" * 40), "/" + "/".join("x" * 12 + "y"), ""]
+    rows = [(i, f"http://deep.org{p}") for i, p in enumerate(paths)]
+    got = {r.path: r for r in url_tree.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), [bad, good]).collect()}
+    assert len(got) == len(paths)
+    for i in range(40):
+        assert got[f"/a/b/c/d/e/f/bad/{i}"].verdict == "block" and got[f"/a/b/c/d/e/f/good/{i}"].verdict == "allow"
+    assert got["/a/b"].template == "/~/b" and got[""].template == "/" and got["/" + "/".join("x" * 40)].template == "/" + "/".join("x" * 40)
+
+
 PAGE = "<html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a>Menu</a></ul></nav><!-- c --><div class='ad'>Buy</div>{main}<aside>Side</aside><div class=\"comments\"><p>Nice</p></div><footer>&copy; x</footer></body></html>"
 
 
