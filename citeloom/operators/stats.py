@@ -100,18 +100,30 @@ def krippendorff(ratings: DataFrame, metric: str = "nominal", by: tuple[str, ...
     itself afterwards are the distinct values. Units with one rating don't count; alpha is null where no
     disagreement is expected.
     """
+    g = ["_k", *by]
+    per, sizes, weights = _coincidences(ratings, metric, by)
+    marginal = per.groupBy(*g, "value").agg(F.sum("n_uv").alias("n_c"))
+    o = weights.groupBy(*g, "c", "k").agg(F.sum("w").alias("o"))
+    return _alpha(marginal, o, sizes.groupBy(*g).agg(F.count("*").alias("n_units")), metric, by)
+
+
+def _coincidences(ratings: DataFrame, metric: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of each unit with two ratings or more: its values' counts, its size, and its coincidences."""
     keys = [F.lit(0).alias("_k"), *by]
     v = ratings.where("value is not null").select(*keys, "unit", F.col("value").cast("double" if metric != "nominal" else "string").alias("value"))
     g = ["_k", *by]
     per = v.groupBy(*g, "unit", "value").agg(F.count("*").alias("n_uv"))
     sizes = per.groupBy(*g, "unit").agg(F.sum("n_uv").alias("m")).where("m >= 2")
     per = per.join(sizes, [*g, "unit"])
-    marginal = per.groupBy(*g, "value").agg(F.sum("n_uv").alias("n_c"))
     # values of a unit against each other: as many rows as it has distinct values, squared
     left = per.select(*g, "unit", "m", F.col("value").alias("c"), F.col("n_uv").alias("nc"))
     right = per.select(*g, "unit", F.col("value").alias("k"), F.col("n_uv").alias("nk"))
     weight = F.col("nc") * (F.col("nk") - F.when(F.col("c") == F.col("k"), 1).otherwise(0)) / (F.col("m") - 1)
-    o = left.join(right, [*g, "unit"]).groupBy(*g, "c", "k").agg(F.sum(weight).alias("o"))
+    return per, sizes, left.join(right, [*g, "unit"]).select(*g, "unit", "c", "k", weight.alias("w"))
+
+
+def _alpha(marginal: DataFrame, o: DataFrame, units: DataFrame, metric: str, by: tuple[str, ...]) -> DataFrame:
+    g = ["_k", *by]
     a = marginal.select(*g, F.col("value").alias("c"), F.col("n_c").alias("n_c"))
     b = marginal.select(*g, F.col("value").alias("k"), F.col("n_c").alias("n_k"))
     pairs = a.join(b, g)
@@ -137,7 +149,6 @@ def krippendorff(ratings: DataFrame, metric: str = "nominal", by: tuple[str, ...
     sums = pairs.groupBy(*g).agg(
         F.sum(F.coalesce("o", F.lit(0.0)) * F.col("delta")).alias("observed"), F.sum(F.col("n_c") * F.col("n_k") * F.col("delta")).alias("expected")
     )
-    units = sizes.groupBy(*g).agg(F.count("*").alias("n_units"))
     out = sums.join(total, g).join(units, g)
     alpha = 1 - F.col("observed") * (F.col("n") - 1) / F.nullif(F.col("expected"), F.lit(0.0))
     return out.select(*by, "n_units", F.col("n").alias("n_values"), F.round(alpha, 6).alias("alpha"))
@@ -153,23 +164,28 @@ def alpha_band(alpha: Column) -> Column:
     return F.when(alpha.isNull(), "undefined").when(alpha >= 0.8, "reliable").when(alpha >= 0.667, "tentative").otherwise("unreliable")
 
 
-def bootstrap_alpha(ratings: DataFrame, metric: str = "nominal", resamples: int = 200, seed: int = 1) -> DataFrame:
+def bootstrap_alpha(ratings: DataFrame, metric: str = "nominal", resamples: int = 1000, seed: int = 1) -> DataFrame:
     """Percentile interval of alpha over resampled units.
 
     Each unit draws its multiplicity in each resample from a Poisson law by hash, so the draws don't depend
-    on the partitioning and no resample is gathered anywhere.
+    on the partitioning and no resample is gathered anywhere: what is shuffled are each resample's sums.
     """
-    units = ratings.select("unit").distinct().select("unit", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
     u = (F.pmod(F.xxhash64("unit", "rep", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     law, total = [], 0.0
     for k in range(8):
         total += float(np.exp(-1.0)) / float(np.prod(np.arange(1, k + 1))) if k else float(np.exp(-1.0))
         law.append(total)
-    times = reduce(lambda out, k: F.when(u < law[k], k).otherwise(out), reversed(range(8)), F.lit(8))
-    drawn = units.withColumn("times", times).where("times > 0")
-    copies = drawn.select("rep", "unit", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    tall = copies.join(ratings, "unit").select("rep", F.concat_ws("#", "unit", "copy").alias("unit"), "coder", "value")
-    alphas = krippendorff(tall, metric, ("rep",))
+    times = reduce(lambda out, k: out + (u >= law[k]).cast("int"), range(8), F.lit(0))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        reps = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
+        return reps.withColumn("times", times).where("times > 0")
+
+    per, sizes, weights = _coincidences(ratings, metric, ())
+    marginal = drawn(per).groupBy("_k", "rep", "value").agg(F.sum(F.col("n_uv") * F.col("times")).alias("n_c"))
+    o = drawn(weights).groupBy("_k", "rep", "c", "k").agg(F.sum(F.col("w") * F.col("times")).alias("o"))
+    units = drawn(sizes).groupBy("_k", "rep").agg(F.sum("times").alias("n_units"))
+    alphas = _alpha(marginal, o, units, metric, ("rep",))
     return alphas.agg(
         F.count("alpha").alias("resamples"), F.expr("percentile(alpha, 0.025)").alias("low"), F.expr("percentile(alpha, 0.975)").alias("high")
     )

@@ -184,7 +184,7 @@ def kripp_alpha_ordinal(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kripp_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap_alpha(_ratings(spark, d), resamples=50)
+    return stats.bootstrap_alpha(_ratings(spark, d), resamples=1000)
 
 
 @query()

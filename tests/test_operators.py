@@ -97,6 +97,17 @@ def test_krippendorff(spark, metric, alpha):
     assert out.alpha == pytest.approx(alpha, abs=5e-4)
 
 
+def test_bootstrap_alpha(spark, sf_dir):
+    from citeloom.plans import registry
+
+    # 40 units, a tenth of them disagree: 0.8 within its interval; a thousand draws by default and in the query
+    rows = [(u, c, (u % 2) ^ (c == 1 and u % 10 == 0)) for u in range(40) for c in range(2)]
+    ratings = spark.createDataFrame(rows, "unit int, coder int, value int")
+    out = stats.bootstrap_alpha(ratings).first()
+    assert out.resamples == 1000 and 0.45 < out.low < 0.72 and 0.9 < out.high <= 1.0
+    assert registry.QUERIES["kripp_bootstrap"](spark, sf_dir).first().resamples == 1000
+
+
 def test_krippendorff_perfect_and_constant(spark):
     same = spark.createDataFrame([(u, c, u % 2) for u in range(6) for c in "ab"], "unit int, coder string, value int")
     assert stats.krippendorff(same).first().alpha == 1.0
