@@ -1,6 +1,7 @@
 r"""License scans: an exact set-similarity join of text blocks with license templates, in built-in functions.
 
-Blocks are lines, cut after sentence ends too. A block meets a template if it holds at least
+Blocks are lines, cut after sentence ends too, and, for statements that are wrapped, overlapping windows of three times the
+longest template's words over the sentences of a paragraph whose lines are joined. A block meets a template if it holds at least
 ``THRESHOLD`` of the template's distinct words. Template words are ranked by how many documents hold them,
 counted over the whole table, the rarest first. A block that meets a template of n words, of which
 k are needed, holds
@@ -49,6 +50,7 @@ TEMPLATES = (
 
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLOCKS = r"\n|(?<=[.!?])\s"
+_WRAPPED = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n|(?<=[.!?])\s"  # blank lines, or such without a word, end a paragraph
 
 
 def spaced(text: Column) -> Column:
@@ -113,7 +115,20 @@ def template_matches(norm: DataFrame, frequencies: dict[str, int], templates=TEM
             )
         )
 
-    blocks = F.filter(F.split(F.lower("text"), _BLOCKS), lambda b: spaced(b).rlike(" (?:" + "|".join(rare) + ") "))
+    has_rare = lambda b: spaced(b).rlike(" (?:" + "|".join(rare) + ") ")
+    stride = max(len(t.split()) for _, t in templates)
+
+    def windows(piece: Column) -> Column:
+        words = F.split(F.trim(spaced(piece)), " ")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 2 * stride, F.lit(1)), F.lit(stride))
+        # the last start may leave up to a stride of words beyond its window
+        ends = F.concat(starts, F.array(F.greatest(F.size(words) - 3 * stride + 1, F.lit(1))))
+        return F.transform(F.array_distinct(ends), lambda i: F.array_join(F.slice(words, i, 3 * stride), " "))
+
+    lines = F.filter(F.split(F.lower("text"), _BLOCKS), has_rare)
+    wrapped = F.filter(F.split(F.lower("text"), _WRAPPED), lambda b: F.contains(b, F.lit("\n")) & has_rare(b))
+    joined = F.filter(F.flatten(F.transform(wrapped, windows)), has_rare)
+    blocks = F.concat(lines, joined)
     nothing = F.array().cast("array<struct<label:string,held:double>>")
     return norm.withColumn("matches", F.when(in_text, F.flatten(F.transform(blocks, of_block))).otherwise(nothing))
 

@@ -146,6 +146,17 @@ def test_license_scan(spark, edge):
     assert license_scan.license_scan(edge).count() == edge.count() and license_scan.license_scan(edge.limit(0)).count() == 0
 
 
+def test_license_statements_that_are_wrapped(spark):
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that\n"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License\n"
+    code = "\n".join(f"x{i} = y{i}" for i in range(400)) + "\n"
+    apart = "redistribution and use in source\n" + code + "binary forms with or without modification are permitted\n"
+    texts = [(1, bsd), (2, gpl), (3, code + bsd + code), (4, apart), (5, "redistribution and use in source\n *\nbinary forms without modification permitted"), (6, code + bsd)]
+    rows = {r.doc_id: r for r in license_scan.license_scan(docs_frame(spark, texts)).collect()}
+    assert all(rows[i].labels == "bsd" and rows[i].score == 1.0 for i in (1, 3, 6))
+    assert "gpl-notice" in rows[2].labels and rows[2].score == 1.0 and rows[4].labels == rows[5].labels == ""
+
+
 def test_license_filters_drop_nothing(spark):
     """The prefix, length and positional filters against plain containment."""
     rng = random.Random(2)
