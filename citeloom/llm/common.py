@@ -126,17 +126,18 @@ class UnionFind:
         return True
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of an edge table (a, b long): rows (node, component), the smallest node id.
 
     Alternating large-star and small-star contraction: each round hangs every neighbourhood on its
-    smallest member, until all are stars; the edge table never grows and nothing of it goes to the driver.
+    smallest member, until all are stars (in a number of rounds that grows with the logarithm of the nodes); the edge
+    table never grows and nothing of it goes to the driver.
     Isolated nodes don't appear. Self loops and repeated edges are fine; no edges give no rows.
     """
     now = scratch.write(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    for _ in range(most_rounds):
+    while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -176,31 +177,39 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield held_key, held
 
 
-def by_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a key side by side in one partition, keys first: the input that ``key_runs`` reads."""
+def by_key(df: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
+    """Rows of a key side by side in one partition, keys first: the input that ``key_runs`` reads.
+
+    With ``spread`` small partitions aren't coalesced: for work that costs much a byte.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys)
+    count = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    return df.select(*keys, *rest).repartition(*count, *keys).sortWithinPartitions(*keys)
 
 
 class Bloom:
-    """A set of ids in a bit table of a fixed size (16 MB), built in pieces: what fails it isn't in the set.
+    """A set of ids in a bit table, built in pieces: what fails it isn't in the set.
 
-    It thins a large table before an exact join; where the set outgrows the table it lets more through,
-    but never changes the join's result.
+    The table has 16 bits an id, 128 MB at most. It thins a large table before an exact join; where the set outgrows
+    the table (some 200 million ids) it lets more through, but never changes the join's result.
     """
 
-    BITS, PIECES = 1 << 27, 256
+    LEAST, MOST, PIECES = 1 << 20, 1 << 30, 256
 
-    def __init__(self, shared):
-        self.shared = shared
+    def __init__(self, shared, bits: int):
+        self.shared, self.bits = shared, bits
 
     @staticmethod
-    def _places(ids: np.ndarray) -> list[np.ndarray]:
-        return [(mix64(ids, 21 + k) % U64(Bloom.BITS)).astype(np.int64) for k in range(3)]
+    def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+        return [(mix64(ids, 21 + k) % U64(bits)).astype(np.int64) for k in range(3)]
 
     @staticmethod
     def of(ids: DataFrame) -> Bloom:
-        width = Bloom.BITS // Bloom.PIECES
+        size = Bloom.LEAST
+        wanted = min(16 * ids.count(), Bloom.MOST)
+        while size < wanted:
+            size *= 2
+        bits, width = size, size // Bloom.PIECES
 
         def emit(piece: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.concatenate(([True], piece[1:] // width != piece[:-1] // width))) if len(piece) else []
@@ -216,7 +225,7 @@ class Bloom:
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-                yield emit(np.unique(np.concatenate(Bloom._places(x))))
+                yield emit(np.unique(np.concatenate(Bloom._places(x, bits))))
 
         def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (piece,), rows in key_runs(batches, 1):
@@ -227,22 +236,22 @@ class Bloom:
                 yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "bits"])
 
         found = by_key(ids.mapInArrow(places, "piece int, bits binary"), ["piece"]).mapInArrow(tables, "piece int, bits binary")
-        whole = np.zeros(Bloom.BITS // 8, np.uint8)
+        whole = np.zeros(bits // 8, np.uint8)
         size = width // 8
-        for piece, bits in found.collect():  # 256 pieces of 64 KB, whatever the input
-            whole[piece * size : (piece + 1) * size] = np.frombuffer(bits, np.uint8)
-        return Bloom(ids.sparkSession.sparkContext.broadcast(whole))
+        for piece, table in found.collect():  # 256 pieces of 512 KB at most, whatever the input
+            whole[piece * size : (piece + 1) * size] = np.frombuffer(table, np.uint8)
+        return Bloom(ids.sparkSession.sparkContext.broadcast(whole), bits)
 
     def where(self, df: DataFrame, column: int, within: bool = True) -> DataFrame:
         """Rows whose id passes; with ``within=False`` those whose id is certainly not in the set, or null."""
-        shared = self.shared
+        shared, bits = self.shared, self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for batch in batches:
                 ids = batch.column(column).fill_null(0).to_numpy(zero_copy_only=False)
                 keep = batch.column(column).is_valid().to_numpy(zero_copy_only=False)
-                for at in Bloom._places(ids):
+                for at in Bloom._places(ids, bits):
                     keep &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
                 yield batch.filter(pa.array(keep if within else ~keep))
 

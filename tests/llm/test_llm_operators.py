@@ -81,7 +81,56 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, hot):
 def test_ngram_borderline_and_tail():
     assert ngram_join.links(3, 3, 4) and not ngram_join.links(2, 3, 3)
     for n in (1, 4, 37, 400, 9000):
-        assert 1 <= ngram_join.least_shared(n) <= ngram_join.prefix_length(n)
+        assert 1 <= ngram_join.least_shared(n) <= ngram_join.posted(n) <= ngram_join.prefix_length(n)
+        assert ngram_join.sketch_length(n, 0) == ngram_join.prefix_length(n) >= ngram_join.sketch_length(n, n)
+    rng = np.random.default_rng(8)
+    for n in (40, 300, 3000):  # partners at the threshold, of equal and of the most unequal sizes
+        for extra in (0, n // 3):
+            for _ in range(100):
+                size = n + extra
+                common = -(-3 * (n + size) // 7)
+                x = rng.integers(0, 1 << 63, n + size - common, dtype=np.uint64)
+                a, b = x[:n], x[n - common :]
+                first = [set(np.sort(ngram_join._key(y))[: ngram_join.posted(len(y))].tolist()) for y in (a, b)]
+                assert len(first[0] & first[1]) >= max(ngram_join.least_shared(n), ngram_join.least_shared(size))
+
+
+def test_ngram_join_of_long_texts(spark, monkeypatch):
+    """Sets beyond the exact prefix, with a passage that all hold, near the threshold and across clusters."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1)
+    monkeypatch.setattr(ngram_join, "HOT", 6)
+    rng, shared, texts = random.Random(9), prose(200, random.Random(1)), []
+    for g in range(10):
+        words = prose(1500, rng).split()
+        for k in range(4):
+            copy = list(words)
+            for at in rng.sample(range(1500), (0, 20, 46, 70)[k]):
+                copy[at] = rng.choice(VOCAB)
+            texts.append((len(texts), " ".join(copy) + " " + shared))
+    got = ngram_join.ngram_jaccard_join(spark, docs_frame(spark, texts)).collect()
+    want = brute_components(texts)
+    assert len({c for _, c in want.values()}) > 10
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_ngram_candidates_stay_in_proportion(spark, monkeypatch):
+    """Unrelated long texts that share a line: no rows that grow with the pairs."""
+    made = {}
+    write = Scratch.write
+
+    def counted(self, df, *rest):
+        out = write(self, df, *rest)
+        made[tuple(out.columns)] = made.get(tuple(out.columns), 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rng, line = random.Random(4), prose(30, random.Random(2))
+    for n in (50, 200):
+        made.clear()
+        docs = docs_frame(spark, [(i, prose(8000, rng) + "\n" + line) for i in range(n)])
+        got = ngram_join.ngram_jaccard_join(spark, docs).collect()
+        assert all(r.component_id == r.doc_id for r in got)
+        assert made["job", "sid", "comp"] == 0 and sum(made.values()) <= 80 * n
 
 
 def test_rtree_finds_every_possible_partner():
