@@ -5,66 +5,151 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.functions import text as X
 from citeloom.operators import triage as T
 from citeloom.plans.registry import query, table
 
 _OR = lambda c, terms: "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")"
-_MODEL = ("simulation", "system dynamics", "model", "modelling", "modeling", "scenario", "forecast", "projection")
-_POLICY = ("policy", "governance", "planning", "regulation", "management", "decision-making")
 _WORDS = r"CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\s+')) END"
 
 
 @query(f"""WITH d AS (SELECT d.doc_id, text, lower(text) AS t, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT doc_id, CASE WHEN coalesce(toxic = 1, false) THEN 'human_coded' WHEN coalesce(quality = 0, false) THEN 'boundary_case' WHEN contains(t, 'bibliograph') THEN 'bibliography_like'
-  WHEN {_OR('t', ('ocr', 'snippet_too_short', 'low confidence'))} THEN 'ocr_or_low_confidence' WHEN {_OR('t', _MODEL)} THEN 'modeling_simulation' WHEN {_OR('t', T.RESOURCES)} THEN 'foundational_claim'
-  WHEN {_OR('t', _POLICY)} THEN 'policy_governance_ambiguity' WHEN {_OR('t', T.LINEAGE)} THEN 'historical_lineage' WHEN contains(t, 'license') THEN 'generic_phrase' WHEN {_WORDS} < 35 THEN 'short_context' ELSE 'lower_risk_neutral_historical' END AS stratum FROM d""")
+  WHEN {_OR('t', ('ocr', 'snippet_too_short', 'low confidence'))} THEN 'ocr_or_low_confidence' WHEN {_OR('t', (*T.MODELS, 'world3', 'world 3'))} THEN 'modeling_simulation' WHEN {_OR('t', T.RESOURCES)} THEN 'foundational_claim'
+  WHEN {_OR('t', T.RULING)} THEN 'policy_governance_ambiguity' WHEN {_OR('t', T.LINEAGE)} THEN 'historical_lineage' WHEN contains(t, 'license') THEN 'generic_limits_phrase' WHEN {_WORDS} < 35 THEN 'short_context' ELSE 'lower_risk_neutral_historical' END AS stratum FROM d""")
 def assign_stratum(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").join(table(spark, d, "labels"), "doc_id", "left")
-    no = F.lit(False)
-    s = T.stratum(F.col("text"), F.coalesce(F.col("toxic") == 1, no), F.coalesce(F.col("quality") == 0, no), no, F.lit(1.0), F.contains(F.lower("text"), F.lit("license")))
-    return docs.select("doc_id", s.alias("stratum"))
+    docs = T.with_words(docs, "text").withColumns(
+        {
+            "human_coded": F.col("toxic") == 1, "boundary_case": F.col("quality") == 0, "bibliography_like": F.lit(False), "extraction_confidence": F.lit(1.0),
+            "generic_phrase": F.contains("body", F.lit("license")),
+        }
+    )
+    return docs.select("doc_id", T.stratum().alias("stratum"))
 
 
 @query(f"""WITH d AS (SELECT d.doc_id, text, lower(text) AS t, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-f AS (SELECT doc_id, toxic, quality, CASE WHEN toxic = 1 THEN 'evidence_quote_failure' WHEN contains(t, 'license') THEN 'generic_title_or_phrase' WHEN quality = 0 THEN 'ocr_or_text_quality' WHEN {_OR('t', _POLICY)} THEN 'policy_governance_ambiguity'
-  WHEN {_OR('t', _MODEL)} AND doc_id % 2 = 0 THEN 'historical_vs_modeling' WHEN {_OR('t', ('finite planet', 'exhaustible resources', 'resource', 'growth', 'collapse', 'overshoot', 'population'))} AND doc_id % 2 = 0 THEN 'historical_vs_foundational'
-  WHEN contains(t, 'publication') THEN 'bibliography_or_publication_history' WHEN {_WORDS} < 45 THEN 'short_context' WHEN doc_id % 5 = 0 THEN 'stance_ambiguity' WHEN doc_id % 3 = 0 THEN 'topic_label_weakness' ELSE 'true_interpretive_gray_zone' END AS family FROM d)
-SELECT doc_id, family, CASE WHEN toxic = 1 AND family IN ('evidence_quote_failure', 'uncertainty_policy_failure') THEN 'tighten_validator_or_repair' WHEN family IN ('ocr_or_text_quality', 'short_context') THEN 'improve_extraction_first'
-  WHEN family IN ('bibliography_or_publication_history', 'historical_vs_modeling', 'historical_vs_foundational', 'generic_title_or_phrase') THEN 'tighten_router_rule'
-  WHEN toxic = 1 OR family IN ('true_interpretive_gray_zone', 'policy_governance_ambiguity') OR doc_id % 4 = 0 THEN 'targeted_human_review' WHEN family = 'stance_ambiguity' THEN 'model_benchmark' ELSE 'keep_with_spot_check' END AS action FROM f""")
+n AS (SELECT *, CASE WHEN toxic = 1 THEN 1 WHEN contains(t, 'license') THEN 2 WHEN quality = 0 OR contains(t, 'ocr') OR contains(t, chr(65533)) THEN 3 WHEN {_OR('t', T.RULING)} THEN 4 WHEN {_OR('t', T.MODELS)} AND doc_id % 2 = 0 THEN 5
+  WHEN {_OR('t', T.CLAIMS)} AND doc_id % 2 = 0 THEN 6 WHEN contains(t, 'publication') THEN 7 WHEN {_WORDS} < 45 THEN 8 WHEN doc_id % 5 = 0 THEN 9 WHEN doc_id % 3 = 0 THEN 10 ELSE 11 END AS n FROM d),
+f AS (SELECT *, ['evidence_quote_failure', 'generic_title_or_generic_limits', 'ocr_or_text_quality', 'policy_governance_ambiguity', 'historical_vs_modeling', 'historical_vs_foundational', 'bibliography_or_publication_history', 'short_context', 'stance_ambiguity', 'topic_label_weakness', 'true_interpretive_gray_zone'][n] AS failure_family,
+  ['llm_used_non_exact_or_paraphrased_evidence', 'generic_limits_phrase_or_title_mention', 'text_quality_or_ocr_noise_limits_interpretation', 'policy_terms_present_but_rhetorical_function_uncertain', 'modeling_language_overlaps_with_historical_or_scenario_framing', 'substantive_resource_claim_overlaps_with_historical_framing', 'publication_history_or_bibliography_boundary', 'context_too_short_or_missing_adjacent_sentences', 'stance_requires_explicit_evaluative_evidence', 'topic_label_unclear_or_too_broad', 'coherent_context_requires_interpretive_judgment'][n] AS failure_mode,
+  n IN (2, 3, 5, 6, 7, 8) AS can_router_handle_future_cases, n IN (3, 8) AS needs_extraction_improvement, n IN (1, 4, 9) AS needs_prompt_improvement, toxic = 1 OR n IN (2, 3, 4, 11) OR doc_id % 4 = 0 AS needs_human_review, n IN (1, 4, 9, 11) AS candidate_for_model_benchmark FROM n)
+SELECT doc_id, failure_family, failure_mode, can_router_handle_future_cases, needs_extraction_improvement, needs_prompt_improvement, needs_human_review, candidate_for_model_benchmark, CASE WHEN n = 1 THEN 'tighten_prompt_validator_or_repair_then_benchmark' WHEN needs_extraction_improvement THEN 'improve_extraction_or_context_window_before_reclassification'
+  WHEN can_router_handle_future_cases THEN 'add_or_tighten_deterministic_router_rule' WHEN needs_human_review THEN 'targeted_human_review' WHEN candidate_for_model_benchmark THEN 'model_benchmark_on_gray_zone' ELSE 'retain_as_gray_zone_with_spot_check' END AS recommended_next_action FROM f""")
 def failure_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents", "doc_id", "text").join(table(spark, d, "labels"), "doc_id")
-    even = F.when(F.col("doc_id") % 2 == 0, "historical_framing").otherwise("critique")
-    errors = F.when(F.col("toxic") == 1, F.array(F.lit("non_exact_evidence"))).otherwise(F.array().cast("array<string>"))
-    family = T.failure_family(
-        errors, F.col("text"), even, F.lit(""), F.contains(F.lower("text"), F.lit("license")), F.col("quality") == 0, F.lit(False),
-        F.when(F.col("doc_id") % 5 == 0, "mixed").otherwise("unclear"), F.when(F.col("doc_id") % 3 == 0, "unclear").otherwise("growth"),
+    k, no, none = F.col("doc_id"), F.lit(False), F.lit("")
+    rows = T.with_words(rows, "text").withColumns(
+        {
+            "errors": F.when(F.col("toxic") == 1, F.array(F.lit("non_exact_evidence"))).otherwise(F.array().cast("array<string>")),
+            "generic_phrase": F.contains("body", F.lit("license")), "ocr": F.col("quality") == 0, "bibliography_like": no, "limited": no,
+            "accepted": F.col("toxic") == 0, "has_human_label": k % 4 != 0, "label": F.when(k % 2 == 0, "historical_framing").otherwise("critique"),
+            "human": none, "earlier": none, "stance": F.when(k % 5 == 0, "mixed").otherwise("unclear"), "topic": F.when(k % 3 == 0, "unclear").otherwise("growth"),
+        }
     )
-    rows = rows.withColumn("family", family)
-    return rows.select("doc_id", "family", T.recommended_action(F.col("family"), F.col("toxic") == 0, F.col("doc_id") % 4 != 0).alias("action"))
-
-
-@query(f"""WITH r AS (SELECT l.doc_id, quality, toxic, text, lower(text) AS t, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
-f AS (SELECT *, list_filter([CASE WHEN n_chars < 800 THEN 'low_extraction_confidence' END, CASE WHEN toxic = 1 THEN 'ocr_noise' END, CASE WHEN quality = 0 THEN 'generic_phrase_risk' END, CASE WHEN toxic = 1 THEN 'high_confidence_with_uncertainty' END,
-  CASE WHEN doc_id % 2 = 0 AND NOT {_OR('t', T.REJECTING)} THEN 'critique_without_negative_assessment' END, CASE WHEN doc_id % 2 = 1 AND NOT {_OR('t', T.GOVERNING)} THEN 'policy_label_without_policy_content' END], lambda x: x IS NOT NULL) AS f FROM r)
-SELECT doc_id, array_to_string(f, '|') AS flags, CASE WHEN doc_id % 2 = 0 OR toxic = 1 OR n_chars < 800 OR list_contains(f, 'generic_phrase_risk') OR list_contains(f, 'policy_label_without_policy_content') THEN 'high' WHEN len(f) > 0 THEN 'medium' ELSE 'low' END AS priority,
-  CASE WHEN doc_id % 2 = 0 THEN 120 ELSE 0 END + CASE WHEN quality = 0 THEN 75 ELSE 0 END + CASE WHEN n_chars < 800 THEN 50 ELSE 0 END + CASE WHEN toxic = 1 THEN 40 ELSE 0 END AS score FROM f""")
+    return T.failures(rows).select("doc_id", "failure_family", "failure_mode", *T.NEEDS, "recommended_next_action")
+
+
+@query(f"""WITH r AS (SELECT l.doc_id, quality, toxic, text, lower(text) AS t, n_chars, ['critique', 'policy_governance_framing', 'historical_framing', 'modeling_simulation_reference'][l.doc_id % 4 + 1] AS role, CASE l.doc_id % 3 WHEN 0 THEN 'foundational_citation' WHEN 1 THEN 'historical_framing' ELSE '' END AS other, CASE WHEN l.doc_id % 6 = 5 THEN 'supportive' ELSE 'unclear' END AS stance FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+f AS (SELECT *, list_filter([CASE WHEN n_chars < 800 THEN 'low_extraction_confidence' END, CASE WHEN toxic = 1 THEN 'ocr_noise' END, CASE WHEN quality = 0 THEN 'generic_limits_false_positive_risk' END, CASE WHEN toxic = 1 THEN 'high_llm_confidence_with_uncertainty' END,
+  CASE WHEN other <> '' AND other <> role THEN 'fallback_llm_primary_role_disagreement' END, CASE WHEN stance = 'supportive' AND NOT {_OR('t', T.ENDORSING)} THEN 'supportive_stance_without_explicit_endorsement' END,
+  CASE WHEN role = 'critique' AND NOT {_OR('t', T.REJECTING)} THEN 'critique_without_explicit_negative_assessment' END, CASE WHEN role = 'policy_governance_framing' AND NOT {_OR('t', T.GOVERNING)} THEN 'policy_label_without_policy_content' END,
+  CASE WHEN role = 'modeling_simulation_reference' AND NOT {_OR('t', T.MODELLING)} THEN 'modeling_label_without_model_content' END, CASE WHEN role = 'historical_framing' AND other = 'foundational_citation' THEN 'historical_foundational_ambiguity' END,
+  CASE WHEN role = 'modeling_simulation_reference' AND other = 'historical_framing' THEN 'historical_modeling_ambiguity' END], lambda x: x IS NOT NULL) AS f FROM r)
+SELECT doc_id, array_to_string(f, '|') AS audit_flags, CASE WHEN stance = 'supportive' OR role = 'critique' OR toxic = 1 OR n_chars < 800 OR len(list_intersect(f, ['generic_limits_false_positive_risk', 'policy_label_without_policy_content', 'modeling_label_without_model_content', 'fallback_llm_primary_role_disagreement'])) > 0 THEN 'high' WHEN len(f) > 0 THEN 'medium' ELSE 'low' END AS priority,
+  CASE WHEN role = 'critique' THEN 120 ELSE 0 END + CASE WHEN stance = 'supportive' THEN 115 ELSE 0 END + CASE WHEN list_contains(f, 'historical_foundational_ambiguity') THEN 90 ELSE 0 END + CASE WHEN list_contains(f, 'historical_modeling_ambiguity') THEN 90 ELSE 0 END
+  + CASE WHEN list_contains(f, 'fallback_llm_primary_role_disagreement') THEN 85 ELSE 0 END + CASE WHEN quality = 0 THEN 75 ELSE 0 END + CASE WHEN n_chars < 800 THEN 50 ELSE 0 END + CASE WHEN toxic = 1 THEN 40 ELSE 0 END
+  + CASE WHEN role = 'modeling_simulation_reference' THEN 65 ELSE 0 END + CASE WHEN role IN ('historical_framing', 'modeling_simulation_reference') THEN 10 ELSE 0 END AS review_score FROM f""")
 def audit_priority(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "labels").join(table(spark, d, "documents", "doc_id", "text", "n_chars"), "doc_id")
-    r = {
-        "context_id_count": F.lit(1), "repeated": F.lit(False), "snippet": F.col("text"), "evidence": F.lit(""), "title": F.lit("t"), "year": F.lit("y"), "venue": F.lit("v"),
-        "extraction": F.when(F.col("n_chars") < 800, 0.5).otherwise(0.9), "confidence": F.lit(0.9),
-        "uncertainty": F.when(F.col("toxic") == 1, F.array(F.lit("ocr_noise"))).otherwise(F.array().cast("array<string>")),
-        "risk": F.when(F.col("quality") == 0, "high_generic").otherwise("low"), "role": F.when(F.col("doc_id") % 2 == 0, "critique").otherwise("policy_governance_framing"),
-        "fallback": F.lit(""), "stance": F.lit("unclear"),
-    }
-    rows = rows.withColumn("f", T.audit_flags(r))
-    return rows.select(
+    k = F.col("doc_id")
+    roles = F.array(*map(F.lit, ("critique", "policy_governance_framing", "historical_framing", "modeling_simulation_reference")))
+    rows = rows.withColumns(
+        {
+            "context_id_count": F.lit(1), "repeated": F.lit(False), "generic_phrase": F.lit(False), "snippet": F.col("text"), "evidence_quote": F.lit(""),
+            "title": F.lit("t"), "year": F.lit("y"), "venue": F.lit("v"), "extraction_confidence": F.when(F.col("n_chars") < 800, 0.5).otherwise(0.9), "confidence": F.lit(0.9),
+            "uncertainty_flags": F.when(F.col("toxic") == 1, F.array(F.lit("ocr_noise"))).otherwise(F.array().cast("array<string>")),
+            "false_positive_risk": F.when(F.col("quality") == 0, "high_generic").otherwise("low"), "primary_role": F.get(roles, (k % 4).cast("int")),
+            "fallback_role": F.when(k % 3 == 0, "foundational_citation").when(k % 3 == 1, "historical_framing").otherwise(""), "stance": F.when(k % 6 == 5, "supportive").otherwise("unclear"),
+        }
+    )
+    return T.audit(rows).select("doc_id", F.array_join("audit_flags", "|").alias("audit_flags"), "priority", "review_score")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, value, user_id, user_id % 4 AS m, CASE user_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE '' END AS risk FROM events)
+SELECT event_id, (CASE WHEN event_type = 'click' THEN 100 ELSE 0 END + CASE WHEN event_type = 'purchase' THEN 85 ELSE 0 END)::INT AS issues, (CASE m WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END + least(user_id // 100, 3))::INT AS combined,
+  (CASE WHEN event_type = 'click' THEN 100 ELSE 0 END + CASE WHEN m = 0 THEN 5 ELSE 0 END + greatest(0, CASE m WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END - 2))::INT AS recovery,
+  (CASE m WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN 10 ELSE 0 END + CASE WHEN event_type = 'click' THEN 8 ELSE 0 END + CASE WHEN event_type = 'purchase' THEN 6 ELSE 0 END + greatest(0, 10 - user_id))::INT AS gain FROM e""")
+def worklist_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The other score tables of worklists, over events that stand for reviewed rows."""
+    m, kind = F.col("user_id") % 4, F.col("event_type")
+    e = table(spark, d, "events", "event_id", "event_type", "user_id").withColumns(
+        {
+            "reason": F.when(kind == "click", "ocr_noise").when(kind == "purchase", "bibliography_only").otherwise(""), "risk": F.when(m == 0, "high").when(m == 1, "medium").when(m == 2, "low").otherwise(""),
+            "expected_likely_improvement": kind == "click", "previous_gray_zone_membership": F.lit("no"), "historical_foundational_ambiguity": F.lit(""), "modeling_ambiguity": F.lit(None).cast("string"),
+            "recovery_status": F.when(m == 0, "recovered").otherwise("x"), "evidence_quality_before": F.lit("low_short_context"), "evidence_quality_after": F.when(m == 0, "high").when(m == 1, "medium").when(m == 2, "low").otherwise(""),
+            "category": F.lit(""), "place": F.col("user_id"), "stratum": F.when(kind == "purchase", "bibliography_only").otherwise("x"),
+        }
+    )
+    return e.select(
+        "event_id", T.issue_score("reason").alias("issues"), T.combined_priority(["risk"], "user_id").alias("combined"), T.recovery_score().alias("recovery"),
+        T.information_gain("risk", "CASE WHEN reason = 'ocr_noise' THEN reason ELSE '' END", "category", "stratum", "place").alias("gain"),
+    )
+
+
+_ROLES = "['historical_framing', 'foundational_citation', 'modeling_simulation_reference', 'unclear']"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_ROLES}[doc_id % 4 + 1] AS a, {_ROLES}[(doc_id // 4) % 4 + 1] AS b FROM labels),
+k AS (SELECT *, left(a, position('_' IN a || '_') - 1) || '_to_' || left(b, position('_' IN b || '_') - 1) AS pair FROM r)
+SELECT doc_id, CASE WHEN a = b THEN 'agreement' WHEN pair = 'historical_to_foundational' THEN 'false_historical' WHEN pair = 'foundational_to_historical' THEN 'false_foundational' WHEN b = 'unclear' THEN 'human_unclear' ELSE 'other_disagreement' END AS packet_a,
+  CASE WHEN a = b THEN 'agreement' WHEN pair IN ('historical_to_foundational', 'historical_to_modeling', 'historical_to_unclear', 'foundational_to_historical', 'foundational_to_modeling') THEN pair WHEN b = 'unclear' THEN 'router_to_unclear' ELSE 'other' END AS packet_b,
+  CASE WHEN a = b THEN 'agreement' WHEN pair IN ('historical_to_foundational', 'historical_to_modeling', 'historical_to_unclear', 'foundational_to_historical', 'foundational_to_modeling', 'foundational_to_unclear') THEN pair ELSE 'other' END AS packet_c,
+  CASE WHEN a = b THEN 'agreement' WHEN pair IN ('modeling_to_foundational', 'modeling_to_unclear', 'foundational_to_modeling') THEN pair ELSE 'other' END AS modeling,
+  CASE WHEN a = b THEN 'agreement' WHEN pair = 'modeling_to_unclear' THEN pair ELSE a || '_to_' || b END AS by_role FROM k""")
+def disagreement_types(spark: SparkSession, d: str) -> DataFrame:
+    return _routed(spark, d).select(
         "doc_id",
-        F.array_join("f", "|").alias("flags"),
-        T.priority(F.col("f"), r["stance"], r["role"], r["uncertainty"], r["confidence"], r["extraction"]).alias("priority"),
-        T.review_score(F.col("f"), r["role"], r["stance"], r["confidence"]).alias("score"),
+        *[T.disagreement_type("router", "human", names).alias(c) for c, names in (("packet_a", T.FALSE_ROLES), ("packet_b", T.ROLE_TURNS), ("packet_c", T.FINAL_TURNS), ("modeling", T.MODELING_TURNS))],
+        T.named_turn("router", "human").alias("by_role"),
+    )
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    roles = F.array(*map(F.lit, ("historical_framing", "foundational_citation", "modeling_simulation_reference", "unclear")))
+    k = F.col("doc_id")
+    return table(spark, d, "labels", "doc_id").select("doc_id", F.get(roles, (k % 4).cast("int")).alias("router"), F.get(roles, (F.floor(k / 4) % 4).cast("int")).alias("human"))
+
+
+@query(f"""WITH r AS (SELECT {_ROLES}[doc_id % 4 + 1] AS a, {_ROLES}[(doc_id // 4) % 4 + 1] AS b FROM labels), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE a = b)::DOUBLE AS s FROM r),
+t AS (SELECT left(a, position('_' IN a || '_') - 1) || '_to_' || left(b, position('_' IN b || '_') - 1) AS pair FROM r WHERE a <> b)
+SELECT 'total_adjudicated' AS metric, n AS value FROM n UNION ALL SELECT 'agreement_count', s FROM n UNION ALL SELECT 'agreement_rate', round(s / n, 4) FROM n UNION ALL SELECT 'disagreement_count', n - s FROM n UNION ALL SELECT 'disagreement_rate', round((n - s) / n, 4) FROM n
+UNION ALL SELECT 'human_' || b || '_count', count(*) FROM r GROUP BY 1 UNION ALL SELECT 'router_' || a || '_count', count(*) FROM r GROUP BY 1
+UNION ALL SELECT p, count(*) FILTER (WHERE pair = p) FROM t, (SELECT unnest(['historical_to_foundational', 'historical_to_modeling', 'historical_to_unclear', 'foundational_to_historical', 'foundational_to_modeling', 'foundational_to_unclear']) AS p) GROUP BY 1
+UNION ALL SELECT 'other', count(*) FILTER (WHERE pair LIKE 'modeling%' OR pair LIKE 'unclear%') FROM t""")
+def packet_summary(spark: SparkSession, d: str) -> DataFrame:
+    return T.disagreement_summary(_routed(spark, d), "router", "human", T.FINAL_TURNS)
+
+
+@query("""SELECT source AS stratum, count(*) AS total_rows, count(quality) AS human_coded_rows, count(*) - count(quality) AS unresolved_rows, round(count(quality) / count(*), 4) AS human_coded_coverage,
+  CASE WHEN count(quality) / count(*) >= 0.8 THEN 'well_covered_for_internal_audit' WHEN count(quality) / count(*) >= 0.4 THEN 'partially_covered' WHEN count(quality) = 0 THEN 'not_yet_human_coded' ELSE 'under_validated' END AS validation_status
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+def validation_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "source").join(table(spark, d, "labels", "doc_id", "quality"), "doc_id", "left")
+    return T.validation_coverage(rows, "source", F.col("quality").isNotNull())
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, text, lag(text) OVER o AS b, lead(text) OVER o AS a FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id || '-' || turn AS k, length(text) AS old_snippet_length, length(concat_ws(' ', nullif(b, ''), nullif(text, ''), nullif(a, ''))) AS new_context_length, trim(coalesce(text, '')) <> '' AS citation_sentence_exists, trim(coalesce(b, '')) <> '' AS sentence_before_exists, trim(coalesce(a, '')) <> '' AS sentence_after_exists, false AS section_heading_exists,
+  turn % 2 = 0 AS old_bibliography_detected, contains(text, '1') AS new_bibliography_detected, (turn % 2 = 0) <> contains(text, '1') AS bibliography_detection_changed, 0.5::DOUBLE AS old_extraction_confidence, 0.75::DOUBLE AS new_extraction_confidence, 0.25::DOUBLE AS extraction_confidence_change FROM w""")
+def extraction_changes(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations", "conv_id", "turn", "text").withColumn("k", F.concat_ws("-", "conv_id", "turn"))
+    old = turns.select("k", F.col("text").alias("snippet"), F.when(F.col("turn") % 2 == 0, "BIBLIO").otherwise("BODY").alias("section"), F.lit(0.5).alias("confidence"))
+    new = X.three_windows(turns, "conv_id", "turn", "text").select(
+        F.concat_ws("-", "conv_id", "turn").alias("k"), F.col("context_text").alias("context_window"), "citing_sentence", "sentence_before", "sentence_after",
+        F.lit(None).cast("string").alias("section_heading"), F.contains("citing_sentence", F.lit("1")).alias("bibliography_detected"), F.lit(0.75).alias("confidence"),
     )
+    return T.extraction_changes(old, new, "k")
 
 
 @query()
@@ -72,7 +157,7 @@ def recover_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Windows of turns whose neighbours are missing, rebuilt from the raw text; needs look-behind, which SQL lacks."""
     conv = table(spark, d, "conversations", "conv_id", "turn", "text")
     none = F.lit(None).cast("string")
-    rows = conv.withColumns({"citing": F.when(F.col("turn") % 2 == 0, none).otherwise(F.substring("text", 1, 40)), "before": none, "after": none})
+    rows = conv.withColumns({"citing": F.when(F.col("turn") % 2 == 0, none).otherwise(F.get(F.split("text", r"(?<=[.!?])\s+"), F.lit(0))), "before": none, "after": none})
     out = T.repair_context(rows, "text", "citing", "before", "after", "the|der|que", F.lit(False))
     return out.select("conv_id", "turn", "recoverability", "quality_before", "quality_after", "expected_effect", "repaired_window")
 
