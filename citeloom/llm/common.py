@@ -32,10 +32,12 @@ _lean()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is used.
+    Only on a local master may the session name none: then a temporary folder is used.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_own_shared_dir", None)
         if base is None:
             base = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -105,6 +107,53 @@ def slices(starts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]
         i = j
 
 
+_BASE = U64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE = mix64(np.arange(256, dtype=U64), 11)
+_POWERS: dict[str, np.ndarray] = {}
+#: A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("up", ())) < n:
+        size = 1 << max(20, int(n).bit_length())
+        with np.errstate(over="ignore"):
+            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+                x = np.full(size, base, U64)
+                x[0] = 1
+                _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, A-Z as a-z, and where each text's words start (n + 1 offsets).
+
+    A word is a run of bytes for which ``in_word`` (of 256) holds, within a text (bytes from starts[i] to starts[i + 1]).
+    """
+    none = np.zeros(0, U64), np.zeros(len(starts), np.int64)
+    if len(starts) < 2 or len(data) == 0:
+        return none
+    data = LOWER[data]
+    word = in_word[data]
+    before = np.concatenate(([False], word[:-1]))
+    first = np.zeros(len(data) + 1, bool)
+    first[starts[:-1]] = True
+    begin = np.flatnonzero(word & (~before | first[:-1]))
+    after = np.concatenate((word[1:], [False]))
+    last = np.zeros(len(data), bool)
+    last[starts[1:][starts[1:] > 0] - 1] = True
+    end = np.flatnonzero(word & (~after | last)) + 1
+    if len(begin) == 0:
+        return none
+    up, down = _powers(len(data))
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, U64), np.add.accumulate(_BYTE[data] * up)))
+        words = mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
+    return words, np.searchsorted(begin, starts)
+
+
 class UnionFind:
     """Disjoint sets over 0..n-1 inside one task; the smallest index is the root."""
 
@@ -242,6 +291,14 @@ class Bloom:
             whole[piece * size : (piece + 1) * size] = np.frombuffer(table, np.uint8)
         return Bloom(ids.sparkSession.sparkContext.broadcast(whole), bits)
 
+    @staticmethod
+    def holds(table: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
+        """Which ids the broadcast table lets through."""
+        keep = np.ones(len(ids), bool)
+        for at in Bloom._places(ids, bits):
+            keep &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return keep
+
     def where(self, df: DataFrame, column: int, within: bool = True) -> DataFrame:
         """Rows whose id passes; with ``within=False`` those whose id is certainly not in the set, or null."""
         shared, bits = self.shared, self.bits
@@ -250,9 +307,7 @@ class Bloom:
             table = shared.value
             for batch in batches:
                 ids = batch.column(column).fill_null(0).to_numpy(zero_copy_only=False)
-                keep = batch.column(column).is_valid().to_numpy(zero_copy_only=False)
-                for at in Bloom._places(ids, bits):
-                    keep &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                keep = batch.column(column).is_valid().to_numpy(zero_copy_only=False) & Bloom.holds(table, bits, ids)
                 yield batch.filter(pa.array(keep if within else ~keep))
 
         return df.mapInArrow(run, df.schema)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import U64, Bloom, Scratch, UnionFind, bucket_count, by_key, components, key_runs, mix64, slices, text_bytes
+from citeloom.llm.common import U64, Bloom, Scratch, UnionFind, bucket_count, by_key, components, key_runs, mix64, slices, text_bytes, word_hashes
 
 SHINGLE = 5
 GROUPS = 64
@@ -50,15 +50,10 @@ HOT_LIST = 100_000  # sets of one shingle that a task lists together
 FLUSH_HOT = 256  # postings of one hash among 2**18 from which on they are salted
 JOB = 1 << 22  # shingles of one block of candidates
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = mix64(np.arange(256, dtype=U64), 11)
 _BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = [U64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(SHINGLE)]
-_POWERS: dict[str, np.ndarray] = {}
 
 _POST = np.dtype([("k", "<u4"), ("s", "<u8")])
 _ITEM = np.dtype([("k", "<u4"), ("s", "<i8"), ("c", "<i8"), ("n", "<u4"), ("i", "<u4"), ("f", "<u1")])
@@ -66,41 +61,16 @@ _CLASS = 58  # bits of a sketch's key below its frequency class
 _COUNT = np.dtype([("k", "<u4"), ("n", "<u4")])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                x = np.full(size, base, U64)
-                x[0] = 1
-                _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def shingle_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """For each text (bytes from starts[i] to starts[i+1]) the sorted 64-bit hashes of its shingles."""
     n_docs = len(starts) - 1
     none = np.zeros(0, U64)
     if n_docs == 0 or len(data) == 0:
         return [none] * n_docs
-    data = _LOWER[data]
-    word = ~_SPACE[data]
-    before = np.concatenate(([False], word[:-1]))
-    first = np.zeros(len(data) + 1, bool)
-    first[starts[:-1]] = True
-    first = first[:-1]
-    begin = np.flatnonzero(word & (~before | first))
-    after = np.concatenate((word[1:], [False]))
-    last = np.zeros(len(data), bool)
-    last[starts[1:][starts[1:] > 0] - 1] = True
-    end = np.flatnonzero(word & (~after | last)) + 1
-    if len(begin) == 0:
+    words, doc_at = word_hashes(data, starts, ~_SPACE)
+    if len(words) == 0:
         return [none] * n_docs
-    up, down = _powers(len(data))
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, U64), np.add.accumulate(_BYTE[data] * up)))
-        words = mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
-        doc_at = np.searchsorted(begin, starts)
         grams = words.copy()
         for j in range(1, SHINGLE):
             grams[: len(words) - j] += words[j:] * _STEP[j]
@@ -584,7 +554,7 @@ def _fold(p: np.ndarray, groups: int) -> np.ndarray:
 
 def _first_here(x: tuple, y: tuple) -> bool:
     """Whether two items have no common shingle before the list's."""
-    return set(x[3][: x[2]]).isdisjoint(y[3][: y[2]])
+    return set(x[3]).isdisjoint(y[3])
 
 
 def _few_candidates(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
@@ -601,7 +571,7 @@ def _few_candidates(left: list[tuple], right: list[tuple], same: bool) -> Iterat
 
 
 def candidates(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
-    """Index pairs of items (cluster, size, place, order keys, point) of one list that may link and first meet in it."""
+    """Index pairs of items (cluster, size, place, earlier keys, point) of one list that may link and first meet in it."""
     if len(left) * len(right) <= 4096:
         yield from _few_candidates(left, right, same)
         return
@@ -637,7 +607,7 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def item(r: tuple) -> tuple:
         p = np.frombuffer(r[6], np.uint8 if len(r[6]) == groups_for(r[3]) else np.uint32).astype(np.uint32)
-        return r[2], r[3], r[4], np.frombuffer(r[5], U64)[: len(r[5]) // 16].tolist(), p
+        return r[2], r[3], r[4], np.frombuffer(r[5], U64).tolist(), p
 
     jobs, sids, comps = [], [], []
     for key, rows in key_runs(batches, 3):
@@ -712,7 +682,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
     # seed shingles with more sets than a block are salted; this meets the small rows, not the sets
     seeds = near.select("sid", "doc_id", F.explode(F.array("seed", "other")).alias("seed"))
-    sizes = seeds.groupBy("seed").agg(F.count("*").alias("m")).where("m >= 2")
+    sizes = scratch.write(seeds.groupBy("seed").agg(F.count("*").alias("m")).where("m >= 2"))  # written, so that the join can split a frequent seed
     salt = F.pmod(F.xxhash64("sid", "seed"), F.ceil(F.col("m") / BLOCK)).alias("salt")
     seeds = seeds.join(sizes, "seed").groupBy("sid", "doc_id").agg(F.collect_set(F.struct("seed", salt)).alias("seeds"))
     chosen = near.select("sid", "doc_id").join(seeds, ["sid", "doc_id"], "left")
@@ -754,7 +724,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
         "n",
         "pos",
     )
-    items = items.join(sketches.select("sid", "sketch", "point"), "sid").select("lid", "i", "j", "side", "sid", "comp", "n", "pos", "sketch", "point")
+    earlier = F.expr("substring(sketch, 1, 8 * pos)").alias("earlier")  # the set's keys before the list's
+    items = items.join(sketches.select("sid", "sketch", "point"), "sid").select("lid", "i", "j", "side", "sid", "comp", "n", "pos", earlier, "point")
     jobs = scratch.write(by_key(items, ["lid", "i", "j"], spread=True).mapInArrow(_partners, "job long, sid long, comp long"))
     few = Bloom.of(jobs.select("sid").distinct()).where(sets.select("sid", "hashes"), 0)
     jobs = jobs.join(few, "sid").select("job", "sid", "comp", "hashes")

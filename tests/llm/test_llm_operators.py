@@ -324,6 +324,8 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert pick(decontam.decontaminate(spark, docs, bench).collect()) == want
     monkeypatch.setattr(decontam, "SLICE_BYTES", 100)  # several passes
     assert pick(decontam.decontaminate(spark, docs, bench).collect()) == want
+    rows = decontam.decontaminate(spark, docs_frame(spark, [(None, texts[3][1]), (None, "clean"), (7, texts[3][1]), (7, texts[2][1])]), bench).collect()
+    assert sorted((r.doc_id or 0, r.n_hit) for r in rows) == sorted([(0, want[4][1]), (0, 0), (7, want[4][1]), (7, want[3][1])])
     monkeypatch.undo()
     assert not any(r.contaminated for r in decontam.decontaminate(spark, docs, bench.limit(0)).collect())
     assert decontam.decontaminate(spark, docs.limit(0), bench).count() == 0
@@ -335,7 +337,16 @@ def test_near_matches(spark):
     moved.insert(5, "extra")
     rows = decontam.decontaminate(spark, docs_frame(spark, [(1, item), (2, " ".join(moved)), (3, prose(30))]), spark.createDataFrame([(1, item)], "item_id long, text string"))
     got = {r.doc_id: (r.contaminated, r.n_near_items) for r in rows.collect()}
-    assert got[1] == (True, 0) and got[2][0] is False and got[3][0] is False
+    assert got == {1: (True, 0), 2: (False, 1), 3: (False, 0)}
+
+
+def test_windows_are_packed():
+    import pickle
+
+    rng = random.Random(3)
+    win = decontam.Windows([(str(i), prose(2000, rng)) for i in range(100)])
+    win.rank(np.zeros(len(win.terms), np.int64))
+    assert len(pickle.dumps(win)) < 12 * 100 * 2000 * 7  # a bounded number of bytes for each of the text
 
 
 def test_repeated_passages_are_found_and_cut(spark):
