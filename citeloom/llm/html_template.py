@@ -1,6 +1,6 @@
 """HTML extraction by equivalence classes of template tokens.
 
-Pages of a host are read in groups of about ``GROUP`` pages, in the order of a hash. Within a group every start tag, with its
+Pages of a host are read in groups of about ``GROUP`` to twice that many pages, dealt by a hash. Within a group every start tag, with its
 marks and its container path, is a token role, and so is every stretch of text at its place; roles that occur
 equally often on every page (the same occurrence vector, of ones, of any counts or with zeros) form a class if a
 tag is among them and enough pages hold them. A class is valid as far as its roles alternate in one order on all
@@ -10,7 +10,7 @@ its optional and repeated parts. Text of a valid class is template text; the str
 classes are slots, and the slots of the element that carries the changing text are the main text.
 
 Two choices are made by names, not by classes: what is marked as menu, header, footer, sidebar, notice, advert, form,
-script, style or comment is left out, and of the skeleton's elements an ``article`` or ``main`` with changing text is taken
+script, style or comment is left out (an article's own header holds its headline and stays), and of the skeleton's elements an ``article`` or ``main`` with changing text is taken
 first, else the deepest one with most of the group's changing text. A page without that element gives its own ``article``,
 ``main`` or ``body``.
 
@@ -23,8 +23,10 @@ nothing would be left of keeps its text. Empty tables give no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,18 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import by_key, key_runs
 from citeloom.llm.url_tree import host_of
 
 GROUP = 64
 MOST = 0.6  # share of a group's changing text that its main element must hold
 LEAST, LEAST_INSIDE = 3, 8  # pages that template text is on: as a whole block, as part of one
+PATH = 1000  # characters of a role's path from which on a digest stands for its outer part
+INLINE = 8  # innermost inline tags that tell text roles apart
 SUPPORT = 0.25  # share of a group's pages that a class is on
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>?|[^<]+|<""",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_ATTRIBUTES = re.compile(r"""(?>[^'">]+|"[^"]*"|'[^']*')*+>""")
+_QUOTES = re.compile(r"""["'>]""")
+# what these hold is no markup
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style textarea title noscript template iframe svg".split()}
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 _TEXT_TAGS = frozenset("html body main article".split())  # never beside the main text by a name
@@ -70,6 +75,72 @@ def side_name(name: str) -> bool:
     return any(x in _SIDE_MARKS for x in pieces) and all(x in _SIDE_MARKS or x in _PLACE_MARKS for x in pieces)
 
 
+def scan(source: str) -> Iterator[tuple[str, str, str]]:
+    """Pieces of a page in order, each character once: ("text", it, ""), ("open" or "close", tag name, attributes) or ("raw", tag name, "").
+
+    A tag without an end goes up to the next "<"; a comment or a raw element without one up to the page's end.
+    """
+    at, size = 0, len(source)
+    marks: list[int] | None = None  # once a tag has no end: places of quotes and ends, and where a tag that is unquoted there ends
+    ends: list[int] = []
+    while at < size:
+        tag = source.find("<", at)
+        if tag < 0:
+            yield "text", source[at:], ""
+            return
+        if tag > at:
+            yield "text", source[at:tag], ""
+        named = _NAME.match(source, tag)
+        if named is None:
+            if source.startswith("<!--", tag):
+                end = source.find("-->", tag + 4)
+                at = end + 3 if end >= 0 else size
+            elif source[tag + 1 : tag + 2] in ("!", "?", "/") and tag + 1 < size:
+                end = source.find(">", tag)
+                at = end + 1 if end >= 0 else size
+            else:
+                yield "text", "<", ""
+                at = tag + 1
+            continue
+        name, begin = named[2].lower(), named.end()
+        if marks is not None:
+            k = bisect_left(marks, begin)
+            end = ends[k] if k < len(ends) else -1
+        else:
+            found = _ATTRIBUTES.match(source, begin)
+            end = found.end() - 1 if found else -1
+            if end < 0:
+                marks, ends = _tag_ends(source, begin)
+        if end < 0:
+            stop = source.find("<", begin)
+            stop = at = stop if stop >= 0 else size
+        else:
+            stop, at = end, end + 1
+        if not named[1] and name in _RAW and end >= 0:
+            close = _RAW[name].search(source, at)
+            at = close.end() if close else size
+            yield "raw", name, ""
+        else:
+            yield ("close" if named[1] else "open"), name, source[begin:stop]
+
+
+def _tag_ends(source: str, begin: int) -> tuple[list[int], list[int]]:
+    """Places of quotes and ">" from ``begin`` on, and for each where a tag that is unquoted just before it ends (-1: nowhere)."""
+    marks = [m.start() for m in _QUOTES.finditer(source, begin)]
+    ends = [-1] * len(marks)
+    free = double = single = -1
+    for i in range(len(marks) - 1, -1, -1):
+        c = source[marks[i]]
+        if c == ">":
+            free = marks[i]
+        elif c == '"':
+            free, double = double, free
+        else:
+            free, single = single, free
+        ends[i] = free
+    return marks, ends
+
+
 class Page:
     """A page's text runs and elements, read once."""
 
@@ -81,50 +152,65 @@ class Page:
         self.runs: list[tuple[int, str]] = []  # (element, text); a break has the element -1
         self.tokens: list[tuple[str, int]] = []  # (role, run or -1 for a tag), in order
         inline: list[str] = []  # inline tags open since the last break
+        open_inline: Counter[str] = Counter()
         stack: list[tuple[str, int]] = []
-        for m in _TOKEN.finditer(source):
-            name = m[3]
-            if name is None:
-                if m[0][0] != "<" or m[0] == "<":
-                    element = stack[-1][1] if stack else -2
-                    if element >= 0 and not self.side[element]:
-                        text = " ".join(m[0].split())
-                        if text:
-                            self.tokens.append((f"{self.roles[element]} {'/'.join(inline)} {text}", len(self.runs)))
-                    self.runs.append((element, m[0]))
-                elif m[1] and m[1].lower() in ("textarea", "title"):
+        open_tags: Counter[str] = Counter()
+        own_part: list[bool] = []  # inside an article or main
+        for kind, name, rest in scan(source):
+            if kind == "text":
+                element = stack[-1][1] if stack else -2
+                if element >= 0 and not self.side[element]:
+                    text = " ".join(name.split())
+                    if text:
+                        self.tokens.append((f"{self.roles[element]} {'/'.join(inline[-INLINE:])} {text}", len(self.runs)))
+                self.runs.append((element, name))
+                continue
+            if kind == "raw":
+                if name in ("textarea", "title"):
                     self.runs.append((-1, ""))
                 continue
-            name = name.lower()
             if name not in _INLINE:
                 self.runs.append((-1, ""))
                 inline.clear()
-            elif m[2]:
-                if name in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(name) :]
+                open_inline.clear()
+            elif kind == "close":
+                if open_inline[name]:
+                    while inline.pop() != name:
+                        pass
+                    open_inline = Counter(inline) if len(inline) < 64 else open_inline
+                    open_inline[name] = inline.count(name) if len(inline) < 64 else max(0, open_inline[name] - 1)
             elif name not in _VOID:
                 inline.append(name)
-            if m[2]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                open_inline[name] += 1
+            if kind == "close":
+                if open_tags[name]:
+                    while True:
+                        gone = stack.pop()[0]
+                        open_tags[gone] -= 1
+                        if gone == name:
+                            break
             elif name not in _VOID and name not in _INLINE and name != "p":
-                up = stack[-1][1] if stack else -1
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
-                    up = stack[-1][1] if stack else -1
-                marked = [x for v in _MARKS.findall(m[4]) for x in v.lower().strip("\"'").split()] if m[4] else []
+                    open_tags[stack.pop()[0]] -= 1
+                up = stack[-1][1] if stack else -1
+                marked = [x for v in _MARKS.findall(rest) for x in v.lower().strip("\"'").split()] if rest else []
                 marks = [x for v in marked for x in _NOT_WORD.split(v) if x]
                 role = ".".join([name, *marks])
                 self.parent.append(up)
                 self.names.append(name)
-                beside = name in _SIDE_TAGS or (name not in _TEXT_TAGS and any(map(side_name, marked)))
+                inner = up >= 0 and own_part[up]
+                own_part.append(inner or name in ("article", "main"))
+                # an article's own header holds its headline
+                beside = (name in _SIDE_TAGS and not (name == "header" and inner)) or (name not in _TEXT_TAGS and any(map(side_name, marked)))
                 self.side.append(beside or (up >= 0 and self.side[up]))
-                self.roles.append(f"{self.roles[up]}/{role}" if up >= 0 else role)
-                self.tokens.append((self.roles[-1], -1))
-                if not (m[4] or "").rstrip().endswith("/") or name not in ("path", "circle"):
+                path = f"{self.roles[up]}/{role}" if up >= 0 else role
+                if len(path) > PATH:  # very deep nesting: the outer path as its digest
+                    path = f"#{hashlib.md5(path.encode('utf-8', 'surrogatepass')).hexdigest()}/{name}"
+                self.roles.append(path)
+                self.tokens.append((path, -1))
+                if not rest.rstrip().endswith("/") or name not in ("path", "circle"):
                     stack.append((name, len(self.names) - 1))
+                    open_tags[name] += 1
 
     def inside(self, chosen: set[int]) -> list[bool]:
         """For each element whether it or an ancestor is chosen."""
@@ -249,13 +335,16 @@ def main_role(pages: list[Page], order: list[str], template: dict[str, bool] | N
     total = 0
     for page in pages:
         fixed = {run for role, run in page.tokens if run >= 0 and role in template} if template else set()
+        held = [0] * len(page.names)
         for k, (element, run) in enumerate(page.runs):
             if element < 0 or page.side[element] or k in fixed or (len(pages) > 1 and seen[run] == len(pages)):
                 continue
             total += len(run)
-            while element >= 0:
-                changing[page.roles[element]] += len(run)
-                element = page.parent[element]
+            held[element] += len(run)
+        for i in range(len(held) - 1, -1, -1):  # an element comes before what it holds
+            changing[page.roles[i]] += held[i]
+            if page.parent[i] >= 0:
+                held[page.parent[i]] += held[i]
     named = [r for r in order if r.rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and changing[r] > 0]
     if named:  # the page says itself which slot is the main one
         return max(named, key=lambda r: (changing[r], r.count("/"), r))
@@ -280,34 +369,24 @@ def main_texts(sources: list[str]) -> list[str]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages sorted by host, in groups of GROUP to twice that many pages (or as many as there are)."""
-
-    def out(part: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.string())]
-        texts = main_texts([r[3] or "" for r in part])
-        return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                yield out(held)
-                held = []
-            elif len(held) == 2 * GROUP:
-                yield out(held[:GROUP])
-                held = held[GROUP:]
-            held.append(row)
-    if held:
-        yield out(held)
+    for _, rows in key_runs(batches, 2):
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] or ""))
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())]
+        texts = main_texts([r[2] or "" for r in rows])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """A row for each page: (page_id, url, text)."""
+    """A row for each page: (page_id, url, text).
+
+    A host's pages are dealt to groups by the hash of their id and the host's number of pages, whatever the partitions. Hosts
+    of more than one group are few (at most the pages over GROUP), so their counts are a small side of a join; html moves once.
+    """
     base = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    # ranges of (host, hash) keep a host's pages together and cut a large host evenly; html moves once
-    order = ["host", F.xxhash64("page_id")]
-    rows = base.select("host", "page_id", "url", "html").repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.mapInArrow(_extract, "page_id long, url string, text string")
+    many = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > 2 * GROUP).select("host", F.ceil(F.col("n") / (1.5 * GROUP)).alias("groups"))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))
+    rows = base.join(many, "host", "left").select("host", part.alias("part"), "page_id", "url", "html")
+    return by_key(rows, ["host", "part"]).mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
