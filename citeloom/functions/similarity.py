@@ -1,9 +1,9 @@
-"""String similarity: Levenshtein natively, Jaro as an Arrow UDF over distinct pairs."""
+"""String similarity: Levenshtein natively, Jaro as an Arrow UDF that ``with_jaro`` runs on distinct pairs only."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -42,6 +42,16 @@ def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def with_jaro(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``pairs`` with Jaro's similarity of two columns; each distinct pair of strings is compared once.
+
+    Distinct pairs come from a partial aggregate; they meet the rows in a join that is split where a pair is frequent.
+    """
+    one = pairs.select(F.col(a).alias("_x"), F.col(b).alias("_y")).where("_x is not null and _y is not null").distinct()
+    one = one.withColumn(name, jaro(F.col("_x"), F.col("_y")))
+    return pairs.join(one, (F.col(a) == F.col("_x")) & (F.col(b) == F.col("_y")), "left").drop("_x", "_y")
+
+
 def jaro_possible(a: Column, b: Column, least: float) -> Column:
     """False only where the lengths alone keep Jaro's similarity under ``least``: filter before the UDF."""
     la, lb = F.char_length(a), F.char_length(b)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.similarity import jaro, jaro_possible
+from citeloom.functions.similarity import jaro_possible, with_jaro
 from citeloom.plans.scratch import Tables
 
 MERGE, AMBIGUOUS = 0.92, 0.86
@@ -26,23 +28,24 @@ def scored_pairs(works: DataFrame, key: str, title: str, author: str, year: str,
     near = F.col(f"{year}_a").isNull() | F.col(f"{year}_b").isNull() | (F.abs(F.col(f"{year}_a") - F.col(f"{year}_b")) <= 1)
     need = (least - WEIGHTS[1] - WEIGHTS[2] - WEIGHTS[3]) / WEIGHTS[0]
     pairs = a.join(b, author).where((F.col(f"{order}_a") < F.col(f"{order}_b")) & near & jaro_possible(F.col(f"{title}_a"), F.col(f"{title}_b"), need))
-    t, v = jaro(F.col(f"{title}_a"), F.col(f"{title}_b")), jaro(F.col(f"{venue}_a"), F.col(f"{venue}_b"))
+    pairs = with_jaro(with_jaro(pairs, f"{title}_a", f"{title}_b", "title_sim"), f"{venue}_a", f"{venue}_b", "venue_sim")
     score = WEIGHTS[0] * F.col("title_sim") + WEIGHTS[1] + WEIGHTS[2] + WEIGHTS[3] * F.coalesce("venue_sim", F.lit(0.0))
-    out = pairs.withColumn("title_sim", t).withColumn("venue_sim", v).withColumn("score", F.round(F.least(F.lit(1.0), score), 6))
+    out = pairs.withColumn("score", F.round(F.least(F.lit(1.0), score), 6))
     return out.where(F.col("score") >= least)
 
 
-def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
+def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
     """Greedy leaders in order: (node, leader).
 
     Visiting nodes in the order of their ids, an unassigned one leads and takes all later unassigned ones
     that it is paired with. That is the first maximal independent set: a node leads once all its smaller
-    neighbours are members, and is a member once one of them leads; each round settles many nodes.
+    neighbours are members, and is a member once one of them leads; each round settles the smallest open node at least,
+    in practice many, and rounds go on until none is open.
     ``nodes``: (id); ``pairs``: (a, b) with a < b.
     """
     edge = tables.write(pairs.select("a", "b").distinct())
     state = tables.write(nodes.select(F.col("id"), F.lit("open").alias("state")))
-    for _ in range(rounds):
+    while True:
         seen = edge.join(state.select(F.col("id").alias("a"), F.col("state").alias("a_state")), "a")
         around = seen.groupBy("b").agg(F.count_if(F.col("a_state") == "leader").alias("led"), F.count_if(F.col("a_state") == "open").alias("open"))
         now = state.join(around.withColumnRenamed("b", "id"), "id", "left")
@@ -69,18 +72,74 @@ def ambiguous_pairs(scored: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.where("b_leader >= a").select("a", "b", "score")
 
 
-def exact_clusters(works: DataFrame, doi: str, fallback: Column) -> DataFrame:
-    """Cluster key, confidence and method: by DOI, else the fuzzy cluster, else alone."""
-    by_doi = F.col(doi).isNotNull()
-    return works.withColumns(
+def attributed_clusters(works: DataFrame, key: str, doi: str, title: str, leaders: DataFrame, scored: DataFrame) -> DataFrame:
+    """Cluster, confidence and method of every work: its DOI, else its fuzzy leader, else alone.
+
+    ``leaders`` (id, leader) and ``scored`` (a, b, score) are of works without a DOI; a member's confidence is its score
+    with its leader.
+    """
+    score = scored.select(F.col("a").alias("leader"), F.col("b").alias("id"), "score")
+    member = leaders.join(score, ["leader", "id"], "left").select(F.col("id").alias(key), "leader", "score")
+    x = works.join(member, key, "left")
+    by_doi, led = F.col(doi).isNotNull(), F.col("leader").isNotNull() & F.col(title).isNotNull()
+    own = F.col("leader") == F.col(key)
+    return x.withColumns(
         {
-            "cluster_id": F.when(by_doi, F.concat(F.lit("doi:"), doi)).otherwise(fallback),
-            "dedup_confidence": F.when(by_doi, 1.0).otherwise(0.9),
-            "dedup_method": F.when(by_doi, "exact_doi").otherwise("fuzzy_or_single"),
+            "cluster_id": F.when(by_doi, F.concat(F.lit("doi:"), doi)).when(led, F.concat(F.lit("fuzzy:"), F.col("leader").cast("string"))).otherwise(F.concat(F.lit("singleton:"), F.col(key).cast("string"))),
+            "dedup_confidence": F.when(by_doi, 1.0).when(led & own, 0.75).when(led, F.col("score")).otherwise(0.5),
+            "dedup_method": F.when(by_doi, "exact_doi").when(led & own, "title_author_year_singleton").when(led, "fuzzy_title_author_year").otherwise("insufficient_metadata_singleton"),
         }
+    ).drop("leader", "score")
+
+
+def cluster_summary(rows: DataFrame, cluster: str, key: str, title: str, doi: str) -> DataFrame:
+    """Per cluster: records, least confidence, and its methods, titles, DOIs and keys."""
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), " | ")
+    return rows.groupBy(cluster).agg(
+        F.count("*").alias("n_records"), F.min("dedup_confidence").alias("dedup_confidence_min"),
+        F.array_join(F.array_sort(F.collect_set("dedup_method")), "; ").alias("dedup_methods"), names(title).alias("titles"), names(doi).alias("dois"), names(key).alias("record_ids"),
     )
 
 
+def title_groups(works: DataFrame, title: str, year: str, tables: Tables, distance: float = 0.08) -> DataFrame:
+    """Groups of near-equal titles of one year, or an unknown one: (title, year, group), the group named by its leader's number.
+
+    Leaders are taken greedily in the order of year (unknown ones last) and title. Distinct titles are compared, and only
+    within neighbouring classes of length: the shorter one has at least 1 - 3 * distance of the longer one's characters.
+    """
+    w = works.where(F.col(title).isNotNull()).select(F.col(title).alias("t"), F.col(year).alias("y")).distinct()
+    ids = _numbered(w.withColumn("_k", F.struct(F.col("y").isNull().alias("n"), "y", "t")), "_k", tables).select("id", "t", "y")
+    scale = -1.0 / math.log(1 - 3 * distance)
+    size = F.floor(F.log(F.greatest(F.char_length("t"), F.lit(1))) * scale).cast("int")
+    b = ids.select(F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("y").alias("y_b"), size.alias("c"))
+    a = ids.select(F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("y").alias("y_a"), F.explode(F.array(size - 1, size, size + 1)).alias("c"))
+    known = a.withColumnRenamed("y_a", "y_b").join(b, ["y_b", "c"])
+    pairs = known.select("a", "b", "t_a", "t_b").unionByName(a.join(b.where("y_b is null"), "c").select("a", "b", "t_a", "t_b"))
+    pairs = pairs.where((F.col("a") < F.col("b")) & jaro_possible(F.col("t_a"), F.col("t_b"), 1 - distance))
+    near = with_jaro(pairs, "t_a", "t_b", "sim").where(F.col("sim") >= 1 - distance)
+    leaders = leader_clusters(ids.select("id"), near.select("a", "b"), tables)
+    return ids.join(leaders, "id").select("t", "y", F.concat(F.lit("title:"), F.col("leader").cast("string")).alias("group"))
+
+
+def _numbered(df: DataFrame, order: str, tables: Tables) -> DataFrame:
+    """``df`` with consecutive numbers ``id`` from 1 in an order: ranges are sorted apart and start where the smaller ones end."""
+    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    local = tables.write(parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33) + 1))
+    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    return local.join(F.broadcast(starts), "_p").withColumn("id", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+
+
+def early_duplicates(works: DataFrame, doi: str, title: str, year: str, work_key: str, tables: Tables, *order: str) -> DataFrame:
+    """``works`` with duplicate_group and is_duplicate: by DOI, else by near-equal title and year, else by the work's own key."""
+    groups = title_groups(works.where(F.col(doi).isNull()), title, year, tables)
+    at = groups.select(F.col("t").alias("_t"), F.col("y").alias("_y"), F.col("group").alias("_group"))
+    out = works.join(at, (F.col(title) == F.col("_t")) & F.col(year).eqNullSafe(F.col("_y")) & F.col(doi).isNull(), "left").drop("_t", "_y")
+    group = F.coalesce(F.concat(F.lit("doi:"), doi), "_group", F.col(work_key).cast("string"))
+    out = out.withColumn("duplicate_group", group).drop("_group")
+    return duplicate_flag(out, "duplicate_group", *order).withColumn("is_duplicate", F.col("is_duplicate") & F.col("duplicate_group").isNotNull())
+
+
 def canonical_records(rows: DataFrame, cluster: str, order: list[Column], columns: list[str], key: str) -> DataFrame:
     """One record for each cluster: per column the first non-null under the order, and the sources' keys."""
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(key)])])

@@ -56,11 +56,16 @@ def at_least(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def network_summary(edges: DataFrame, pairs: DataFrame, work: str, reference: str) -> DataFrame:
-    """Counts of works, references, edges, pairs and pair nodes as (metric, value) rows."""
+    """Counts of works, references, edges, pairs and pair nodes as (metric, value) rows.
+
+    The pairs are aggregated once. A reference is in a pair if one of its works has two references or more, which the
+    edges tell without the pairs.
+    """
     e = edges.select(work, reference).distinct()
     base = e.agg(F.countDistinct(work).alias("citing_works"), F.countDistinct(reference).alias("references"), F.count("*").alias("edges"))
     weights = pairs.agg(F.count("*").alias("pairs"), F.sum("n").alias("total_weight"), F.max("n").alias("max_weight"))
-    nodes = pairs.select(F.col("ref1").alias("r")).union(pairs.select("ref2")).agg(F.countDistinct("r").alias("pair_nodes"))
+    several = e.groupBy(work).agg(F.count("*").alias("_n")).where("_n >= 2").select(work)
+    nodes = e.join(several, work, "left_semi").agg(F.countDistinct(reference).alias("pair_nodes"))
     one = base.crossJoin(weights).crossJoin(nodes)  # three single rows
     return one.select(*[F.col(c).cast("long") for c in one.columns]).unpivot([], one.columns, "metric", "value")
 

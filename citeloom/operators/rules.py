@@ -137,11 +137,17 @@ class SeedCues:
     sustainability: str = r"\b(sustainab|ecological\s+limits|planetary\s+boundaries|overshoot|collapse|growth)\b"
 
 
-def classify_context(snippet: Column, cues: SeedCues, is_biblio: Column) -> dict[str, Column]:
-    """Nine cue flags, a three-way label, a seven-way function by precedence, the section and a score."""
-    low = F.lower(snippet)
+CUE_NAMES = ("title", "author", "year", "group", "modeling", "critique", "policy", "history", "sustainability")
+
+
+def classify_context(df: DataFrame, snippet: str, cues: SeedCues, is_biblio: Column) -> DataFrame:
+    """``df`` with nine cue flags, a three-way label, a seven-way function by precedence, section, score and risk.
+
+    Each cue is matched once; everything else reads the flags.
+    """
     # (?U): word bounds know letters of all scripts, whatever the Java version
-    has = {n: low.rlike("(?U)" + getattr(cues, n)) for n in ("title", "author", "year", "group", "modeling", "critique", "policy", "history", "sustainability")}
+    df = df.withColumn("_low", F.lower(snippet)).withColumns({f"has_{n}": F.col("_low").rlike("(?U)" + getattr(cues, n)) for n in CUE_NAMES})
+    has = {n: F.col(f"has_{n}") for n in CUE_NAMES}
     label = cascade(
         [
             (has["author"] & has["year"], "SEED_WORK"),
@@ -161,12 +167,16 @@ def classify_context(snippet: Column, cues: SeedCues, is_biblio: Column) -> dict
         "background_or_ambiguous",
     )
     score = points((has["author"], 3), (has["year"], 2), (has["title"], 2), (has["group"], 1), (is_biblio, -1))
-    return {
-        "score": score,
-        "semantic_label": label,
-        "citation_function": function,
-        "citation_section": F.when(is_biblio, "BIBLIO").otherwise("BODY"),
-    } | {f"has_{n}": c for n, c in has.items()}
+    risk = cascade(
+        [
+            (label == "SEED_WORK", "low"),
+            (has["title"] & ~has["author"] & ~has["group"], "high_generic_limits_phrase"),
+            (label == "LOW_CONFIDENCE", "medium_low_confidence"),
+        ],
+        "medium",
+    )
+    columns = {"score": score, "semantic_label": label, "citation_function": function, "citation_section": F.when(is_biblio, "BIBLIO").otherwise("BODY"), "risk": risk}
+    return df.withColumns(columns).drop("_low")
 
 
 def seed_variant(snippet: Column, cues: SeedCues) -> Column:
@@ -182,18 +192,6 @@ def seed_variant(snippet: Column, cues: SeedCues) -> Column:
     )
 
 
-def false_positive_risk(snippet: Column, label: Column, cues: SeedCues) -> Column:
-    low = F.lower(snippet)
-    return cascade(
-        [
-            (label == "SEED_WORK", "low"),
-            (low.rlike("(?U)" + cues.title) & ~low.rlike(f"(?U)(?:{cues.author})|(?:{cues.group})"), "high_generic_phrase"),
-            (label == "LOW_CONFIDENCE", "medium_low_confidence"),
-        ],
-        "medium",
-    )
-
-
 def context_confidence(score: Column, section: Column, risk: Column, bib_like: Column, biblio_score: Column, sentence: Column) -> Column:
     base = F.least(F.lit(1.0), F.greatest(F.lit(0.1), score / 8.0))
     base = F.when((section == "BIBLIO") | bib_like | (biblio_score >= 4), F.least(base, F.lit(0.65))).otherwise(base)
@@ -230,6 +228,11 @@ def context_quality(fraction: Column, heading: Column, window: Column, citing: C
 
 # ---- routing
 
+# Words of a model as a topic, and of success as a stance.
+TOPIC_MODELS = ("system dynamics", "simulations", "model", "modelling", "modeling")
+SUCCESS = ("remarkable success", "success", "successful")
+
+
 @dataclass(frozen=True)
 class Lexicons:
     modeling: tuple[str, ...] = MODELING
@@ -237,93 +240,162 @@ class Lexicons:
     historical: tuple[str, ...] = HISTORICAL
     policy: tuple[str, ...] = POLICY
     seed: tuple[str, ...] = ()  # any of these shows that the seed is meant; none: always
+    seed_author: str = ""  # a short text that holds it without the title is incoherent
+    seed_title: str = ""
+    seed_quotes: tuple[str, ...] = ()  # regular expressions of the seed's mention, in order
+    stray: tuple[str, ...] = ("conception of the past",)  # phrases that, without the title, come from a broken text
     weak_modeling: tuple[str, ...] = ("scenario", "scenarios", "projection", "projections", "forecast", "forecasting")
-    strong_modeling: tuple[str, ...] = ("simulation", "simulations", "system dynamics", "model", "modelling", "modeling", "resembles")
-    topics: tuple[tuple[str, tuple[str, ...]], ...] = field(
+    strong_modeling: tuple[str, ...] = ("simulation", "simulations", "system dynamics", "world3", "world 3", "model", "modelling", "modeling", "resembles")
+    #: (topic, its words, the only function with which it counts or none), in order
+    topics: tuple[tuple[str, tuple[str, ...], str], ...] = field(
         default=(
-            ("system_dynamics_modeling", ("system dynamics", "simulation", "simulations", "model", "modelling", "modeling")),
-            ("economics_growth", ("economic growth", "economics")),
-            ("population_resources", ("population", "resources", "food", "pollution", "overshoot", "collapse")),
-            ("environmental_policy", ("policy", "governance", "planning", "regulation", "management")),
-            ("sustainability", ("sustainab", "environmentalism")),
+            ("system_dynamics_modeling", ("system dynamics", "simulation", "simulations", "model", "modelling", "modeling", "world3", "world 3"), ""),
+            ("economics_growth", ("economic growth", "economics"), ""),
+            ("population_resources", ("population", "resources", "food", "pollution", "overshoot", "collapse"), ""),
+            ("environmental_policy", ("policy", "governance", "planning", "regulation", "management"), ""),
+            ("historical_or_cultural_memory", ("50 years", "published", "publication", "sold over", "founding text", "followed"), "historical_framing"),
+            ("sustainability", ("sustainab", "environmentalism"), ""),
         )
     )
+    seed_topic: tuple[str, tuple[str, ...]] | None = None  # the last topic: the seed itself
 
 
-def topic_of(text: Column, lex: Lexicons) -> Column:
+def topic_of(text: Column, lex: Lexicons, function: Column | None = None) -> Column:
+    """The first topic whose words a text holds; some count with one citation function only."""
     low = F.lower(text)
-    return cascade([(any_of(low, terms), topic) for topic, terms in lex.topics], "unclear")
+    function = F.lit("") if function is None else function
+    table = [(any_of(low, terms) & ((function == only) if only else F.lit(True)), topic) for topic, terms, only in lex.topics]
+    if lex.seed_topic:
+        table.append((any_of(low, lex.seed_topic[1]), lex.seed_topic[0]))
+    return cascade(table, "unclear")
+
+
+def exact_seed_quote(text: Column, patterns: tuple[str, ...], longest: int = 280, otherwise: int = 120) -> Column:
+    """The first mention of the seed in its own spelling, else how the text begins."""
+    hits = [F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in patterns]
+    return F.coalesce(*[F.substring(h, 1, longest) for h in hits], F.trim(F.substring(text, 1, otherwise)))
 
 
 def is_reference_entry(text: Column) -> Column:
     return F.trim(text).rlike(REFERENCE_ENTRY)
 
 
-def is_incoherent(text: Column) -> Column:
-    """Unbalanced parentheses in a short text."""
+def is_bibliography(text: Column, section: Column, detected: Column) -> Column:
+    """A section of references, a short text marked as such, or one whole entry."""
+    return F.coalesce(section == "BIBLIO", F.lit(False)) | (F.coalesce(detected, F.lit(False)) & (word_count(text) < 35)) | is_reference_entry(text)
+
+
+def is_incoherent(text: Column, lex: Lexicons | None = None) -> Column:
+    """A few words around the author without the title, a stray phrase, or a short text of unbalanced parentheses."""
+    lex, low = lex or Lexicons(), F.lower(text)
     n = count_of(text, "[A-Za-z]{2,}")
-    return (count_of(text, r"\(") != count_of(text, r"\)")) & (n < 25)
+    titled = F.contains(low, F.lit(lex.seed_title)) if lex.seed_title else F.lit(False)
+    named = F.contains(low, F.lit(lex.seed_author)) if lex.seed_author else F.lit(False)
+    return ((n < 9) & named & ~titled) | (any_of(low, lex.stray) & ~titled) | ((count_of(text, r"\(") != count_of(text, r"\)")) & (n < 25))
 
 
-def route(df: DataFrame, lex: Lexicons, sentence: str, before: str, after: str, section: str | None = None) -> DataFrame:
-    """``df`` with a struct column ``route``: decision, function, topic, stance, confidence, reason, hits, review.
+def route(df: DataFrame, lex: Lexicons, sentence: str, before: str, after: str, section: str | None = None, detected: str | None = None) -> DataFrame:
+    """``df`` with a struct column ``route``: decision, function, topic, stance, confidence, undecided, review, hits, reason, result.
 
-    The precedence is: nothing to read, reference entry, unclear, weak modelling (undecided), modelling,
-    foundational without policy, policy (undecided), historical, undecided. Each condition is computed once.
+    The precedence is: nothing to read, bibliography, unclear, weak modelling (undecided), modelling,
+    foundational without policy, policy (undecided), historical, undecided. ``result`` is the classification row of a
+    decided context, null otherwise. What several routes read is computed once, in columns of its own.
     """
-    main = F.trim(F.coalesce(F.col(sentence), F.lit("")))
-    whole = F.trim(F.concat_ws(" ", *[F.nullif(F.trim(F.col(c)), F.lit("")) for c in (sentence, before, after)]))
-    df = df.withColumns({"_main": main, "_whole": whole})
-    df = df.withColumns(
-        {
-            "_m": first_exact(F.col("_main"), lex.modeling),
-            "_f": first_exact(F.col("_main"), lex.foundational),
-            "_h": first_exact(F.col("_main"), lex.historical),
-            "_p": first_exact(F.col("_main"), lex.policy),
-            "_topic": topic_of(F.col("_whole"), lex),
-            "_n": word_count(F.col("_whole")),
-        }
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    whole = F.trim(F.concat_ws(" ", *[F.nullif(text(c), F.lit("")) for c in (sentence, before, after)]))
+    limited = (text(sentence) == "") | ((text(before) == "") & (text(after) == ""))
+    df = df.withColumns({"_main": text(sentence), "_whole": whole, "_limited": limited})
+    main, whole = F.col("_main"), F.col("_whole")
+    lists = {"_m": lex.modeling, "_f": lex.foundational, "_h": lex.historical, "_p": lex.policy}
+    df = df.withColumns({c: first_exact(main, terms) for c, terms in lists.items()})
+    m, f, h, p = (F.col(c) != "" for c in lists)
+    weak = m & F.lower("_m").isin(*lex.weak_modeling) & h & ~any_of(F.lower(main), lex.strong_modeling)
+    biblio = is_bibliography(main, F.col(section) if section else F.lit(None), F.col(detected) if detected else F.lit(None))
+    meant = any_of(F.lower(whole), lex.seed) if lex.seed else F.lit(True)
+    df = df.withColumns({"_noisy": is_incoherent(whole, lex), "_n": word_count(whole), "_success": first_exact(whole, SUCCESS)})
+    number = F.when(main == "", 0).when(biblio, 1).when(~meant | F.col("_noisy"), 2).when(weak, 3).when(m, 4).when(f & ~p, 5).when(p & ~f, 6).when(h, 7).otherwise(8)
+    df = df.withColumn("_route", number)
+    k = F.col("_route")
+    of = lambda *values: F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), k)
+
+    function = of("unclear", "bibliographic_only", "unclear", "modeling_simulation_reference", "modeling_simulation_reference", "foundational_citation", "policy_governance_framing", "historical_framing", "unclear")
+    df = df.withColumn("_function", function)
+    good = F.col("_success").isNotNull() & F.col("_whole").rlike(r"(?i)\b(?:remarkable success|success|successful)\b")
+    df = df.withColumns({"_topic": F.when(k <= 2, "unclear").otherwise(topic_of(whole, lex, F.col("_function"))), "_stance": F.when(k.isin(0, 1, 2, 8), "unclear").when((k == 4) & good, "supportive").otherwise("neutral_descriptive")})
+    short = F.when(F.col("_n") >= F.when(k == 4, 16).otherwise(14), "none").otherwise("snippet_too_short")
+    abstain = F.lit(ABSTAIN)
+    doubt = of("missing_surrounding_context", "bibliography_only", F.when(F.col("_noisy"), "ocr_noise").otherwise("ambiguous_referent"), "none", short, short, "none", short, "none")
+    confidence = of(0.35, 0.92, 0.42, 0.58, 0.88, 0.86, 0.62, 0.84, 0.5)
+    # a limited context and any doubt but a bibliography's ask for a human
+    review = (F.col("_limited") & (k != 1)) | ~doubt.isin("none", "bibliography_only") | k.isin(0, 2)
+    hits = F.array_join(flags((m, "modeling"), (f, "foundational"), (h, "historical"), (p, "policy")), " | ")
+    mention = exact_seed_quote(whole, lex.seed_quotes)
+    modelling = F.coalesce(F.nullif(first_exact(main, TOPIC_MODELS), F.lit("")), F.col("_m"))
+    result = F.struct(
+        F.col("_function").alias("citation_function"),
+        F.col("_topic").alias("topic"),
+        F.col("_stance").alias("stance"),
+        of(abstain, exact_seed_quote(main, lex.seed_quotes), abstain, abstain, F.col("_m"), F.col("_f"), abstain, F.col("_h"), abstain).alias("quote_function"),
+        of(abstain, abstain, abstain, abstain, modelling, F.col("_f"), abstain, mention, abstain).alias("quote_topic"),
+        F.when(F.col("_stance") == "supportive", F.col("_success")).otherwise(abstain).alias("quote_stance"),
+        confidence.alias("confidence_function"),
+        F.when(F.col("_topic") != "unclear", F.least(confidence, F.lit(0.82))).otherwise(0.45).alias("confidence_topic"),
+        F.when(F.col("_stance") == "neutral_descriptive", 0.84).when(F.col("_stance") == "supportive", 0.78).otherwise(0.45).alias("confidence_stance"),
+        F.array(doubt).alias("flags"),
+        review.alias("needs_human_review"),
     )
-    m, f, h, p = (F.col(c) != "" for c in ("_m", "_f", "_h", "_p"))
-    low = F.lower("_main")
-    biblio = is_reference_entry(F.col("_main")) | ((F.col(section) == "BIBLIO") if section else F.lit(False))
-    meant = any_of(F.lower("_whole"), lex.seed) if lex.seed else F.lit(True)
-    noisy = is_incoherent(F.col("_whole"))
-    weak = m & F.lower("_m").isin(*lex.weak_modeling) & h & ~any_of(low, lex.strong_modeling)
-    good = F.col("_whole").rlike(r"(?i)\b(?:remarkable success|success|successful)\b")
-    limited = (F.col("_main") == "") | ((F.trim(F.coalesce(F.col(before), F.lit(""))) == "") & (F.trim(F.coalesce(F.col(after), F.lit(""))) == ""))
-
-    def out(decision: str, function: str, topic, stance, confidence: float, review, undecided: bool, hits, quote):
-        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(
-            F.lit(decision).alias("decision"),
-            F.lit(function).alias("citation_function"),
-            lit(topic).alias("topic"),
-            lit(stance).alias("stance"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(undecided).alias("undecided"),
-            lit(review).alias("needs_human_review"),
-            lit(hits).alias("rule_hits"),
-            lit(quote).alias("evidence_quote"),
-        )
+    undecided = k.isin(3, 6, 8)
+    out = F.struct(
+        of(*[f"deterministic_{x}" for x in ("unclear", "bibliography", "unclear")], "llm_gray_zone", "deterministic_modeling", "deterministic_foundational", "llm_gray_zone", "deterministic_historical", "llm_gray_zone").alias("decision"),
+        F.col("_function").alias("citation_function"),
+        F.col("_topic").alias("topic"),
+        F.col("_stance").alias("stance"),
+        confidence.alias("confidence"),
+        undecided.alias("undecided"),
+        (undecided | review).alias("needs_human_review"),
+        of("missing_context", "bibliographic_only", doubt, "", hits, hits, hits, hits, F.when(hits == "", "gray_zone").otherwise(hits)).alias("rule_hits"),
+        F.when(~undecided, result).alias("result"),
+    )
+    used = ["_main", "_whole", "_limited", *lists, "_noisy", "_n", "_success", "_route", "_function", "_topic", "_stance"]
+    return df.withColumn("route", out).drop(*used)
+
+
+# Words of the roles that a rule-based classification falls back on, in order.
+FALLBACK_ROLES = {
+    "critique": ("critique", "criticis", "refut", "controvers", "wrong", "failed", "debate"),
+    "modeling_simulation_reference": ("model", "simulation", "system dynamics", "world3", "scenario", "forecast"),
+    "policy_governance_framing": ("policy", "governance", "planning", "regulation", "sustainable development"),
+    "historical_framing": ("historical", "history", "early", "classic", "seminal", "landmark", "foundational"),
+    "sustainability_discourse": ("sustainab", "ecological limits", "planetary boundaries", "overshoot", "collapse", "growth"),
+}
+# The discourse that a role stands for, in order.
+FALLBACK_DISCOURSE = (
+    ("modeling_simulation_reference", "system_dynamics_modeling"), ("policy_governance_framing", "environmental_policy"), ("sustainability_discourse", "sustainability"),
+)
+
 
-    all_hits = F.array_join(flags((m, "modeling"), (f, "foundational"), (h, "historical"), (p, "policy")), "|")
-    topic, n = F.col("_topic"), F.col("_n")
-    stance = F.when(good, "supportive").otherwise("neutral_descriptive")
-    routes = [
-        (F.col("_main") == "", out("deterministic_unclear", "unclear", "unclear", "unclear", 0.35, True, False, "missing_context", ABSTAIN)),
-        (biblio, out("deterministic_bibliography", "bibliographic_only", "unclear", "unclear", 0.92, False, False, "bibliographic_only", F.substring("_main", 1, 120))),
-        (~meant | noisy, out("deterministic_unclear", "unclear", "unclear", "unclear", 0.42, True, False, F.when(noisy, "ocr_noise").otherwise("ambiguous_referent"), ABSTAIN)),
-        (weak, out("gray_zone", "modeling_simulation_reference", topic, "neutral_descriptive", 0.58, True, True, "", ABSTAIN)),
-        (m, out("deterministic_modeling", "modeling_simulation_reference", topic, stance, 0.88, (n < 16) | limited, False, all_hits, F.col("_m"))),
-        (f & ~p, out("deterministic_foundational", "foundational_citation", topic, "neutral_descriptive", 0.86, (n < 14) | limited, False, all_hits, F.col("_f"))),
-        (p & ~f, out("gray_zone", "policy_governance_framing", topic, "neutral_descriptive", 0.62, True, True, all_hits, ABSTAIN)),
-        (h, out("deterministic_historical", "historical_framing", topic, "neutral_descriptive", 0.84, (n < 14) | limited, False, all_hits, F.col("_h"))),
-    ]
-    last = out("gray_zone", "unclear", topic, "unclear", 0.5, True, True, F.when(all_hits == "", "gray_zone").otherwise(all_hits), ABSTAIN)
-    for condition, struct in reversed(routes):
-        last = F.when(condition, struct).otherwise(last)
-    return df.withColumn("route", last).drop("_main", "_whole", "_m", "_f", "_h", "_p", "_topic", "_n")
+def fallback_classification(df: DataFrame, snippet: str, section: str, is_seed: Column, seed_discourse: str, roles: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``df`` with a struct column ``fallback``: what rules alone say about a context, always to be checked."""
+    low, biblio = F.lower(F.coalesce(F.col(snippet), F.lit(""))), F.coalesce(F.col(section) == "BIBLIO", F.lit(False))
+    found = flags(*[(any_of(low, terms), role) for role, terms in (roles or FALLBACK_ROLES).items()])
+    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.when(is_seed, "foundational_citation").otherwise("unclear")))
+    df = df.withColumns({"_roles": F.when(biblio, F.concat(F.array(F.lit("bibliographic_only")), found)).otherwise(found), "_seed": is_seed})
+    sure = F.when(F.col("_seed"), 0.78).otherwise(0.45)
+    confidence = F.when(biblio, F.least(sure, F.lit(0.65))).otherwise(sure)
+    discourse = cascade([(F.array_contains("_roles", role), name) for role, name in FALLBACK_DISCOURSE], "")
+    doubts = F.concat(F.array(F.when(biblio, "bibliography_only").otherwise("missing_surrounding_context")), F.when(F.col("_seed"), F.array().cast("array<string>")).otherwise(F.array(F.lit("ambiguous_referent"))))
+    out = F.struct(
+        F.when(F.col("_seed"), "yes").otherwise("ambiguous").alias("is_seed_work_citation"),
+        F.get("_roles", F.lit(0)).alias("primary_role"),
+        F.col("_roles").alias("roles"),
+        F.when(discourse != "", discourse).when(biblio, "bibliographic_record").otherwise(seed_discourse).alias("discourse_category"),
+        F.lit("unclear").alias("stance"),
+        confidence.alias("confidence"),
+        F.substring(F.coalesce(F.col(snippet), F.lit("")), 1, 260).alias("evidence_quote"),
+        doubts.alias("uncertainty_flags"),
+        ((confidence < 0.8) | ~F.col("_seed")).alias("needs_human_review"),
+    )
+    return df.withColumn("fallback", out).drop("_roles", "_seed")
 
 
 def fallback_roles(snippet: Column, section: Column, roles: dict[str, tuple[str, ...]]) -> Column:
@@ -407,9 +479,23 @@ def require_columns(df: DataFrame, needed: list[str], key: str) -> DataFrame:
     return df.where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "")
 
 
-def allowed_payload(df: DataFrame, allowed: list[str], withheld: tuple[str, ...]) -> DataFrame:
+# Parts of the names of columns that annotators and models must not see.
+WITHHELD = ("human_", "v1_", "fallback_", "manual_", "adjudicat", "review_reason", "human_notes")
+
+
+def withheld_columns(names: list[str], parts: tuple[str, ...] = WITHHELD) -> list[str]:
+    """The names that hold one of the parts, sorted."""
+    return sorted(n for n in names if any(p in n.lower() for p in parts))
+
+
+def allowed_payload(df: DataFrame, allowed: list[str], withheld: tuple[str, ...] = WITHHELD) -> DataFrame:
     """Only the allowed columns; raises if one of them is withheld from annotators or models."""
-    leaked = sorted(set(allowed) & set(withheld))
+    leaked = withheld_columns(allowed, withheld)
     if leaked:
         raise ValueError(f"withheld columns in the payload: {', '.join(leaked)}")
     return df.select(*[c for c in allowed if c in df.columns])
+
+
+def blank_keys(df: DataFrame, needed: list[str], key: str, row: str) -> DataFrame:
+    """The numbers of the rows whose key is blank; raises if columns are missing."""
+    return require_columns(df, needed, key).select(row)

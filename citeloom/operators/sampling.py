@@ -65,15 +65,18 @@ def fill_up(rows: DataFrame, chosen: DataFrame, key: str, n: int, seed: str | in
 def interleave(rows: DataFrame, stratum: str, key: str, batch: int, seed: str | int = 1) -> DataFrame:
     """Rows in turn from each stratum, with their place and batch number.
 
-    The global place is the count of rows with a smaller rank plus the place within the rank, so no single
-    task sees all rows: ranks are counted first, and only those counts are ordered together.
+    A row of rank r stands behind min(size, r - 1) rows of every stratum and behind the rows of rank r of the strata
+    before its own: its place follows from the strata's sizes alone, which are one row, so nothing is ordered together.
     """
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(seed, key), key)))
-    sizes = ranked.groupBy("_r").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy("_r").orderBy(stratum))
-    out = ranked.join(starts.select("_r", "_start"), "_r").withColumn("place", place.cast("long"))
-    return out.withColumn("batch", (F.floor((F.col("place") - 1) / batch) + 1).cast("long")).drop("_r", "_start")
+    sizes = rows.groupBy(F.col(stratum).alias("s")).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("s", "n")).alias("_sizes"))
+    behind = F.aggregate(
+        "_sizes",
+        F.lit(0).cast("long"),
+        lambda acc, x: acc + F.least(x["n"], F.col("_r") - 1) + F.when((x["n"] >= F.col("_r")) & (x["s"] <= F.col(stratum)), 1).otherwise(0),
+    )
+    out = ranked.crossJoin(F.broadcast(sizes)).withColumn("place", behind)  # one row: the strata's sizes
+    return out.withColumn("batch", (F.floor((F.col("place") - 1) / batch) + 1).cast("long")).drop("_r", "_sizes")
 
 
 def capped_selection(rows: DataFrame, group: str, score: Column, cap: int, n: int, key: str) -> DataFrame:
@@ -83,13 +86,22 @@ def capped_selection(rows: DataFrame, group: str, score: Column, cap: int, n: in
 
 
 def round_robin(rows: DataFrame, buckets: list[Column], group: str, order: str, n: int) -> DataFrame:
-    """One row for each group, taken in turn from overlapping priority buckets: the loop over (index, bucket)."""
+    """One row for each group, taken in turn from overlapping priority buckets: the loop over (index, bucket).
+
+    Only the first rows of each bucket are numbered (each task keeps no more of them), four times as many
+    again while they don't settle ``n`` groups.
+    """
     named = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(buckets)]))
     tall = rows.select("*", F.explode(named).alias("_b"))
-    tall = tall.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    first = Window.partitionBy(group).orderBy("_i", "_b")
-    one = tall.withColumn("_f", F.row_number().over(first)).where(F.col("_f") == 1)
-    return one.orderBy("_i", "_b").limit(n).withColumnRenamed("_i", "pick_index").withColumnRenamed("_b", "pick_bucket").drop("_f")
+    most = 4 * n
+    while True:
+        some = tall.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(order))).where(F.col("_i") <= most)
+        first = Window.partitionBy(group).orderBy("_i", "_b")
+        one = some.withColumn("_f", F.row_number().over(first)).where(F.col("_f") == 1)
+        out = one.orderBy("_i", "_b").limit(n).withColumnRenamed("_i", "pick_index").withColumnRenamed("_b", "pick_bucket").drop("_f")
+        if out.count() == n or some.where(F.col("_i") == most).isEmpty():
+            return out
+        most *= 4
 
 
 def first_pass(rows: DataFrame, passes: list[Column], group: str, order: str) -> DataFrame:

@@ -124,31 +124,42 @@ def _coincidences(ratings: DataFrame, metric: str, by: tuple[str, ...]) -> tuple
 
 def _alpha(marginal: DataFrame, o: DataFrame, units: DataFrame, metric: str, by: tuple[str, ...]) -> DataFrame:
     g = ["_k", *by]
-    a = marginal.select(*g, F.col("value").alias("c"), F.col("n_c").alias("n_c"))
-    b = marginal.select(*g, F.col("value").alias("k"), F.col("n_c").alias("n_k"))
-    pairs = a.join(b, g)
+    total = marginal.groupBy(*g).agg(F.sum("n_c").alias("n"))
     c, k = F.col("c"), F.col("k")
-    if metric == "nominal":
-        delta = (c != k).cast("double")
-    elif metric == "interval":
-        delta = (c - k) * (c - k)
-    elif metric == "ratio":
-        delta = F.when(c + k == 0, 0.0).otherwise(((c - k) / (c + k)) * ((c - k) / (c + k)))
-    elif metric == "ordinal":
-        between = F.sum("n_c").over(Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-        run = marginal.withColumn("run", between)
-        pairs = pairs.join(run.select(*g, F.col("value").alias("c"), F.col("run").alias("run_c")), [*g, "c"])
-        pairs = pairs.join(run.select(*g, F.col("value").alias("k"), F.col("run").alias("run_k")), [*g, "k"])
-        inner = F.abs(F.col("run_c") - F.col("run_k")) + F.when(c < k, F.col("n_c")).otherwise(F.col("n_k"))
-        span = F.when(c == k, 0.0).otherwise(inner - (F.col("n_c") + F.col("n_k")) / 2)
-        delta = span * span
+    if metric in ("nominal", "interval"):
+        # closed forms from counts and moments: no two values meet that no unit holds together
+        m = lambda e: F.sum(F.col("n_c").cast("double") * e)
+        if metric == "nominal":
+            delta, expected = (c != k).cast("double"), m(F.lit(1.0)) * m(F.lit(1.0)) - m(F.col("n_c"))
+        else:
+            x = F.col("value") - F.col("_mean")
+            delta, expected = (c - k) * (c - k), 2 * (m(F.lit(1.0)) * m(x * x) - m(x) * m(x))
+            mean = marginal.groupBy(*g).agg((F.sum(F.col("n_c") * F.col("value")) / F.sum("n_c")).alias("_mean"))
+            marginal = marginal.join(mean, g)
+        expected = marginal.groupBy(*g).agg(expected.alias("expected"))
+        observed = o.groupBy(*g).agg(F.sum(F.col("o") * delta).alias("observed"))
+        sums = expected.join(observed, g, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
+    elif metric in ("ratio", "ordinal"):
+        # these have no closed form: the distinct values are joined with themselves
+        a = marginal.select(*g, F.col("value").alias("c"), F.col("n_c").alias("n_c"))
+        b = marginal.select(*g, F.col("value").alias("k"), F.col("n_c").alias("n_k"))
+        pairs = a.join(b, g)
+        if metric == "ratio":
+            delta = F.when(c + k == 0, 0.0).otherwise(((c - k) / (c + k)) * ((c - k) / (c + k)))
+        else:
+            between = F.sum("n_c").over(Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+            run = marginal.withColumn("run", between)
+            pairs = pairs.join(run.select(*g, F.col("value").alias("c"), F.col("run").alias("run_c")), [*g, "c"])
+            pairs = pairs.join(run.select(*g, F.col("value").alias("k"), F.col("run").alias("run_k")), [*g, "k"])
+            inner = F.abs(F.col("run_c") - F.col("run_k")) + F.when(c < k, F.col("n_c")).otherwise(F.col("n_k"))
+            span = F.when(c == k, 0.0).otherwise(inner - (F.col("n_c") + F.col("n_k")) / 2)
+            delta = span * span
+        pairs = pairs.withColumn("delta", delta).join(o, [*g, "c", "k"], "left")
+        sums = pairs.groupBy(*g).agg(
+            F.sum(F.coalesce("o", F.lit(0.0)) * F.col("delta")).alias("observed"), F.sum(F.col("n_c") * F.col("n_k") * F.col("delta")).alias("expected")
+        )
     else:
         raise ValueError(metric)
-    pairs = pairs.withColumn("delta", delta).join(o, [*g, "c", "k"], "left")
-    total = marginal.groupBy(*g).agg(F.sum("n_c").alias("n"))
-    sums = pairs.groupBy(*g).agg(
-        F.sum(F.coalesce("o", F.lit(0.0)) * F.col("delta")).alias("observed"), F.sum(F.col("n_c") * F.col("n_k") * F.col("delta")).alias("expected")
-    )
     out = sums.join(total, g).join(units, g)
     alpha = 1 - F.col("observed") * (F.col("n") - 1) / F.nullif(F.col("expected"), F.lit(0.0))
     return out.select(*by, "n_units", F.col("n").alias("n_values"), F.round(alpha, 6).alias("alpha"))
@@ -160,6 +171,86 @@ def per_class_alpha(ratings: DataFrame, classes: list[str]) -> DataFrame:
     return krippendorff(tall.withColumn("value", (F.col("value") == F.col("class")).cast("int")), "nominal", ("class",))
 
 
+def axis_alpha(both: DataFrame, key: str, axes: dict[str, tuple[str, list[str] | None]]) -> DataFrame:
+    """Alpha of each coded axis over the items that both coders labelled: (axis, method, n, alpha, threshold).
+
+    ``both`` has columns ``<axis>_A`` and ``<axis>_B``; blank labels are none. ``axes``: the metric and, for an ordinal axis,
+    the order of its labels. Fewer than two such items are INSUFFICIENT_DATA.
+    """
+    tall = []
+    for axis, (method, order) in axes.items():
+        left, right = (F.nullif(F.trim(F.col(f"{axis}_{side}").cast("string")), F.lit("")) for side in "AB")
+        x = both.select(F.col(key).alias("unit"), left.alias("A"), right.alias("B")).where("A is not null and B is not null")
+        if order:
+            known = F.create_map(*[F.lit(v) for i, label in enumerate(order) for v in (label, i)])
+            x = x.withColumns({side: F.try_element_at(known, F.col(side)).cast("string") for side in "AB"}).where("A is not null and B is not null")
+        ratings = x.unpivot(["unit"], ["A", "B"], "coder", "value")
+        alpha = krippendorff(ratings, method)
+        named = x.agg(F.count("*").alias("n")).crossJoin(F.broadcast(x.sparkSession.createDataFrame([(axis, method)], "axis string, method string")))
+        tall.append(named.join(alpha.select("alpha"), F.lit(True), "left"))  # one row each
+    out = reduce(DataFrame.unionByName, tall)
+    enough = F.col("n") >= 2
+    return out.select("axis", "method", F.col("n").alias("n_units_both_labeled"), F.when(enough, F.round("alpha", 4)).alias("alpha_point"), F.when(enough, alpha_band(F.col("alpha"))).otherwise("INSUFFICIENT_DATA").alias("threshold"))
+
+
+def estimator_comparison(cells: DataFrame, stratum: str, known: str) -> DataFrame:
+    """Projected totals under three estimators: (estimator, point, low, high).
+
+    ``cells``: a row for each cell with census, n (tried), k (yielded), a stratum and a marginal. The naive one takes
+    one rate for all, the others a rate and its Wilson interval for each stratum or marginal.
+    """
+
+    def projected(by: list[str], name: str) -> DataFrame:
+        sums = cells.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("census", "n", "k")]) if by else cells.agg(*[F.sum(c).alias(c) for c in ("census", "n", "k")])
+        w = wilson(F.col("k"), F.col("n"))
+        p, low, high = w["rate"], w["ci_low"], w["ci_high"]
+        out = sums.where("n > 0").agg(*[F.round(F.sum(F.col("census") * c), 4).alias(x) for c, x in ((p, "point"), (low, "low"), (high, "high"))])
+        return out.select(F.lit(name).alias("estimator"), "point", "low", "high")
+
+    return projected([], "naive_overall_rate").unionByName(projected([stratum], "stratified")).unionByName(projected([known], "marginal_only"))
+
+
+def validation_comparison(rows: DataFrame, human: dict[str, str], model: dict[str, str], fallback: dict[str, str], review: Column) -> dict[str, DataFrame]:
+    """All tables that compare human, model and fallback labels: the dicts name a task's column on each side.
+
+    summary and fallback_summary (metric, value), confusion and human_fallback_confusion (comparison, truth,
+    predicted, n), metrics and human_fallback_metrics (task, label, ...), disagreements (rows). Blank labels are none; rows
+    count as labelled with any human label.
+    """
+    clean = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for side in (human, model, fallback) for c in side.values()}
+    rows = rows.withColumns(clean).withColumn("_review", F.coalesce(review, F.lit(False)))
+    some = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in human.values()))
+    labelled = rows.where(some)
+    rate = lambda a, b: F.round(F.avg(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), (F.col(a) == F.col(b)).cast("double"))), 6)
+
+    def metrics(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        one = df.agg(*[v.cast("double").alias(n) for n, v in values.items()])
+        return one.unpivot([], list(values), "metric", "value")
+
+    def tables(left: dict[str, str], right: dict[str, str], df: DataFrame, each) -> DataFrame:
+        tasks = [t for t in left if t in right]
+        return reduce(DataFrame.unionByName, [each(df.select(F.col(left[t]).alias("truth"), F.col(right[t]).alias("predicted")), t) for t in tasks])
+
+    def counts(df: DataFrame, task: str) -> DataFrame:
+        return confusion(df.where("truth is not null and predicted is not null"), "truth", "predicted").withColumn("comparison", F.lit(task))
+
+    def scores(df: DataFrame, task: str) -> DataFrame:
+        return precision_recall(df.where("truth is not null and predicted is not null"), "truth", "predicted").withColumn("task", F.lit(task))
+
+    differ = reduce(lambda a, b: a | b, (F.coalesce(F.col(human[t]) != F.col(model[t]), F.lit(False)) for t in human if t in model))
+    shared = [t for t in fallback if t in model]
+    return {
+        "summary": metrics(labelled, {"human_labels_available": F.count(F.lit(1))} | {f"{t}_agreement_rate": rate(human[t], model[t]) for t in human if t in model} | {"llm_abstention_or_review_rate_labeled": F.round(F.avg(F.col("_review").cast("double")), 6)}),
+        "fallback_summary": metrics(rows, {"fallback_llm_rows_available": F.count(model[shared[0]])} | {f"fallback_llm_{t}_agreement_rate": rate(fallback[t], model[t]) for t in shared} | {"fallback_llm_llm_review_rate": F.round(F.avg(F.col("_review").cast("double")), 6)}),
+        "disagreements": labelled.where(differ).drop("_review"),
+        "confusion": tables(human, model, labelled, counts),
+        "metrics": tables(human, model, labelled, scores),
+        "fallback_confusion": tables(fallback, model, rows, counts),
+        "human_fallback_confusion": tables(human, fallback, labelled, counts),
+        "human_fallback_metrics": tables(human, fallback, labelled, scores),
+    }
+
+
 def alpha_band(alpha: Column) -> Column:
     return F.when(alpha.isNull(), "undefined").when(alpha >= 0.8, "reliable").when(alpha >= 0.667, "tentative").otherwise("unreliable")
 
@@ -198,6 +289,8 @@ def logistic(rows: DataFrame, y: Column, features: dict[str, Column], ridge: flo
     """
     names = ["intercept", *features]
     x = rows.select(y.cast("double").alias("_y"), F.lit(1.0).alias("x0"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(features.values(), 1)])
+    # equal rows of the design count once, with their number: steps read this small aggregate
+    x = x.groupBy(*x.columns).agg(F.count("*").alias("_w")).persist()
     p = len(names)
     beta, info = np.zeros(p), np.eye(p)
     for _ in range(steps):
@@ -205,8 +298,8 @@ def logistic(rows: DataFrame, y: Column, features: dict[str, Column], ridge: flo
         mu = 1 / (1 + F.exp(-eta))
         grid = [(i, j) for i in range(p) for j in range(i, p)]
         sums = x.withColumn("_m", mu).agg(
-            *[F.sum(F.col("_m") * (1 - F.col("_m")) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in grid],
-            *[F.sum((F.col("_y") - F.col("_m")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)],
+            *[F.sum(F.col("_w") * F.col("_m") * (1 - F.col("_m")) * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i, j in grid],
+            *[F.sum(F.col("_w") * (F.col("_y") - F.col("_m")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)],
         ).first()
         info = np.eye(p) * ridge
         for i, j in grid:
@@ -216,6 +309,7 @@ def logistic(rows: DataFrame, y: Column, features: dict[str, Column], ridge: flo
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
+    x.unpersist()
     error = np.sqrt(np.diag(np.linalg.inv(info)))
     return [
         {"term": n, "beta": float(b), "se": float(s), "low": float(b - Z95 * s), "high": float(b + Z95 * s), "odds_ratio": float(np.exp(b))}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.normalize import normalize_title
-from citeloom.functions.similarity import jaro, jaro_possible, levenshtein_similarity
+from citeloom.functions.similarity import jaro_possible, levenshtein_similarity, with_jaro
 from citeloom.operators import linkage, sampling, stats
 from citeloom.plans.network_queries import WILSON_SQL
 from citeloom.plans.registry import query, table
@@ -31,7 +31,8 @@ def _title_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_T} SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, round(jaro_similarity(a.title, b.title), 6) AS title_sim FROM t a JOIN t b ON a.author = b.author AND a.p_partkey < b.p_partkey WHERE round(jaro_similarity(a.title, b.title), 6) >= 0.6""")
 def pair_scores_jaro(spark: SparkSession, d: str) -> DataFrame:
     pairs = _title_pairs(spark, d).where(jaro_possible(F.col("a"), F.col("b"), 0.6))
-    return pairs.select("part_a", "part_b", F.round(jaro(F.col("a"), F.col("b")), 6).alias("title_sim")).where("title_sim >= 0.6")
+    scored = with_jaro(pairs, "a", "b", "sim")
+    return scored.select("part_a", "part_b", F.round("sim", 6).alias("title_sim")).where("title_sim >= 0.6")
 
 
 @query(f"""WITH {_T} SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, round(1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title))::DOUBLE, 6) AS sim FROM t a JOIN t b ON a.author = b.author AND a.p_partkey < b.p_partkey

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Tables:
-    """Parquet tables under ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """Parquet tables under ``spark.checkpoint.dir``; a temporary folder only where none is set on a local master (tests)."""
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tables-")
         self.spark, self.root, self.written = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
 

@@ -98,13 +98,12 @@ c AS (SELECT *, CASE WHEN has_author AND has_year THEN 'SEED_WORK' WHEN has_titl
 @query(
     _CASCADE
     + r"""SELECT doc_id, score, semantic_label, citation_function,
-  CASE WHEN semantic_label = 'SEED_WORK' THEN 'low' WHEN has_title AND NOT (has_author OR has_group) THEN 'high_generic_phrase' WHEN semantic_label = 'LOW_CONFIDENCE' THEN 'medium_low_confidence' ELSE 'medium' END AS risk,
+  CASE WHEN semantic_label = 'SEED_WORK' THEN 'low' WHEN has_title AND NOT (has_author OR has_group) THEN 'high_generic_limits_phrase' WHEN semantic_label = 'LOW_CONFIDENCE' THEN 'medium_low_confidence' ELSE 'medium' END AS risk,
   has_title, has_author, has_year, has_group FROM c"""
 )
 def rule_cascade(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text")
-    c = docs.withColumns(R.classify_context(F.col("text"), CUES, F.lit(False)))
-    c = c.withColumn("risk", R.false_positive_risk(F.col("text"), F.col("semantic_label"), CUES))
+    c = R.classify_context(docs, "text", CUES, F.lit(False))
     return c.select("doc_id", "score", "semantic_label", "citation_function", "risk", "has_title", "has_author", "has_year", "has_group")
 
 
@@ -116,9 +115,8 @@ b2 AS (SELECT *, CASE WHEN length(t) < 80 THEN least(b1, 0.65) ELSE b1 END AS b2
 )
 def context_confidence(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text")
-    c = docs.withColumns(R.classify_context(F.col("text"), CUES, F.lit(False)))
-    risk = R.false_positive_risk(F.col("text"), F.col("semantic_label"), CUES)
-    conf = R.context_confidence(F.col("score"), F.lit("BODY"), risk, F.lit(False), F.lit(0), F.col("text"))
+    c = R.classify_context(docs, "text", CUES, F.lit(False))
+    conf = R.context_confidence(F.col("score"), F.lit("BODY"), F.col("risk"), F.lit(False), F.lit(0), F.col("text"))
     return c.select("doc_id", conf.alias("confidence"))
 
 
@@ -137,8 +135,8 @@ def turn_window(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def sentence_window(spark: SparkSession, d: str) -> DataFrame:
     """Windows around every sentence with a license word; splitting sentences has a state that SQL lacks."""
-    rows = X.sentence_rows(table(spark, d, "documents", "doc_id", "text"))
-    return X.three_windows(rows, "doc_id", "pos", "sentence", F.lower("sentence").contains("license"))
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return X.sentence_windows(docs.where(F.contains(F.lower("text"), F.lit("license"))), lambda s: F.contains(F.lower(s), F.lit("license")))
 
 
 @query()
@@ -175,40 +173,62 @@ m AS (SELECT *, trim(text) AS main, trim(concat_ws(' ', nullif(trim(text), ''),
 h AS (SELECT *, lower(main) AS low, contains(lower(main), 'model') OR contains(lower(main), 'license') OR contains(lower(main), 'thing') AS m, contains(lower(main), 'food') OR contains(lower(main), 'and the') OR contains(lower(main), 'sch') AS f,
   contains(lower(main), 'published') OR contains(lower(main), 'seminal') OR contains(lower(main), 'released') OR contains(lower(main), 'der') AS h, contains(lower(main), 'policy') OR contains(lower(main), 'gnu') OR contains(lower(main), 'les') AS p,
   (length(whole) - length(replace(whole, '(', ''))) <> (length(whole) - length(replace(whole, ')', ''))) AND len(regexp_extract_all(whole, '[A-Za-z]{2,}')) < 25 AS noisy FROM m)
-SELECT conv_id, turn, CASE WHEN main = '' THEN 'deterministic_unclear' WHEN noisy THEN 'deterministic_unclear' WHEN m THEN 'deterministic_modeling' WHEN f AND NOT p THEN 'deterministic_foundational' WHEN p AND NOT f THEN 'gray_zone' WHEN h THEN 'deterministic_historical' ELSE 'gray_zone' END AS decision,
+SELECT conv_id, turn, CASE WHEN main = '' THEN 'deterministic_unclear' WHEN noisy THEN 'deterministic_unclear' WHEN m THEN 'deterministic_modeling' WHEN f AND NOT p THEN 'deterministic_foundational' WHEN p AND NOT f THEN 'llm_gray_zone' WHEN h THEN 'deterministic_historical' ELSE 'llm_gray_zone' END AS decision,
   CASE WHEN main = '' THEN 'unclear' WHEN noisy THEN 'unclear' WHEN m THEN 'modeling_simulation_reference' WHEN f AND NOT p THEN 'foundational_citation' WHEN p AND NOT f THEN 'policy_governance_framing' WHEN h THEN 'historical_framing' ELSE 'unclear' END AS citation_function,
   CASE WHEN main = '' THEN 0.35 WHEN noisy THEN 0.42 WHEN m THEN 0.88 WHEN f AND NOT p THEN 0.86 WHEN p AND NOT f THEN 0.62 WHEN h THEN 0.84 ELSE 0.5 END::DOUBLE AS confidence,
   CASE WHEN main = '' OR noisy THEN false WHEN m OR (f AND NOT p) THEN false WHEN p AND NOT f THEN true WHEN h THEN false ELSE true END AS undecided FROM h""")
 def router_struct(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.three_windows(table(spark, d, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", "text")
-    routed = R.route(rows, LEX, "citing_sentence", "sentence_before", "sentence_after")
+    routed = R.route(_turn_windows(spark, d), LEX, "citing_sentence", "sentence_before", "sentence_after")
     return routed.select("conv_id", "turn", "route.decision", "route.citation_function", "route.confidence", "route.undecided")
 
 
-@query(r"""WITH r AS (SELECT l.doc_id, l.quality, l.toxic, d.text, substring(d.text, 1, 20) AS quote FROM labels l JOIN documents d USING (doc_id)),
-e AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'critique' ELSE 'nonsense' END AS fn, CASE WHEN toxic = 1 THEN 1.5 ELSE 0.9 END AS conf, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' WHEN trim(quote) = '' THEN '' ELSE quote END AS q, text FROM r)
-SELECT doc_id, concat_ws('|', CASE WHEN fn = 'nonsense' THEN 'invalid_category' END, CASE WHEN conf > 1 THEN 'invalid_confidence' END, CASE WHEN doc_id % 7 = 0 THEN 'identifier_mismatch' END,
-  CASE WHEN trim(q) = '' THEN 'empty_evidence' END, CASE WHEN NOT (trim(q) <> '' AND contains(text, q)) THEN 'non_exact_evidence' END, CASE WHEN toxic THEN 'review_policy_failure' END) AS errors
-FROM (SELECT *, conf > 1 AS toxic FROM e)""")
+def _turn_windows(spark: SparkSession, d: str) -> DataFrame:
+    return X.three_windows(table(spark, d, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", "text")
+
+
+_FIRST = lambda c, terms: "coalesce(" + ", ".join(f"CASE WHEN contains(lower({c}), '{t}') THEN substring({c}, strpos(lower({c}), '{t}'), {len(t)}) END" for t in terms) + ", '')"
+
+
+@query(rf"""WITH d AS (SELECT conv_id, turn, coalesce(text, '') AS text, lag(text) OVER o AS b, lead(text) OVER o AS a FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+w AS (SELECT *, trim(text) AS main, trim(concat_ws(' ', nullif(trim(text), ''), nullif(trim(b), ''), nullif(trim(a), ''))) AS whole, trim(coalesce(b, '')) = '' AND trim(coalesce(a, '')) = '' OR trim(text) = '' AS limited FROM d),
+h AS (SELECT *, {_FIRST('main', LEX.modeling)} AS m, {_FIRST('main', LEX.foundational)} AS f, {_FIRST('main', LEX.historical)} AS h, {_FIRST('main', LEX.policy)} AS p, len(regexp_split_to_array(whole, '\s+')) AS n,
+  len(regexp_extract_all(whole, '\(')) <> len(regexp_extract_all(whole, '\)')) AND len(regexp_extract_all(whole, '[A-Za-z]{{2,}}')) < 25 AS noisy FROM w),
+k AS (SELECT *, CASE WHEN main = '' THEN 0 WHEN noisy THEN 2 WHEN m <> '' THEN 4 WHEN f <> '' AND p = '' THEN 5 WHEN p <> '' AND f = '' THEN 6 WHEN h <> '' THEN 7 ELSE 8 END AS k FROM h),
+r AS (SELECT *, CASE WHEN k = 0 THEN 'missing_surrounding_context' WHEN k = 2 THEN 'ocr_noise' WHEN k IN (4, 5, 7) AND n < CASE WHEN k = 4 THEN 16 ELSE 14 END THEN 'snippet_too_short' ELSE 'none' END AS flag,
+  concat_ws(' | ', CASE WHEN m <> '' THEN 'modeling' END, CASE WHEN f <> '' THEN 'foundational' END, CASE WHEN h <> '' THEN 'historical' END, CASE WHEN p <> '' THEN 'policy' END) AS hits FROM k)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'missing_context' WHEN 2 THEN 'ocr_noise' WHEN 8 THEN CASE WHEN hits = '' THEN 'gray_zone' ELSE hits END ELSE hits END AS rule_hits, k IN (6, 8) OR limited OR flag <> 'none' OR k IN (0, 2) AS needs_human_review,
+  CASE WHEN k NOT IN (6, 8) THEN flag END AS flag, CASE k WHEN 4 THEN m WHEN 5 THEN f WHEN 7 THEN h WHEN 0 THEN 'insufficient_evidence' WHEN 2 THEN 'insufficient_evidence' END AS quote_function, CASE WHEN k IN (6, 8) THEN NULL WHEN k IN (0, 2) THEN 0.45 WHEN k = 4 AND regexp_matches(lower(whole), 'success(ful)?') THEN 0.78 ELSE 0.84 END::DOUBLE AS confidence_stance FROM r""")
+def router_result(spark: SparkSession, d: str) -> DataFrame:
+    """What the router says beside its decision, and the classification row of decided contexts."""
+    routed = R.route(_turn_windows(spark, d), LEX, "citing_sentence", "sentence_before", "sentence_after")
+    r = F.col("route.result")
+    return routed.select("conv_id", "turn", "route.rule_hits", "route.needs_human_review", F.get(r["flags"], F.lit(0)).alias("flag"), r["quote_function"].alias("quote_function"), r["confidence_stance"].alias("confidence_stance"))
+
+
+@query(r"""WITH r AS (SELECT l.doc_id, d.text, l.doc_id % 13 AS v, regexp_extract(d.text, '\S+') AS q FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+SELECT doc_id, concat_ws('|', CASE WHEN v = 11 THEN 'missing_required_fields' END, CASE WHEN v = 1 THEN 'invalid_category' END, CASE WHEN v = 2 THEN 'invalid_confidence' END, CASE WHEN v = 3 THEN 'invalid_uncertainty_flags' END, CASE WHEN v = 4 THEN 'invalid_schema_fields' END,
+  CASE WHEN v = 5 THEN 'identifier_mismatch' END, CASE WHEN v = 6 OR v <> 7 AND v <> 8 AND q = '' THEN 'empty_evidence' END, CASE WHEN v IN (6, 7, 8) OR q = '' THEN 'non_exact_evidence' END, CASE WHEN v = 8 THEN 'category_token_as_evidence' END, CASE WHEN v = 9 THEN 'unsupported_label_without_evidence' END,
+  CASE WHEN v IN (3, 10) THEN 'review_policy_failure' END, CASE WHEN v = 12 THEN 'stance_evidence_failure' END) AS errors FROM r""")
 def row_validator(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels").join(table(spark, d, "documents", "doc_id", "text"), "doc_id").withColumn("quote", F.substring("text", 1, 20))
-    key = F.col("doc_id").cast("string")
-    quote = F.when(F.col("doc_id") % 3 == 0, "no such words here").otherwise(F.col("quote"))
+    """Results that break one rule each, by the remainder of the id; the quote is the text's first word."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents", "doc_id", "text"), "doc_id")
+    key, v = F.col("doc_id").cast("string"), F.col("doc_id") % 13
+    quote = F.when(v == 6, " ").when(v == 7, "no such words here").when(v == 8, "critique").otherwise(F.regexp_extract("text", r"\S+", 0))
     result = {
-        "context_id": F.when(F.col("doc_id") % 7 == 0, "other").otherwise(key),
+        "context_id": F.when(v == 5, "other").otherwise(key),
         "context_group_id": key,
-        "citation_function": F.when(F.col("quality") == 1, "critique").otherwise("nonsense"),
+        "citation_function": F.when(v == 1, "nonsense").when(v == 9, "critique").otherwise("unclear"),
         "topic": F.lit("unclear"),
-        "stance": F.lit("neutral_descriptive"),
-        "quote_function": quote,
+        "stance": F.when(v == 12, "supportive").otherwise("neutral_descriptive"),
+        "quote_function": F.when(v == 9, R.ABSTAIN).otherwise(quote),
         "quote_topic": F.lit(R.ABSTAIN),
-        "quote_stance": F.lit(R.ABSTAIN),
-        "confidence_function": F.when(F.col("toxic") == 1, 1.5).otherwise(0.9),
+        "quote_stance": F.when(v == 12, F.regexp_extract("text", r"\S+", 0)).otherwise(F.lit(R.ABSTAIN)),
+        "confidence_function": F.when(v == 2, 1.5).otherwise(0.9),
         "confidence_topic": F.lit(0.5),
         "confidence_stance": F.lit(0.5),
-        "flags": F.when(F.col("toxic") == 1, F.array(F.lit("ocr_noise"))).otherwise(F.array(F.lit("none"))),
+        "flags": F.when(v == 3, F.array(F.lit("none"), F.lit("ocr_noise"))).when(v == 10, F.array(F.lit("ocr_noise"))).otherwise(F.array(F.lit("none"))),
         "needs_human_review": F.lit(False),
-        "reasoning_summary": F.lit("short"),
+        "reasoning_summary": F.when(v == 4, F.repeat(F.lit("long "), 60)).when(v == 11, F.lit(None).cast("string")).otherwise("short"),
     }
     found = R.validate_result(result, F.col("text"), key, key, F.lit(False), ("unclear", "sustainability"), ("none", "ocr_noise", "bibliography_only"))
     return rows.select("doc_id", F.array_join(found, "|").alias("errors"))
@@ -229,9 +249,18 @@ def audit_flags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT doc_id, string_agg(DISTINCT role, '|' ORDER BY role) AS roles FROM (SELECT doc_id, unnest(CASE WHEN len(r) = 0 THEN ['unclear'] ELSE r END) AS role FROM (
-  SELECT doc_id, list_filter([CASE WHEN contains(lower(text), 'wrong') OR contains(lower(text), 'failed') THEN 'critique' END, CASE WHEN contains(lower(text), 'model') THEN 'modeling' END, CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'policy') THEN 'policy' END], lambda x: x IS NOT NULL) AS r FROM documents)) GROUP BY 1""")
+@query(r"""WITH d AS (SELECT doc_id, text, lang = 'de' AS bib, source = 'src_3' OR doc_id % 3 = 0 AS seed, lower(text) AS t FROM documents),
+r AS (SELECT *, list_filter([CASE WHEN contains(t, 'wrong') OR contains(t, 'failed') THEN 'critique' END, CASE WHEN contains(t, 'model') THEN 'modeling_simulation_reference' END, CASE WHEN contains(t, 'license') OR contains(t, 'policy') THEN 'policy_governance_framing' END], lambda x: x IS NOT NULL) AS f FROM d),
+g AS (SELECT *, CASE WHEN bib THEN ['bibliographic_only'] ELSE [] END || CASE WHEN len(f) > 0 THEN f WHEN seed THEN ['foundational_citation'] ELSE ['unclear'] END AS roles FROM r)
+SELECT doc_id, array_to_string(roles, '|') AS roles, roles[1] AS primary_role, CASE WHEN seed THEN 'yes' ELSE 'ambiguous' END AS is_seed, CASE WHEN seed AND bib THEN 0.65 WHEN seed THEN 0.78 ELSE 0.45 END::DOUBLE AS confidence,
+  CASE WHEN list_contains(roles, 'modeling_simulation_reference') THEN 'system_dynamics_modeling' WHEN list_contains(roles, 'policy_governance_framing') THEN 'environmental_policy' WHEN bib THEN 'bibliographic_record' ELSE 'the_seed' END AS discourse,
+  CASE WHEN bib THEN 'bibliography_only' ELSE 'missing_surrounding_context' END || CASE WHEN seed THEN '' ELSE '|ambiguous_referent' END AS flags FROM g""")
 def fallback_roles(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "text")
-    roles = R.fallback_roles(F.col("text"), F.lit("BODY"), {"critique": ("wrong", "failed"), "modeling": ("model",), "policy": ("license", "policy")})
-    return docs.select("doc_id", F.array_join(F.array_sort(roles), "|").alias("roles"))
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source").withColumn("section", F.when(F.col("lang") == "de", "BIBLIO").otherwise("BODY"))
+    roles = {"critique": ("wrong", "failed"), "modeling_simulation_reference": ("model",), "policy_governance_framing": ("license", "policy")}
+    seed = (F.col("source") == "src_3") | (F.col("doc_id") % 3 == 0)
+    f = F.col("fallback")
+    return R.fallback_classification(docs, "text", "section", seed, "the_seed", roles).select(
+        "doc_id", F.array_join(f["roles"], "|").alias("roles"), f["primary_role"].alias("primary_role"), f["is_seed_work_citation"].alias("is_seed"),
+        f["confidence"].alias("confidence"), f["discourse_category"].alias("discourse"), F.array_join(f["uncertainty_flags"], "|").alias("flags"),
+    )

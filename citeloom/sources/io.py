@@ -51,6 +51,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.csv(path, header=True, mode=mode, escape='"')
 
 
+def write_union_csv(tables: list[DataFrame], path: str, mode: str = "error") -> None:
+    """Tables of different columns under one header: all names in the order in which they first appear."""
+    names = list(dict.fromkeys(c for t in tables for c in t.columns))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    write_csv(rows.select(*names), path, mode)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with typed nulls for missing fields."""
     return spark.read.schema(schema).json(path)
@@ -80,16 +87,22 @@ def flatten_config(tree: dict, prefix: str = "") -> dict[str, str]:
 
 
 def read_config(path: str) -> dict[str, str]:
-    """Indented ``key: value`` lines (no lists) as dotted keys."""
-    out, stack = {}, []
+    """Indented ``key: value`` lines as dotted keys; the items of a list ("- item") are numbered from 1."""
+    out, stack, items = {}, [], {}
     with open(path, encoding="utf-8") as f:
         for line in f:
             body = line.split(" #")[0].rstrip()
             if not body.strip() or body.lstrip().startswith("#"):
                 continue
             depth = len(body) - len(body.lstrip())
-            while stack and stack[-1][0] >= depth:
+            listed = body.lstrip().startswith("- ")
+            while stack and (stack[-1][0] > depth or (stack[-1][0] == depth and not listed)):
                 stack.pop()
+            if listed:
+                at = ".".join(k for _, k in stack)
+                items[at] = items.get(at, 0) + 1
+                out[f"{at}.{items[at]}"] = body.strip()[2:].strip().strip("\"'")
+                continue
             key, _, value = body.strip().partition(":")
             if value.strip():
                 out[".".join([*(k for _, k in stack), key])] = value.strip().strip("\"'")
@@ -122,11 +135,11 @@ def pick_json(c: Column, path: str) -> Column:
 
 
 def read_blobs(spark: SparkSession, path: str, most: int = 8 * 1024 * 1024) -> DataFrame:
-    """Files with their bytes (capped at ``most``, as fetches are), digest, format and role."""
+    """Files with the digest of their whole bytes, their format, and ``content``: what a capped fetch keeps of them."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    capped = F.substring("content", 1, most)
-    out = df.select("path", "modificationTime", "length", capped.alias("content"))
-    return out.withColumns({"sha256": F.sha2("content", 256), "blob_id": F.substring(F.sha2("content", 256), 1, 16), "format": blob_format(F.col("content"))})
+    digest = F.sha2("content", 256)
+    kept = F.substring("content", 1, most)
+    return df.select("path", "modificationTime", "length", digest.alias("sha256"), F.substring(digest, 1, 16).alias("blob_id"), blob_format(F.col("content")).alias("format"), kept.alias("content"))
 
 
 def blob_format(content: Column, content_type: Column | None = None) -> Column:

@@ -52,10 +52,106 @@ def test_harmonize_is_tolerant_of_columns(spark):
         ("", 0, "", "", ""),
     ],
 )
-def test_three_sentence_window(text, at, before, citing, after):
-    w = X.window_at(text, at, at + 2)
-    assert (w["sentence_before"], w["citing_sentence"], w["sentence_after"]) == (before, citing, after)
-    assert w["complete"] == bool(before and citing and after)
+def test_three_sentence_window(spark, text, at, before, citing, after):
+    df = spark.createDataFrame([(text,)], "t string")
+    w = X.window_at(df, "t", F.lit(at), F.lit(at + 2)).first()
+    assert (w.sentence_before, w.citing_sentence, w.sentence_after) == (before, citing, after)
+    assert w.context_window_complete == bool(before and citing and after)
+
+
+def brute_sentences(text):
+    """Character by character: a mark, up to two closing quotes, white space, then a plausible start; no abbreviation before the mark."""
+    short = {"al", "etal", "ym", "fig", "eq", "e.g", "i.e", "no", "pp", "vol", "vs", "cf", "dr", "mr", "mrs", "ms", "prof", "inc", "jr", "sr", "st"}
+    out, start, i = [], 0, 0
+    while i < len(text):
+        if text[i] in ".!?":
+            j = i + 1
+            while j < min(i + 3, len(text)) and text[j] in "\"'\u201d\u2019)]":
+                j += 1
+            k = j
+            while k < len(text) and text[k].isspace():
+                k += 1
+            opening = k
+            while opening < len(text) and text[opening] in "\"'\u201c\u2018([":
+                opening += 1
+            word = text[start:i].split()[-1].lstrip("([\"'").lower() if text[start:i].split() else ""
+            last = word.rsplit(".", 1)[-1] if word not in short else word
+            plausible = opening < len(text) and opening - k <= 7 and (text[opening] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+            is_short = text[i] == "." and (word in short or last in short or (len(last) == 1 and last.isascii() and last.isalpha()))
+            if k > j and plausible and not is_short:
+                out.append((start, i + 1))
+                start = i = k
+                continue
+        i += 1
+    out.append((start, len(text)))
+    return [(a, b, " ".join(text[a:b].split())) for a, b in out if text[a:b].strip()]
+
+
+def test_sentences_equal_brute_force(spark, sf_dir):
+    texts = ['He said "Go." Then left. E.g. This one. See J. R. Doe et al. Here. (Yes.) No? "Why!" 3 more.', "A b. c D.\n\n  E", "x" * 30, "  ", "Ends. ", "One!? Two"]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + [(-1 - i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = df.select("doc_id", X.sentence_spans(F.col("text")).alias("s"), X.sentences(F.col("text")).alias("t")).collect()
+    got = {r.doc_id: [(x.start, x.end, x.text) for x in r.s] for r in rows}
+    assert got == {i: brute_sentences(t) for i, t in docs}
+    assert all([x.text for x in r.s] == r.t for r in rows)
+    long = {r.doc_id: [w for _, _, w in brute_sentences(dict(docs)[r.doc_id])] for r in rows}
+    hit = lambda s: F.contains(F.lower(s), F.lit("the"))
+    want = sorted((i, k, s[k - 1] if k else "", x, s[k + 1] if k + 1 < len(s) else "") for i, s in long.items() for k, x in enumerate(s) if "the" in x.lower())
+    assert want == sorted((r.doc_id, r.pos, r.sentence_before, r.citing_sentence, r.sentence_after) for r in X.sentence_windows(df, hit).collect())
+
+
+def test_page_windows_and_hits(spark):
+    from citeloom.operators import contexts
+
+    text = "First one here. As Doe et al. (1972) say so. The last one."
+    df = spark.createDataFrame([(text, text.index("Doe") + 1, text.index("Doe") + 3)], "t string, a int, b int")
+    w = X.page_sentence_windows(df, "t", "a", "b").first()
+    assert (w.sentence_before, w.citation_sentence, w.sentence_after) == ("First one here.", "As Doe et al. (1972) say so.", "The last one.")
+    cues = rules.SeedCues(author=r"\bdoe\b", title=r"\bgreat book\b", year=r"\b1972\b", group="club")
+    entry = "References. Doe J 1972, Vol. 3, pp. 4, A, B, C doi 10.1000/x great book. 1999 1998"
+    pages = spark.createDataFrame([(1, 1, text), (1, 2, text), (1, 3, "nothing"), (2, 1, None), (2, 2, entry.replace("Doe J 1972", "X"))], "doc_id long, page int, text string")
+    rows = contexts.page_hits(pages, r"\bdoe\b|great\s+book", cues).collect()
+    assert [(r.doc_id, r.page, r.match, r.semantic_label) for r in rows] == [(1, 1, "Doe", "SEED_WORK")]
+    s = X.snippet_window(spark.createDataFrame([("  One  is. Two. ",), (None,)], "x string"), "x").collect()
+    assert [(r.context_text, r.context_sentence_count, r.context_window_complete) for r in s] == [("One is. Two.", 2, False), ("", 0, False)]
+
+
+def test_early_duplicates_equal_the_greedy_loop(spark):
+    rng = random.Random(5)
+    base = ["the growth of cities and towns", "limits of small things", "a theory of everything else", "on rivers"]
+    rows = []
+    for i in range(60):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            t[rng.randrange(len(t))] = rng.choice("abcdefgh ")
+        rows.append((i, None if i % 9 else f"10.1/{i % 2}", "".join(t) if i % 11 else None, rng.choice([None, 1999, 2000, 2000]), f"key{i}"))
+    df = spark.createDataFrame(rows, "id int, doi string, title string, year int, work_key string")
+    got = {r.id: r for r in linkage.early_duplicates(df, "doi", "title", "year", "work_key", Tables(spark, "e"), "id").collect()}
+    order = sorted({(y is None, y or 0, t) for _, d, t, y, _ in rows if d is None and t})
+    leader = {}
+    for i, a in enumerate(order):
+        if a not in leader:
+            for b in order[i:]:
+                if b not in leader and (a[0] or b[0] or a[1] == b[1]) and jaro_similarity(a[2], b[2]) >= 0.92:
+                    leader[b] = a
+    for i, d, t, y, key in rows:
+        if d or not t:
+            assert got[i].duplicate_group == (f"doi:{d}" if d else key)
+    some = [r for r in rows if r[1] is None and r[2]]
+    for x in some:
+        for y in some:
+            same = leader[(x[3] is None, x[3] or 0, x[2])] == leader[(y[3] is None, y[3] or 0, y[2])]
+            assert same == (got[x[0]].duplicate_group == got[y[0]].duplicate_group)
+    firsts = {}
+    assert all(r.is_duplicate == (firsts.setdefault(r.duplicate_group, i) != i) for i, r in sorted(got.items()))
+
+
+def test_a_long_chain_of_works_keeps_all_rows(spark):
+    nodes = spark.range(200).select(F.col("id"))
+    pairs = spark.range(199).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.id: r.leader for r in linkage.leader_clusters(nodes, pairs, Tables(spark, "chain")).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
 
 
 def test_seed_matches(spark):
@@ -177,7 +273,7 @@ def test_routing_precedence(spark):
     rows = [("", "", ""), ("The simulation model shows much and more of what was known before in this field of work", "b", "a"), ("A policy is needed.", "b", "a"), ("This was (published.", "", "")]
     df = spark.createDataFrame(rows, "s string, b string, a string")
     out = [r.decision for r in rules.route(df, rules.Lexicons(), "s", "b", "a").select("route.*").collect()]
-    assert out == ["deterministic_unclear", "deterministic_modeling", "gray_zone", "deterministic_unclear"]
+    assert out == ["deterministic_unclear", "deterministic_modeling", "llm_gray_zone", "deterministic_unclear"]
 
 
 def test_validator_accepts_and_rejects(spark):
@@ -206,6 +302,10 @@ def test_withheld_columns_raise(spark):
     df = spark.range(1).withColumn("label", F.lit(1))
     with pytest.raises(ValueError):
         rules.allowed_payload(df, ["id", "label"], ("label",))
+    with pytest.raises(ValueError):
+        rules.allowed_payload(df, ["id", "Human_role"])
+    assert rules.withheld_columns(["id", "v1_role", "manual_note", "text"]) == ["manual_note", "v1_role"]
+    assert rules.allowed_payload(df, ["id"]).columns == ["id"]
     with pytest.raises(ValueError):
         rules.require_columns(df, ["other"], "id")
 
@@ -228,6 +328,19 @@ def test_sources(spark, tmp_path):
     io.write_csv(got, str(tmp_path / "out"))
     with pytest.raises(Exception):  # noqa: B017  a named run isn't overwritten
         io.write_csv(got, str(tmp_path / "out"))
+    big = tmp_path / "big"
+    big.mkdir()
+    (big / "x.bin").write_bytes(b"a" * (9 << 20))
+    frozen = io.manifest(io.read_blobs(spark, str(big))).collect()
+    frozen = spark.createDataFrame([tuple(r) for r in frozen], "path string, length long, sha256 string")
+    assert len(io.read_blobs(spark, str(big)).first().content) == 8 << 20
+    (big / "x.bin").write_bytes(b"a" * ((9 << 20) - 1) + b"b")  # a change beyond what a fetch keeps
+    assert [r.status for r in io.verify_manifest(io.manifest(io.read_blobs(spark, str(big))), frozen).collect()] == ["changed"]
+    io.write_union_csv([got, got.select("item_id", F.lit("n").alias("note"))], str(tmp_path / "union"))
+    assert spark.read.csv(str(tmp_path / "union"), header=True).columns == ["item_id", "function", "note"]
+    listed = tmp_path / "l.yml"
+    listed.write_text("a:\n  - x\n  - y\nb:\n- z\nc: 1\n")
+    assert io.read_config(str(listed)) == {"a.1": "x", "a.2": "y", "b.1": "z", "c": "1"}
     conf = tmp_path / "c.yml"
     conf.write_text("a:\n  b: 1\n  c:\n    d: x\ne: 2\n")
     assert io.read_config(str(conf)) == {"a.b": "1", "a.c.d": "x", "e": "2"} == io.flatten_config({"a": {"b": 1, "c": {"d": "x"}}, "e": 2})
