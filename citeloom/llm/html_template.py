@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import by_key, key_runs
+from citeloom.llm.common import Scratch, by_key, key_runs
 from citeloom.llm.url_tree import host_of
 
 GROUP = 64
 MOST = 0.6  # share of a group's changing text that its main element must hold
 LEAST, LEAST_INSIDE = 3, 8  # pages that template text is on: as a whole block, as part of one
+MANY_HOSTS = 500_000  # hosts with their number of groups that are broadcast, some 30 MB
 PATH = 1000  # characters of a role's path from which on a digest stands for its outer part
 INLINE = 8  # innermost inline tags that tell text roles apart
 SUPPORT = 0.25  # share of a group's pages that a class is on
@@ -379,11 +380,14 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """A row for each page: (page_id, url, text).
 
-    A host's pages are dealt to groups by the hash of their id and the host's number of pages, whatever the partitions. Hosts
-    of more than one group are few (at most the pages over GROUP), so their counts are a small side of a join; html moves once.
+    A host's pages are dealt to groups by the hash of their id and the host's number of pages, whatever the partitions. Only
+    hosts of more than one group need their number: up to ``MANY_HOSTS`` of them are broadcast, more are joined. So html
+    moves once, or twice where there are more.
     """
     base = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     many = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > 2 * GROUP).select("host", F.ceil(F.col("n") / (1.5 * GROUP)).alias("groups"))
+    many = Scratch(pages.sparkSession, "hosts").write(many)
+    many = F.broadcast(many) if many.count() <= MANY_HOSTS else many
     part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))
     rows = base.join(many, "host", "left").select("host", part.alias("part"), "page_id", "url", "html")
     return by_key(rows, ["host", "part"]).mapInArrow(_extract, "page_id long, url string, text string")
