@@ -1,17 +1,20 @@
 r"""License scans: an exact set-similarity join of text blocks with license templates, in built-in functions.
 
-Blocks are lines, cut after sentence ends too, and, for statements that are wrapped, overlapping windows of three times the
-longest template's words over the sentences of a paragraph whose lines are joined. A block meets a template if it holds at least
-``THRESHOLD`` of the template's distinct words. Template words are ranked by how many documents hold them,
+Blocks are lines, cut after sentence ends too, paragraphs (lines between blank ones), and, for statements that stand in a
+longer paragraph, overlapping windows over its joined lines: a template of up to w words (w a power of two) is looked
+for in windows of 2w words that start at every w-th. A block meets a template if it holds at least
+``THRESHOLD`` of the template's distinct words (all of fewer than ``SHORT``). Template words are ranked by how many documents hold them,
 counted over the whole table, the rarest first. A block that meets a template of n words, of which
 k are needed, holds
 
-* one of the template's n - k + 1 rarest words (prefix filter, on whole documents first, then blocks),
+* one of the template's n - k + 1 rarest words (prefix filter: on whole documents first, then on blocks; an index from such
+  words to templates gives a block's candidates),
 * at least k distinct words (length filter), and
 * with its first shared word at place i of the template and place j of its own ranked template words,
   no more than 1 + min(n - i - 1, m - j - 1) shared words (positional filter).
 
-Pairs that pass are verified on the sets. Templates are a fixed list, so the join needs no shuffle.
+Pairs that pass are verified on the sets. The templates are one literal table and its index, so the join needs no shuffle and the
+plan doesn't grow with their number.
 
 Beside the templates, the base phrases are located in each document's words: A-Z lower-cased, then runs
 of digits, a-z and anything outside ASCII. Null and empty texts have no words, places or labels and
@@ -35,27 +38,69 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# License statements and the labels of texts that hold them.
+# License statements, as their licenses have them, and the labels of texts that hold them.
 TEMPLATES = (
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (
+        "gpl-warranty",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    (
+        "apache-notice",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
+        "a copy of the license at",
+    ),
+    (
+        "apache-basis",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions "
+        "and limitations under the license",
+    ),
     ("mit-release", "released under the mit license"),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    (
+        "mit-permission",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    ),
+    (
+        "mit-disclaimer",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any "
+        "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+    ),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (
+        "bsd-disclaimer",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited "
+        "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages",
+    ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+SHORT = 10  # distinct words below which all of a template must be held
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLOCKS = r"\n|(?<=[.!?])\s"
-_WRAPPED = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n|(?<=[.!?])\s"  # blank lines, or such without a word, end a paragraph
+_PARAGRAPHS = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"  # blank lines, or such without a word, end a paragraph
+
+
+def low(text: Column) -> Column:
+    """A-Z lower-cased, nothing else."""
+    return F.translate(text, _UPPER, _UPPER.lower())
 
 
 def spaced(text: Column) -> Column:
     """Each word between single spaces, one before the first and one after the last."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), _GAPS, " ")
+    return F.regexp_replace(F.concat(F.lit(" "), low(text), F.lit(" ")), _GAPS, " ")
 
 
 def spaces(c: Column) -> Column:
@@ -67,7 +112,7 @@ def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str], int]]:
     out = []
     for label, text in templates:
         words = sorted(set(text.split()))
-        out.append((label, words, math.ceil(THRESHOLD * len(words) - 1e-9)))
+        out.append((label, words, math.ceil(THRESHOLD * len(words) - 1e-9) if len(words) >= SHORT else len(words)))
     return out
 
 
@@ -80,57 +125,77 @@ def word_frequencies(norm: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def _contained(ranks: Column, ordered: list[int], need: int) -> Column:
-    """Containment of a template (its words' ranks) in a block (its template words' ranks, ascending), or null."""
-    n, size = len(ordered), F.size(ranks)
-    template = F.array(*[F.lit(r) for r in ordered])
-    prefix = F.array(*[F.lit(r) for r in ordered[: n - need + 1]])
-    first = F.array_min(F.array_intersect(ranks, prefix))
-    i, j = F.array_position(template, first) - 1, F.array_position(ranks, first) - 1
-    most = 1 + F.least(n - i - 1, size - j - 1)
-    shared = F.size(F.array_intersect(ranks, template))
-    # conditions in the order of their cost; the last verifies
-    return F.when((size >= need) & first.isNotNull() & (most >= need), F.when(shared >= need, shared / F.lit(float(n))))
+def _literal(value: list) -> Column:
+    return F.array(*[F.lit(v) for v in value])
 
 
 def template_matches(norm: DataFrame, frequencies: dict[str, int], templates=TEMPLATES) -> DataFrame:
-    """``norm`` (columns ``text`` and ``s`` at least) with ``matches``: array of (label, containment) of blocks."""
-    sets = template_sets(templates)
+    """``norm`` (columns ``text`` and ``s`` at least) with ``matches``: the labels of templates that a block meets, with the largest containment."""
     order = {w: i for i, w in enumerate(sorted(frequencies, key=lambda w: (frequencies[w], w)))}
-    ranked = [(label, sorted(order[w] for w in words), need) for label, words, need in sets]
     by_rank = sorted(order, key=order.get)
-    rare = sorted({by_rank[r] for _, ranks, need in ranked for r in ranks[: len(ranks) - need + 1]})
-    in_text = F.col("s").rlike(" (?:" + "|".join(rare) + ") ")
-    vocabulary = F.array(*[F.lit(w) for w in by_rank])
-
-    def of_block(block: Column) -> Column:
-        held = F.array_intersect(vocabulary, F.split(spaced(block), " "))
-        ranks = F.transform(held, lambda w: (F.array_position(vocabulary, w) - 1).cast("int"))
-        return F.array_compact(
-            F.array(
-                *[
-                    F.when(_contained(ranks, r, need).isNotNull(), F.struct(F.lit(label).alias("label"), _contained(ranks, r, need).alias("held")))
-                    for label, r, need in ranked
-                ]
-            )
-        )
+    sets = [(label, sorted(order[w] for w in words), need) for label, words, need in template_sets(templates)]
+    longest = [len(text.split()) for _, text in templates]
+    sizes = [1 << max(4, (n - 1).bit_length()) for n in longest]
+    index: dict[int, list[int]] = {}
+    for t, (_, ranks, need) in enumerate(sets):
+        for r in ranks[: len(ranks) - need + 1]:
+            index.setdefault(r, []).append(t)
+    rare = " (?:" + "|".join(by_rank[r] for r in sorted(index)) + ") "
+
+    # literals: the templates by number, and for each word the templates in whose prefix it is
+    table = F.array(*[F.struct(F.lit(label).alias("label"), _literal(ranks).alias("ranks"), F.lit(need).alias("need"), F.lit(size).alias("size")) for (label, ranks, need), size in zip(sets, sizes, strict=True)])
+    places = F.array(*[_literal(index.get(r, [])).cast("array<int>") for r in range(len(by_rank))])
+    has_rare = lambda b: spaced(b).rlike(rare)
+
+    def windows(size: int):
+        """(size, block) of a paragraph's windows of twice ``size`` words; short paragraphs are one."""
+
+        def of(piece: Column) -> Column:
+            words = F.split(F.trim(spaced(piece)), " ")
+            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size, F.lit(1)), F.lit(size))
+            return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), F.array_join(F.slice(words, i, 2 * size), " ").alias("block")))
+
+        return of
+
+    found = norm.withColumn("_rare", F.col("s").rlike(rare))
+    text = F.when(F.col("_rare"), low(F.col("text"))).otherwise("")
+    lines = F.transform(F.filter(F.split(text, _BLOCKS), has_rare), lambda b: F.struct(F.lit(0).alias("size"), b.alias("block")))
+    paragraphs = F.filter(F.split(text, _PARAGRAPHS), has_rare)
+    wide = [F.flatten(F.transform(paragraphs, windows(size))) for size in sorted(set(sizes))]
+    found = found.withColumn("_blocks", F.filter(F.concat(lines, *wide), lambda b: has_rare(b["block"])))
+
+    vocabulary = _literal(by_rank)
+
+    def ranked(b: Column) -> Column:
+        held = F.array_intersect(vocabulary, F.split(spaced(b["block"]), " "))
+        return F.struct(b["size"].alias("size"), F.transform(held, lambda w: (F.array_position(vocabulary, w) - 1).cast("int")).alias("ranks"))
+
+    found = found.withColumn("_ranked", F.transform("_blocks", ranked))
+
+    def of_block(b: Column) -> Column:
+        near = F.array_distinct(F.flatten(F.transform(b["ranks"], lambda r: F.get(places, r))))  # templates that share a prefix word
+        met = F.transform(near, lambda t: F.struct(F.get(table, t).alias("t"), b["ranks"].alias("ranks")))
+        met = F.filter(met, lambda x: (b["size"] == 0) | (b["size"] == x["t"]["size"]))
+        met = F.filter(met, lambda x: (F.size(x["ranks"]) >= x["t"]["need"]) & (_most(x) >= x["t"]["need"]))
+        met = F.transform(met, lambda x: F.struct(x["t"]["label"].alias("label"), (_shared(x) / F.size(x["t"]["ranks"])).alias("held"), (_shared(x) >= x["t"]["need"]).alias("ok")))
+        return F.filter(met, lambda x: x["ok"])
+
+    found = found.withColumn("_met", F.flatten(F.transform("_ranked", of_block)))
+    labels = F.array_distinct(F.transform("_met", lambda m: m["label"]))
+    best = lambda k: F.array_max(F.transform(F.filter("_met", lambda m: m["label"] == k), lambda m: m["held"]))
+    matches = F.transform(labels, lambda k: F.struct(k.alias("label"), best(k).alias("held")))
+    return found.withColumn("matches", matches).drop("_rare", "_blocks", "_ranked", "_met")
+
 
-    has_rare = lambda b: spaced(b).rlike(" (?:" + "|".join(rare) + ") ")
-    stride = max(len(t.split()) for _, t in templates)
+def _shared(x: Column) -> Column:
+    return F.size(F.array_intersect(x["ranks"], x["t"]["ranks"]))
 
-    def windows(piece: Column) -> Column:
-        words = F.split(F.trim(spaced(piece)), " ")
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 2 * stride, F.lit(1)), F.lit(stride))
-        # the last start may leave up to a stride of words beyond its window
-        ends = F.concat(starts, F.array(F.greatest(F.size(words) - 3 * stride + 1, F.lit(1))))
-        return F.transform(F.array_distinct(ends), lambda i: F.array_join(F.slice(words, i, 3 * stride), " "))
 
-    lines = F.filter(F.split(F.lower("text"), _BLOCKS), has_rare)
-    wrapped = F.filter(F.split(F.lower("text"), _WRAPPED), lambda b: F.contains(b, F.lit("\n")) & has_rare(b))
-    joined = F.filter(F.flatten(F.transform(wrapped, windows)), has_rare)
-    blocks = F.concat(lines, joined)
-    nothing = F.array().cast("array<struct<label:string,held:double>>")
-    return norm.withColumn("matches", F.when(in_text, F.flatten(F.transform(blocks, of_block))).otherwise(nothing))
+def _most(x: Column) -> Column:
+    """How many words a block and a template can share, by the places of the first one."""
+    first = F.array_min(F.array_intersect(x["ranks"], x["t"]["ranks"]))
+    i, j = F.array_position(x["t"]["ranks"], first), F.array_position(x["ranks"], first)
+    return 1 + F.least(F.size(x["t"]["ranks"]) - i, F.size(x["ranks"]) - j)
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -172,23 +237,30 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     gaps = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = "[" + ", ".join(f"{{'p': {p.split()!r}, 'label': '{k}'}}" for p, k in PHRASES) + "]"
-    sets = "[" + ", ".join(f"{{'t': {w!r}, 'k': {need}, 'label': '{k}'}}" for k, w, need in template_sets()) + "]"
+    size = {label: 1 << max(4, (len(text.split()) - 1).bit_length()) for label, text in TEMPLATES}
+    sets = "[" + ", ".join(f"{{'t': {w!r}, 'k': {need}, 'label': '{k}', 'size': {size[k]}}}" for k, w, need in template_sets()) + "]"
+    sizes, lowered = sorted(set(size.values())), f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
     return f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text,
-    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{gaps}'), lambda w: w <> '') AS w FROM documents
+  SELECT doc_id, {lowered} AS text,
+    list_filter(regexp_split_to_array({lowered}, '{gaps}'), lambda w: w <> '') AS w FROM documents
 ), places AS (
   SELECT doc_id, q.label AS label, i - 1 AS place
   FROM d, unnest({phrases}) u(q), unnest(range(1, len(w) + 1)) r(i)
   WHERE len(list_intersect(w, q.p)) = len(q.p) AND list_slice(w, i, i + len(q.p) - 1) = q.p
 ), base AS (
   SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, 0 AS size, b FROM d, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\\s', '\\1' || chr(10), 'g'), '\\n')) u(b)
+), wide AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(b, '{gaps}'), lambda w: w <> '') AS w
+  FROM d, unnest(regexp_split_to_array(text, '\\n[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\\n')) u(b)
 ), blocks AS (
-  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(b, '{gaps}'), lambda w: w <> '')) AS b
-  FROM d, unnest(regexp_split_to_array(regexp_replace(lower(text), '([.!?])\\s', '\\1' || chr(10), 'g'), '\\n')) u(b)
+  SELECT doc_id, size, list_distinct(list_filter(regexp_split_to_array(b, '{gaps}'), lambda w: w <> '')) AS b FROM lines
+  UNION ALL SELECT doc_id, size, list_distinct(list_slice(w, i, i + 2 * size - 1)) FROM wide, unnest({sizes}) z(size), unnest(range(1, greatest(len(w) - size, 1) + 1, size)) r(i)
 ), held AS (
   SELECT doc_id, s.label AS label, len(list_intersect(b, s.t)) / len(s.t)::DOUBLE AS held
-  FROM blocks, unnest({sets}) u(s) WHERE len(list_intersect(b, s.t)) >= s.k
+  FROM blocks, unnest({sets}) u(s) WHERE (size = 0 OR size = s.size) AND len(list_intersect(b, s.t)) >= s.k
 ), own AS (
   SELECT doc_id, max(held) AS held, list(DISTINCT label) AS labels FROM held GROUP BY doc_id
 )
