@@ -18,7 +18,7 @@ one output row, so its turns meet in one task; nothing else does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tokens that one unit of an attachment expands to (an image tile, a second of audio, a document page).
@@ -86,25 +86,19 @@ def chat_format(turns: DataFrame) -> DataFrame:
             lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")),
         ).alias("files"),
     )
-    one = F.struct("turn", "role", "content", "head", "files")
+    # where each turn starts: a running sum over the earlier ones; the collection below keeps the window's partitions
+    size = (F.char_length("head") + F.char_length("content") + 4).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, -1)
+    row = row.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    one = F.struct("turn", "role", "content", "at", "head", "files")
     conv = row.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
-    sizes = F.transform("t", lambda x: F.char_length(x["head"]) + F.char_length(x["content"]) + 4)
-    conv = conv.select("conv_id", "t", sizes.alias("sizes"))
-    # running starts: the sum over earlier turns, in steps of whole arrays rather than turn by turn
-    starts = F.aggregate(
-        "sizes",
-        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("at")),
-        lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["at"], acc["sum"]).alias("at")),
-        lambda acc: acc["at"],
-    )
-    spans = F.zip_with(
+    spans = F.transform(
         "t",
-        starts,
-        lambda x, s: F.when(
+        lambda x: F.when(
             x["role"] == "assistant",
             F.struct(
-                (s + F.char_length(x["head"])).alias("start"),
-                (s + F.char_length(x["head"]) + F.char_length(x["content"])).alias("end"),
+                (x["at"] + F.char_length(x["head"])).alias("start"),
+                (x["at"] + F.char_length(x["head"]) + F.char_length(x["content"])).alias("end"),
             ),
         ),
     )
