@@ -126,7 +126,8 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     base = base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("segs", shapes(F.col("path")))
     known, bad = F.col("fit").isNotNull(), F.col("fit.verdict") == "block"
     counts = base.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_if(known & bad).alias("bad"))
-    tree = generalise(counts, Scratch(pages.sparkSession, "urls"))
+    scratch = Scratch(pages.sparkSession, "urls")
+    tree = generalise(counts, scratch)
     leaf = tree.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     own = leaf.groupBy("host").agg(F.sum("known").alias("host_known"), F.sum("bad").alias("host_bad"))
     total = own.agg(F.sum("host_known").alias("all_known"), F.sum("host_bad").alias("all_bad"))
@@ -135,7 +136,8 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     purity = (F.col("bad") + WEIGHT * towards) / (F.col("known") + WEIGHT)
     # the total is a single row
     leaf = leaf.join(own, "host").crossJoin(F.broadcast(total)).select("host", "template", purity.alias("purity"))
-    found = tree.select("host", "segs", "template").join(leaf, ["host", "template"])
+    # written, so that where it is too large to be broadcast the join below can split a host's commonest shape
+    found = scratch.write(tree.select("host", "segs", "template").join(leaf, ["host", "template"]))
     return base.join(found, ["host", "segs"]).select(
         "page_id",
         "host",
