@@ -5,8 +5,8 @@ Their responses are max-pooled in overlapping chunks of 1024 bytes (128 shared w
 text's probability comes from the mean and the maximum of its chunks. Embedding, filters and output
 weights are learned together by Adam on log loss.
 
-The network is fitted on the driver, on at most ``SAMPLE`` labelled rows (those of least hash) and at
-most ``CHUNKS`` random chunks of each; every text is scored whole. Labels are read from the label table
+The network is fitted on the driver, on whole texts: the labelled rows of least hash, at most ``SAMPLE`` rows that
+together have at most ``SAMPLE_BYTES`` bytes. Every text is scored whole. Labels are read from the label table
 only; ids, language and source are never inputs.
 
 Null and empty texts get the score of a text without chunks. Without labelled rows all scores are 0.5.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import slices, text_bytes
@@ -27,7 +27,7 @@ from citeloom.llm.common import slices, text_bytes
 DIM, FILTERS, BLOCK, PIECE = 8, 16, 4, 32  # a piece is 32 blocks of four bytes
 PIECES, STEP = 8, 7  # pieces in a chunk; from one chunk to the next
 CHUNK_BYTES = PIECES * PIECE * BLOCK
-SAMPLE, CHUNKS, STEPS, BATCH = 3000, 6, 500, 64
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH = 3000, 32_000_000, 500, 64
 THRESHOLD = 0.3
 
 
@@ -137,17 +137,12 @@ class ByteCnn:
         return self
 
 
-def _some_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most CHUNKS chunks of each text, chosen by its id, on the grid that scoring uses."""
-    for batch in batches:
-        out = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            step = STEP * PIECE * BLOCK
-            n = max(0, -(-(len(raw) - CHUNK_BYTES) // step)) + 1 if raw else 0
-            at = range(n) if n <= CHUNKS else np.sort(np.random.default_rng(abs(key)).choice(n, CHUNKS, replace=False))
-            out.append([raw[i * step : i * step + CHUNK_BYTES + BLOCK] for i in at])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "quality", "chunks"])
+def chunks_of(text: str | None) -> list[bytes]:
+    """All chunks of a text on the grid that scoring uses, each with the block after it."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    step = STEP * PIECE * BLOCK
+    n = max(0, -(-(len(raw) - CHUNK_BYTES) // step)) + 1 if raw else 0
+    return [raw[i * step : i * step + CHUNK_BYTES + BLOCK] for i in range(n)]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -156,15 +151,18 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteCnn:
-    """The network, fitted on the ``sample`` labelled rows of least hash outside the held-out fifth."""
+    """The network, fitted on labelled rows outside the held-out fifth: those of least hash within the bounds on rows and bytes."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most ``sample`` rows of 12 bytes: their size is fixed
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
-    rows = rows.mapInArrow(_some_chunks, "doc_id long, quality int, chunks array<binary>").orderBy("doc_id", "quality").limit(sample).collect()
-    return ByteCnn().fit([[bytes(c) for c in r.chunks] for r in rows], np.array([r.quality for r in rows]))
+    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text", F.octet_length("text").cast("long").alias("size"))
+    rows = rows.where("size > 0 and size <= %d" % SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(sample)
+    # a running sum over these few rows; those within the bound come to the driver
+    total = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("total", F.sum("size").over(total)).where(F.col("total") <= SAMPLE_BYTES).select("quality", "text").collect()
+    return ByteCnn().fit([chunks_of(r.text) for r in rows], np.array([r.quality for r in rows]))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, model: ByteCnn) -> DataFrame:
