@@ -6,11 +6,12 @@ chunks around it. Chunks are posted by digest; the first place of each digest (s
 position) stays, all others are repeats. Neighbouring repeats join into runs. As short chunks repeat by
 chance, a run counts only as far as it holds chunks that follow one source at one distance for at
 least ``STRONG_WORDS`` words or ``STRONG_BYTES`` bytes; from ``MIN_WORDS`` words or ``MIN_BYTES`` bytes on it is a
-repeated span, so that texts without spaces have theirs too. What is repeated more than
-once in a task's rows is settled there and posted once, so a chunk that a third of all documents hold
-costs one posting a task.
+repeated span, so that texts without spaces have theirs too. A chunk that some of a task's rows repeat is
+posted once for all of them, and what is found about it comes back to them, so a chunk that a third of all documents hold
+costs one posting a task, and spans don't depend on the partitions.
 
-Null and empty texts have no chunks. Rows that agree in id and text are one document. A text without
+A document that repeats its own passages has repeated spans too. Null and empty texts and rows without an id have no
+chunks: they repeat nothing and stay. Rows that agree in id and text are one document. A text without
 white space is cut at character bounds, every 255 bytes at the latest. Ties are settled by document
 and position. Empty tables give no spans.
 """
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ _GEAR = (mix64(np.arange(256, dtype=U64), 31) >> U64(40)).astype(np.uint32)
 _BYTE = mix64(np.arange(256, dtype=U64), 32)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POST = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "u1"), ("words", "u1")])
+_POST = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "u1"), ("words", "u1"), ("task", "<i8")])
+_AGAIN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("length", "u1"), ("words", "u1")])
+_FIRST = np.dtype([("h", "<u8"), ("first", "<i8"), ("place", "<u4")])
 _REPEAT = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "u1"), ("words", "u1"), ("first", "<i8"), ("place", "<u4")])
 _PAD = 48  # zero bytes between texts, so that nothing sees its neighbour
 
@@ -135,18 +139,22 @@ def _as_repeats(firsts: np.ndarray, again: np.ndarray, first: np.ndarray) -> np.
     return out
 
 
-def _spread(rows: np.ndarray, bucket: np.ndarray, kind: int) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+# kinds of packed rows
+POSTED, AGAIN, SETTLED, FOUND = range(4)
+
+
+def _spread(rows: np.ndarray, key: np.ndarray, kind: int) -> pa.RecordBatch:
+    order = np.argsort(key, kind="stable")
+    rows, key = rows[order], key[order]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(rows) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(rows))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(bucket[cut].astype(np.int32)),
+            pa.array(key[cut].astype(np.int64)),
             pa.array([kind] * len(cut), pa.int32()),
             pa.array([rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
         ],
-        ["bucket", "kind", "posts"],
+        ["key", "kind", "posts"],
     )
 
 
@@ -154,15 +162,24 @@ def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(doc.astype(U64), 34) % U64(buckets)).astype(np.int64)
 
 
+def _packed(rows: list[tuple], kind: int, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(r[1] for r in rows if r[0] == kind), dtype)
+
+
 def _posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    """Each digest's first place in a part of the task's rows by the digest's bucket, and under the part's own key those after it."""
+    held, size, task = [], 0, -1 - (TaskContext.get().partitionId() << 24)
 
     def out() -> Iterator[pa.RecordBatch]:
         firsts, again, first = _settle(np.concatenate(held))
-        yield _spread(firsts, (firsts["h"] % U64(buckets)).astype(np.int64), 0)
-        # a place that isn't its task's first can't be the first of all: only its document needs to know
+        firsts["task"] = 0
+        firsts["task"][first] = task  # 0: nobody waits for an answer
+        yield _spread(firsts, (firsts["h"] % U64(buckets)).astype(np.int64), POSTED)
         if len(again):
-            yield _spread(_as_repeats(firsts, again, first), _doc_bucket(again["doc"], buckets), 1)
+            rows = np.zeros(len(again), _AGAIN)
+            for name in _AGAIN.names:
+                rows[name] = again[name]
+            yield _spread(rows, np.full(len(rows), task), AGAIN)
 
     for batch in batches:
         batch = batch.filter(batch.column(0).is_valid())
@@ -177,17 +194,44 @@ def _posts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             size += len(rows)
             if size >= 1 << 18:
                 yield from out()
-                held, size = [], 0
+                held, size, task = [], 0, task - 1
     if size:
         yield from out()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for _, rows in key_runs(batches, 1):
-        known = np.frombuffer(b"".join(r[1] for r in rows if r[0] == 1), _REPEAT)
-        out = np.concatenate((known, _as_repeats(*_settle(np.frombuffer(b"".join(r[1] for r in rows if r[0] == 0), _POST)))))
-        if len(out):
-            yield _spread(out, _doc_bucket(out["doc"], buckets), 1)
+    """Repeats by their document's bucket, and for parts of tasks that wait the first places of their digests."""
+    for (key,), rows in key_runs(batches, 1):
+        if key < 0:
+            yield _spread(np.concatenate([np.frombuffer(r[1], _AGAIN) for r in rows]), np.full(sum(len(r[1]) // _AGAIN.itemsize for r in rows), key), AGAIN)
+            continue
+        posts = _packed(rows, POSTED, _POST)
+        firsts, again, first = _settle(posts)
+        if len(again):
+            yield _spread(_as_repeats(firsts, again, first), _doc_bucket(again["doc"], buckets), FOUND)
+        waits = posts[posts["task"] < 0]
+        if len(waits):
+            at = np.searchsorted(firsts["h"], waits["h"])
+            known = np.zeros(len(waits), _FIRST)
+            known["h"], known["first"], known["place"] = waits["h"], firsts["doc"][at], firsts["start"][at]
+            yield _spread(known, waits["task"], SETTLED)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """All repeats by their document's bucket: those of waiting parts of tasks meet the first places of their digests."""
+    for (key,), rows in key_runs(batches, 1):
+        if key >= 0:
+            found = _packed(rows, FOUND, _REPEAT)
+            yield _spread(found, np.full(len(found), key), FOUND)
+            continue
+        again, known = _packed(rows, AGAIN, _AGAIN), _packed(rows, SETTLED, _FIRST)
+        known = known[np.argsort(known["h"])]
+        at = np.searchsorted(known["h"], again["h"])
+        out = np.zeros(len(again), _REPEAT)
+        for name in ("doc", "start", "length", "words"):
+            out[name] = again[name]
+        out["first"], out["place"] = known["first"][at], known["place"][at]
+        yield _spread(out, _doc_bucket(out["doc"], buckets), FOUND)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +281,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Offsets count UTF-8 bytes; ``source_doc_ids`` are the documents whose first occurrences it repeats.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = "bucket int, kind int, posts binary"
+    packed = "key long, kind int, posts binary"
     n = bucket_count(base)
     posts = base.mapInArrow(lambda batches: _posts(batches, n), packed)
-    again = by_key(posts, ["bucket"]).mapInArrow(lambda batches: _repeats(batches, n), packed)
+    again = by_key(posts, ["key"]).mapInArrow(lambda batches: _repeats(batches, n), packed)
+    found = by_key(again, ["key"]).mapInArrow(lambda batches: _answered(batches, n), packed)
     schema = "doc_id long, start_byte long, n_bytes long, n_words long, source_doc_ids array<long>"
-    return by_key(again, ["bucket"]).mapInArrow(_runs, schema)
+    return by_key(found, ["key"]).mapInArrow(_runs, schema)
 
 
 def _cut(column: int, spans: int):

@@ -298,6 +298,48 @@ def test_quality_network(spark, edge):
     assert np.allclose(model.score(flat, starts), alone)
 
 
+def test_quality_score_equals_plain_loops():
+    model = quality_cnn.ByteCnn(3)
+    rng = np.random.default_rng(2)
+    for name in ("mean", "most", "bias"):
+        model.p[name] = rng.normal(0, 0.3, quality_cnn.FILTERS).astype(np.float32)
+    for size in (0, 1, 7, 900, 1024, 1025, 2500):
+        text = bytes(rng.integers(0, 256, size, dtype=np.uint8))
+        blocks = [text[i : i + 4].ljust(4, b"\0") for i in range(0, size, 4)]
+        vector = lambda b: model.p["embed"][list(b)].ravel()
+        half = quality_cnn.FILTERS
+        out = []
+        for i, b in enumerate(blocks):
+            nxt = blocks[i + 1] if i + 1 < len(blocks) else b"\0" * 4
+            z = vector(b) @ model.p["filters"][:, :half] + model.p["bias"]
+            if i + 1 < len(blocks) or True:
+                z = z + vector(nxt) @ model.p["filters"][:, half:]
+            out.append(np.maximum(z, 0))
+        pooled, step, wide = [], quality_cnn.STEP * quality_cnn.PIECE, quality_cnn.PIECES * quality_cnn.PIECE
+        for c in range(len(quality_cnn.chunks_of(text.decode("latin-1"))) if size else 0):
+            part = out[c * step : c * step + wide]
+            if part:
+                pooled.append(np.max(part, axis=0))
+        n_chunks = max(0, -(-(-(-size // 128) - 8) // 7)) + 1 if size else 0
+        pooled = pooled[:n_chunks]
+        logit = float(model.p["base"][0])
+        if pooled:
+            logit += float(np.mean(pooled, axis=0) @ model.p["mean"] + np.max(pooled, axis=0) @ model.p["most"])
+        got = model.score(np.frombuffer(text, np.uint8), np.array([0, size]))[0]
+        assert got == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4), size
+
+
+def test_quality_sample_is_bounded_by_bytes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality_cnn, "SAMPLE_BYTES", 3000)
+    monkeypatch.setattr(quality_cnn.ByteCnn, "fit", lambda self, texts, labels: taken.append(texts) or self)
+    docs = docs_frame(spark, [(i, "x" * 500) for i in range(30)] + [(40, "y" * 5000)])
+    quality_cnn.fit_quality(docs, spark.createDataFrame([(i, 1, 0) for i in range(41)], "doc_id long, quality int, toxic int"))
+    assert len(taken[0]) == 6 and all(len(b"".join(t)) == 500 for t in taken[0])
+    long = "z" * 5000  # all chunks of a text, on the grid that scoring uses
+    assert len(quality_cnn.chunks_of(long)) == 6 and quality_cnn.chunks_of(long)[-1][-1:] == b"z"
+
+
 def brute_hits(text, items):
     low = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
     words = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(s))
@@ -369,6 +411,66 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert all(passage[80:-80] not in kept[101 + i] for i in range(29))
 
 
+def test_repeated_spans_equal_brute_force(spark):
+    """Chunks by plain loops, the first place of each chunk by a dictionary, runs by a walk over each text."""
+    rng = random.Random(18)
+    parts = [prose(n, rng) for n in (30, 60, 90, 25)]
+    texts = []
+    for i in range(30):
+        body = [prose(rng.randint(5, 60), rng)]
+        for _ in range(rng.choice([0, 1, 2])):
+            body += [rng.choice(parts), prose(rng.randint(1, 30), rng)]
+        texts.append((i, "\n".join(body)))
+    texts += [(50, texts[3][1]), (51, None), (52, "")]
+
+    def cut(data):
+        """Ends where the rating of a place is the largest of those REACH before and after it."""
+        space = [b in b" \t\n\r\x0b\x0c" for b in data]
+        rate = []
+        for i in range(len(data)):
+            h = 0
+            for b in [0] * 16 + list(data[max(0, i - 15) : i + 1]):
+                h = (2 * h + int(cdc_dedup._GEAR[b])) & 0xFFFF
+            ends = i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80
+            rate.append(h + 1025 if space[i] else (h >> 6) + 1 if ends else 0)
+        at = [i + 1 for i, r in enumerate(rate) if r > max(rate[max(0, i - cdc_dedup.REACH) : i], default=0) and r >= max(rate[i + 1 : i + 1 + cdc_dedup.REACH], default=0)]
+        return sorted({0, len(data), *at})
+
+    pieces, first = {}, {}
+    for i, t in sorted(texts, key=lambda x: x[0]):
+        data = (t or "").encode()
+        at = cut(data) if data else []
+        pieces[i] = [(a, b, data[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        for a, _, chunk in pieces[i]:
+            first.setdefault(chunk, (i, a))
+    want = set()
+    for i, own in pieces.items():
+        data = (dict(texts)[i] or "").encode()
+        starts = {k for k in range(len(data)) if not data[k : k + 1].isspace() and (k == 0 or data[k - 1 : k].isspace())}
+        words = lambda a, b: len([k for k in starts if a <= k < b])  # noqa: E731, B023
+        runs, run = [], []
+        for a, b, chunk in [*own, (-1, -1, None)]:
+            if chunk is not None and first[chunk] != (i, a):
+                run.append((a, b, first[chunk][0], first[chunk][1] - a))
+            elif run:
+                runs.append(run)
+                run = []
+        for run in runs:
+            line = {}
+            for a, b, doc, away in run:
+                x = line.setdefault((doc, away), [0, 0])
+                x[0] += words(a, b)
+                x[1] += b - a
+            strong = [line[d, w][0] >= cdc_dedup.STRONG_WORDS or line[d, w][1] >= cdc_dedup.STRONG_BYTES for _, _, d, w in run]
+            if any(strong):
+                low, high = strong.index(True), len(run) - 1 - strong[::-1].index(True)
+                a, b = run[low][0], run[high][1]
+                if words(a, b) >= cdc_dedup.MIN_WORDS or b - a >= cdc_dedup.MIN_BYTES:
+                    want.add((i, a, b - a, words(a, b), tuple(sorted({d for (_, _, d, _), ok in zip(run[low : high + 1], strong[low : high + 1], strict=True) if ok}))))
+    got = {(r.doc_id, r.start_byte, r.n_bytes, r.n_words, tuple(r.source_doc_ids)) for r in cdc_dedup.repeated_spans(docs_frame(spark, texts)).collect()}
+    assert got - want == set() and want - got == set() and len(want) > 15
+
+
 def test_cdc_texts_without_spaces(spark):
     rng = random.Random(9)
     signs = lambda n, low, high: "".join(chr(rng.randint(low, high)) for _ in range(n))
@@ -392,9 +494,10 @@ def test_cdc_edges(spark, edge):
 
 
 def test_chunks_resist_shifts():
-    a = prose(400).encode()
     digests = lambda d: set(cdc_dedup.chunks(np.frombuffer(d, np.uint8), np.array([0, len(d)]))[4].tolist())
-    assert len(digests(a) & digests(b"some words before " + a)) >= len(digests(a)) - 2
+    for seed in range(20):  # an insertion moves the chunks of the next 64 bytes at most, whatever the text
+        a = prose(400, random.Random(seed)).encode()
+        assert len(digests(a) & digests(b"some words before " + a)) >= len(digests(a)) - 4
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -437,6 +540,89 @@ def test_url_sections_that_part_deep(spark):
     assert got["/a/b"].template == "/~/b" and got[""].template == "/" and got["/" + "/".join("x" * 40)].template == "/" + "/".join("x" * 40)
 
 
+def brute_templates(urls, rules):
+    """The tree by plain loops over one dictionary of counts for each level."""
+
+    def shape(x):
+        stem, end = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z]{1,5})?", x).groups()
+        for pattern, name in ((r"\d{4}-\d{1,2}(-\d{1,2})?", "<date>"), (r"\d+", "<number>"), (r"[0-9a-fA-F-]{8,}", "<hex>")):
+            if re.fullmatch(pattern, stem):
+                return name + (end or "")
+        return ("<mixed>" if re.search(r"\d", stem) else stem) + (end or "")
+
+    tree, own = {}, []
+    for u in urls:
+        rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        key = (host, tuple(shape(x) for x in path.split("/") if x))
+        n = tree.setdefault(key, [0, 0, 0])
+        n[0] += 1
+        n[1] += bool(fits)
+        n[2] += bool(fits) and max(fits)[1] == "block"
+        own.append((key, max(fits)[1] if fits else None))
+    done, now, level = {}, {k: () for k in tree}, 0
+    while now:
+        level += 1
+        places = {}
+        for k, t in now.items():
+            places.setdefault((k[0], t), []).append(k)
+        step = {}
+        for (host, t), keys in places.items():
+            if len(keys) == 1:
+                done[keys[0]] = t + keys[0][1][level - 1 :]
+                continue
+            branch = {}
+            for k in keys:
+                if len(k[1]) < level - 1:
+                    done[k] = t
+                    continue
+                b = branch.setdefault(k[1][level - 1] if len(k[1]) >= level else "", [0, 0, 0, []])
+                for i in range(3):
+                    b[i] += tree[k][i]
+                b[3].append(k)
+            total = [sum(b[i] for b in branch.values()) for i in range(3)]
+            named = [b for s, b in branch.items() if s]
+            for seg, b in branch.items():
+                literal = seg and not seg.startswith("<")
+                name = seg
+                share = total[2] / total[1] if total[1] else 0
+                if literal and len(named) > url_tree.MANY and max(x[0] for x in named) < url_tree.LARGE * total[0]:
+                    name = "*"
+                elif literal and len(named) > 1 and b[1] and abs(b[2] / b[1] - share) <= url_tree.SIMILAR * (share * (1 - share) / b[1]) ** 0.5 + 1e-12:
+                    name = "~"
+                for k in b[3]:
+                    step[k] = t + ((name,) if name else ())
+        if not any(len(k[1]) >= level for k in step):
+            done |= step
+            break
+        now = step
+    leaf, hosts = {}, {}
+    for k, t in done.items():
+        for d, key in ((leaf, (k[0], t)), (hosts, k[0])):
+            x = d.setdefault(key, [0, 0])
+            x[0] += tree[k][1]
+            x[1] += tree[k][2]
+    known, bad = (sum(x[i] for x in hosts.values()) for i in (0, 1))
+    out = []
+    for k, verdict in own:
+        towards = (hosts[k[0]][1] + url_tree.WEIGHT * (bad + 1) / (known + 2)) / (hosts[k[0]][0] + url_tree.WEIGHT)
+        x = leaf[k[0], done[k]]
+        purity = (x[1] + url_tree.WEIGHT * towards) / (x[0] + url_tree.WEIGHT)
+        out.append(("/" + "/".join(done[k]), verdict or ("block" if purity >= url_tree.REJECT else "allow"), round(purity, 9)))
+    return out
+
+
+def test_url_trees_equal_brute_force(spark, sf_dir):
+    rng = random.Random(6)
+    urls = [f"http://{rng.choice(['a.com', 'b.net', 'c.b.net', 'd.org'])}/" + "/".join(rng.choice(["en", "de", "es", "x1", "2020-01-02", "7", "shop", "p.html", rng.choice(VOCAB)]) for _ in range(rng.randint(0, 5))) for _ in range(800)]
+    urls += [None, "", "none"] + [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.template, r.verdict, round(r.purity, 9)) for r in url_tree.url_verdicts(df).collect()}
+    assert [got[i] for i in range(len(urls))] == brute_templates(urls, RULES)
+
+
 PAGE = "<html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a>Menu</a></ul></nav><!-- c --><div class='ad'>Buy</div>{main}<aside>Side</aside><div class=\"comments\"><p>Nice</p></div><footer>&copy; x</footer></body></html>"
 
 
@@ -494,6 +680,44 @@ def test_html_classes_are_ordered_and_nested():
     assert not any(ul in c and "html/body/main/ul/dl" in c for c in html_template.valid_classes(mixed))
 
 
+def test_html_scan_is_one_pass():
+    """Broken markup of a million characters takes seconds; pieces are the page's characters, each once and in order."""
+    import time
+
+    bad = ["<a ", '<a"', "<a '\"", "<div>", "<b>x", "<li>x", "<!-- ", "<", "<script>", "</div>", '<div class="', "<a<b", "&amp"]
+    for piece in bad:
+        begin = time.process_time()
+        html_template.main_texts([piece * (1_000_000 // len(piece))])
+        assert time.process_time() - begin < 15, piece
+    assert list(html_template.scan('<p class="a>b" x=\'<\'>t<i >u</i')) == [("open", "p", ' class="a>b" x=\'<\''), ("text", "t", ""), ("open", "i", " "), ("text", "u", ""), ("close", "i", "")]
+    assert list(html_template.scan("a<b c<d>e")) == [("text", "a", ""), ("open", "b", " c<d"), ("text", "e", "")]
+    assert html_template.main_texts(["<div class='search-results-story'>Real article text...</div><div>x</div>"]) == ["Real article text..."]
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Headline</h1></header><p>x <div class='modal-verbs'>y</div></article></body>"
+    assert html_template.main_texts([page]) == ["Headline\nx\ny"]
+
+
+def test_html_groups_ignore_partitions(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").unionByName(spark.createDataFrame([(10_000 + i, f"http://big.com/{i}", PAGE.format(main=f"<article><p>{prose(20)}</p></article>")) for i in range(300)], "page_id long, url string, html string"))
+    a, b = ({r.page_id: r.text for r in html_template.extract_main_text(pages.repartition(n)).collect()} for n in (1, 7))
+    assert a == b and len(a) == pages.count()
+
+
+def test_html_templates_equal_what_pages_were_made_of(spark):
+    """Sites of random templates: the slots that were filled in come back, and nothing of the template."""
+    rng = random.Random(14)
+    for site in range(6):
+        menu, note, foot = ("".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.sample(VOCAB, 5)), prose(6, rng), prose(5, rng))
+        wrap = rng.choice(["<article>{}</article>", "<main><div class='c'>{}</div></main>", "<div id='content'>{}</div>"])
+        block = rng.choice(["<p>{}</p>", "<section><p>{}</p></section>", "<div class='t'>{}</div>"])
+        pages, want = [], []
+        for _ in range(12):
+            slots = [prose(rng.randint(5, 40), rng) for _ in range(rng.randint(1, 5))]
+            want.append("\n".join(slots))
+            body = wrap.format("".join(block.format(x) for x in slots))
+            pages.append(f"<html><body><nav><ul>{menu}</ul></nav><div class='notice'>{note}</div>{body}<footer>{foot}</footer></body></html>")
+        assert html_template.main_texts(pages) == want, site
+
+
 def test_html_skeleton():
     pages = [html_template.Page(PAGE.format(main=f"<main><h2>{i}</h2>" + "<section>x</section>" * i + "</main>")) for i in range(1, 5)]
     order = html_template.skeleton(pages)
@@ -517,6 +741,12 @@ def test_chat_format_reads_back(spark):
     assert chat_format.chat_format(turns.limit(0)).count() == 0
 
 
+def test_chat_long_conversation(spark):
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), chat_format.text_parts(F.lit("<a")).alias("parts"))
+    r = chat_format.read_back(chat_format.chat_format(turns)).first()
+    assert len(r.turns) == 20_000 and r.loss == "<a" * 10_000
+
+
 def test_chat_attachments(spark):
     parts = [("text", "see ", None, None), ("image", None, "u1", 2), ("document", None, "d", None), ("other", "x", None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
