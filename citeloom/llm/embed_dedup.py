@@ -1,9 +1,10 @@
 """Embedding near-dedup by sorted projection passes.
 
 In each pass a vector gets the signs of 64 random projections as one number; ordered by it, vectors that
-start with the same signs are neighbours, and every vector is compared, in double precision, with a
-bounded window of the next ones. Pairs of cosine 0.9 or more are joined within a task, the spanning
-edges of all passes are united into components, and each component's links are then counted exactly:
+start with the same signs are neighbours, and every vector is compared with a bounded window of the next ones. What is
+ordered is a byte for each component and the rounding error's norm, which bounds how far a cosine can be off: pairs that are surely
+linked are joined within a task; pairs that could be either, and whose components are still apart when all passes are
+united, are compared in double precision. Each component's links are then counted exactly, in double precision:
 
 * vectors whose angles to the component's centre are at most half of the link angle are all linked with
   each other, so their links are the core's size, without any comparison;
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Scratch, UnionFind, by_key, components, key_runs
+from citeloom.llm.common import Scratch, by_key, components, key_runs
 
 COSINE = 0.9
-PASSES = 12  # at least
+PASSES = 8  # at least
 RECALL = 0.99  # of lone pairs at the link angle
-WINDOW = 48
+WINDOW = 512
 BLOCK = 2048
 #: Two angles of at most this much can't add up to more than the link angle.
 CORE = math.acos(COSINE) / 2 - 1e-7
@@ -72,6 +73,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as bytes, one row each: a scale and the norm of the rounding error (floats), then a byte for each component."""
+    scale = (np.abs(x).max(1) / 127).astype("<f4")
+    q = np.rint(x / scale[:, None].astype(np.float64)).astype(np.int8)
+    error = np.linalg.norm(x - q * scale[:, None].astype(np.float64), axis=1)
+    head = np.stack((scale, np.nextafter(error.astype("<f4"), np.float32(1))), axis=1)
+    return np.concatenate((np.ascontiguousarray(head).view(np.uint8), q.view(np.uint8)), axis=1)
+
+
+def _restored(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded vectors and their errors."""
+    head = np.ascontiguousarray(rows[:, :8]).view("<f4")
+    return rows[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as a binary column."""
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _codes(passes: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -85,12 +107,12 @@ def _codes(passes: int, bits: int, seed: int):
                 for size, at in by_size.items():
                     if size not in planes:
                         planes[size] = np.random.default_rng([seed, size]).normal(size=(size, passes * bits))
-                    signs = (_unit([packed[i] for i in at]) @ planes[size] >= 0).reshape(len(at), passes, bits)
+                    unit = _unit([packed[i] for i in at])
+                    signs = (unit @ planes[size] >= 0).reshape(len(at), passes, bits)
                     code = np.packbits(signs, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
                     # as an ordered signed number
                     code = (code ^ np.uint64(1 << 63)).astype(np.int64)
-                    ids = part.column(0).take(pa.array(at))
-                    vec = part.column(1).take(pa.array(at))
+                    ids, vec = part.column(0).take(pa.array(at)), _binary(rounded(unit))
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([p] * len(at), pa.int32()), pa.array([size] * len(at), pa.int32()), pa.array(code[:, p]), ids, vec],
@@ -100,39 +122,77 @@ def _codes(passes: int, bits: int, seed: int):
     return run
 
 
+def _united(n: int, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index of each one's component, under labels to start with and pairs to unite."""
+    label = start
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _windows(cosine: float, window: int):
-    """Spanning edges among neighbours of a sorted partition."""
+    """Edges (a, b, sure) among neighbours of a sorted partition: a spanning forest of the sure ones, and open pairs between its trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_key, tail_ids, tail_vecs = None, [], []
+        tail_key, tail = None, None  # of the last rows: ids, ids of their trees' roots, vectors, errors
 
-        def edges(ids: list[int], vecs: np.ndarray, new: int) -> pa.RecordBatch:
+        def edges(ids: np.ndarray, roots: np.ndarray, x: np.ndarray, error: np.ndarray, new: int) -> tuple[pa.RecordBatch, np.ndarray]:
             """Compare each of the last ``new`` rows with the ``window`` rows before it."""
-            union, a, b = UnionFind(len(ids)), [], []
-            for d in range(1, min(window, len(ids) - 1) + 1):
-                lo = max(0, len(ids) - new - d)
-                close = np.flatnonzero(np.einsum("ij,ij->i", vecs[lo : len(ids) - d], vecs[lo + d :]) >= cosine) + lo
-                for i in close.tolist():
-                    if union.join(i, i + d):
-                        a.append(ids[i])
-                        b.append(ids[i + d])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            old = len(ids) - new
+            dots = x[old:] @ x.T
+            slack = error[old:, None] + (1 + error[old:, None]) * error[None, :] + 1e-5
+            place, other = np.arange(old, len(ids))[:, None], np.arange(len(ids))[None, :]
+            near = (dots >= cosine - slack) & (other < place) & (other >= place - window)
+            i, j = np.nonzero(near)
+            sure = dots[i, j] >= cosine + slack[i, j]
+            i += old
+            _, first, start = np.unique(roots, return_index=True, return_inverse=True)
+            start = first[start]  # trees of earlier rows
+            label = _united(len(ids), start, i[sure], j[sure])
+            joined = np.flatnonzero((start == np.arange(len(ids))) & (label != start))
+            open_i, open_j = i[~sure], j[~sure]
+            apart = label[open_i] != label[open_j]
+            open_i, open_j = open_i[apart], open_j[apart]
+            a, b = np.concatenate((roots[label[joined]], ids[open_j])), np.concatenate((roots[joined], ids[open_i]))
+            kind = np.arange(len(a)) < len(joined)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], ["a", "b", "sure"]), roots[label]
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            ids = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if hi == lo:
+                    continue
+                key, width = tuple(keys[:, lo].tolist()), int(keys[1, lo]) + 8
+                raw = batch.column(4).slice(lo, hi - lo)
+                offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + 2]
+                rows = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[0] + (hi - lo) * width].reshape(hi - lo, width)
+                x, error = _restored(rows)
+                parts = (ids[lo:hi], ids[lo:hi], x, error)
+                if key == tail_key:
+                    parts = tuple(np.concatenate(p) for p in zip(tail, parts, strict=True))
+                found, roots = edges(*parts, hi - lo)
+                yield found
+                tail_key, tail = key, tuple(p[-window:] for p in (parts[0], roots, *parts[2:]))
 
+    return run
+
+
+def _linked(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                rows = list(zip(*(c.to_pylist() for c in batch.slice(lo, 1024).columns), strict=True))
-                i = 0
-                while i < len(rows):
-                    key, j = rows[i][:2], i
-                    while j < len(rows) and rows[j][:2] == key:
-                        j += 1
-                    if key != tail_key:
-                        tail_key, tail_ids, tail_vecs = key, [], []
-                    ids = tail_ids + [r[3] for r in rows[i:j]]
-                    vecs = np.concatenate([*tail_vecs, _unit([r[4] for r in rows[i:j]])])
-                    yield edges(ids, vecs, j - i)
-                    tail_ids, tail_vecs = ids[-window:], [vecs[-window:]]
-                    i = j
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = _unit([x])[0], _unit([y])[0]
+                keep.append(bool(a @ b >= cosine))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -204,8 +264,19 @@ def embedding_near_dedup(
     order = ["pass", "size", "code", "id"]
     coded = distinct.select("id", "v").mapInArrow(_codes(passes, 64, seed), "pass int, size int, code long, id long, v binary")
     laid = coded.repartitionByRange(*order).sortWithinPartitions(*order)
-    edges = scratch.write(laid.mapInArrow(_windows(cosine, window), "a long, b long").distinct())
-    comps = components(edges, scratch).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    edges = scratch.write(laid.mapInArrow(_windows(cosine, window), "a long, b long, sure boolean").distinct())
+    sure = edges.where("sure").select("a", "b")
+    comps = components(sure, scratch)
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp"))
+    apart = edges.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = apart.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(a_comp, a) <> coalesce(b_comp, b)")
+    apart = scratch.write(apart.select("a", "b"))
+    if not apart.isEmpty():
+        whole = lambda c, v: distinct.select(F.col("id").alias(c), F.col("v").alias(v))
+        both = apart.join(whole("a", "x"), "a").join(whole("b", "y"), "b").select("a", "b", "x", "y")
+        more = scratch.write(both.mapInArrow(_linked(cosine), "a long, b long"))
+        comps = components(sure.unionByName(more), scratch)
+    comps = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
 
     members = distinct.join(comps, "id").select("comp", "id", "n", "v")
     centres = by_key(members.select("comp", "v").mapInArrow(_partial_centres, "comp long, sum binary"), ["comp"])

@@ -261,6 +261,33 @@ def test_embeddings_recall_against_brute_force(spark):
     assert embed_dedup.embedding_near_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_rounded_vectors_bound_cosines():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 48)) * rng.choice([0.01, 1, 30], size=(200, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y, error = embed_dedup._restored(embed_dedup.rounded(x))
+    assert (np.linalg.norm(x - y, axis=1) <= error + 1e-6).all()
+    slack = error[:, None] + (1 + error[:, None]) * error[None, :] + 1e-5
+    assert (np.abs(x @ x.T - y @ y.T) <= slack).all()
+
+
+def test_embeddings_near_the_threshold(spark):
+    """Pairs on both sides of the cosine, closer to it than rounding can tell."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(120, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(120, 24))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = 0.9 + rng.choice([-0.004, -0.0005, 0.0005, 0.004], size=(120, 1))
+    vectors = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * other))
+    rows = list(enumerate(vectors.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: [r.n_links, r.component_id] for r in embed_dedup.embedding_near_dedup(spark, df).collect()}
+    want = brute_links(rows)
+    assert got == want and 40 < sum(n for n, _ in want.values()) // 2 < 80
+
+
 def test_embeddings_lone_pairs_in_a_large_background(spark):
     # a narrow window is to a small table what the usual one is to a table ten times as large
     rng = np.random.default_rng(3)
@@ -273,8 +300,10 @@ def test_embeddings_lone_pairs_in_a_large_background(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in embed_dedup.embedding_near_dedup(spark, df, window=4).collect()}
     assert np.mean([got[8000 + i] == got[8800 + i] for i in range(800)]) >= 0.97
-    counts = [embed_dedup.passes_for(10**k) for k in range(9)]
+    counts = [embed_dedup.passes_for(10**k, window=48) for k in range(9)]
     assert counts == sorted(counts) and counts[0] == embed_dedup.PASSES and counts[6] >= 38 and counts[7] >= 65
+    wide = [embed_dedup.passes_for(10**k) for k in range(9)]
+    assert wide == sorted(wide) and wide[6] >= 22 and wide[7] >= 38
 
 
 def test_quality_network(spark, edge):
