@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.similarity import jaro_possible, with_jaro
+from citeloom.operators.graph import components
 from citeloom.plans.scratch import Tables
 
 MERGE, AMBIGUOUS = 0.92, 0.86
+ROUNDS, LOCAL = 4, 100_000  # rounds before components are looked at; open pairs of one that a task visits
 # Weights of title, author, year and venue.
 WEIGHTS = (0.70, 0.15, 0.10, 0.05)
 
@@ -39,14 +42,15 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataF
 
     Visiting nodes in the order of their ids, an unassigned one leads and takes all later unassigned ones
     that it is paired with. That is the first maximal independent set: a node leads once all its smaller
-    neighbours are members, and is a member once one of them leads; each round settles the smallest open node at least,
-    in practice many, and rounds go on until none is open.
+    neighbours are members, and is a member once one of them leads. A few rounds settle most nodes. What long chains leave open
+    is cut into components: those of up to ``LOCAL`` pairs are visited in one task each, larger ones go on in rounds.
     ``nodes``: (id); ``pairs``: (a, b) with a < b.
     """
     edge = tables.write(pairs.select("a", "b").distinct())
-    state = tables.write(nodes.select(F.col("id"), F.lit("open").alias("state")))
+    state, left, rounds = tables.write(nodes.select(F.col("id"), F.lit("open").alias("state"))), edge, 0
     while True:
-        seen = edge.join(state.select(F.col("id").alias("a"), F.col("state").alias("a_state")), "a")
+        rounds += 1
+        seen = left.join(state.select(F.col("id").alias("a"), F.col("state").alias("a_state")), "a")
         around = seen.groupBy("b").agg(F.count_if(F.col("a_state") == "leader").alias("led"), F.count_if(F.col("a_state") == "open").alias("open"))
         now = state.join(around.withColumnRenamed("b", "id"), "id", "left")
         new = (
@@ -58,12 +62,41 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataF
         state = tables.write(now.select("id", new.alias("state")))
         if state.where("state = 'open'").isEmpty():
             break
+        if rounds == ROUNDS:
+            state = _settle_small(state, edge, tables)
+            if state.where("state = 'open'").isEmpty():
+                break
     leaders = state.where("state = 'leader'").select(F.col("id").alias("a"))
     taken = edge.join(leaders, "a").groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "id")
     member = state.where("state = 'member'").select("id").join(taken, "id")
     return member.unionByName(state.where("state = 'leader'").select("id", F.col("id").alias("leader")))
 
 
+def _settle_small(state: DataFrame, edge: DataFrame, tables: Tables) -> DataFrame:
+    """The state after visiting the open nodes of components of up to LOCAL open pairs; settled neighbours don't matter to them."""
+    free = state.where("state = 'open'")
+    rest = edge.join(free.select(F.col("id").alias("a")), "a").join(free.select(F.col("id").alias("b")), "b")
+    rest = tables.write(rest.select("a", "b"))
+    whole = tables.write(components(rest, tables))
+    rest = rest.join(whole.select(F.col("node").alias("a"), "component"), "a")
+    small = rest.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= LOCAL).select("component")
+
+    def visit(part: pd.DataFrame) -> pd.DataFrame:
+        after: dict[int, list[int]] = {}
+        for a, b in zip(part["a"], part["b"], strict=True):
+            after.setdefault(a, []).append(b)
+        out: dict[int, str] = {}
+        for i in sorted({*part["a"], *part["b"]}):
+            if i not in out:
+                out[i] = "leader"
+                for j in after.get(i, ()):
+                    out.setdefault(j, "member")
+        return pd.DataFrame({"id": list(out), "found": list(out.values())})
+
+    found = rest.join(small, "component").groupBy("component").applyInPandas(visit, "id long, found string")
+    return tables.write(state.join(found, "id", "left").select("id", F.coalesce("found", "state").alias("state")))
+
+
 def ambiguous_pairs(scored: DataFrame, clusters: DataFrame) -> DataFrame:
     """Pairs below the merge threshold of a leader with a row that no earlier leader has taken."""
     lead = clusters.where("id = leader").select(F.col("id").alias("a"))

@@ -23,4 +23,11 @@ class Tables:
         self.written += 1
         path = f"{self.root}/t{self.written}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table that no later step reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
