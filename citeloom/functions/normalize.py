@@ -217,7 +217,7 @@ def short_hash(*parts: Column, length: int = 12, separator: str = "||") -> Colum
 
 def split_flags(c: Column, separator: str = r"\|") -> Column:
     """Distinct non-empty flags in their order, without ``none``."""
-    parts = F.transform(F.split(c, separator), F.trim)
+    parts = F.transform(F.split(c, separator), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: (x != "") & (x != "none")))
 
 

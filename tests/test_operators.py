@@ -32,6 +32,8 @@ def test_normalisers(spark):
     assert one(spark, "1999.0", N.lenient_int(x), N.decade_of(N.lenient_int(x)))[:] == (1999, "1990s")
     assert one(spark, "soon", N.lenient_int(x))[0] is None
     assert one(spark, "a|none||b|a", N.split_flags(x))[0] == ["a", "b"]
+    assert one(spark, "a0|none|| 2b1 |a0|4", N.split_flags(x))[0] == ["a0", "2b1", "4"]
+    assert one(spark, "0 A 1990; 1 B 2001; C 2", X.split_references(x))[0] == ["0 A 1990", "1 B 2001", "C 2"]
     assert one(spark, "1590", N.display_count(x.cast("int")), N.display_share(F.lit(0.5364)), N.display_interval(F.lit(0.58), F.lit(0.919)))[:] == ("1,590", "53.6%", "[0.58, 0.92]")
 
 
