@@ -119,8 +119,7 @@ def template_sets(templates=TEMPLATES) -> list[tuple[str, list[str], int]]:
 def word_frequencies(norm: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """In how many documents each template word stands (``norm``: the column ``s`` of spaced texts)."""
     vocabulary = sorted({w for _, words, _ in template_sets(templates) for w in words})
-    pattern = "(?<= )(?:" + "|".join(vocabulary) + ")(?= )"
-    found = norm.select(F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(pattern), F.lit(0)))).alias("w"))
+    found = norm.select(F.explode(F.array_intersect(F.split("s", " "), _literal(vocabulary))).alias("w"))
     # one row for each template word
     return dict.fromkeys(vocabulary, 0) | {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
@@ -140,29 +139,30 @@ def template_matches(norm: DataFrame, frequencies: dict[str, int], templates=TEM
     for t, (_, ranks, need) in enumerate(sets):
         for r in ranks[: len(ranks) - need + 1]:
             index.setdefault(r, []).append(t)
-    rare = " (?:" + "|".join(by_rank[r] for r in sorted(index)) + ") "
+    rare = _literal([by_rank[r] for r in sorted(index)])
 
     # literals: the templates by number, and for each word the templates in whose prefix it is
     table = F.array(*[F.struct(F.lit(label).alias("label"), _literal(ranks).alias("ranks"), F.lit(need).alias("need"), F.lit(size).alias("size")) for (label, ranks, need), size in zip(sets, sizes, strict=True)])
     places = F.array(*[_literal(index.get(r, [])).cast("array<int>") for r in range(len(by_rank))])
-    has_rare = lambda b: spaced(b).rlike(rare)
+    has_rare = lambda b: F.arrays_overlap(F.split(spaced(b), " "), rare)
 
     def windows(size: int):
         """(size, block) of a paragraph's windows of twice ``size`` words; short paragraphs are one."""
 
-        def of(piece: Column) -> Column:
-            words = F.split(F.trim(spaced(piece)), " ")
+        def of(words: Column) -> Column:
             starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size, F.lit(1)), F.lit(size))
             return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), F.array_join(F.slice(words, i, 2 * size), " ").alias("block")))
 
         return of
 
-    found = norm.withColumn("_rare", F.col("s").rlike(rare))
+    found = norm.withColumn("_rare", F.arrays_overlap(F.split("s", " "), rare))
     text = F.when(F.col("_rare"), low(F.col("text"))).otherwise("")
     lines = F.transform(F.filter(F.split(text, _BLOCKS), has_rare), lambda b: F.struct(F.lit(0).alias("size"), b.alias("block")))
-    paragraphs = F.filter(F.split(text, _PARAGRAPHS), has_rare)
-    wide = [F.flatten(F.transform(paragraphs, windows(size))) for size in sorted(set(sizes))]
-    found = found.withColumn("_blocks", F.filter(F.concat(lines, *wide), lambda b: has_rare(b["block"])))
+    # a lambda's variable is computed once, what is written inside of it for each element: paragraphs are split before they are cut
+    paragraphs = F.transform(F.filter(F.split(text, _PARAGRAPHS), has_rare), lambda p: F.split(F.trim(spaced(p)), " "))
+    found = found.withColumns({"_lines": lines, "_paragraphs": paragraphs})
+    wide = [F.flatten(F.transform("_paragraphs", windows(size))) for size in sorted(set(sizes))]
+    found = found.withColumn("_blocks", F.filter(F.concat("_lines", *wide), lambda b: has_rare(b["block"])))
 
     vocabulary = _literal(by_rank)
 
@@ -184,7 +184,7 @@ def template_matches(norm: DataFrame, frequencies: dict[str, int], templates=TEM
     labels = F.array_distinct(F.transform("_met", lambda m: m["label"]))
     best = lambda k: F.array_max(F.transform(F.filter("_met", lambda m: m["label"] == k), lambda m: m["held"]))
     matches = F.transform(labels, lambda k: F.struct(k.alias("label"), best(k).alias("held")))
-    return found.withColumn("matches", matches).drop("_rare", "_blocks", "_ranked", "_met")
+    return found.withColumn("matches", matches).drop("_rare", "_lines", "_paragraphs", "_blocks", "_ranked", "_met")
 
 
 def _shared(x: Column) -> Column:
