@@ -184,6 +184,22 @@ def test_bpe_equals_the_library(spark, edge):
     assert kept.columns.count("ids") == 1 and bpe.bpe_decode(spark, kept.limit(0), bpe.default_vocabulary()).count() == 0
 
 
+def test_bpe_equals_the_library_on_a_whole_table(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_vocabulary())
+    lib.no_truncation()
+    lib.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op2_bpe_codec"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest, hashlib.sha256(back.encode()).hexdigest())
+
+
 def test_license_scan(spark, edge):
     texts = [(1, "Intro.\nLicensed under the APACHE License, Version 2.0.\nCC  by"), (2, "apache licenses cc bye"), (3, None), (4, ""), (5, "mit license mit-license"), (6, "Licensed under the Apache, version 2")]
     rows = {r.doc_id: r for r in license_scan.license_scan(docs_frame(spark, texts)).collect()}
