@@ -94,8 +94,12 @@ _PARAGRAPHS = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"  # blank lines, or such with
 
 
 def low(text: Column) -> Column:
-    """A-Z lower-cased, nothing else."""
-    return F.translate(text, _UPPER, _UPPER.lower())
+    """A text as far as words with A-Z lower-cased go.
+
+    ``lower`` changes other letters too, but of them only the Kelvin sign becomes an ASCII letter alone; it is taken out first, so
+    no further word equals one of a phrase or template.
+    """
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")))
 
 
 def spaced(text: Column) -> Column:

@@ -201,13 +201,14 @@ def test_bpe_equals_the_library_on_a_whole_table(spark, sf_dir):
 
 
 def test_license_scan(spark, edge):
-    texts = [(1, "Intro.\nLicensed under the APACHE License, Version 2.0.\nCC  by"), (2, "apache licenses cc bye"), (3, None), (4, ""), (5, "mit license mit-license"), (6, "Licensed under the Apache, version 2")]
+    texts = [(1, "Intro.\nLicensed under the APACHE License, Version 2.0.\nCC  by"), (2, "apache licenses cc bye"), (3, None), (4, ""), (5, "mit license mit-license"), (6, "Licensed under the Apache, version 2"), (7, "THIS WOR\u212a IS LICENSED UNDER THE GNU GENERAL PUBLIC L\u0130CENSE VERSION 3")]
     rows = {r.doc_id: r for r in license_scan.license_scan(docs_frame(spark, texts)).collect()}
     assert (rows[1].n_words, rows[1].n_base, rows[1].first_word, rows[1].last_word) == (11, 2, 4, 9)
     assert (rows[1].base_labels, rows[1].labels, rows[1].score) == ("apache,cc-by", "apache,apache-2.0,cc-by", 1.0)
     assert (rows[2].n_base, rows[2].first_word, rows[2].labels) == (0, None, "")
     assert (rows[5].n_base, rows[5].first_word, rows[5].last_word) == (2, 0, 2)
     assert rows[3].n_words == rows[4].n_words == 0 and rows[3].score == 0.0
+    assert (rows[7].n_words, rows[7].n_base, rows[7].base_labels) == (12, 0, "")
     assert license_scan.license_scan(edge).count() == edge.count() and license_scan.license_scan(edge.limit(0)).count() == 0
 
 
