@@ -21,7 +21,8 @@ On a cluster the search is cut into tasks without losing a link:
    where they meet; only edges that unite two clusters leave the task.
 
 Null and empty texts have the empty set and link with nothing. Repeated rows are copies. Ties don't
-matter: the smallest id names a component. An empty table gives an empty result.
+matter: the smallest id names a component. Rows without an id give rows too; a text that only such rows hold links with
+nothing and has no component. An empty table gives an empty result.
 """
 
 from __future__ import annotations
