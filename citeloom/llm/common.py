@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators.graph import components  # noqa: F401  for the operators here
@@ -205,6 +205,32 @@ def by_key(df: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
     return df.select(*keys, *rest).repartition(*count, *keys).sortWithinPartitions(*keys)
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return vector.isNotNull() & F.forall(vector, good)
+
+
+def usual_length(vectors: DataFrame, column: str) -> int | None:
+    """The most frequent length of non-empty vectors, of equally frequent ones the largest; None without any."""
+    sizes = vectors.groupBy(F.size(column).alias("dim")).agg(F.count("*").alias("n")).where("dim > 0")
+    top = sizes.orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    return top[0]["dim"] if top else None
+
+
+def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 10_000) -> DataFrame:
+    """``rows`` with the columns of their group (one row a key in ``groups``, which has each group's number of rows in ``size``).
+
+    Groups of over a ten-thousandth of ``total`` rows are fewer than ten thousand: they are broadcast. All others meet
+    their rows in a shuffle, where none of them stands out. Keys must not be null.
+    """
+    large = F.col(size) * share > max(total, share)
+    hot = F.broadcast(groups.where(large))
+    some = rows.join(hot, keys)
+    rest = rows.join(F.broadcast(groups.where(large).select(*keys)), keys, "left_anti")
+    return some.unionByName(rest.join(groups.where(~large), keys))
+
+
 class Bloom:
     """A set of ids in a bit table, built in pieces: what fails it isn't in the set.
 

@@ -1,4 +1,4 @@
-"""The ten training-data queries, by name, and their SQL."""
+"""The thirteen training-data queries, by name, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from citeloom.llm.cdc_dedup import op7_substring_dedup
 from citeloom.llm.chat_format import ORACLE_OP10, op10_chat_format
 from citeloom.llm.decontam import ORACLE_OP6, op6_decontaminate
 from citeloom.llm.embed_dedup import ORACLE_OP4, op4_embedding_near_dedup
+from citeloom.llm.exact_index import ORACLE_OP12, op12_exact_dedup
+from citeloom.llm.hard_negatives import ORACLE_OP11, op11_hard_negatives
 from citeloom.llm.html_template import op9_html_main_text
+from citeloom.llm.kdtree_codes import ORACLE_OP13, op13_vector_codes
 from citeloom.llm.license_scan import ORACLE_OP3, op3_license_scan
 from citeloom.llm.ngram_join import ORACLE_OP1, op1_ngram_jaccard_join
 from citeloom.llm.quality_cnn import op5_quality_cnn
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_url_verdicts": op8_url_verdicts,
     "op9_html_main_text": op9_html_main_text,
     "op10_chat_format": op10_chat_format,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Equivalent DuckDB SQL, where SQL can express the whole query in reasonable time.
@@ -33,4 +39,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_embedding_near_dedup": ORACLE_OP4,
     "op6_decontaminate": ORACLE_OP6,
     "op10_chat_format": ORACLE_OP10,
+    "op11_hard_negatives": ORACLE_OP11,
+    "op12_exact_dedup": ORACLE_OP12,
+    "op13_vector_codes": ORACLE_OP13,
 }
