@@ -69,14 +69,14 @@ def build_directory(entries: DataFrame, capacity: int = CAPACITY, bits: int = BI
         if depth >= bits or cells.where(F.col("n") > capacity).isEmpty():
             break
         depth += 1  # the directory doubles
-    # every prefix with its entries: a bucket is one that need not split below one that must
+    # every prefix with its entries; the halves of overfull ones that aren't overfull themselves are buckets, empty ones too
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local_depth")
     tree = cells.select("slot", "n", level).groupBy("local_depth", F.expr(f"shiftright(slot, {depth} - local_depth)").alias("prefix"))
-    tree = tree.agg(F.sum("n").alias("n"))
-    above = tree.where(F.col("n") > capacity).select((F.col("local_depth") + 1).alias("local_depth"), F.col("prefix").alias("above"))
-    settled = tree.where((F.col("n") <= capacity) | (F.col("local_depth") == depth))
-    split = settled.where("local_depth > 0").withColumn("above", F.shiftright("prefix", 1)).join(above, ["local_depth", "above"], "left_semi")
-    buckets = split.select("local_depth", "prefix").unionByName(settled.where("local_depth = 0").select("local_depth", "prefix"))
+    over = tree.agg(F.sum("n").alias("n")).where((F.col("n") > capacity) & (F.col("local_depth") < depth)).select("local_depth", "prefix")
+    half = F.explode(F.array(F.shiftleft("prefix", 1), F.shiftleft("prefix", 1) + 1)).alias("prefix")
+    parts = entries.sparkSession.range(1).select(F.lit(0).alias("local_depth"), F.col("id").alias("prefix"))
+    parts = parts.unionByName(over.select((F.col("local_depth") + 1).alias("local_depth"), half))
+    buckets = parts.join(over, ["local_depth", "prefix"], "left_anti")
     first = F.expr(f"shiftleft(prefix, {depth} - local_depth)")
     slots = F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - local_depth)") - 1))
     return buckets.select(slots.alias("slot"), first.alias("bucket"), "local_depth"), depth
