@@ -121,28 +121,26 @@ def chat_format(turns: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The turns and the learned text as the formatted output has them: (conv_id, turns, loss, formatted_chars)."""
-    raw = F.transform(
-        F.filter(F.split("formatted", "</s>"), lambda x: x != ""),
-        lambda x: F.struct(
-            F.substring_index(F.substring(x, 5, 2147483647), "]", 1).alias("role"),
-            F.substring(x, F.instr(x, "]") + 1, F.lit(2147483647)).alias("content"),
-            F.char_length(x).alias("n"),
-        ),
-    )
-    out = formatted.select("conv_id", "formatted", "loss_spans", raw.alias("raw"))
-    # a span must be exactly its turn's content, whose length the text itself shows
-    learned = F.zip_with(
-        "raw",
-        "loss_spans",
-        lambda x, s: F.when(s.isNotNull() & (s["end"] - s["start"] == F.char_length(x["content"])), unescape(x["content"])),
+    # where each piece starts is counted here again, along the text; what a span covers is cut out of its piece there
+    piece = F.posexplode(F.filter(F.split("formatted", "</s>"), lambda x: x != "")).alias("at", "piece")
+    rows = formatted.select("conv_id", F.char_length("formatted").cast("long").alias("chars"), "loss_spans", piece)
+    rows = rows.select("conv_id", "chars", "at", "piece", F.char_length("piece").alias("n"), F.get("loss_spans", F.col("at")).alias("span"))
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum((F.col("n") + 4).cast("long")).over(before), F.lit(0)))
+    low, high = F.col("span.start") - F.col("start"), F.col("span.end") - F.col("start")
+    cut = F.substring("piece", (low + 1).cast("int"), (high - low).cast("int"))
+    turn = F.struct(
+        "at",
+        unescape(F.substring_index(F.substring("piece", F.lit(5), F.lit(2147483647)), "]", 1)).alias("role"),
+        unescape(F.substring("piece", F.instr("piece", "]") + 1, F.lit(2147483647))).alias("text"),
+        F.when((low >= 0) & (high <= F.col("n")), unescape(cut)).alias("learned"),
     )
-    return out.select(
+    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"), F.max("chars").alias("formatted_chars"))
+    return conv.select(
         "conv_id",
-        F.transform(
-            "raw", lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["content"]).alias("text"))
-        ).alias("turns"),
-        F.array_join(learned, "").alias("loss"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
+        F.array_join(F.transform("t", lambda x: x["learned"]), "").alias("loss"),
+        "formatted_chars",
     )
 
 

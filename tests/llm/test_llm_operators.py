@@ -785,6 +785,10 @@ def test_chat_format_reads_back(spark):
             if span:
                 assert r.formatted[span.start : span.end] == html.unescape(r.formatted[span.start : span.end]).replace("&", "&amp;").replace("<", "&lt;").replace("[", "&lsqb;").replace("]", "&rsqb;")
     assert chat_format.chat_format(turns.limit(0)).count() == 0
+    # a mask that starts at a wrong place shows
+    moved = F.transform("loss_spans", lambda s: F.when(s.isNotNull(), F.struct((s["start"] - 2).alias("start"), (s["end"] - 2).alias("end"))))
+    wrong = {r.conv_id: r for r in chat_format.read_back(formatted.withColumn("loss_spans", moved)).collect()}
+    assert wrong[3].loss == "t]t]" and wrong[1].loss != back[1].loss
 
 
 def test_chat_long_conversation(spark):
