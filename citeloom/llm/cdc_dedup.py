@@ -11,7 +11,8 @@ posted once for all of them, and what is found about it comes back to them, so a
 costs one posting a task, and spans don't depend on the partitions.
 
 A document that repeats its own passages has repeated spans too. Null and empty texts and rows without an id have no
-chunks: they repeat nothing and stay. Rows that agree in id and text are one document. A text without
+chunks: they repeat nothing and stay. Rows that agree in id and text are one document; rows that only share an id are
+documents of their own, which come after all others (``numbered``). A text without
 white space is cut at character bounds, every 255 bytes at the latest. Ties are settled by document
 and position. Empty tables give no spans.
 """
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import U64, Bloom, Scratch, bucket_count, by_key, key_runs, mix64, slices, text_bytes
+from citeloom.llm.common import SHARED_IDS, U64, Bloom, Scratch, bucket_count, by_key, free_name, key_runs, mix64, numbered, slices, text_bytes
 
 REACH = 24
 MIN_WORDS = 20
@@ -278,9 +279,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """A row for each repeated span: (doc_id, start_byte, n_bytes, n_words, source_doc_ids).
 
-    Offsets count UTF-8 bytes; ``source_doc_ids`` are the documents whose first occurrences it repeats.
+    Offsets count UTF-8 bytes; ``source_doc_ids`` are the documents whose first occurrences it repeats. Of rows that only
+    share an id each has spans of its own.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, shared = numbered(docs.select("doc_id", "text"), "number")
+    found = _spans(rows.select(F.col("number").alias("doc_id"), "text"))
+    if not shared:
+        return found
+    # numbers of rows that share ids become ids again
+    found = Scratch(docs.sparkSession, "cdc").write(found)
+    names = rows.where(F.col("number") >= SHARED_IDS).select("number", F.col("doc_id").cast("long").alias("name")).distinct()
+    other = F.exists("source_doc_ids", lambda x: x >= SHARED_IDS)
+    key = ["doc_id", "start_byte", "n_bytes", "n_words"]
+    each = found.where(other).select(*key, F.explode("source_doc_ids").alias("number")).join(names, "number", "left")
+    each = each.groupBy(*key).agg(F.array_sort(F.collect_set(F.coalesce("name", "number"))).alias("source_doc_ids"))
+    whole = found.where(~other).unionByName(each).join(names, F.col("doc_id") == F.col("number"), "left")
+    return whole.select(F.coalesce("name", "doc_id").alias("doc_id"), *key[1:], "source_doc_ids")
+
+
+def _spans(base: DataFrame) -> DataFrame:
+    """``repeated_spans`` of rows (doc_id, text), where equal ids mean equal texts."""
     packed = "key long, kind int, posts binary"
     n = bucket_count(base)
     posts = base.mapInArrow(lambda batches: _posts(batches, n), packed)
@@ -293,7 +311,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _cut(column: int, spans: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, keep = [], [True] * batch.num_rows
             for text, cuts in zip(batch.column(column), batch.column(spans), strict=True):
                 if not cuts.is_valid:
                     texts.append(text.as_py())
@@ -304,26 +322,29 @@ def _cut(column: int, spans: int):
                     at = c["start"] + c["length"]
                 out.append(raw[at:])
                 texts.append(b"".join(out).decode("utf-8", "replace"))
+                keep[len(texts) - 1] = bool(texts[-1].strip())
             columns = [pa.array(texts, pa.string()) if i == column else c for i, c in enumerate(batch.columns) if i != spans]
-            yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i != spans])
+            yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i != spans]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without their repeated spans; documents that nothing is left of go.
+    """``docs`` without their repeated spans; documents that were cut and of which only white space is left go.
 
     The spans are one small row for each document concerned; only texts that a Bloom table of those
-    documents lets through move, to meet them. Untouched documents stay as they are.
+    documents lets through move, to meet them. Untouched documents stay as they are, empty ones too.
     """
-    spans = Scratch(spark, "cdc").write(repeated_spans(docs))
+    number, cut, key = (free_name(docs.columns, n) for n in ("number", "cuts", "key"))
+    rows, _ = numbered(docs, number)
+    spans = Scratch(spark, "cdc").write(_spans(rows.select(F.col(number).alias("doc_id"), "text")))
     one = F.struct(F.col("start_byte").cast("int").alias("start"), F.col("n_bytes").cast("int").alias("length"))
-    cuts = spans.groupBy("doc_id").agg(F.collect_list(one).alias("_cuts"))
-    some = Bloom.of(cuts.select(F.col("doc_id").cast("long").alias("doc_id")))
-    at, text, last = docs.columns.index("doc_id"), docs.columns.index("text"), len(docs.columns)
-    both = some.where(docs, at).join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
-    out = both.mapInArrow(_cut(text, last), docs.schema).where(F.col("text").isNull() | (F.trim("text") != ""))
-    return out.unionByName(some.where(docs, at, within=False))
+    cuts = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(one).alias(cut))
+    some = Bloom.of(cuts.select(key))
+    at, text, last = rows.columns.index(number), docs.columns.index("text"), len(docs.columns)
+    both = some.where(rows, at).join(cuts, F.col(number) == F.col(key), "left").select(*docs.columns, cut)
+    out = both.mapInArrow(_cut(text, last), docs.schema)
+    return out.unionByName(some.where(rows, at, within=False).select(*docs.columns))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

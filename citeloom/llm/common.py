@@ -308,18 +308,59 @@ class Bloom:
         return df.mapInArrow(run, df.schema)
 
 
-def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", once: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``removed``; with ``once`` rows that agree in everything stay once.
+def free_name(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Numbers of documents whose id several rows have start here.
+SHARED_IDS = 1 << 62
+
+
+def numbered(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with a number for each document in column ``name``, and whether different texts share ids.
+
+    A row's number is its id, or, where rows with different texts have that id, a hash of id and text from ``SHARED_IDS`` on (62 bits:
+    two of a million such rows agree by chance once in about ten million cases). So rows that agree in id and text are one document,
+    and rows that only share the id are several. Rows without an id have no number. Ids must be below ``SHARED_IDS``.
+    """
+    own, spark = F.col(id_col).cast("long"), docs.sparkSession
+    key, scratch = free_name([*docs.columns, name], "id"), Scratch(spark, "shared-ids")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    again = docs.select(own.alias(key)).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    again = scratch.write(again)
+    if again.isEmpty():
+        return docs.withColumn(name, own), False
+    seen = Bloom.of(again).where(docs.select(own.alias(key), text_col), 0).groupBy(key).agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    again = scratch.write(seen.where("a <> b").select(key))
+    n = again.count()
+    if n == 0:
+        return docs.withColumn(name, own), False
+    some, at = Bloom.of(again), docs.columns.index(id_col)
+    mark = free_name([*docs.columns, name, key], "shared")
+    small = again.select(key, F.lit(True).alias(mark))
+    near = some.where(docs, at).join(F.broadcast(small) if n <= 2_000_000 else small, own == F.col(key), "left")
+    number = F.pmod(F.xxhash64(own, text), F.lit(SHARED_IDS)) + F.lit(SHARED_IDS)
+    near = near.withColumn(name, F.when(F.col(mark), number).otherwise(own)).select(*docs.columns, name)
+    return some.where(docs, at, within=False).withColumn(name, own).unionByName(near), True
+
+
+def without(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", removed_col: str = "doc_id", once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id isn't in ``removed``; with ``once`` one row of each id stays.
 
     Only rows that the Bloom table of removed (and of repeated) ids lets through meet others in a shuffle;
     all the rest, and so nearly all texts, stay where they are. Rows without an id stay.
     """
-    ids = removed.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    key = free_name(docs.columns, "id")
+    ids = removed.select(F.col(removed_col).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
     some = ids
     if once:
-        again = docs.groupBy(F.col(id_col).cast("long").alias("_id")).count().where("count > 1 and _id is not null")
-        some = ids.unionByName(again.select("_id"))
+        again = docs.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count("*").alias("n")).where(F.col(key).isNotNull() & (F.col("n") > 1))
+        some = ids.unionByName(again.select(key))
     some, at = Bloom.of(some), docs.columns.index(id_col)
     near = some.where(docs.where(F.col(id_col).isNotNull()), at)
-    near = (near.dropDuplicates() if once else near).join(ids, F.col(id_col) == F.col("_id"), "left_anti")
+    near = (near.dropDuplicates([id_col]) if once else near).join(ids, F.col(id_col) == F.col(key), "left_anti")
     return some.where(docs, at, within=False).unionByName(near)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import slices, text_bytes
@@ -150,24 +150,42 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteCnn:
-    """The network, fitted on labelled rows outside the held-out fifth: those of least hash within the bounds on rows and bytes."""
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int | None = None) -> ByteCnn:
+    """The network, fitted on labelled rows outside the held-out fifth: those of least hash, at most ``sample`` rows that together have at
+    most ``sample_bytes`` (``SAMPLE_BYTES``) bytes. A text that is longer than that alone isn't learned from; another one that would
+    exceed the bytes ends the sample.
+
+    Sizes are summed before any text moves: the running sum sees numbers only, and only texts within the bound leave their tasks.
+    """
     known = labels.where("doc_id is not null and quality is not null").where(~held_out())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most ``sample`` rows of 12 bytes: their size is fixed
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text", F.octet_length("text").cast("long").alias("size"))
-    rows = rows.where("size > 0 and size <= %d" % SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).limit(sample)
-    # a running sum over these few rows; those within the bound come to the driver
-    total = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("total", F.sum("size").over(total)).where(F.col("total") <= SAMPLE_BYTES).select("quality", "text").collect()
-    return ByteCnn().fit([chunks_of(r.text) for r in rows], np.array([r.quality for r in rows]))
-
-
-def score_quality(spark: SparkSession, docs: DataFrame, model: ByteCnn) -> DataFrame:
-    """``docs`` (all columns) with ``score``: the probability of label 1, over each whole text."""
-    names = [c for c in docs.columns if c != "score"]
+    most = SAMPLE_BYTES if sample_bytes is None else sample_bytes
+    rows = texts.join(F.broadcast(known), "doc_id").where(F.octet_length("text").between(1, most))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality"), F.col("h")]
+    sizes = rows.select("doc_id", "quality", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size"))
+    sizes = sizes.orderBy(*order).limit(sample).collect()  # ``sample`` rows of numbers
+    taken, total = [], 0
+    for r in sizes:
+        total += r["size"]
+        if total > most:
+            break
+        taken.append((r["doc_id"], r["quality"], r["h"]))
+    if not taken:
+        return ByteCnn()
+    few = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int, h long").distinct()
+    found = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["doc_id", "h"])
+    found = found.groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text")).orderBy(*order).collect()
+    return ByteCnn().fit([chunks_of(r["text"]) for r in found], np.array([r["quality"] for r in found]))
+
+
+def score_quality(spark: SparkSession, docs: DataFrame, model: ByteCnn, score_col: str = "score") -> DataFrame:
+    """``docs`` (all columns) with ``score_col``, which they must not have: the probability of label 1, over each whole text."""
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {score_col}")
+    names = docs.columns
     at, shared = names.index("text"), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +193,10 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: ByteCnn) -> DataF
             data, starts = text_bytes(batch.column(at))
             found = [shared.value.score(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) for i, j in slices(starts, 1 << 17)]
             score = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, score_col])
 
     base = docs.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{score_col}` double"
     return base.mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.bpe import bpe_digests, default_vocabulary
 from citeloom.llm.cdc_dedup import substring_dedup
-from citeloom.llm.common import Scratch, without
+from citeloom.llm.common import Scratch, free_name, numbered, without
 from citeloom.llm.decontam import decontaminate
 from citeloom.llm.ngram_join import ngram_jaccard_join
 from citeloom.llm.quality_cnn import THRESHOLD, fit_quality, score_quality
@@ -21,14 +21,20 @@ from citeloom.session import ship
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, rejects go."""
     model = fit_quality(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(spark, docs, model).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "score")
+    return score_quality(spark, docs, model, score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that link, the document with the smallest id stays; repeated rows stay once."""
-    scratch = Scratch(ship(spark), "near")
-    groups = ngram_jaccard_join(spark, docs)
-    return without(docs, scratch.write(groups.where("doc_id <> component_id").select("doc_id")), once=True)
+    """Of each group of texts that link, the document with the smallest id stays; of rows that agree in id and text one stays.
+
+    Rows that only share an id are documents of their own, which come after those with an id of their own.
+    """
+    scratch, number = Scratch(ship(spark), "near"), free_name(docs.columns, "number")
+    rows, _ = numbered(docs, number)
+    groups = ngram_jaccard_join(spark, rows, number)
+    out = without(rows, scratch.write(groups.where("doc_id <> component_id").select("doc_id")), number, once=True)
+    return out.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +47,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go."""
-    scratch = Scratch(ship(spark), "leaks")
-    found = decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, scratch.write(found.where("contaminated").select("doc_id")))
+    """Documents that hold a window of ten words of a benchmark item go; of rows that share an id only those."""
+    scratch, number = Scratch(ship(spark), "leaks"), free_name(docs.columns, "number")
+    rows, _ = numbered(docs, number)
+    texts = rows.select(F.col(number).alias("doc_id"), "text")
+    found = decontaminate(spark, texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(rows, scratch.write(found.where("contaminated").select("doc_id")), number).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

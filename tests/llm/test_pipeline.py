@@ -94,3 +94,39 @@ def test_copies_of_one_text_leave_one(spark, tables):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, d).collect()) == [0, 900]
     kept = corpus_pipeline.repeated_passages(spark, docs, d).where(F.col("doc_id") != 900).collect()
     assert [r.doc_id for r in kept] == [0] and kept[0].text == text
+
+
+def test_rows_that_share_an_id(spark, tables):
+    """What one row loses, another row of the same id keeps; untouched empty texts stay."""
+    d, _, items, _ = tables
+    rng = random.Random(4)
+    passage, x, y = prose(70, rng), prose(60, rng), prose(200, rng)
+    rows = [(0, passage + "\n" + prose(60, rng)), (1, x + "\n" + passage), (1, y), (1, ""), (7, ""), (8, passage), (9, None)]
+    kept = corpus_pipeline.repeated_passages(spark, frame(spark, rows), d).collect()
+    texts = sorted((r.doc_id, r.text) for r in kept if r.text is not None)
+    assert (1, y) in texts and (1, "") in texts and (7, "") in texts and 8 not in {i for i, _ in texts}
+    assert sorted(i for i, _ in texts) == [0, 1, 1, 1, 7] and any(r.doc_id == 9 and r.text is None for r in kept)
+    assert all(passage[80:-80] not in t for i, t in texts if i == 1)
+
+    near = y + " " + rng.choice(VOCAB)
+    rows = [(5, x), (5, y), (2, near), (6, x), (6, x), (None, x)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), d).collect()
+    # (6, x), twice there, comes before the rows of the shared id 5
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(2, near), (6, x), (-1, x)])
+
+    rows = [(3, prose(30, rng) + " " + items[0][1]), (3, y), (4, y)]
+    kept = corpus_pipeline.benchmark_leaks(spark, frame(spark, rows), d).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, y), (4, y)]
+
+
+def test_columns_that_clash_keep_their_values(spark, tables):
+    d, texts, _, _ = tables
+    names = ["score", "id", "number", "cuts", "key", "shared", "_id", "_cuts", "h"]
+    docs = frame(spark, texts[:60] + texts[-40:])
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
