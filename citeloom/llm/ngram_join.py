@@ -20,7 +20,8 @@ On a cluster the search is cut into tasks without losing a link:
 5. Sets that such candidates connect are brought together with their hashes, searched by an R-tree once more and verified
    where they meet; only edges that unite two clusters leave the task.
 
-Null and empty texts have the empty set and link with nothing. Repeated rows are copies. Ties don't
+Null and empty texts have the empty set and link with nothing. Repeated rows are copies. Rows that share an id but not the text are
+sets of their own: each row has its own text's links, size and component. Ties don't
 matter: the smallest id names a component. Rows without an id give rows too; a text that only such rows hold links with
 nothing and has no component. An empty table gives an empty result.
 """
@@ -373,15 +374,19 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts = text_bytes(batch.column(2))
         for i, j in slices(starts, 1 << 19):
             sets = shingle_sets(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-            yield pa.RecordBatch.from_arrays(
+            own = batch.column(0).slice(i, j - i)
+            # where rows share an id, another row's text isn't this set
+            keep = pa.array([len(x) > 0 and set_id(x) == s for x, s in zip(sets, own.to_pylist(), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(i, j - i),
+                    own,
                     batch.column(1).slice(i, j - i),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([x.tobytes() for x in sets], pa.binary()),
                 ],
                 ["sid", "seeds", "n", "hashes"],
             )
+            yield out.filter(keep)
 
 
 def _cluster_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
