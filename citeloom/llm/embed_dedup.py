@@ -14,8 +14,12 @@ The number of passes grows with the number of distinct vectors (``passes_for``),
 link angle before an even background meets in a window with a probability of ``RECALL``, whatever the table's
 size. So what a window misses within a component is still counted; only a component that no pass connects is
 lost (the recall against brute force and of such pairs is measured in the tests). Equal vectors are one vector with a
-weight. Vectors that are null, zero or hold null or non-finite components link with nothing. Labels are
-never looked at. Empty tables give no rows.
+weight. Vectors that are null, zero or hold null or non-finite components link with nothing. Rows of one id with different vectors are
+vectors of their own; a row without an id takes part like all others, a component's id is its smallest one, and null where it has
+none. Labels are never looked at. Empty tables give no rows.
+
+Where vectors have a common direction, most signs of a projection agree: so the mean of all unit vectors is taken off before the
+signs are taken, and the number of passes follows the angle that a pair at the link angle has then.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ PASSES = 8  # at least
 RECALL = 0.99  # of lone pairs at the link angle
 WINDOW = 512
 BLOCK = 2048
+#: How many components the packed vector ``v`` has.
+_SIZE = "cast((octet_length(v) - 1) / if(substring(v, octet_length(v), 1) = x'01', 4, 8) as int)"
 #: Two angles of at most this much can't add up to more than the link angle.
 CORE = math.acos(COSINE) / 2 - 1e-7
 
@@ -66,8 +72,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for v in batch.column(1).to_pylist():
             x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
+            good = len(x) and np.isfinite(x).all() and x.any()
+            if good and not 1e-200 < (most := np.abs(x).max()) < 1e150:  # squares would over- or underflow: scaled by a power of two
+                x = np.ldexp(x, -int(np.frexp(most)[1]))
             with np.errstate(over="ignore"):
-                good = len(x) and np.isfinite(x).all() and np.isfinite(x @ x) and x @ x > 0
                 short = good and (x.astype(np.float32) == x).all()
             out.append((x + 0.0).astype("<f4" if short else "<f8").tobytes() + (b"\1" if short else b"\0") if good else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
@@ -94,21 +102,48 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _codes(passes: int, bits: int, seed: int):
+def _means(distinct: DataFrame, sizes: list) -> dict[int, tuple[int, float, np.ndarray]]:
+    """For each length of vectors: how many there are, their unit vectors' mean's squared norm (the mean cosine), and the mean."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for size, rows in _by_size(batch.column(0).to_pylist()).items():
+                sums[size] = sums.get(size, 0) + _unit([batch.column(0)[i].as_py() for i in rows]).sum(0)
+        flat = [(size, i, float(x)) for size, s in sums.items() for i, x in enumerate(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], ["size", "i", "s"])
+
+    found: dict[int, np.ndarray] = {r["size"]: np.zeros(r["size"]) for r in sizes}
+    sums = distinct.select("v").mapInArrow(partial, "size int, i int, s double").groupBy("size", "i").agg(F.sum("s").alias("s"))
+    for r in sums.collect():  # a number for each component
+        found[r["size"]][r["i"]] = r["s"]
+    return {r["size"]: (r["n"], float(m @ m), m) for r in sizes for m in [found[r["size"]] / r["n"]]}
+
+
+def _by_size(packed: list[bytes]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i, b in enumerate(packed):
+        out.setdefault((len(b) - 1) // (4 if b[-1] else 8), []).append(i)
+    return out
+
+
+def centred_cosine(cosine: float, common: float) -> float:
+    """What a cosine of two usual vectors becomes once their mean is taken off, where ``common`` is the mean cosine."""
+    return max(0.0, (cosine - common) / (1 - common)) if common < 1 else 0.0
+
+
+def _codes(passes: int, bits: int, seed: int, means: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 packed = part.column(1).to_pylist()
-                by_size: dict[int, list[int]] = {}
-                for i, b in enumerate(packed):
-                    by_size.setdefault((len(b) - 1) // (4 if b[-1] else 8), []).append(i)
-                for size, at in by_size.items():
+                for size, at in _by_size(packed).items():
                     if size not in planes:
                         planes[size] = np.random.default_rng([seed, size]).normal(size=(size, passes * bits))
                     unit = _unit([packed[i] for i in at])
-                    signs = (unit @ planes[size] >= 0).reshape(len(at), passes, bits)
+                    signs = ((unit - means[size]) @ planes[size] >= 0).reshape(len(at), passes, bits)
                     code = np.packbits(signs, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
                     # as an ordered signed number
                     code = (code ^ np.uint64(1 << 63)).astype(np.int64)
@@ -256,13 +291,17 @@ def embedding_near_dedup(
     scratch = Scratch(spark, "embed")
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     packed = scratch.write(base.mapInArrow(_pack, "vec_id long, v binary"))
-    distinct = packed.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    distinct = scratch.write(distinct.where("id is not null").select("id", "v", "n"))
+    distinct = packed.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+    # numbers tell vectors apart, also where rows share an id; results only have ids
+    distinct = scratch.write(distinct.select(F.monotonically_increasing_id().alias("id"), "v", "n", "vec_id"))
+    sizes = distinct.groupBy(F.expr(_SIZE).alias("size")).agg(F.count("*").alias("n"))
+    centres = _means(distinct, sizes.collect())  # a row for each length of vectors
     if passes is None:
-        passes = passes_for(distinct.count(), cosine, window)
+        passes = max((passes_for(n, centred_cosine(cosine, common), window) for _, (n, common, _) in centres.items()), default=PASSES)
 
     order = ["pass", "size", "code", "id"]
-    coded = distinct.select("id", "v").mapInArrow(_codes(passes, 64, seed), "pass int, size int, code long, id long, v binary")
+    means = {size: mean for size, (_, _, mean) in centres.items()}
+    coded = distinct.select("id", "v").mapInArrow(_codes(passes, 64, seed, means), "pass int, size int, code long, id long, v binary")
     laid = coded.repartitionByRange(*order).sortWithinPartitions(*order)
     edges = scratch.write(laid.mapInArrow(_windows(cosine, window), "a long, b long, sure boolean").distinct())
     sure = edges.where("sure").select("a", "b")
@@ -305,16 +344,18 @@ def embedding_near_dedup(
         (F.coalesce("gain", F.lit(0)) + F.when(F.col("core"), F.col("core_n") - F.col("n")).otherwise(0)).alias("links"),
     )
     # a rep is the smallest id of its copies, a component the smallest of its reps
-    known = distinct.join(counted, "id", "left").select(
+    counted = scratch.write(distinct.select("id", "n", "vec_id", "v").join(counted, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    least = counted.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
+    known = counted.join(least, "comp").select(
         "v",
-        F.coalesce("comp", "id").alias("component_id"),
+        "component_id",
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
     )
     good = packed.where("v is not null").join(known, "v", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id"
     )
     bad = packed.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
