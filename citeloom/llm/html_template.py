@@ -6,18 +6,21 @@ equally often on every page (the same occurrence vector, of ones, of any counts
 tag is among them and enough pages hold them. A class is valid as far as its roles alternate in one order on all
 pages; valid classes are nested by the places between whose tokens they lie, and one that reaches across a token of a
 class around it is dropped. The class of roles that occur once on every page is the template's skeleton, the others are
-its optional and repeated parts. Text of a valid class is template text; the stretches between the tokens of the
-classes are slots, and the slots of the element that carries the changing text are the main text.
+its optional and repeated parts. The stretches between the tokens of the classes are slots.
 
-Two choices are made by names, not by classes: what is marked as menu, header, footer, sidebar, notice, advert, form,
-script, style or comment is left out (an article's own header holds its headline and stays), and of the skeleton's elements an ``article`` or ``main`` with changing text is taken
-first, else the deepest one with most of the group's changing text. A page without that element gives its own ``article``,
-``main`` or ``body``.
+Pages that have most of their text (``COPY``) in common with an earlier one are copies of it and tell nothing about the template: classes
+are deduced from one page of each kind, so near copies keep their text. Text is template text only if its class is on half (``SUPPORT``) of these
+pages or more, at least ``LEAST`` of them (within a block with other text ``LEAST_INSIDE``): what a minority shares, as a section that several
+articles hold, stays.
+
+The slots choose the main element: of the skeleton's elements the deepest one that holds most (``MOST``) of the text that changes from page to page. Of
+elements within each other an ``article`` or ``main`` is preferred where it holds a third (``NAMED``) of the changing text. A page without that
+element gives its own ``article``, ``main`` or ``body``. What is marked by tag or name as menu, header, footer, sidebar, notice, advert, form,
+script, style or comment is left out; an article's own header holds its headline and stays.
 
 Blocks are what block tags and line breaks separate. Null html is empty, null urls have an empty host;
 broken, unclosed and truncated markup is read as far as it goes. Pages with equal
-tags and text give equal results and count once. Text
-counts as template from ``LEAST`` different pages on, within a block with other text from ``LEAST_INSIDE``; a page that
+tags and text give equal results and count once. A page that
 nothing would be left of keeps its text. Empty tables give no rows.
 """
 
@@ -39,11 +42,13 @@ from citeloom.llm.url_tree import host_of
 
 GROUP = 64
 MOST = 0.6  # share of a group's changing text that its main element must hold
-LEAST, LEAST_INSIDE = 3, 8  # pages that template text is on: as a whole block, as part of one
+NAMED = 1 / 3  # share that an article or main must hold to be preferred
+COPY = 0.75  # share of both pages' text from which on a page is another one's copy
+LEAST, LEAST_INSIDE = 3, 8  # different pages that template text is on: as a whole block, as part of one
 MANY_HOSTS = 500_000  # hosts with their number of groups that are broadcast, some 30 MB
 PATH = 1000  # characters of a role's path from which on a digest stands for its outer part
 INLINE = 8  # innermost inline tags that tell text roles apart
-SUPPORT = 0.25  # share of a group's pages that a class is on
+SUPPORT = 0.5  # share of a group's pages that a class is on
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
 _ATTRIBUTES = re.compile(r"""(?>[^'">]+|"[^"]*"|'[^']*')*+>""")
@@ -322,15 +327,33 @@ def skeleton(pages: list[Page]) -> list[str]:
     return [r for r in valid_classes(pages)[0] if " " not in r]
 
 
+def different_pages(pages: list[Page]) -> list[Page]:
+    """The pages without those that have ``COPY`` of their text, and of the other page's, in common with an earlier one."""
+    kept: list[tuple[Page, Counter[str], int]] = []
+    for page in pages:
+        own: Counter[str] = Counter()
+        for _, run in page.tokens:
+            if run >= 0:
+                own[page.runs[run][1].strip()] += 1
+        size = sum(len(t) * n for t, n in own.items())
+        for _, other, total in kept:
+            least = COPY * max(size, total)
+            if min(size, total) >= least and sum(len(t) * n for t, n in (own & other).items()) >= least:
+                break
+        else:
+            kept.append((page, own, size))
+    return [p for p, _, _ in kept]
+
+
 def template_texts(pages: list[Page], classes: list[list[str]]) -> dict[str, bool]:
-    """The text roles of the valid classes that pages enough hold, and whether they may be part of a block."""
+    """The text roles of valid classes that are on half of the pages or more, and whether they may be part of a block."""
     roles = {r for c in classes for r in c if " " in r}
     held = Counter(r for page in pages for r in {r for r, _ in page.tokens} & roles)
-    return {r: n >= LEAST_INSIDE for r, n in held.items() if n >= LEAST}
+    return {r: n >= LEAST_INSIDE for r, n in held.items() if n >= max(LEAST, SUPPORT * len(pages))}
 
 
 def main_role(pages: list[Page], order: list[str], template: dict[str, bool] | None = None) -> str | None:
-    """The deepest skeleton element that holds most of the group's changing text."""
+    """The deepest skeleton element whose slots hold most of the group's changing text; a named one within or around it comes first."""
     seen = Counter(run for page in pages for run in {r for e, r in page.runs if e >= 0})
     changing: Counter[str] = Counter()
     total = 0
@@ -346,17 +369,17 @@ def main_role(pages: list[Page], order: list[str], template: dict[str, bool] | N
             changing[page.roles[i]] += held[i]
             if page.parent[i] >= 0:
                 held[page.parent[i]] += held[i]
-    named = [r for r in order if r.rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and changing[r] > 0]
-    if named:  # the page says itself which slot is the main one
-        return max(named, key=lambda r: (changing[r], r.count("/"), r))
     fit = [r for r in order if total and changing[r] >= MOST * total]
-    return max(fit, key=lambda r: (r.count("/"), r), default=None)
+    best = max(fit, key=lambda r: (r.count("/"), r), default=None)
+    named = [r for r in order if r.rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and total and changing[r] >= NAMED * total]
+    related = [r for r in named if best is None or best.startswith(f"{r}/") or r == best or r.startswith(f"{best}/")]
+    return max(related, key=lambda r: (changing[r], r.count("/"), r), default=best)
 
 
 def main_texts(sources: list[str]) -> list[str]:
     """Main texts of the pages of one group."""
     pages = [Page(s) for s in sources]
-    distinct = list({tuple(r for r, _ in p.tokens): p for p in pages}.values())
+    distinct = different_pages(list({tuple(r for r, _ in p.tokens): p for p in pages}.values()))
     classes = valid_classes(distinct)
     template = template_texts(distinct, classes)
     role, out = main_role(distinct, [r for r in classes[0] if " " not in r], template), []

@@ -831,6 +831,39 @@ def test_html_templates_equal_what_pages_were_made_of(spark):
         assert html_template.main_texts(pages) == want, site
 
 
+def _site(n, body, rng):
+    """Pages whose names say nothing: unmarked boxes around a changing one."""
+    box = "<html><body><div class=x1>Open hours and prices</div><div class=x2><p>{}</p></div><div class=x3>Made by us in one town</div></body></html>"
+    return [box.format(body(i)) for i in range(n)]
+
+
+def test_html_slots_where_no_names_help():
+    rng = random.Random(3)
+    texts = [prose(60, rng) for _ in range(12)]
+    assert html_template.main_texts(_site(12, lambda i: texts[i], rng)) == texts
+
+
+def test_html_sections_that_some_pages_share_stay():
+    """Every third page has a section, word for word: it is no template."""
+    rng = random.Random(4)
+    texts = [prose(50, rng) for _ in range(30)]
+    section = "</p><h2>Method</h2><p>All values were measured twice."
+    pages = ["<html><body><article><h1>{}</h1><p>{}</p></article></body></html>".format(f"Title {i}", t + (section if i % 3 == 0 else "")) for i, t in enumerate(texts)]
+    want = [f"Title {i}\n{t}" + ("\nMethod\nAll values were measured twice." if i % 3 == 0 else "") for i, t in enumerate(texts)]
+    assert html_template.main_texts(pages) == want
+
+
+def test_html_near_copies_keep_their_text():
+    rng = random.Random(5)
+    base = [prose(30, rng) for _ in range(5)]
+    page = "<html><body><article><p>{}</p>" + "".join(f"<p>{p}</p>" for p in base) + "</article><div class=f>All rights kept</div></body></html>"
+    firsts = [f"Edition {i}" for i in range(10)]
+    assert html_template.main_texts([page.format(f) for f in firsts]) == ["\n".join([f, *base]) for f in firsts]
+    others = [prose(80, rng) for _ in range(20)]
+    mixed = [page.format(f) for f in firsts] + [f"<html><body><article><p>{t}</p></article><div class=f>All rights kept</div></body></html>" for t in others]
+    assert html_template.main_texts(mixed) == ["\n".join([f, *base]) for f in firsts] + others
+
+
 def test_html_skeleton():
     pages = [html_template.Page(PAGE.format(main=f"<main><h2>{i}</h2>" + "<section>x</section>" * i + "</main>")) for i in range(1, 5)]
     order = html_template.skeleton(pages)
