@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.similarity import jaro_possible, with_jaro
+from citeloom.functions.similarity import with_jaro
 from citeloom.operators.graph import components
+from citeloom.operators.titlejoin import candidate_pairs, similar_pairs, title_keys
 from citeloom.plans.scratch import Tables
 
 MERGE, AMBIGUOUS = 0.92, 0.86
@@ -19,22 +18,22 @@ WEIGHTS = (0.70, 0.15, 0.10, 0.05)
 
 
 def scored_pairs(works: DataFrame, key: str, title: str, author: str, year: str, venue: str, order: str, least: float = AMBIGUOUS) -> DataFrame:
-    """Pairs (a before b in ``order``) of works without a DOI whose score reaches ``least``.
+    """Pairs (a, b, score), a before b in ``order``, of works without a DOI whose score reaches ``least``.
 
-    Without equal authors a score is at most 0.85, so from 0.86 on the comparison is an equi-join on the
-    author key; years must be within one or unknown. Lengths that can't reach the title similarity needed
-    are filtered before Jaro's similarity is computed.
+    Without equal authors a score is at most 0.85, so from 0.86 on the comparison is within an author's works; years must be
+    within one or unknown. Of the other terms at most 0.30 come in, so titles must be similar to some degree: the
+    similarity join of titles gives those pairs, and venues are compared for them only.
     """
-    w = works.where(F.col(title).isNotNull() & F.col(author).isNotNull()).select(key, title, author, year, venue, order)
-    a = w.select(*[F.col(c).alias(f"{c}_a") for c in (key, title, year, venue, order)], F.col(author))
-    b = w.select(*[F.col(c).alias(f"{c}_b") for c in (key, title, year, venue, order)], F.col(author))
+    w = works.where(F.col(title).isNotNull() & F.col(author).isNotNull())
+    need = (least - WEIGHTS[1] - WEIGHTS[2] - WEIGHTS[3]) / WEIGHTS[0] - 1e-9
+    keyed = title_keys(w.select(*dict.fromkeys((key, order, author, year, title))), title, need).drop(title)
     near = F.col(f"{year}_a").isNull() | F.col(f"{year}_b").isNull() | (F.abs(F.col(f"{year}_a") - F.col(f"{year}_b")) <= 1)
-    need = (least - WEIGHTS[1] - WEIGHTS[2] - WEIGHTS[3]) / WEIGHTS[0]
-    pairs = a.join(b, author).where((F.col(f"{order}_a") < F.col(f"{order}_b")) & near & jaro_possible(F.col(f"{title}_a"), F.col(f"{title}_b"), need))
-    pairs = with_jaro(with_jaro(pairs, f"{title}_a", f"{title}_b", "title_sim"), f"{venue}_a", f"{venue}_b", "venue_sim")
-    score = WEIGHTS[0] * F.col("title_sim") + WEIGHTS[1] + WEIGHTS[2] + WEIGHTS[3] * F.coalesce("venue_sim", F.lit(0.0))
-    out = pairs.withColumn("score", F.round(F.least(F.lit(1.0), score), 6))
-    return out.where(F.col("score") >= least)
+    pairs = similar_pairs(candidate_pairs(keyed, keyed, key, order, [author], need, near), w, key, title, need)
+    v = w.select(F.col(key).alias("_k"), F.col(venue).alias("_v"))
+    pairs = pairs.join(v.withColumnsRenamed({"_k": "a", "_v": "v_a"}), "a").join(v.withColumnsRenamed({"_k": "b", "_v": "v_b"}), "b")
+    score = WEIGHTS[0] * F.col("sim") + WEIGHTS[1] + WEIGHTS[2] + WEIGHTS[3] * F.coalesce("venue_sim", F.lit(0.0))
+    out = with_jaro(pairs, "v_a", "v_b", "venue_sim").withColumn("score", F.round(F.least(F.lit(1.0), score), 6))
+    return out.where(F.col("score") >= least).select("a", "b", "score")
 
 
 def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
@@ -135,23 +134,25 @@ def cluster_summary(rows: DataFrame, cluster: str, key: str, title: str, doi: st
 
 
 def title_groups(works: DataFrame, title: str, year: str, tables: Tables, distance: float = 0.08) -> DataFrame:
-    """Groups of near-equal titles of one year, or an unknown one: (title, year, group), the group named by its leader's number.
+    """Groups of near-equal titles of one year, or an unknown one: (t, y, group), groups numbered 1, 2, 3 in the order of their leaders.
 
-    Leaders are taken greedily in the order of year (unknown ones last) and title. Distinct titles are compared, and only
-    within neighbouring classes of length: the shorter one has at least 1 - 3 * distance of the longer one's characters.
+    Leaders are taken greedily in the order of year (unknown ones last) and title. Distinct titles meet in the similarity join: those
+    of known years within their year, those of unknown ones with all.
     """
     w = works.where(F.col(title).isNotNull()).select(F.col(title).alias("t"), F.col(year).alias("y")).distinct()
     ids = _numbered(w.withColumn("_k", F.struct(F.col("y").isNull().alias("n"), "y", "t")), "_k", tables).select("id", "t", "y")
-    scale = -1.0 / math.log(1 - 3 * distance)
-    size = F.floor(F.log(F.greatest(F.char_length("t"), F.lit(1))) * scale).cast("int")
-    b = ids.select(F.col("id").alias("b"), F.col("t").alias("t_b"), F.col("y").alias("y_b"), size.alias("c"))
-    a = ids.select(F.col("id").alias("a"), F.col("t").alias("t_a"), F.col("y").alias("y_a"), F.explode(F.array(size - 1, size, size + 1)).alias("c"))
-    known = a.withColumnRenamed("y_a", "y_b").join(b, ["y_b", "c"])
-    pairs = known.select("a", "b", "t_a", "t_b").unionByName(a.join(b.where("y_b is null"), "c").select("a", "b", "t_a", "t_b"))
-    pairs = pairs.where((F.col("a") < F.col("b")) & jaro_possible(F.col("t_a"), F.col("t_b"), 1 - distance))
-    near = with_jaro(pairs, "t_a", "t_b", "sim").where(F.col("sim") >= 1 - distance)
-    leaders = leader_clusters(ids.select("id"), near.select("a", "b"), tables)
-    return ids.join(leaders, "id").select("t", "y", F.concat(F.lit("title:"), F.col("leader").cast("string")).alias("group"))
+    ids, least = tables.write(ids), 1 - distance
+    keyed = tables.write(title_keys(ids, "t", least).select("id", "y", "n", "key", "pos"))
+    known, open_ = keyed.where("y is not null"), keyed.where("y is null").drop("y")
+    pairs = candidate_pairs(known, known, "id", "id", ["y"], least)
+    if not open_.isEmpty():  # years that are unknown come last in the order
+        pairs = pairs.unionByName(candidate_pairs(keyed.drop("y"), open_, "id", "id", [], least))
+    near = tables.write(similar_pairs(pairs, ids, "id", "t", least))
+    # an empty title is like no other one
+    leaders = tables.write(leader_clusters(ids.select("id"), near.select("a", "b"), tables))
+    first = _numbered(leaders.where("id = leader").select(F.col("leader").alias("l")), "l", tables).select(F.col("l").alias("leader"), F.col("id").alias("place"))
+    named = leaders.join(first, "leader").select("id", F.concat(F.lit("title:"), F.col("place").cast("string")).alias("group"))
+    return ids.join(named, "id").select("t", "y", "group")
 
 
 def _numbered(df: DataFrame, order: str, tables: Tables) -> DataFrame:

@@ -1,8 +1,8 @@
 """Citation networks: reference edges, co-citation, bibliographic coupling, strengths and summaries.
 
-Pairs come from equi-joins on the shared key with a half-triangle condition. A key that many nodes share
-makes a quadratic number of pairs; that number is the result here, so it is not capped: partial counts
-before the final shuffle and AQE's split of skewed partitions keep it spread out.
+Pairs come from equi-joins on the shared key. A key that many nodes share makes a quadratic number of pairs; that number is the
+result here, so it is not capped, but spread: the nodes of a key of more than ``TILE`` are dealt to blocks of about that many, and each two
+blocks are a tile of the triangle of pairs, which is what meets in a task. Counts of the tiles are added up, partially before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,19 +20,37 @@ def reference_edges(works: DataFrame, work: str = "work_id", references: str = "
     return rows.select("*", reference_key(F.col("cited_reference")).alias("cited_reference_key"), F.lit(source).alias("reference_source")).distinct()
 
 
-def cocitation(edges: DataFrame, work: str, reference: str, by: tuple[str, ...] = ()) -> DataFrame:
+TILE = 512  # nodes of one key in a block
+
+
+def tiles(edges: DataFrame, by: list[str], node: str, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join over (by..., i, j) in which every two rows of a key meet once: block i's rows and block j's, i <= j."""
+    size = edges.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > tile)
+    dealt = edges.join(size, by, "left").select(*edges.columns, F.ceil(F.coalesce("_n", F.lit(1)) / tile).cast("int").alias("_blocks"))
+    own = F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int")).otherwise(0)
+    dealt = dealt.withColumn("_own", own)
+    low = dealt.select(*edges.columns, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
+    high = dealt.select(*edges.columns, F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"))
+    return low, high
+
+
+def _pairs(edges: DataFrame, by: list[str], node: str, first: str, second: str, tile: int) -> DataFrame:
+    """Pairs of different nodes that share ``by``, the smaller one first, a row for each time."""
+    low, high = tiles(edges, by, node, tile)
+    both = low.withColumnRenamed(node, "_x").join(high.withColumnRenamed(node, "_y"), [*by, "_i", "_j"]).where("_i < _j or _x < _y")
+    return both.select(*by, F.least("_x", "_y").alias(first), F.greatest("_x", "_y").alias(second))
+
+
+def cocitation(edges: DataFrame, work: str, reference: str, by: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
     """How many works cite both references (within equal ``by`` columns): (by..., ref1, ref2, n)."""
-    e = edges.select(*by, work, reference).distinct()
-    left = e.withColumnRenamed(reference, "ref1")
-    right = e.withColumnRenamed(reference, "ref2")
-    return left.join(right, [*by, work]).where("ref1 < ref2").groupBy(*by, "ref1", "ref2").agg(F.count("*").alias("n"))
+    e = edges.select(*by, work, reference).where(F.col(work).isNotNull() & F.col(reference).isNotNull()).distinct()
+    return _pairs(e, [*by, work], reference, "ref1", "ref2", tile).groupBy(*by, "ref1", "ref2").agg(F.count("*").alias("n"))
 
 
-def coupling(edges: DataFrame, work: str, reference: str) -> DataFrame:
+def coupling(edges: DataFrame, work: str, reference: str, tile: int = TILE) -> DataFrame:
     """How many references two works share, repeated edges counted: (work1, work2, n)."""
-    left = edges.select(reference, F.col(work).alias("work1"))
-    right = edges.select(reference, F.col(work).alias("work2"))
-    return left.join(right, reference).where("work1 < work2").groupBy("work1", "work2").agg(F.count("*").alias("n"))
+    e = edges.select(reference, work).where(F.col(work).isNotNull() & F.col(reference).isNotNull())
+    return _pairs(e, [reference], work, "work1", "work2", tile).groupBy("work1", "work2").agg(F.count("*").alias("n"))
 
 
 def normalised_strength(pairs: DataFrame, edges: DataFrame, work: str, reference: str) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
+from citeloom.plans.scratch import Tables
+
+RATIO_VALUES = 20_000  # distinct values that the ratio metric compares with each other
 Z95 = 1.959963984540054  # fixed value: the 97.5 % point of the normal distribution
 
 
@@ -96,9 +101,10 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 def krippendorff(ratings: DataFrame, metric: str = "nominal", by: tuple[str, ...] = ()) -> DataFrame:
     """Krippendorff's alpha of rows (by..., unit, coder, value): one row (by..., n_units, n_values, alpha).
 
-    Coincidences come from counts of values per unit, so no pairs of coders are made; what is joined with
-    itself afterwards are the distinct values. Units with one rating don't count; alpha is null where no
-    disagreement is expected.
+    Coincidences come from counts of values per unit, so no pairs of coders are made. The expected disagreement of nominal and
+    interval values follows from counts and moments; the ordinal difference of two values is that of their mid-ranks, so
+    ordinal data are interval data of mid-ranks. Only for ratios are distinct values joined with themselves, up to
+    ``RATIO_VALUES`` of them; more raise. Units with one rating don't count; alpha is null where no disagreement is expected.
     """
     g = ["_k", *by]
     per, sizes, weights = _coincidences(ratings, metric, by)
@@ -126,7 +132,13 @@ def _alpha(marginal: DataFrame, o: DataFrame, units: DataFrame, metric: str, by:
     g = ["_k", *by]
     total = marginal.groupBy(*g).agg(F.sum("n_c").alias("n"))
     c, k = F.col("c"), F.col("k")
-    if metric in ("nominal", "interval"):
+    if metric == "ordinal":
+        ranks = mid_ranks(marginal, g)
+        for side in ("c", "k"):
+            o = o.join(ranks.select(*g, F.col("value").alias(side), F.col("mid").alias(f"mid_{side}")), [*g, side])
+        o = o.select(*g, F.col("mid_c").alias("c"), F.col("mid_k").alias("k"), "o")
+        marginal = ranks.select(*g, F.col("mid").alias("value"), "n_c")
+    if metric in ("nominal", "interval", "ordinal"):
         # closed forms from counts and moments: no two values meet that no unit holds together
         m = lambda e: F.sum(F.col("n_c").cast("double") * e)
         if metric == "nominal":
@@ -139,22 +151,15 @@ def _alpha(marginal: DataFrame, o: DataFrame, units: DataFrame, metric: str, by:
         expected = marginal.groupBy(*g).agg(expected.alias("expected"))
         observed = o.groupBy(*g).agg(F.sum(F.col("o") * delta).alias("observed"))
         sums = expected.join(observed, g, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
-    elif metric in ("ratio", "ordinal"):
-        # these have no closed form: the distinct values are joined with themselves
+    elif metric == "ratio":
+        # no closed form: the distinct values are joined with themselves
+        most = marginal.groupBy(*g).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most > RATIO_VALUES:
+            raise ValueError(f"{most} distinct values are too many for the ratio metric")
         a = marginal.select(*g, F.col("value").alias("c"), F.col("n_c").alias("n_c"))
         b = marginal.select(*g, F.col("value").alias("k"), F.col("n_c").alias("n_k"))
-        pairs = a.join(b, g)
-        if metric == "ratio":
-            delta = F.when(c + k == 0, 0.0).otherwise(((c - k) / (c + k)) * ((c - k) / (c + k)))
-        else:
-            between = F.sum("n_c").over(Window.partitionBy(*g).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-            run = marginal.withColumn("run", between)
-            pairs = pairs.join(run.select(*g, F.col("value").alias("c"), F.col("run").alias("run_c")), [*g, "c"])
-            pairs = pairs.join(run.select(*g, F.col("value").alias("k"), F.col("run").alias("run_k")), [*g, "k"])
-            inner = F.abs(F.col("run_c") - F.col("run_k")) + F.when(c < k, F.col("n_c")).otherwise(F.col("n_k"))
-            span = F.when(c == k, 0.0).otherwise(inner - (F.col("n_c") + F.col("n_k")) / 2)
-            delta = span * span
-        pairs = pairs.withColumn("delta", delta).join(o, [*g, "c", "k"], "left")
+        delta = F.when(c + k == 0, 0.0).otherwise(((c - k) / (c + k)) * ((c - k) / (c + k)))
+        pairs = a.join(b, g).withColumn("delta", delta).join(o, [*g, "c", "k"], "left")
         sums = pairs.groupBy(*g).agg(
             F.sum(F.coalesce("o", F.lit(0.0)) * F.col("delta")).alias("observed"), F.sum(F.col("n_c") * F.col("n_k") * F.col("delta")).alias("expected")
         )
@@ -165,6 +170,22 @@ def _alpha(marginal: DataFrame, o: DataFrame, units: DataFrame, metric: str, by:
     return out.select(*by, "n_units", F.col("n").alias("n_values"), F.round(alpha, 6).alias("alpha"))
 
 
+def mid_ranks(counts: DataFrame, g: list[str]) -> DataFrame:
+    """``counts`` (g..., value, n_c) with ``mid``: how many values of the group are smaller, and half of its own number.
+
+    Values are sorted in ranges; each range's sums are added up within it, and the ranges' totals before it come on top.
+    """
+    tables = Tables(counts.sparkSession, "ranks")
+    laid = counts.repartitionByRange(*g, "value").withColumn("_p", F.spark_partition_id())
+    laid = tables.write(laid)  # the ranges stay as they are
+    before = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = laid.groupBy(*g, "_p").agg(F.sum("n_c").alias("_s"))  # a row for each range that a group is in
+    starts = totals.select(*g, "_p", zero(F.sum("_s").over(before(g, "_p"))).alias("_start"))
+    own = laid.withColumn("_own", zero(F.sum("n_c").over(before([*g, "_p"], "value"))))
+    return own.join(starts, [*g, "_p"]).select(*counts.columns, (F.col("_start") + F.col("_own") + F.col("n_c") / 2).alias("mid"))
+
+
 def per_class_alpha(ratings: DataFrame, classes: list[str]) -> DataFrame:
     """Alpha of each class against the rest."""
     tall = ratings.where("value is not null").select(F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"), "unit", "coder", "value")
@@ -258,24 +279,31 @@ def alpha_band(alpha: Column) -> Column:
 def bootstrap_alpha(ratings: DataFrame, metric: str = "nominal", resamples: int = 1000, seed: int = 1) -> DataFrame:
     """Percentile interval of alpha over resampled units.
 
-    Each unit draws its multiplicity in each resample from a Poisson law by hash, so the draws don't depend
-    on the partitioning and no resample is gathered anywhere: what is shuffled are each resample's sums.
+    Units whose values agree in kinds and numbers are one pattern. Each unit would draw its multiplicity from a Poisson law with mean 1; the sum of a
+    pattern's n draws has the Poisson law with mean n, so a resample costs a draw for each pattern and not for each unit. Draws
+    follow from seed and pattern, whatever the partitions; only patterns and sums are shuffled.
     """
-    u = (F.pmod(F.xxhash64("unit", "rep", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    law, total = [], 0.0
-    for k in range(8):
-        total += float(np.exp(-1.0)) / float(np.prod(np.arange(1, k + 1))) if k else float(np.exp(-1.0))
-        law.append(total)
-    times = reduce(lambda out, k: out + (u >= law[k]).cast("int"), range(8), F.lit(0))
-
-    def drawn(rows: DataFrame) -> DataFrame:
-        reps = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
-        return reps.withColumn("times", times).where("times > 0")
-
-    per, sizes, weights = _coincidences(ratings, metric, ())
-    marginal = drawn(per).groupBy("_k", "rep", "value").agg(F.sum(F.col("n_uv") * F.col("times")).alias("n_c"))
-    o = drawn(weights).groupBy("_k", "rep", "c", "k").agg(F.sum(F.col("w") * F.col("times")).alias("o"))
-    units = drawn(sizes).groupBy("_k", "rep").agg(F.sum("times").alias("n_units"))
+    g = ["_k"]
+    per, sizes, _ = _coincidences(ratings, metric, ())
+    shape = per.groupBy(*g, "unit").agg(F.array_sort(F.collect_list(F.struct("value", "n_uv"))).alias("pattern"))
+    patterns = shape.groupBy(*g, "pattern").agg(F.count("*").alias("n"))
+
+    @pandas_udf("array<long>")
+    def draws(n: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, k & (2**64 - 1)]).poisson(m, resamples).tolist() for m, k in zip(n.tolist(), key.tolist(), strict=True)])
+
+    drawn = patterns.select(*g, "pattern", draws("n", F.xxhash64("pattern")).alias("times"))
+    drawn = drawn.select(*g, "pattern", F.posexplode("times").alias("rep", "times")).where("times > 0")
+    value = drawn.select(*g, "rep", "times", F.explode("pattern").alias("v")).select(*g, "rep", F.col("v.value").alias("value"), (F.col("v.n_uv") * F.col("times")).alias("n"))
+    marginal = value.groupBy(*g, "rep", "value").agg(F.sum("n").alias("n_c"))
+    m = F.aggregate("pattern", F.lit(0).cast("long"), lambda s, v: s + v["n_uv"])
+    same = lambda c, k: F.when(c["value"] == k["value"], 1).otherwise(0)
+    pairs = F.flatten(
+        F.transform("pattern", lambda c: F.transform("pattern", lambda k: F.struct(c["value"].alias("c"), k["value"].alias("k"), (c["n_uv"] * (k["n_uv"] - same(c, k))).alias("n"))))
+    )
+    o = drawn.select(*g, "rep", F.explode(pairs).alias("p"), (F.col("times") / (m - 1)).alias("w"))
+    o = o.groupBy(*g, "rep", F.col("p.c").alias("c"), F.col("p.k").alias("k")).agg(F.sum(F.col("p.n") * F.col("w")).alias("o"))
+    units = drawn.groupBy(*g, "rep").agg(F.sum("times").alias("n_units"))
     alphas = _alpha(marginal, o, units, metric, ("rep",))
     return alphas.agg(
         F.count("alpha").alias("resamples"), F.expr("percentile(alpha, 0.025)").alias("low"), F.expr("percentile(alpha, 0.975)").alias("high")

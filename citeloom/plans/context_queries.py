@@ -73,6 +73,18 @@ def early_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "duplicate_group", "is_duplicate")
 
 
+@query()
+def part_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as works: whole names are titles, sizes are years, a brand stands for a DOI in some; greedy groups have no SQL."""
+    p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    works = p.select(
+        "p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.col("p_brand")).alias("doi"), N.normalize_title(F.col("p_name")).alias("title"),
+        F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") % 3).alias("year"),
+    )
+    out = linkage.early_duplicates(works, "doi", "title", "year", "p_partkey", Tables(spark, "parts"), "p_partkey")
+    return out.select("p_partkey", "duplicate_group", "is_duplicate")
+
+
 @query("""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS doi, lang FROM documents),
 c AS (SELECT *, CASE WHEN doi IS NOT NULL THEN 'doi:' || doi WHEN doc_id % 2 = 0 THEN 'fuzzy:' || (doc_id // 10 * 10) ELSE 'singleton:' || doc_id END AS cluster_id FROM w),
 k AS (SELECT *, CASE WHEN doi IS NOT NULL THEN 1.0 WHEN doc_id % 2 = 1 THEN 0.5 WHEN doc_id % 10 = 0 THEN 0.75 ELSE 0.95 END::DOUBLE AS k, CASE WHEN doi IS NOT NULL THEN 'exact_doi' WHEN doc_id % 2 = 1 THEN 'insufficient_metadata_singleton' WHEN doc_id % 10 = 0 THEN 'title_author_year_singleton' ELSE 'fuzzy_title_author_year' END AS m FROM c)

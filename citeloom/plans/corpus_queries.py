@@ -45,7 +45,7 @@ def pair_scores_lev(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = _titles(spark, d).withColumn("ord", F.col("p_partkey"))
     pairs = linkage.scored_pairs(t, "p_partkey", "title", "author", "year", "venue", "ord")
-    return t, pairs.select(F.col("p_partkey_a").alias("a"), F.col("p_partkey_b").alias("b"), "score")
+    return t, pairs
 
 
 @query(f"""WITH t AS (SELECT p_partkey, {_TITLE} AS title, p_brand || '_' || p_type AS author, p_size AS year FROM part), p AS (SELECT a.p_partkey AS a, b.p_partkey AS b,
