@@ -227,6 +227,11 @@ def title_match(title: Column, needle: str) -> Column:
     return reduce(lambda a, b: a & b, (F.contains(F.lower(title), F.lit(w)) for w in words), F.lit(True))
 
 
+def has_author(names: Column, required: str) -> Column:
+    """Whether a name is among an array of author names, in any case; not among no names."""
+    return F.contains(F.lower(F.array_join(F.coalesce(names, F.array().cast("array<string>")), " ")), F.lit(required.lower()))
+
+
 def display_count(n: Column) -> Column:
     return F.format_number(n, 0)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.normalize import context_key
+
 
 def latest(rows: DataFrame, keys: list[str], time: str, *ties: str) -> DataFrame:
     """The last row of each key; a missing time counts as the latest."""
@@ -123,3 +127,28 @@ def set_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.distinct().withColumn("_a", F.lit(1)).join(b.distinct().withColumn("_b", F.lit(1)), a.columns, "full_outer")
     x, y = F.col("_a").isNotNull(), F.col("_b").isNotNull()
     return both.agg(F.count("*").alias("in_union"), F.count_if(x & y).alias("in_both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"))
+
+
+def null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on several columns in which null equals null."""
+    r = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    return left.join(r, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def id_differences(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, difference): ids that are missing from what was found, and extra ones; none if the sets are equal."""
+    a, b = wanted.select(key).distinct(), found.select(key).distinct()
+    missing = a.join(b, key, "left_anti").withColumn("difference", F.lit("missing"))
+    return missing.unionByName(b.join(a, key, "left_anti").withColumn("difference", F.lit("extra")))
+
+
+def merge_contexts(primary: DataFrame, secondary: DataFrame, keys: list[str], sentence: str, order: str, names: tuple[str, str]) -> DataFrame:
+    """Contexts of two routes by their keys and normalised sentence; of a route's repeated ones the last in order counts."""
+
+    def last(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("sentence_key", context_key(F.col(sentence)))
+        w = Window.partitionBy(*keys, "sentence_key").orderBy(F.desc(order))
+        return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", order)
+
+    return merge_routes(last(primary), last(secondary), [*keys, "sentence_key"], names)

@@ -11,6 +11,13 @@ def shuffled(seed: str | int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
 
 
+def annotator_orders(rows: DataFrame, key: str, annotators: list[str], seed: str | int = 1) -> DataFrame:
+    """Every annotator's own order of all rows: (annotator, key, place), places from 1."""
+    tall = rows.select(F.explode(F.array(*[F.lit(a) for a in annotators])).alias("annotator"), key)
+    w = Window.partitionBy("annotator").orderBy(shuffled(seed, "annotator", key), key)
+    return tall.withColumn("place", F.row_number().over(w))
+
+
 def stratified_sample(rows: DataFrame, strata: list[str], n: int | Column, key: str, seed: str | int = 1) -> DataFrame:
     """``n`` rows of each stratum (all of a smaller one)."""
     w = Window.partitionBy(*strata).orderBy(shuffled(seed, key), key)

@@ -35,15 +35,13 @@ def normalize_more(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH w AS (SELECT d.doc_id, text, lower(text) AS t FROM documents d), f AS (SELECT *, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM w)
 SELECT doc_id, (CASE WHEN regexp_matches(p, '^(references|bibliography|works\s+cited|literature\s+cited)\b') THEN 3 ELSE 0 END + CASE WHEN len(regexp_extract_all(p, '\b(19|20)\d{2}\b')) >= 5 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(p, ',')) >= 20 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(p, '\b10\.\d{4,9}/')) >= 2 THEN 1 ELSE 0 END)::INT AS page_score,
-  contains(t, 'r r') OR contains(t, 'ev ') OR len(regexp_extract_all(t, '(?:^|[^a-z0-9_])([a-z]{1,2})(?:$|[^a-z0-9_])')) > 1000000 AS maybe_ocr, doc_id % 5 > 1 AND doc_id % 3 > 0 AS substantive FROM f""")
+  contains(t, 'r r') OR contains(t, 'ev ') OR len(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{1,2}$'))) > 20 AS maybe_ocr, doc_id % 5 > 1 AND doc_id % 3 > 0 AS substantive FROM f""")
 def page_checks(spark: SparkSession, d: str) -> DataFrame:
     """Page bibliography score, broken words and the substantive corpus."""
     docs = table(spark, d, "documents", "doc_id", "text")
-    low = F.lower("text")
     function = F.when(F.col("doc_id") % 3 == 0, "unclear").otherwise("critique")
-    broken = F.contains(low, F.lit("r r")) | F.contains(low, F.lit("ev "))
     return docs.select(
-        "doc_id", R.page_bibliography_score(F.col("text")).alias("page_score"), (T.ocr_indicator(F.col("text"), F.lit(False)) & broken).alias("maybe_ocr"),
+        "doc_id", R.page_bibliography_score(F.col("text")).alias("page_score"), T.ocr_indicator(F.col("text"), F.lit(False)).alias("maybe_ocr"),
         T.is_substantive(function, F.col("doc_id") % 5).alias("substantive"),
     )
 

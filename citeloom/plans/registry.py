@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-from citeloom.plans import audit_queries, context_queries, corpus_queries, network_queries, text_queries, triage_queries  # noqa: E402, F401  they register themselves
+from citeloom.plans import audit_queries, context_queries, corpus_queries, network_queries, record_queries, text_queries, triage_queries  # noqa: E402, F401  they register themselves

@@ -115,7 +115,23 @@ def cached_lookup(wanted: DataFrame, cache: DataFrame, key: str, enabled: bool =
     """Each wanted key with its cached payload and how it was got; nothing is fetched here."""
     hit = wanted.join(cache.select(key, "payload", F.lit("cache_hit").alias("_s")), key, "left")
     rest = "pending_fetch" if enabled else "skipped_api_disabled"
-    return hit.withColumn("status", F.coalesce("_s", F.lit(rest))).drop("_s")
+    blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
+    return hit.withColumn("status", F.coalesce("_s", F.when(blank, "skipped_no_query"), F.lit(rest))).drop("_s")
+
+
+def with_responses(looked_up: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+    """Pending keys with the responses that a fetch stored (key, code, body, error): fetched, http_N, json_error or request_error."""
+    got = responses.select(key, F.lit(True).alias("_got"), F.col("code").alias("_code"), F.col("body").alias("_body"), F.col("error").alias("_error"))
+    both = looked_up.join(got, key, "left")
+    parsed = F.try_parse_json("_body").isNotNull()
+    status = (
+        F.when((F.col("status") != "pending_fetch") | F.col("_got").isNull(), F.col("status"))
+        .when(F.col("_error").isNotNull(), F.concat(F.lit("request_error:"), "_error"))
+        .when(~F.col("_code").between(200, 299), F.concat(F.lit("http_"), F.col("_code").cast("string")))
+        .otherwise(F.when(parsed, "fetched").otherwise("json_error"))
+    )
+    both = both.withColumn("status", status)
+    return both.withColumn("payload", F.when(F.col("status") == "fetched", F.col("_body")).otherwise(F.col("payload"))).select(*looked_up.columns)
 
 
 def done_already(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

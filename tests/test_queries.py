@@ -4,6 +4,7 @@ import re
 import pytest
 from oracle import compare
 from test_operators import brute_sentences
+from test_titlejoin import brute_groups
 
 import __spark_entry__
 from citeloom.functions.similarity import jaro_similarity
@@ -107,6 +108,19 @@ def test_early_duplicate_groups(spark, sf_dir):
     assert all(len(g) == 1 for g in by_title.values())
 
 
+def test_part_duplicate_groups(spark, sf_dir):
+    """Groups and their numbers by the greedy rule, over all parts."""
+    parts = sorted(spark.read.parquet(f"{sf_dir}/part.parquet").collect(), key=lambda r: r.p_partkey)
+    title = {r.p_partkey: " ".join(re.sub("[^a-z0-9]+", " ", r.p_name.lower().replace("&", " and ")).split()) for r in parts}
+    works = [(r.p_partkey, None if r.p_partkey % 10 == 0 else title[r.p_partkey], r.p_size % 3 if r.p_partkey % 4 else None) for r in parts]
+    groups, seen, want = brute_groups(works), set(), {}
+    for r, (k, t, y) in zip(parts, works, strict=True):
+        name = f"doi:{r.p_brand}" if t is None else groups[y, t]
+        want[k] = (name, name in seen)
+        seen.add(name)
+    assert {r.p_partkey: (r.duplicate_group, r.is_duplicate) for r in _rows(spark, sf_dir, "part_duplicate_groups")} == want
+
+
 def test_logistic_is_at_its_optimum(spark, sf_dir):
     rows = _rows(spark, sf_dir, "irls_logit")
     assert len(rows) >= 2 and all(r.low <= r.beta <= r.high and abs(r.odds_ratio - math.exp(r.beta)) < 1e-6 * r.odds_ratio for r in rows)
@@ -127,7 +141,7 @@ def test_bootstrap_interval_holds_the_point(spark, sf_dir):
 def test_every_query_without_sql_is_tested_here():
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {
         "leader_clusters", "ambiguous_pairs", "kripp_bootstrap", "irls_logit", "kmeans_embeddings", "sentence_window", "seed_match_windows", "recover_contexts",
-        "page_anchor_hits", "early_duplicate_groups",
+        "page_anchor_hits", "early_duplicate_groups", "part_duplicate_groups",
     }
 
 
