@@ -343,13 +343,3 @@ def logistic(rows: DataFrame, y: Column, features: dict[str, Column], ridge: flo
         {"term": n, "beta": float(b), "se": float(s), "low": float(b - Z95 * s), "high": float(b + Z95 * s), "odds_ratio": float(np.exp(b))}
         for n, b, s in zip(names, beta, error, strict=True)
     ]
-
-
-def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 1, iterations: int = 20) -> DataFrame:
-    """``rows`` with ``cluster`` by Lloyd's algorithm (Spark ML)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(data)
-    return model.transform(data).drop("_v")

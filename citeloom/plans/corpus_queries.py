@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.normalize import normalize_title
 from citeloom.functions.similarity import jaro_possible, levenshtein_similarity, with_jaro
-from citeloom.operators import linkage, sampling, stats
+from citeloom.operators import linkage, sampling, stats, topics
 from citeloom.plans.network_queries import WILSON_SQL
 from citeloom.plans.registry import query, table
 from citeloom.plans.scratch import Tables
@@ -198,8 +198,8 @@ def irls_logit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.kmeans(table(spark, d, "embeddings", "vec_id", "embedding"), "embedding", 8)
-    return out.select("vec_id", "cluster")
+    out = topics.kmeans(table(spark, d, "embeddings", "vec_id", "embedding"), "embedding", 8, Tables(spark, "kmeans"))
+    return out.rows.select("vec_id", "cluster")
 
 
 _CELLS = "c AS (SELECT year(o_orderdate) AS stratum, count(*) AS population, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS attempted, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AS yielded FROM orders GROUP BY 1)"
