@@ -42,7 +42,7 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataF
     Visiting nodes in the order of their ids, an unassigned one leads and takes all later unassigned ones
     that it is paired with. That is the first maximal independent set: a node leads once all its smaller
     neighbours are members, and is a member once one of them leads. A few rounds settle most nodes. What long chains leave open
-    is cut into components: those of up to ``LOCAL`` pairs are visited in one task each, larger ones go on in rounds.
+    is visited in order, in blocks of ``LOCAL`` pairs.
     ``nodes``: (id); ``pairs``: (a, b) with a < b.
     """
     edge = tables.write(pairs.select("a", "b").distinct())
@@ -62,37 +62,58 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, tables: Tables) -> DataF
         if state.where("state = 'open'").isEmpty():
             break
         if rounds == ROUNDS:
-            state = _settle_small(state, edge, tables)
-            if state.where("state = 'open'").isEmpty():
-                break
+            state = _settle_in_order(state, edge, tables)
+            break
     leaders = state.where("state = 'leader'").select(F.col("id").alias("a"))
     taken = edge.join(leaders, "a").groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "id")
     member = state.where("state = 'member'").select("id").join(taken, "id")
     return member.unionByName(state.where("state = 'leader'").select("id", F.col("id").alias("leader")))
 
 
-def _settle_small(state: DataFrame, edge: DataFrame, tables: Tables) -> DataFrame:
-    """The state after visiting the open nodes of components of up to LOCAL open pairs; settled neighbours don't matter to them."""
+def _settle_in_order(state: DataFrame, edge: DataFrame, tables: Tables) -> DataFrame:
+    """The state after visiting all open nodes.
+
+    The nodes of a component are cut, in order, into blocks of about ``LOCAL`` pairs. A node only depends on smaller ones, so once all earlier
+    blocks are settled, a block is visited in one task; the blocks of one number, of all components, are one job. So components of up to ``LOCAL``
+    pairs take one job, and a longer one as many as it has blocks.
+    """
     free = state.where("state = 'open'")
-    rest = edge.join(free.select(F.col("id").alias("a")), "a").join(free.select(F.col("id").alias("b")), "b")
-    rest = tables.write(rest.select("a", "b"))
-    whole = tables.write(components(rest, tables))
-    rest = rest.join(whole.select(F.col("node").alias("a"), "component"), "a")
-    small = rest.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= LOCAL).select("component")
+    # members don't matter; leaders that were found in the last round do
+    rest = edge.join(free.select(F.col("id").alias("b")), "b").join(state.select(F.col("id").alias("a"), "state"), "a").where("state <> 'member'")
+    rest = tables.write(rest.select("a", "b", (F.col("state") == "leader").alias("led")))
+    whole = tables.write(components(rest.where("not led").select("a", "b"), tables))
+    cost = rest.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n"))
+    nodes = free.select("id").join(whole.withColumnRenamed("node", "id"), "id", "left").join(cost, "id", "left")
+    nodes = nodes.withColumns({"component": F.coalesce("component", "id"), "n": F.coalesce("n", F.lit(0)) + 1})
+    order = Window.partitionBy("component").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = tables.write(nodes.select("id", "component", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / LOCAL).alias("block")))
+    pairs = tables.write(rest.join(nodes.withColumnRenamed("id", "b"), "b").select("a", "b", "led", "component", "block"))
 
     def visit(part: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, list[int]] = {}
-        for a, b in zip(part["a"], part["b"], strict=True):
-            after.setdefault(a, []).append(b)
-        out: dict[int, str] = {}
-        for i in sorted({*part["a"], *part["b"]}):
-            if i not in out:
-                out[i] = "leader"
-                for j in after.get(i, ()):
-                    out.setdefault(j, "member")
-        return pd.DataFrame({"id": list(out), "found": list(out.values())})
-
-    found = rest.join(small, "component").groupBy("component").applyInPandas(visit, "id long, found string")
+        """Nodes (a null) and pairs of a block; ``led``: a leads already."""
+        smaller: dict[int, list[int]] = {}
+        taken: set[int] = set()
+        for b, a, led in zip(part["b"].tolist(), part["a"].tolist(), part["led"].tolist(), strict=True):
+            own = smaller.setdefault(b, [])
+            if led:
+                taken.add(b)
+            elif a is not None and a == a:
+                own.append(int(a))
+        lead: set[int] = set()
+        for b in sorted(smaller):
+            if b not in taken and not any(a in lead for a in smaller[b]):
+                lead.add(b)
+        return pd.DataFrame({"id": list(smaller), "found": ["leader" if b in lead else "member" for b in smaller]})
+
+    settled = f"{tables.root}/settled"
+    found = free.sparkSession.createDataFrame([], "id long, found string")
+    for number in range((nodes.agg(F.max("block")).first()[0] or 0) + 1):
+        here = pairs.where(F.col("block") == number)
+        ahead = found.where("found = 'leader'").select(F.col("id").alias("a"), F.lit(True).alias("ahead"))
+        rows = here.join(ahead, "a", "left").select("component", "b", "a", (F.col("led") | F.coalesce("ahead", F.lit(False))).alias("led"))
+        alone = nodes.where(F.col("block") == number).select("component", F.col("id").alias("b"), F.lit(None).cast("long").alias("a"), F.lit(False).alias("led"))
+        rows.unionByName(alone).groupBy("component").applyInPandas(visit, "id long, found string").write.mode("append").parquet(settled)
+        found = free.sparkSession.read.schema("id long, found string").parquet(settled)
     return tables.write(state.join(found, "id", "left").select("id", F.coalesce("found", "state").alias("state")))
 
 

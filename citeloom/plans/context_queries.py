@@ -10,6 +10,7 @@ from citeloom.functions import text as X
 from citeloom.operators import contexts, linkage, stats
 from citeloom.operators import rules as R
 from citeloom.operators import triage as T
+from citeloom.plans.corpus_queries import _LEADERS
 from citeloom.plans.registry import query, table
 from citeloom.plans.scratch import Tables
 
@@ -71,9 +72,14 @@ def early_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "duplicate_group", "is_duplicate")
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_brand END AS doi, nullif(trim(regexp_replace(replace(lower(p_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), '') AS title, CASE WHEN p_partkey % 4 <> 0 THEN p_size % 3 END AS year FROM part),
+n AS MATERIALIZED (SELECT title, year, row_number() OVER (ORDER BY year NULLS LAST, title) AS id FROM (SELECT DISTINCT title, year FROM w WHERE doi IS NULL AND title IS NOT NULL)), nodes AS (SELECT id FROM n),
+e AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id < y.id AND (x.year = y.year OR x.year IS NULL OR y.year IS NULL) WHERE jaro_similarity(x.title, y.title) >= 0.92),
+{_LEADERS}, r AS (SELECT leader, row_number() OVER (ORDER BY leader) AS place FROM (SELECT DISTINCT leader FROM l)), t AS (SELECT title, year, 'title:' || place AS grp FROM n JOIN l USING (id) JOIN r USING (leader)),
+o AS (SELECT p_partkey, coalesce('doi:' || doi, grp, p_partkey::VARCHAR) AS duplicate_group FROM w LEFT JOIN t ON doi IS NULL AND w.title = t.title AND w.year IS NOT DISTINCT FROM t.year)
+SELECT p_partkey, duplicate_group, row_number() OVER (PARTITION BY duplicate_group ORDER BY p_partkey) > 1 AS is_duplicate FROM o""")
 def part_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as works: whole names are titles, sizes are years, a brand stands for a DOI in some; greedy groups have no SQL."""
+    """Parts as works: whole names are titles, sizes are years, a brand stands for a DOI in some."""
     p = table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size")
     works = p.select(
         "p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.col("p_brand")).alias("doi"), N.normalize_title(F.col("p_name")).alias("title"),

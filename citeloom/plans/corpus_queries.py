@@ -54,7 +54,17 @@ def dedup_pair_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[1]
 
 
-@query()
+#: Greedy leaders in the order of the keys: a node is a member if one of its smaller neighbours isn't one.
+_LEADERS = """k AS MATERIALIZED (SELECT b, list(a) AS smaller, row_number() OVER (ORDER BY b) AS pos FROM e GROUP BY b),
+g(pos, members) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k.pos, CASE WHEN len(list_filter(smaller, lambda a: NOT list_contains(members, a))) > 0 THEN list_append(members, b) ELSE members END FROM g JOIN k ON k.pos = g.pos + 1),
+m AS MATERIALIZED (SELECT unnest(members) AS id FROM (SELECT members FROM g ORDER BY pos DESC LIMIT 1)),
+l AS (SELECT id, id AS leader FROM nodes WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT b, min(a) FROM e WHERE b IN (SELECT id FROM m) AND a NOT IN (SELECT id FROM m) GROUP BY b)"""
+_SCORED = f"""t AS (SELECT p_partkey, {_TITLE} AS title, p_brand || '_' || p_type AS author, p_size AS year FROM part), s AS MATERIALIZED (SELECT a.p_partkey AS a, b.p_partkey AS b,
+  round(least(1.0, 0.70 * jaro_similarity(a.title, b.title) + 0.15 + 0.10 + 0.05), 6)::DOUBLE AS score FROM t a JOIN t b ON a.author = b.author AND a.p_partkey < b.p_partkey AND abs(a.year - b.year) <= 1),
+e AS MATERIALIZED (SELECT a, b FROM s WHERE score >= 0.92), nodes AS (SELECT p_partkey AS id FROM t WHERE title IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_SCORED}, {_LEADERS} SELECT id, leader FROM l")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     t, pairs = _scored(spark, d)
     tables = Tables(spark, "leaders")
@@ -62,7 +72,7 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return linkage.leader_clusters(nodes, pairs.where("score >= 0.92"), tables)
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCORED}, {_LEADERS} SELECT s.a, s.b, score FROM s JOIN l x ON x.id = s.a AND x.leader = s.a JOIN l y ON y.id = s.b AND y.leader >= s.a WHERE score >= 0.86 AND score < 0.92")
 def ambiguous_pairs(spark: SparkSession, d: str) -> DataFrame:
     t, pairs = _scored(spark, d)
     tables = Tables(spark, "ambiguous")

@@ -112,3 +112,38 @@ def test_scored_pairs_equal_brute_force(spark):
                 if score >= 0.86:
                     want[i, j] = score
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(want) > 20
+
+
+def plain_leaders(n, pairs):
+    smaller = {}
+    for a, b in pairs:
+        smaller.setdefault(b, []).append(a)
+    leader = {}
+    for i in range(n):
+        own = [a for a in sorted(smaller.get(i, ())) if leader[a] == a]
+        leader[i] = own[0] if own else i
+    return leader
+
+
+def test_a_chain_ends_after_a_block_a_job(spark, monkeypatch):
+    """Each node hangs on the one before, so rounds alone would be as many as nodes."""
+    monkeypatch.setattr(linkage, "LOCAL", 25_000)
+    n = 100_000
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    tables = Tables(spark, "chain")
+    before = tables.written
+    found = linkage.leader_clusters(spark.range(n), pairs, tables)
+    wrong = found.where(F.col("leader") != F.col("id") - F.col("id") % 2).count()
+    assert found.count() == n and wrong == 0
+    assert tables.written - before < 60  # some for the components, whose rounds grow with the logarithm
+
+
+@pytest.mark.parametrize("local", [1, 7, 100_000])
+def test_blocks_equal_a_plain_visit(spark, monkeypatch, local):
+    monkeypatch.setattr(linkage, "LOCAL", local)
+    monkeypatch.setattr(linkage, "ROUNDS", 1)
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(45)})
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.id: r.leader for r in linkage.leader_clusters(spark.range(40), df, Tables(spark, "blocks")).collect()}
+    assert got == plain_leaders(40, pairs)
