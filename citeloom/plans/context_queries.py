@@ -162,3 +162,42 @@ def axis_alpha(spark: SparkSession, d: str) -> DataFrame:
         F.lit("").alias("depth_A"), F.lit("low").alias("depth_B"),
     )
     return stats.axis_alpha(both, "doc_id", {"function": ("nominal", None), "depth": ("ordinal", ["low", "high"])})
+
+
+def _scores_sql(source: str, tasks: list[tuple[str, str, str]]) -> str:
+    """Precision and recall of tasks (name, truth, predicted) over rows of a table."""
+    one = """SELECT '{0}' AS task, label, tp, fp, fn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall FROM (
+  SELECT label, count(*) FILTER (WHERE {1} = label AND {2} = label) AS tp, count(*) FILTER (WHERE {1} <> label AND {2} = label) AS fp, count(*) FILTER (WHERE {1} = label AND {2} <> label) AS fn
+  FROM {3} JOIN (SELECT DISTINCT unnest([{1}, {2}]) AS label FROM {3} WHERE {1} IS NOT NULL AND {2} IS NOT NULL) ON {1} IS NOT NULL AND {2} IS NOT NULL GROUP BY label)"""
+    return " UNION ALL ".join(one.format(*t, source) for t in tasks)
+
+
+@query(f"WITH {_SIDES} {_scores_sql('l', [('primary_role', 'h_role', 'm_role'), ('stance', 'h_stance', 'm_stance')])}")
+def validation_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _comparison(spark, d)["metrics"]
+
+
+@query(f"WITH {_SIDES} {_scores_sql('l', [('primary_role', 'h_role', 'f_role')])}")
+def validation_fallback_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _comparison(spark, d)["human_fallback_metrics"]
+
+
+@query(f"""WITH {_SIDES} SELECT 'fallback' AS side, 'primary_role' AS comparison, f_role AS truth, m_role AS predicted, count(*) AS n FROM s GROUP BY 3, 4
+UNION ALL SELECT 'human', 'primary_role', h_role, f_role, count(*) FROM l WHERE h_role IS NOT NULL GROUP BY 3, 4""")
+def validation_fallback_confusion(spark: SparkSession, d: str) -> DataFrame:
+    made = _comparison(spark, d)
+    named = [made[t].withColumn("side", F.lit(side)) for t, side in (("fallback_confusion", "fallback"), ("human_fallback_confusion", "human"))]
+    return named[0].unionByName(named[1])
+
+
+@query("""WITH r AS (SELECT doc_id AS u, doc_id % 3 AS a, CASE WHEN doc_id % 7 = 0 THEN (doc_id + 1) % 3 ELSE doc_id % 3 END AS b FROM labels WHERE doc_id % 11 <> 0), v AS (SELECT a AS v FROM r UNION ALL SELECT b FROM r), m AS (SELECT v, count(*) AS n FROM v GROUP BY 1),
+k AS (SELECT v, sum(n) OVER (ORDER BY v) - n / 2.0 AS mid, n FROM m), o AS (SELECT sum(2 * power(x.mid - y.mid, 2)) AS o, count(*) AS units FROM r JOIN k x ON x.v = a JOIN k y ON y.v = b),
+e AS (SELECT sum(x.n * y.n * power(x.mid - y.mid, 2)) AS e FROM k x, k y), z AS (SELECT units, 1 - o * (2 * units - 1) / e AS alpha FROM o, e)
+SELECT 'depth' AS axis, 'ordinal' AS method, units AS n_units_both_labeled, round(alpha, 4)::DOUBLE AS alpha_point, CASE WHEN alpha >= 0.8 THEN 'reliable' WHEN alpha >= 0.667 THEN 'tentative' ELSE 'unreliable' END AS threshold FROM z""")
+def axis_alpha_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    """An ordinal axis with labels out of alphabetical order, some blank."""
+    k, names = F.col("doc_id"), F.array(F.lit("surface"), F.lit("middle"), F.lit("deep"))
+    one = F.get(names, (k % 3).cast("int"))
+    two = F.get(names, F.when(k % 7 == 0, (k + 1) % 3).otherwise(k % 3).cast("int"))
+    both = table(spark, d, "labels", "doc_id").select("doc_id", F.when(k % 11 == 0, " ").otherwise(one).alias("depth_A"), two.alias("depth_B"))
+    return stats.axis_alpha(both, "doc_id", {"depth": ("ordinal", ["surface", "middle", "deep"])})
