@@ -12,7 +12,9 @@ from citeloom.operators import audit, linkage, sampling, seeds, stats
 from citeloom.operators import rules as R
 from citeloom.operators import triage as T
 from citeloom.plans.context_queries import CUES
+from citeloom.plans.corpus_queries import _LEADERS, _SCORED, _titles
 from citeloom.plans.registry import query, table
+from citeloom.plans.scratch import Tables
 from citeloom.plans.text_queries import LEX
 from citeloom.sources import io
 from citeloom.streaming import attempts, windows
@@ -223,3 +225,34 @@ def seed_resolution(spark: SparkSession, d: str) -> DataFrame:
 def seed_editions(spark: SparkSession, d: str) -> DataFrame:
     works, known = _works_and_seeds(spark, d)
     return seeds.other_editions(works, known, seeds.resolve_seeds(works, known))
+
+
+@query("""SELECT doc_id, CASE WHEN (doc_id % 3 = 0 AND doc_id % 4 = 0) OR (doc_id % 3 = 1 AND doc_id % 4 = 1) OR (doc_id % 3 = 2 AND doc_id % 4 = 2) THEN '' ELSE 'stance_evidence_failure' END AS errors FROM documents""")
+def stance_validator(spark: SparkSession, d: str) -> DataFrame:
+    """Judging stances whose quotes hold cues for, against, for both or for neither."""
+    docs, k = table(spark, d, "documents", "doc_id", "source"), F.col("doc_id")
+    quote = F.when(k % 4 == 0, "it proved useful").when(k % 4 == 1, "the critics refuted it").when(k % 4 == 2, "useful but mistaken").otherwise("it was read")
+    fixed = {"citation_function": "unclear", "topic": "unclear", "quote_function": R.ABSTAIN, "quote_topic": R.ABSTAIN, "reasoning_summary": "short"}
+    result = {n: F.lit(v) for n, v in fixed.items()} | {
+        "context_id": k.cast("string"), "context_group_id": k.cast("string"), "stance": F.when(k % 3 == 0, "supportive").when(k % 3 == 1, "critical").otherwise("mixed"), "quote_stance": quote,
+        "confidence_function": F.lit(0.9), "confidence_topic": F.lit(0.5), "confidence_stance": F.lit(0.7), "flags": F.array(F.lit("none")), "needs_human_review": F.lit(False),
+    }
+    found = R.validate_result(result, F.concat_ws(" said: ", "source", quote), k.cast("string"), k.cast("string"), F.lit(False), ("unclear",), ("none",))
+    return docs.select("doc_id", F.array_join(found, "|").alias("errors"))
+
+
+_OWN = _SCORED.replace("p_size AS year FROM part)", "p_size AS year FROM part WHERE p_partkey % 10 <> 0)")
+
+
+@query(f"""WITH RECURSIVE {_OWN}, {_LEADERS} SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'doi:' || p_brand WHEN leader IS NOT NULL THEN 'fuzzy:' || leader ELSE 'singleton:' || p_partkey END AS cluster_id,
+  CASE WHEN p_partkey % 10 = 0 THEN 1.0 WHEN leader = p_partkey THEN 0.75 WHEN leader IS NOT NULL THEN score ELSE 0.5 END::DOUBLE AS dedup_confidence,
+  CASE WHEN p_partkey % 10 = 0 THEN 'exact_doi' WHEN leader = p_partkey THEN 'title_author_year_singleton' WHEN leader IS NOT NULL THEN 'fuzzy_title_author_year' ELSE 'insufficient_metadata_singleton' END AS dedup_method
+FROM part LEFT JOIN l ON l.id = p_partkey LEFT JOIN s ON s.a = l.leader AND s.b = l.id""")
+def attributed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of parts with confidence and method, from their scored pairs and leaders."""
+    works = _titles(spark, d).withColumns({"ord": F.col("p_partkey"), "doi": F.when(F.col("p_partkey") % 10 == 0, F.element_at(F.split("author", "_"), 1))})
+    tables, own = Tables(spark, "attributed"), works.where("doi is null")
+    scored = tables.write(linkage.scored_pairs(own, "p_partkey", "title", "author", "year", "venue", "ord"))
+    leaders = linkage.leader_clusters(own.where("title is not null").select(F.col("p_partkey").alias("id")), scored.where(F.col("score") >= linkage.MERGE), tables)
+    out = linkage.attributed_clusters(works, "p_partkey", "doi", "title", leaders, scored)
+    return out.select("p_partkey", "cluster_id", "dedup_confidence", "dedup_method")

@@ -127,8 +127,8 @@ def plain_leaders(n, pairs):
 
 def test_a_chain_ends_after_a_block_a_job(spark, monkeypatch):
     """Each node hangs on the one before, so rounds alone would be as many as nodes."""
-    monkeypatch.setattr(linkage, "LOCAL", 25_000)
-    n = 100_000
+    monkeypatch.setattr(linkage, "LOCAL", 10_000)
+    n = 40_000
     pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     tables = Tables(spark, "chain")
     before = tables.written
