@@ -84,6 +84,25 @@ TEMPLATES = (
         "contributors be liable for any direct indirect incidental special exemplary or consequential damages",
     ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (
+        "lgpl-notice",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+        "published by the free software foundation",
+    ),
+    ("agpl-notice", "you should have received a copy of the gnu affero general public license along with this program"),
+    (
+        "isc-grant",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the "
+        "above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+        "distribute this software",
+    ),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
 )
 SHORT = 10  # distinct words below which all of a template must be held
 

@@ -212,6 +212,24 @@ def test_license_scan(spark, edge):
     assert license_scan.license_scan(edge).count() == edge.count() and license_scan.license_scan(edge.limit(0)).count() == 0
 
 
+def test_license_notices_of_further_licenses(spark):
+    """Each statement in its usual spelling, wrapped, inside other text; a text without one has no label."""
+    own = {
+        "lgpl-notice": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; version 2.1.",
+        "agpl-notice": "You should have received a copy of the GNU Affero General Public License\nalong with this program.",
+        "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a binary.",
+        "cc0-1.0": "To the extent possible under law, the author has waived all copyright and\nrelated or neighboring rights to this work.",
+        "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.",
+        "epl-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0",
+    }
+    own["unlicense"] = own["unlicense"].replace("\n\n", "\n")
+    rng = random.Random(6)
+    texts = [(i, f"{prose(20, rng)}\n\n{t}\n\n{prose(20, rng)}") for i, t in enumerate(own.values())] + [(99, prose(200, rng))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_scan(docs_frame(spark, texts)).collect()}
+    assert all(label in got[i] for i, label in enumerate(own)) and got[99] == {""}
+
+
 def test_license_statements_that_are_wrapped(spark):
     bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that\n"
     gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License\n"
