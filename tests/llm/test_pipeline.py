@@ -101,7 +101,8 @@ def test_rows_that_share_an_id(spark, tables):
     d, _, items, _ = tables
     rng = random.Random(4)
     passage, x, y = prose(70, rng), prose(60, rng), prose(200, rng)
-    rows = [(0, passage + "\n" + prose(60, rng)), (1, x + "\n" + passage), (1, y), (1, ""), (7, ""), (8, passage), (9, None)]
+    whole = passage + "\n" + prose(60, rng)
+    rows = [(0, whole), (1, x + "\n" + passage), (1, y), (1, ""), (7, ""), (8, whole), (9, None)]
     kept = corpus_pipeline.repeated_passages(spark, frame(spark, rows), d).collect()
     texts = sorted((r.doc_id, r.text) for r in kept if r.text is not None)
     assert (1, y) in texts and (1, "") in texts and (7, "") in texts and 8 not in {i for i, _ in texts}
