@@ -14,7 +14,7 @@ from citeloom.llm.kdtree_codes import ORACLE_OP13, op13_vector_codes
 from citeloom.llm.license_scan import ORACLE_OP3, op3_license_scan
 from citeloom.llm.ngram_join import ORACLE_OP1, op1_ngram_jaccard_join
 from citeloom.llm.quality_cnn import op5_quality_cnn
-from citeloom.llm.url_tree import op8_url_verdicts
+from citeloom.llm.url_tree import ORACLE_OP8, op8_url_verdicts
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -38,6 +38,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": ORACLE_OP3,
     "op4_embedding_near_dedup": ORACLE_OP4,
     "op6_decontaminate": ORACLE_OP6,
+    "op8_url_verdicts": ORACLE_OP8,
     "op10_chat_format": ORACLE_OP10,
     "op11_hard_negatives": ORACLE_OP11,
     "op12_exact_dedup": ORACLE_OP12,

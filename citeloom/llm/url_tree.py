@@ -152,3 +152,33 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
 def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
+ORACLE_OP8 = r"""WITH RECURSIVE u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(v, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f AS (SELECT *, (SELECT max_by({'rule': h || p, 'verdict': v}, length(h || p)) FROM rules WHERE (host = h OR suffix(host, '.' || h)) AND starts_with(path, p)) AS fit FROM u),
+parts AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+  lambda x: {'stem': regexp_extract(x, '^(.*?)(\.[A-Za-z]{1,5})?$', 1), 'ending': regexp_extract(x, '(\.[A-Za-z]{1,5})$', 1)}) AS cut FROM f),
+base AS (SELECT page_id, host, path, fit, list_transform(cut, lambda x: CASE WHEN regexp_matches(x.stem, '^\d{4}-\d{1,2}(-\d{1,2})?$') THEN '<date>' WHEN regexp_matches(x.stem, '^\d+$') THEN '<number>'
+  WHEN regexp_matches(x.stem, '^[0-9a-fA-F-]{8,}$') THEN '<hex>' WHEN regexp_matches(x.stem, '\d') THEN '<mixed>' ELSE x.stem END || x.ending) AS segs FROM parts),
+counts AS (SELECT host, segs, count(*) AS n, count(fit.verdict) AS known, count(*) FILTER (WHERE fit.verdict = 'block') AS bad FROM base GROUP BY ALL),
+tree(host, segs, n, known, bad, template, level, ended) AS (
+  SELECT host, segs, n, known, bad, []::VARCHAR[], 1, false FROM counts
+  UNION ALL
+  SELECT host, segs, n, known, bad, CASE WHEN ends THEN list_concat(template, segs[level:]) WHEN name = '' THEN template ELSE list_append(template, name) END, level + 1, ends FROM (
+    SELECT *, CASE WHEN literal AND branches > 12 AND largest < 0.2::DOUBLE * all_n THEN '*' WHEN literal AND branches > 1 AND alike THEN '~' ELSE seg END AS name FROM (
+      SELECT *, seg <> '' AND NOT starts_with(seg, '<') AS literal, max(CASE WHEN seg <> '' THEN own_n END) OVER (PARTITION BY host, template, ends) AS largest,
+        CASE WHEN own_known > 0 THEN abs(own_bad / own_known - all_bad / all_known) <= 1.96::DOUBLE * sqrt(all_bad / all_known * (1 - all_bad / all_known) / own_known) + 1e-12 ELSE false END AS alike FROM (
+        SELECT *, count(DISTINCT nullif(seg, '')) OVER (PARTITION BY host, template, ends) AS branches, sum(n) OVER (PARTITION BY host, template, ends) AS all_n,
+          sum(known) OVER (PARTITION BY host, template, ends) AS all_known, sum(bad) OVER (PARTITION BY host, template, ends) AS all_bad, sum(n) OVER (PARTITION BY host, template, ends, seg) AS own_n,
+          sum(known) OVER (PARTITION BY host, template, ends, seg) AS own_known, sum(bad) OVER (PARTITION BY host, template, ends, seg) AS own_bad FROM (
+          SELECT *, coalesce(segs[level], '') AS seg, count(*) OVER (PARTITION BY host, template) = 1 OR len(segs) < level - 1 AS ends FROM tree WHERE NOT ended))))),
+done AS (SELECT * FROM tree WHERE ended),
+leaf AS (SELECT host, template, sum(known) AS known, sum(bad) AS bad FROM done GROUP BY ALL),
+own AS (SELECT host, sum(known) AS known, sum(bad) AS bad FROM leaf GROUP BY ALL),
+prior AS (SELECT (sum(bad) + 1) / (sum(known) + 2) AS share FROM own),
+scored AS (SELECT leaf.host, leaf.template, (leaf.bad + 4::DOUBLE * ((own.bad + 4::DOUBLE * prior.share) / (own.known + 4::DOUBLE))) / (leaf.known + 4::DOUBLE) AS purity FROM leaf JOIN own USING (host), prior)
+SELECT page_id, base.host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || coalesce(array_to_string(done.template, '/'), '') AS template, round(purity, 6) AS purity
+FROM base JOIN done ON base.host = done.host AND base.segs = done.segs JOIN scored ON scored.host = done.host AND scored.template = done.template"""

@@ -5,9 +5,10 @@ import html
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
-from oracle import compare
+from oracle import compare, rows_of
 from pyspark.sql import functions as F
 
 from citeloom.llm import bpe, cdc_dedup, chat_format, decontam, embed_dedup, html_template, license_scan, ngram_join, quality_cnn, queries, url_tree
@@ -754,6 +755,20 @@ def test_url_trees_equal_brute_force(spark, sf_dir):
     assert [got[i] for i in range(len(urls))] == brute_templates(urls, RULES)
 
 
+def test_url_sql_on_many_and_similar_branches(spark, tmp_path):
+    rng = random.Random(12)
+    urls = [f"http://{rng.choice(['a.com', 'b.net', 'c.b.net', 'd.org'])}/" + "/".join(rng.choice(["en", "de", "es", "x1", "2020-01-02", "7", "shop", "p.html", "cafe-12345", rng.choice(VOCAB)]) for _ in range(rng.randint(0, 6))) for _ in range(900)]
+    urls += [f"http://m.net/{w}/{i}" for i, w in enumerate(VOCAB[:40])] + [f"http://Deep.ORG/{'/'.join('x' * k)}" for k in (0, 1, 12, 12, 40)]
+    urls += [f"http://t.com/{k}/{i}?q#f" for k in ("en", "de") for i in range(15)] + [None, "", "none", "http://", "x://h?a/b", "http://a.com/en/7/a//b.html"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.QUERIES["op8_url_verdicts"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    result = con.execute(queries.ORACLE_SQL["op8_url_verdicts"])
+    names = [x[0] for x in result.description]
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of(names, result.fetchall())
+
+
 PAGE = "<html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a>Menu</a></ul></nav><!-- c --><div class='ad'>Buy</div>{main}<aside>Side</aside><div class=\"comments\"><p>Nice</p></div><footer>&copy; x</footer></body></html>"
 
 
