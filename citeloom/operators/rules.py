@@ -48,6 +48,7 @@ STANCES = ("supportive", "neutral_descriptive", "critical", "mixed", "unclear")
 
 # Patterns of bibliographies and of pages that aren't the text.
 REFERENCE_HEADING = r"\b(references|bibliography|works\s+cited|literature\s+cited)\b"
+HEADING_STEMS = ("references", "bibliography", "cited")
 DOI_CUE = r"\bdoi\b|\b10\.\d{4,9}/"
 DOI_PREFIX = r"\b10\.\d{4,9}/"
 PAGES_CUE = r"\bpp\.?\s*\d+\b|\bvol\.?\b|\bno\.?\b|\bed\.?\b"
@@ -90,6 +91,23 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def matches(text: Column, pattern: str, stems: tuple[str, ...]) -> Column:
+    """Whether the pattern matches, for patterns that no text without one of the ``stems`` can match.
+
+    Stems are searched as bytes; most texts hold none, so they are never decoded for the pattern.
+    """
+    return any_of(text, stems) & text.rlike(pattern)
+
+
+def at_least(text: Column, pattern: str, n: int, stems: tuple[str, ...]) -> Column:
+    """Whether the pattern matches ``n`` times at least; ``stems`` as in ``matches``."""
+    return any_of(text, stems) & (count_of(text, pattern) >= n)
+
+
+def commas(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(","), F.lit("")))
+
+
 def word_count(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
 
@@ -99,11 +117,11 @@ def word_count(text: Column) -> Column:
 def bibliography_score(snippet: Column) -> Column:
     low = F.lower(snippet)
     return points(
-        (low.rlike(REFERENCE_HEADING), 2),
-        (low.rlike(DOI_CUE), 2),
-        (low.rlike(PAGES_CUE), 1),
-        (count_of(low, YEAR) >= 2, 1),
-        (count_of(snippet, ",") >= 4, 1),
+        (matches(low, REFERENCE_HEADING, HEADING_STEMS), 2),
+        (matches(low, DOI_CUE, ("doi", "10.")), 2),
+        (matches(low, PAGES_CUE, ("pp", "vol", "no", "ed")), 1),
+        (at_least(low, YEAR, 2, ("19", "20")), 1),
+        (commas(snippet) >= 4, 1),
     )
 
 
@@ -112,13 +130,12 @@ def looks_like_bibliography(snippet: Column) -> Column:
 
 
 def page_bibliography_score(page: Column) -> Column:
-    raw = F.trim(F.regexp_replace(page, r"\s+", " "))
-    low = F.lower(raw)
+    low = F.lower(page)
     return points(
-        (low.rlike("^" + REFERENCE_HEADING[2:]), 3),
-        (count_of(low, YEAR) >= 5, 1),
-        (count_of(raw, ",") >= 20, 1),
-        (count_of(low, DOI_PREFIX) >= 2, 1),
+        (matches(low, r"^\s*" + REFERENCE_HEADING[2:], HEADING_STEMS), 3),
+        (at_least(low, YEAR, 5, ("19", "20")), 1),
+        (commas(page) >= 20, 1),
+        (at_least(low, DOI_PREFIX, 2, ("10.",)), 1),
     )
 
 
@@ -137,6 +154,14 @@ class SeedCues:
     sustainability: str = r"\b(sustainab|ecological\s+limits|planetary\s+boundaries|overshoot|collapse|growth)\b"
 
 
+# Stems of the patterns above, one of which every match holds.
+CUE_STEMS = {
+    "modeling": ("model", "simulation", "dynamics", "scenario", "forecast"),
+    "critique": ("critique", "criticis", "refut", "controvers", "wrong", "failed", "debate"),
+    "policy": ("policy", "governance", "planning", "regulation", "development"),
+    "history": ("histor", "early", "classic", "seminal", "landmark", "foundational"),
+    "sustainability": ("sustainab", "limits", "boundaries", "overshoot", "collapse", "growth"),
+}
 CUE_NAMES = ("title", "author", "year", "group", "modeling", "critique", "policy", "history", "sustainability")
 
 
@@ -146,7 +171,12 @@ def classify_context(df: DataFrame, snippet: str, cues: SeedCues, is_biblio: Col
     Each cue is matched once; everything else reads the flags.
     """
     # (?U): word bounds know letters of all scripts, whatever the Java version
-    df = df.withColumn("_low", F.lower(snippet)).withColumns({f"has_{n}": F.col("_low").rlike("(?U)" + getattr(cues, n)) for n in CUE_NAMES})
+    def cue(n: str) -> Column:
+        pattern = getattr(cues, n)
+        own = n in CUE_STEMS and pattern == getattr(SeedCues, n)
+        return matches(F.col("_low"), "(?U)" + pattern, CUE_STEMS[n]) if own else F.col("_low").rlike("(?U)" + pattern)
+
+    df = df.withColumn("_low", F.lower(snippet)).withColumns({f"has_{n}": cue(n) for n in CUE_NAMES})
     has = {n: F.col(f"has_{n}") for n in CUE_NAMES}
     label = cascade(
         [
