@@ -28,76 +28,161 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _sums(rows: DataFrame, moved: dict[int, int], dim: int) -> dict[int, tuple[int, np.ndarray]]:
-    """Each cluster's size and sum; one row a cluster comes to the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast(moved)
+BINS = 12  # bands of a move's gain against the row's distance, each half of the one before
+
+Move = tuple[int, int]  # from and to
+
+
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]).clip(0)
+
+
+def _best_moves(x: np.ndarray, own: np.ndarray, centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the squared distance to its centre, the cluster that it would move to, what that gains, and the gain's band."""
+    far, at = _far(x, centres), np.arange(len(x))
+    here = far[at, own]
+    # leaving shrinks a cluster of n by n / (n - 1) of the distance, joining costs n / (n + 1) of it
+    leaving = np.where(sizes[own] > 1, here * sizes[own] / np.maximum(sizes[own] - 1, 1), 0.0)
+    joining = far * (sizes / (sizes + 1))[None]
+    joining[at, own] = np.inf
+    to = joining.argmin(1)
+    gain = leaving - joining[at, to]
+    gain = np.where(gain > 1e-9 * (1 + here), gain, 0.0)
+    band = np.clip(1 - np.log2(np.maximum(gain, 1e-300) / np.maximum(here, 1e-300)), 0, BINS - 1).astype(np.int64)
+    return here, to, gain, band
+
+
+def _sums(rows: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters' sizes and sums; one row a cluster comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
+        n, total = np.zeros(k, np.int64), np.zeros((k, dim))
         for batch in batches:
-            x, own = _matrix(batch.column(2)), _assigned(batch, shared.value)
-            for c in np.unique(own).tolist():
-                part = found.setdefault(c, [0, np.zeros(dim)])
-                part[0] += int((own == c).sum())
-                part[1] += x[own == c].sum(0)
-        columns = [pa.array(list(found), pa.int32()), pa.array([v[0] for v in found.values()], pa.int64())]
-        columns += [pa.array([float(v[1][i]) for v in found.values()], pa.float64()) for i in range(dim)]
+            x, own = _matrix(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False)
+            np.add.at(n, own, 1)
+            np.add.at(total, own, x)
+        found = np.flatnonzero(n)
+        columns = [pa.array(found.astype(np.int32)), pa.array(n[found])] + [pa.array(total[found, i]) for i in range(dim)]
         yield pa.RecordBatch.from_arrays(columns, ["cluster", "n", *(f"s{i}" for i in range(dim))])
 
     names = [f"s{i}" for i in range(dim)]
     parts = rows.select("_row", "cluster", "_x").mapInArrow(run, "cluster int, n long, " + ", ".join(f"{c} double" for c in names))
-    sums = parts.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).collect()
-    return {r["cluster"]: (r["n"], np.array([r[c] for c in names])) for r in sums}
+    sizes, sums = np.zeros(k), np.zeros((k, dim))
+    for r in parts.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).collect():
+        sizes[r["cluster"]], sums[r["cluster"]] = r["n"], [r[c] for c in names]
+    return sizes, sums
 
 
-def _assigned(batch: pa.RecordBatch, moved: dict[int, int]) -> np.ndarray:
-    own = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-    if moved:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(np.isin(ids, list(moved))).tolist():
-            own[i] = moved[int(ids[i])]
-    return own
+def _transfers(rows: DataFrame, centres: np.ndarray, sizes: np.ndarray) -> tuple[dict[Move, dict[int, tuple[int, np.ndarray]]], dict[Move, tuple[int, float]], float]:
+    """What moves between each two clusters would gain.
 
-
-def _transfers(rows: DataFrame, moved: dict[int, int], centres: np.ndarray, sizes: np.ndarray) -> tuple[list, float]:
-    """The cost, and of each two clusters the row whose move from the first to the second gains most: (from, to, row, gain)."""
-    shared = rows.sparkSession.sparkContext.broadcast((moved, centres, sizes))
+    By move and band the rows' number and sum, by move the row that gains most, and the cost as it is: k * k * BINS rows at most come to the driver.
+    """
+    k, dim = centres.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moved, centres, sizes = shared.value
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        found: dict[tuple[int, int, int], list] = {}
         cost = 0.0
         for batch in batches:
-            ids, x, own = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(2)), _assigned(batch, moved)
-            far = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]).clip(0)
-            here = far[np.arange(len(x)), own]
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(2))
+            own = batch.column(1).to_numpy(zero_copy_only=False)
+            here, to, gain, band = _best_moves(x, own, centres, sizes)
             cost += float(here.sum())
-            # leaving shrinks a cluster of n by n / (n - 1) of the distance, joining costs n / (n + 1) of it
-            leaving = np.where(sizes[own] > 1, here * sizes[own] / np.maximum(sizes[own] - 1, 1), 0.0)
-            joining = far * (sizes / (sizes + 1))[None]
-            joining[np.arange(len(x)), own] = np.inf
-            to = joining.argmin(1)
-            gain = leaving - joining[np.arange(len(x)), to]
-            for i in np.flatnonzero(gain > 1e-9 * (1 + here)).tolist():
-                key, found = (int(own[i]), int(to[i])), (float(gain[i]), -int(ids[i]))
-                if found > best.get(key, (0.0, 0)):
-                    best[key] = found
-        flat = [(a, b, -i, g) for (a, b), (g, i) in best.items()] + [(-1, -1, 0, cost)]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], kind) for k, kind in enumerate(kinds)], ["a", "b", "row", "gain"])
-
-    found = rows.select("_row", "cluster", "_x").mapInArrow(run, "a int, b int, row long, gain double")
-    top = F.max_by(F.struct("row", "gain"), F.struct("gain", -F.col("row")))
-    found = found.groupBy("a", "b").agg(top.alias("t"), F.sum("gain").alias("total")).collect()  # a row for each two clusters
-    return [(r.a, r.b, r.t.row, r.t.gain) for r in found if r.a >= 0], sum(r.total for r in found if r.a < 0)
-
-
-def kmeans(rows: DataFrame, vector: str, k: int, tables: Tables, seed: int = 1, iterations: int = 20, restarts: int = 3, rounds: int = 20) -> Clusters:
+            some = np.flatnonzero(gain > 0)
+            key = (own[some] * k + to[some]) * BINS + band[some]
+            for code in np.unique(key).tolist():
+                at = some[key == code]
+                best = at[np.lexsort((ids[at], -gain[at]))[0]]
+                part = found.setdefault((code // BINS // k, code // BINS % k, code % BINS), [0, np.zeros(dim), (0.0, 0)])
+                part[0] += len(at)
+                part[1] += x[at].sum(0)
+                part[2] = max(part[2], (float(gain[best]), -int(ids[best])))
+        flat = [(*key, n, -row, gain, total) for key, (n, total, (gain, row)) in found.items()] + [(-1, -1, -1, 0, 0, cost, np.zeros(dim))]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        columns = [pa.array([r[c] for r in flat], kind) for c, kind in enumerate(kinds)] + [pa.array([float(r[6][i]) for r in flat], pa.float64()) for i in range(dim)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "band", "n", "row", "gain", *names])
+
+    names = [f"s{i}" for i in range(dim)]
+    parts = rows.select("_row", "cluster", "_x").mapInArrow(run, "a int, b int, band int, n long, row long, gain double, " + ", ".join(f"{c} double" for c in names))
+    top = F.max_by("row", F.struct("gain", -F.col("row"))).alias("row")
+    found = parts.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), top, F.max("gain").alias("gain"), F.sum("gain").alias("total"), *[F.sum(c).alias(c) for c in names]).collect()
+    bands: dict[Move, dict[int, tuple[int, np.ndarray]]] = {}
+    single: dict[Move, tuple[int, float]] = {}
+    for r in found:
+        if r.a >= 0:
+            move = (r.a, r.b)
+            bands.setdefault(move, {})[r.band] = (r.n, np.array([r[c] for c in names]))
+            if (r.gain, -r.row) > (single[move][1], -single[move][0]) if move in single else True:
+                single[move] = (r.row, r.gain)
+    return bands, single, sum(r.total for r in found if r.a < 0)
+
+
+def _explained(sizes: np.ndarray, sums: np.ndarray) -> float:
+    """The part of the vectors' squares that the centres explain: the cost falls by as much as this grows."""
+    some = sizes > 0
+    return float(((sums[some] ** 2).sum(1) / sizes[some]).sum())
+
+
+def _choose(bands: dict[Move, dict[int, tuple[int, np.ndarray]]], single: dict[Move, tuple[int, float]], sizes: np.ndarray, sums: np.ndarray) -> tuple[dict[Move, int], dict[int, int]]:
+    """The moves of a round: (the last band that moves, by move; where single rows go).
+
+    Either all moves up to one band, or for pairs of clusters that don't touch each other what is best for each: its rows up to a band, or its best
+    row alone, which always gains. Gains are exact, from sizes and sums before and after.
+    """
+
+    def upto(move: Move, last: int) -> tuple[int, np.ndarray]:
+        parts = [v for band, v in bands[move].items() if band <= last]
+        return sum(n for n, _ in parts), sum((t for _, t in parts), np.zeros(sums.shape[1]))
+
+    def gain(moves: list[Move], last: int) -> float:
+        size, total, touched = sizes.copy(), sums.copy(), sorted({c for m in moves for c in m})
+        for a, b in moves:
+            n, t = upto((a, b), last)
+            size[[a, b]] += (-n, n)
+            total[a] -= t
+            total[b] += t
+        return -np.inf if (size[touched] <= 0).any() else _explained(size[touched], total[touched]) - _explained(sizes[touched], sums[touched])
+
+    used = sorted({band for v in bands.values() for band in v})
+    everywhere = max(((gain(list(bands), last), last) for last in used), default=(0.0, 0))
+    options = sorted(((max((single[m][1], -1), *((gain([m], last), last) for last in sorted(bands[m]))), m) for m in bands), key=lambda o: (-o[0][0], o[1]))
+    busy: set[int] = set()
+    apart: dict[Move, int] = {}
+    rows: dict[int, int] = {}
+    total = 0.0
+    for (worth, last), move in options:
+        if not busy & set(move):
+            busy |= set(move)
+            total += worth
+            if last < 0:
+                rows[single[move][0]] = move[1]
+            else:
+                apart[move] = last
+    return (dict.fromkeys(bands, everywhere[1]), {}) if everywhere[0] > total else (apart, rows)
+
+
+def _moved(rows: DataFrame, centres: np.ndarray, sizes: np.ndarray, last: dict[Move, int], single: dict[int, int]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = np.full((len(centres), len(centres)), -1)
+        for move, band in last.items():
+            limit[move] = band
+        for batch in batches:
+            ids, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            _, to, gain, band = _best_moves(_matrix(batch.column(2)), own, centres, sizes)
+            new = np.where((gain > 0) & (band <= limit[own, to]), to, own).astype(np.int32)
+            for i in np.flatnonzero(np.isin(ids, list(single))).tolist():
+                new[i] = single[int(ids[i])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new), batch.column(2)], ["_row", "cluster", "_x"])
+
+    return rows.select("_row", "cluster", "_x").mapInArrow(run, "_row long, cluster int, _x array<double>")
+
+
+def kmeans(rows: DataFrame, vector: str, k: int, tables: Tables, seed: int = 1, iterations: int = 20, restarts: int = 3, rounds: int = 60) -> Clusters:
     """``rows`` in up to ``k`` clusters, no more than there are different vectors; vectors of one length, null ones are left out.
 
-    The best of ``restarts`` runs of Lloyd's algorithm is improved by transfers: in each round the clusters are paired by the largest gains, and
-    of each pair one row moves. Moves of different pairs don't touch each other, so each round's cost falls by its gains. It ends without a
-    gain or after ``rounds``. What the driver holds are centres and the rows that moved, ``rounds * k / 2`` at most.
+    The best of ``restarts`` runs of Lloyd's algorithm is improved by Hartigan's transfers until no row's move gains, or for ``rounds``. A round
+    moves whole bands of rows at once where sizes and sums show that this gains, else single rows between pairs of clusters, so its cost always falls.
+    Each round is two scans and a write of row numbers, clusters and vectors; the driver holds sums by pair of clusters and band, however many rows move.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -110,25 +195,19 @@ def kmeans(rows: DataFrame, vector: str, k: int, tables: Tables, seed: int = 1,
     data = base.withColumn("_v", array_to_vector("_x"))
     fits = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(data) for i in range(restarts)]
     model = min(fits, key=lambda m: m.summary.trainingCost)
-    state = tables.write(model.transform(data).drop("_v"))
-    dim, moved, lloyd = len(model.clusterCenters()[0]), {}, None
+    k, dim, lloyd = len(model.clusterCenters()), len(model.clusterCenters()[0]), None
+    state = tables.write(model.transform(data).select("_row", "cluster", "_x"))
     for step in range(rounds + 1):
-        sums = _sums(state, moved, dim)
-        sizes = np.array([sums[c][0] if c in sums else 0 for c in range(k)], np.float64)
-        centres = np.stack([sums[c][1] / sums[c][0] if c in sums else np.full(dim, 1e150) for c in range(k)])
-        moves, cost = _transfers(state, moved, centres, sizes)
+        sizes, sums = _sums(state, dim, k)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], 1e150)
+        bands, single, cost = _transfers(state, centres, sizes)
         lloyd = cost if lloyd is None else lloyd
-        if not moves or step == rounds:
+        if not bands or step == rounds:
             break
-        busy: set[int] = set()
-        for a, b, row, _ in sorted(moves, key=lambda m: (-m[3], m[2])):
-            if not busy & {a, b}:
-                busy |= {a, b}
-                moved[row] = b
-    if moved:
-        few = state.sparkSession.createDataFrame(list(moved.items()), "_row long, _to int")
-        state = state.join(F.broadcast(few), "_row", "left").withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to")
-    return Clusters(state.select(*rows.columns, "cluster"), centres, cost, lloyd)
+        old, state = state, tables.write(_moved(state, centres, sizes, *_choose(bands, single, sizes, sums)))
+        tables.drop(old)
+    found = base.drop("_x").join(state.select("_row", "cluster"), "_row").select(*rows.columns, "cluster")
+    return Clusters(found, centres, cost, lloyd)
 
 
 def representatives(clusters: Clusters, vector: str, key: str, n: int = 5) -> DataFrame:

@@ -52,7 +52,9 @@ def page_anchor_hits(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of all pages (documents, by turn of their lines); sentence windows need look-behind, which SQL lacks."""
     lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     out = contexts.page_hits(lines, r"\blicense\b", CUES)
-    return out.select("doc_id", "page", "start", "match", "snippet", "citation_sentence", "semantic_label", "citation_section", "score")
+    return out.select(
+        "doc_id", "page", "start", "match", "snippet", "sentence_before", "citation_sentence", "sentence_after", "section_heading", "semantic_label", "citation_section", "score"
+    )
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS context_text, false AS context_window_complete, 's2_precomputed_context_unverified' AS context_window_status FROM conversations""")
