@@ -73,10 +73,10 @@ def _sums(rows: DataFrame, dim: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sizes, sums
 
 
-def _transfers(rows: DataFrame, centres: np.ndarray, sizes: np.ndarray) -> tuple[dict[Move, dict[int, tuple[int, np.ndarray]]], dict[Move, tuple[int, float]], float]:
+def _transfers(rows: DataFrame, centres: np.ndarray, sizes: np.ndarray) -> tuple[dict[Move, dict[int, tuple[int, np.ndarray]]], dict[Move, tuple[int, float, np.ndarray]], float]:
     """What moves between each two clusters would gain.
 
-    By move and band the rows' number and sum, by move the row that gains most, and the cost as it is: k * k * BINS rows at most come to the driver.
+    By move and band the rows' number and sum, by move the row that gains most with its gain and vector, and the cost as it is: k * k * BINS rows at most come to the driver.
     """
     k, dim = centres.shape
 
@@ -93,27 +93,27 @@ def _transfers(rows: DataFrame, centres: np.ndarray, sizes: np.ndarray) -> tuple
             for code in np.unique(key).tolist():
                 at = some[key == code]
                 best = at[np.lexsort((ids[at], -gain[at]))[0]]
-                part = found.setdefault((code // BINS // k, code // BINS % k, code % BINS), [0, np.zeros(dim), (0.0, 0)])
+                part = found.setdefault((code // BINS // k, code // BINS % k, code % BINS), [0, np.zeros(dim), (0.0, 0, [])])
                 part[0] += len(at)
                 part[1] += x[at].sum(0)
-                part[2] = max(part[2], (float(gain[best]), -int(ids[best])))
-        flat = [(*key, n, -row, gain, total) for key, (n, total, (gain, row)) in found.items()] + [(-1, -1, -1, 0, 0, cost, np.zeros(dim))]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
-        columns = [pa.array([r[c] for r in flat], kind) for c, kind in enumerate(kinds)] + [pa.array([float(r[6][i]) for r in flat], pa.float64()) for i in range(dim)]
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "band", "n", "row", "gain", *names])
+                part[2] = max(part[2], (float(gain[best]), -int(ids[best]), x[best].tolist()))
+        flat = [(*key, n, -row, gain, best, total) for key, (n, total, (gain, row, best)) in found.items()] + [(-1, -1, -1, 0, 0, cost, [], np.zeros(dim))]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+        columns = [pa.array([r[c] for r in flat], kind) for c, kind in enumerate(kinds)] + [pa.array([float(r[7][i]) for r in flat], pa.float64()) for i in range(dim)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "band", "n", "row", "gain", "best", *names])
 
     names = [f"s{i}" for i in range(dim)]
-    parts = rows.select("_row", "cluster", "_x").mapInArrow(run, "a int, b int, band int, n long, row long, gain double, " + ", ".join(f"{c} double" for c in names))
-    top = F.max_by("row", F.struct("gain", -F.col("row"))).alias("row")
+    parts = rows.select("_row", "cluster", "_x").mapInArrow(run, "a int, b int, band int, n long, row long, gain double, best array<double>, " + ", ".join(f"{c} double" for c in names))
+    top = F.max_by(F.struct("row", "best"), F.struct("gain", -F.col("row"))).alias("top")
     found = parts.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), top, F.max("gain").alias("gain"), F.sum("gain").alias("total"), *[F.sum(c).alias(c) for c in names]).collect()
     bands: dict[Move, dict[int, tuple[int, np.ndarray]]] = {}
-    single: dict[Move, tuple[int, float]] = {}
+    single: dict[Move, tuple[int, float, np.ndarray]] = {}
     for r in found:
         if r.a >= 0:
             move = (r.a, r.b)
             bands.setdefault(move, {})[r.band] = (r.n, np.array([r[c] for c in names]))
-            if (r.gain, -r.row) > (single[move][1], -single[move][0]) if move in single else True:
-                single[move] = (r.row, r.gain)
+            if move not in single or (r.gain, -r.top.row) > (single[move][1], -single[move][0]):
+                single[move] = (r.top.row, r.gain, np.array(r.top.best))
     return bands, single, sum(r.total for r in found if r.a < 0)
 
 
@@ -123,42 +123,35 @@ def _explained(sizes: np.ndarray, sums: np.ndarray) -> float:
     return float(((sums[some] ** 2).sum(1) / sizes[some]).sum())
 
 
-def _choose(bands: dict[Move, dict[int, tuple[int, np.ndarray]]], single: dict[Move, tuple[int, float]], sizes: np.ndarray, sums: np.ndarray) -> tuple[dict[Move, int], dict[int, int]]:
-    """The moves of a round: (the last band that moves, by move; where single rows go).
+def _choose(bands: dict[Move, dict[int, tuple[int, np.ndarray]]], single: dict[Move, tuple[int, float, np.ndarray]], sizes: np.ndarray, sums: np.ndarray) -> tuple[dict[Move, int], dict[int, int], np.ndarray, np.ndarray]:
+    """The moves of a round (the last band that moves, by move; where single rows go), and the sizes and sums after it.
 
     Either all moves up to one band, or for pairs of clusters that don't touch each other what is best for each: its rows up to a band, or its best
     row alone, which always gains. Gains are exact, from sizes and sums before and after.
     """
 
-    def upto(move: Move, last: int) -> tuple[int, np.ndarray]:
-        parts = [v for band, v in bands[move].items() if band <= last]
-        return sum(n for n, _ in parts), sum((t for _, t in parts), np.zeros(sums.shape[1]))
-
-    def gain(moves: list[Move], last: int) -> float:
-        size, total, touched = sizes.copy(), sums.copy(), sorted({c for m in moves for c in m})
-        for a, b in moves:
-            n, t = upto((a, b), last)
-            size[[a, b]] += (-n, n)
-            total[a] -= t
-            total[b] += t
-        return -np.inf if (size[touched] <= 0).any() else _explained(size[touched], total[touched]) - _explained(sizes[touched], sums[touched])
-
-    used = sorted({band for v in bands.values() for band in v})
-    everywhere = max(((gain(list(bands), last), last) for last in used), default=(0.0, 0))
-    options = sorted(((max((single[m][1], -1), *((gain([m], last), last) for last in sorted(bands[m]))), m) for m in bands), key=lambda o: (-o[0][0], o[1]))
-    busy: set[int] = set()
+    def after(moves: dict[Move, int]) -> tuple[np.ndarray, np.ndarray]:
+        size, total = sizes.copy(), sums.copy()
+        for (a, b), last in moves.items():
+            for n, t in [(1, single[a, b][2])] if last < 0 else [v for band, v in bands[a, b].items() if band <= last]:
+                size[[a, b]] += (-n, n)
+                total[a] -= t
+                total[b] += t
+        return size, total
+
+    def gain(moves: dict[Move, int]) -> float:
+        size, total = after(moves)
+        return _explained(size, total) - now if ((size > 0) | (sizes <= 0)).all() else -np.inf
+
+    now = _explained(sizes, sums)
+    everywhere = max((dict.fromkeys(bands, last) for last in sorted({band for v in bands.values() for band in v})), key=gain)
+    options = sorted(((max((single[m][1], -1), *((gain({m: last}), last) for last in sorted(bands[m]))), m) for m in bands), key=lambda o: (-o[0][0], o[1]))
     apart: dict[Move, int] = {}
-    rows: dict[int, int] = {}
-    total = 0.0
-    for (worth, last), move in options:
-        if not busy & set(move):
-            busy |= set(move)
-            total += worth
-            if last < 0:
-                rows[single[move][0]] = move[1]
-            else:
-                apart[move] = last
-    return (dict.fromkeys(bands, everywhere[1]), {}) if everywhere[0] > total else (apart, rows)
+    for (_, last), move in options:
+        if not {c for m in apart for c in m} & set(move):
+            apart[move] = last
+    best = everywhere if gain(everywhere) > gain(apart) else apart
+    return {m: last for m, last in best.items() if last >= 0}, {single[m][0]: m[1] for m, last in best.items() if last < 0}, *after(best)
 
 
 def _moved(rows: DataFrame, centres: np.ndarray, sizes: np.ndarray, last: dict[Move, int], single: dict[int, int]) -> DataFrame:
@@ -182,7 +175,7 @@ def kmeans(rows: DataFrame, vector: str, k: int, tables: Tables, seed: int = 1,
 
     The best of ``restarts`` runs of Lloyd's algorithm is improved by Hartigan's transfers until no row's move gains, or for ``rounds``. A round
     moves whole bands of rows at once where sizes and sums show that this gains, else single rows between pairs of clusters, so its cost always falls.
-    Each round is two scans and a write of row numbers, clusters and vectors; the driver holds sums by pair of clusters and band, however many rows move.
+    Each round is two scans and one write of row numbers, clusters and vectors; the driver holds sums by pair of clusters and band, however many rows move.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -197,15 +190,17 @@ def kmeans(rows: DataFrame, vector: str, k: int, tables: Tables, seed: int = 1,
     model = min(fits, key=lambda m: m.summary.trainingCost)
     k, dim, lloyd = len(model.clusterCenters()), len(model.clusterCenters()[0]), None
     state = tables.write(model.transform(data).select("_row", "cluster", "_x"))
+    sizes, sums = _sums(state, dim, k)
     for step in range(rounds + 1):
-        sizes, sums = _sums(state, dim, k)
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], 1e150)
         bands, single, cost = _transfers(state, centres, sizes)
         lloyd = cost if lloyd is None else lloyd
         if not bands or step == rounds:
             break
-        old, state = state, tables.write(_moved(state, centres, sizes, *_choose(bands, single, sizes, sums)))
+        last, alone, *later = _choose(bands, single, sizes, sums)
+        old, state = state, tables.write(_moved(state, centres, sizes, last, alone))
         tables.drop(old)
+        sizes, sums = later
     found = base.drop("_x").join(state.select("_row", "cluster"), "_row").select(*rows.columns, "cluster")
     return Clusters(found, centres, cost, lloyd)
 
