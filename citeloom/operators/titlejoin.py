@@ -83,11 +83,15 @@ def candidate_pairs(left: DataFrame, right: DataFrame, key: str, order: str, on:
     return both.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
 
 
+def may_be_similar(a: Column, b: Column, least: float) -> Column:
+    """Whether two titles have as many characters in common as must match."""
+    common = F.size(F.array_intersect(title_tokens(a), title_tokens(b)))
+    return common >= matches_needed(F.char_length(a), F.char_length(b), least) - 1e-9
+
+
 def similar_pairs(pairs: DataFrame, rows: DataFrame, key: str, title: str, least: float) -> DataFrame:
     """(a, b, sim) of the candidate pairs whose similarity reaches ``least``."""
     t = rows.select(F.col(key).alias("k"), F.col(title).alias("t"))
     both = pairs.join(t.withColumnsRenamed({"k": "a", "t": "t_a"}), "a").join(t.withColumnsRenamed({"k": "b", "t": "t_b"}), "b")
-    n, m = F.char_length("t_a"), F.char_length("t_b")
-    common = F.size(F.array_intersect(title_tokens(F.col("t_a")), title_tokens(F.col("t_b"))))
-    both = both.where(common >= matches_needed(n, m, least) - 1e-9)
+    both = both.where(may_be_similar(F.col("t_a"), F.col("t_b"), least))
     return both.withColumn("sim", jaro(F.col("t_a"), F.col("t_b"))).where(F.col("sim") >= least).select("a", "b", "sim")

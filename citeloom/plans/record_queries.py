@@ -12,7 +12,7 @@ from citeloom.operators import audit, linkage, sampling, seeds, stats
 from citeloom.operators import rules as R
 from citeloom.operators import triage as T
 from citeloom.plans.context_queries import CUES
-from citeloom.plans.corpus_queries import _LEADERS, _SCORED, _titles
+from citeloom.plans.corpus_queries import _LEADERS, _SCORED, _WORK, _titles
 from citeloom.plans.registry import query, table
 from citeloom.plans.scratch import Tables
 from citeloom.plans.text_queries import LEX
@@ -250,9 +250,9 @@ _OWN = _SCORED.replace("p_size AS year FROM part)", "p_size AS year FROM part WH
 FROM part LEFT JOIN l ON l.id = p_partkey LEFT JOIN s ON s.a = l.leader AND s.b = l.id""")
 def attributed_parts(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of parts with confidence and method, from their scored pairs and leaders."""
-    works = _titles(spark, d).withColumns({"ord": F.col("p_partkey"), "doi": F.when(F.col("p_partkey") % 10 == 0, F.element_at(F.split("author", "_"), 1))})
+    works = _titles(spark, d).withColumn("doi", F.when(F.col("p_partkey") % 10 == 0, F.element_at(F.split("author", "_"), 1)))
     tables, own = Tables(spark, "attributed"), works.where("doi is null")
-    scored = tables.write(linkage.scored_pairs(own, "p_partkey", "title", "author", "year", "venue", "ord"))
-    leaders = linkage.leader_clusters(own.where("title is not null").select(F.col("p_partkey").alias("id")), scored.where(F.col("score") >= linkage.MERGE), tables)
-    out = linkage.attributed_clusters(works, "p_partkey", "doi", "title", leaders, scored)
+    held, scored, leaders = linkage.clusters_of_copies(own, *_WORK, tables)
+    leaders = tables.write(leaders)
+    out = linkage.attributed_clusters(works, "p_partkey", "doi", "title", linkage.of_members(held, leaders), linkage.member_scores(held, leaders, scored))
     return out.select("p_partkey", "cluster_id", "dedup_confidence", "dedup_method")

@@ -63,3 +63,61 @@ def test_a_large_class_is_many_rows(spark):
     pairs = groups.select(F.col("rep").alias("c"), F.col("rep").alias("d"), F.lit(1.0).alias("f"), F.lit(1.0).alias("g"))
     got = copies.member_pairs(pairs, lists, "f", "g", "s")
     assert got.where("a < b").distinct().count() == got.count() == 5000 * 4999 // 2
+
+
+def _scored_by_hand(rows):
+    """(a, b) -> score of parts of one brand and near sizes; brand and type are the author, all have one venue."""
+    return {
+        (k, m): score
+        for k, a, b, y in rows for m, c, e, z in rows
+        if k < m and b == e and abs(y - z) <= 1 and (score := round(0.70 * jaro_similarity(a, c) + 0.30, 6)) >= 0.86
+    }
+
+
+def test_copies_are_scored_led_and_attributed_as_by_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(copies, "CHUNK", 4)
+    rows = _parts(spark, tmp_path, [*NAMES, "hot volt", "hot volts x", "large song"], 12)
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    scored = _scored_by_hand(rows)
+    got = {(r.a, r.b): r.score for r in run("dedup_pair_scores")}
+    assert got.keys() == scored.keys() and all(abs(got[p] - s) < 2e-6 for p, s in scored.items())
+
+    def led(keys, scored):
+        leader = {}
+        for k in sorted(keys):
+            leader[k] = min((a for (a, b), s in scored.items() if b == k and s >= 0.92 and leader[a] == a), default=k)
+        return leader
+
+    leader = led([r[0] for r in rows], scored)
+    assert {r.id: r.leader for r in run("leader_clusters")} == leader
+    want = {(a, b) for (a, b), s in scored.items() if s < 0.92 and leader[a] == a and leader[b] >= a}
+    assert {(r.a, r.b) for r in run("ambiguous_pairs")} == want and want
+    own = [r for r in rows if r[0] % 10]
+    scored, brand = _scored_by_hand(own), {r[0]: r[2] for r in rows}
+    leader = led([r[0] for r in own], scored)
+    for r in run("attributed_parts"):
+        k = r.p_partkey
+        if k % 10 == 0:
+            assert (r.cluster_id, r.dedup_confidence) == (f"doi:{brand[k]}", 1.0)
+        else:
+            assert r.cluster_id == f"fuzzy:{leader[k]}"
+            assert abs(r.dedup_confidence - (0.75 if leader[k] == k else scored[leader[k], k])) < 2e-6
+
+
+@pytest.mark.parametrize("name", ["leader_clusters", "ambiguous_pairs", "attributed_parts"])
+def test_leaders_need_no_pairs_of_copies(spark, tmp_path, monkeypatch, name):
+    """1600 parts of eight names, two authors and four years: pairs by representatives are at most 64 of them squared."""
+    _parts(spark, tmp_path, NAMES, 200)
+    seen, inner = [], registry.corpus_queries.linkage.leader_clusters
+    monkeypatch.setattr(registry.corpus_queries.linkage, "leader_clusters", lambda nodes, pairs, tables: (seen.append(pairs.count()), inner(nodes, pairs, tables))[1])
+    registry.QUERIES[name](spark, str(tmp_path)).count()
+    assert seen and max(seen) <= 64 * 63 // 2
+
+
+def test_works_without_an_author_lead_themselves(spark):
+    linkage = registry.corpus_queries.linkage
+    rows = [(1, "a title", None, 1, "v"), (2, "a title", None, 1, "v"), (3, "a title", "x", None, None), (4, "a title", "x", None, None), (5, "", "x", 1, "v"), (6, "", "x", 1, "v"), (7, None, "x", 1, "v")]
+    df = spark.createDataFrame(rows, "id long, title string, author string, year int, venue string")
+    held, scored, leaders = linkage.clusters_of_copies(df, "id", "title", "author", "year", "venue", linkage.Tables(spark, "alone"))
+    assert {r.id: r.leader for r in linkage.of_members(held, leaders).collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert [(r.a, r.b, r.score) for r in linkage.member_scores(held, leaders, scored).collect()] == [(3, 4, 0.95)]
