@@ -2,12 +2,12 @@
 
 Pairs come from equi-joins on the shared key. A key that many nodes share makes a quadratic number of pairs; that number is the
 result here, so it is not capped, but spread: the nodes of a key of more than ``TILE`` are dealt to blocks of about that many, and each two
-blocks are a tile of the triangle of pairs, which is what meets in a task. Counts of the tiles are added up, partially before the shuffle.
+blocks are a tile of the triangle of pairs, which is what meets in a task. Pairs are dealt to as many partitions as their number needs, and counted there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.normalize import reference_key
@@ -21,6 +21,12 @@ def reference_edges(works: DataFrame, work: str = "work_id", references: str = "
 
 
 TILE = 512  # nodes of one key in a block
+SHARE = 1 << 20  # rows or pairs in a partition: tasks grow in number, not in memory, whatever the session's number of partitions is
+
+
+def shares(spark: SparkSession, rows: int) -> int:
+    """The number of partitions for so many rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // SHARE))
 
 
 def tiles(edges: DataFrame, by: list[str], node: str, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -34,28 +40,41 @@ def tiles(edges: DataFrame, by: list[str], node: str, tile: int = TILE) -> tuple
     return low, high
 
 
-def _pairs(edges: DataFrame, by: list[str], node: str, first: str, second: str, tile: int) -> DataFrame:
-    """Pairs of different nodes that share ``by``, the smaller one first, a row for each time."""
-    low, high = tiles(edges, by, node, tile)
-    both = low.withColumnRenamed(node, "_x").join(high.withColumnRenamed(node, "_y"), [*by, "_i", "_j"]).where("_i < _j or _x < _y")
-    return both.select(*by, F.least("_x", "_y").alias(first), F.greatest("_x", "_y").alias(second))
+def _counted_pairs(edges: DataFrame, within: list[str], key: str, node: str, first: str, second: str, tile: int) -> DataFrame:
+    """Pairs of different nodes that share ``within`` and ``key``, the smaller one first, and how often: (within..., first, second, n), for ``edges`` dealt by these.
+
+    The keys' sizes tell how many pairs there will be, and so how many partitions tiles and pairs are dealt to.
+    """
+    by, size = [*within, key], F.col("_n").cast("double")
+    total = edges.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.sum(size * (size - 1) / 2)).first()[0]
+    parts, at = shares(edges.sparkSession, int(total or 0)), [*by, "_i", "_j"]
+    low, high = (side.withColumnRenamed(node, name).repartition(parts, *at) for side, name in zip(tiles(edges, by, node, tile), ("_x", "_y"), strict=True))
+    both = low.join(high, at).where("_i < _j or _x < _y")
+    pairs = both.select(*within, F.least("_x", "_y").alias(first), F.greatest("_x", "_y").alias(second))
+    return pairs.repartition(parts, *within, first, second).groupBy(*within, first, second).agg(F.count("*").alias("n"))
 
 
-def cocitation(edges: DataFrame, work: str, reference: str, by: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
-    """How many works cite both references (within equal ``by`` columns): (by..., ref1, ref2, n)."""
-    e = edges.select(*by, work, reference).where(F.col(work).isNotNull() & F.col(reference).isNotNull()).distinct()
-    return _pairs(e, [*by, work], reference, "ref1", "ref2", tile).groupBy(*by, "ref1", "ref2").agg(F.count("*").alias("n"))
+def cocitation(edges: DataFrame, work: str, reference: str, by: tuple[str, ...] = (), tile: int = TILE, rows: int | None = None) -> DataFrame:
+    """How many works cite both references (within equal ``by`` columns): (by..., ref1, ref2, n). ``rows``: of ``edges``, where that is known."""
+    e = edges.select(*by, work, reference).where(F.col(work).isNotNull() & F.col(reference).isNotNull())
+    e = e.repartition(shares(e.sparkSession, e.count() if rows is None else rows), *by, work).distinct()
+    return _counted_pairs(e, list(by), work, reference, "ref1", "ref2", tile)
 
 
-def coupling(edges: DataFrame, work: str, reference: str, tile: int = TILE) -> DataFrame:
+def coupling(edges: DataFrame, work: str, reference: str, tile: int = TILE, rows: int | None = None) -> DataFrame:
     """How many references two works share, repeated edges counted: (work1, work2, n)."""
     e = edges.select(reference, work).where(F.col(work).isNotNull() & F.col(reference).isNotNull())
-    return _pairs(e, [reference], work, "work1", "work2", tile).groupBy("work1", "work2").agg(F.count("*").alias("n"))
+    e = e.repartition(shares(e.sparkSession, e.count() if rows is None else rows), reference)
+    return _counted_pairs(e, [], reference, work, "work1", "work2", tile)
+
+
+def _distinct(edges: DataFrame, work: str, reference: str, rows: int | None) -> DataFrame:
+    return edges.select(work, reference).repartition(shares(edges.sparkSession, edges.count() if rows is None else rows), work).distinct()
 
 
-def normalised_strength(pairs: DataFrame, edges: DataFrame, work: str, reference: str) -> DataFrame:
+def normalised_strength(pairs: DataFrame, edges: DataFrame, work: str, reference: str, rows: int | None = None) -> DataFrame:
     """Pair counts over the geometric mean of the two references' citation counts."""
-    cited = edges.select(work, reference).distinct().groupBy(reference).agg(F.count("*").alias("cited"))
+    cited = _distinct(edges, work, reference, rows).groupBy(reference).agg(F.count("*").alias("cited"))
     one = cited.select(F.col(reference).alias("ref1"), F.col("cited").alias("cited1"))
     two = cited.select(F.col(reference).alias("ref2"), F.col("cited").alias("cited2"))
     out = pairs.join(one, "ref1").join(two, "ref2")
@@ -73,13 +92,13 @@ def at_least(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.where(F.col("n") >= n)
 
 
-def network_summary(edges: DataFrame, pairs: DataFrame, work: str, reference: str) -> DataFrame:
+def network_summary(edges: DataFrame, pairs: DataFrame, work: str, reference: str, rows: int | None = None) -> DataFrame:
     """Counts of works, references, edges, pairs and pair nodes as (metric, value) rows.
 
     The pairs are aggregated once. A reference is in a pair if one of its works has two references or more, which the
     edges tell without the pairs.
     """
-    e = edges.select(work, reference).distinct()
+    e = _distinct(edges, work, reference, rows)
     base = e.agg(F.countDistinct(work).alias("citing_works"), F.countDistinct(reference).alias("references"), F.count("*").alias("edges"))
     weights = pairs.agg(F.count("*").alias("pairs"), F.sum("n").alias("total_weight"), F.max("n").alias("max_weight"))
     several = e.groupBy(work).agg(F.count("*").alias("_n")).where("_n >= 2").select(work)

@@ -23,6 +23,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return network.cocitation(_edges(spark, d), "l_orderkey", "l_partkey")
 
 
+def _dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows dealt by a key to the partitions of ``n`` lines: both sides of a join meet there."""
+    return rows.repartition(network.shares(rows.sparkSession, n), key)
+
+
 @query(f"WITH {_PAIRS} SELECT ref1, ref2, n FROM p ORDER BY n DESC, ref1, ref2 LIMIT 100")
 def cocitation_top100(spark: SparkSession, d: str) -> DataFrame:
     return network.top_k(_pairs(spark, d), 100, (), F.desc("n"), "ref1", "ref2")
@@ -50,16 +55,20 @@ SELECT grp AS {name.split('.')[-1] if '(' not in name else 'decade'}, ref1, ref2
 @query(_by("lineitem JOIN orders ON l_orderkey = o_orderkey", "CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER)"))
 def cocitation_by_decade_topk(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("l_orderkey"), decade(F.year("o_orderdate")).alias("decade"))
-    edges = table(spark, d, "lineitem", "l_orderkey", "l_suppkey").join(orders, "l_orderkey")
-    pairs = network.cocitation(edges, "l_orderkey", "l_suppkey", ("decade",))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_suppkey")
+    rows = lines.count()
+    edges = _dealt(lines, "l_orderkey", rows).join(_dealt(orders, "l_orderkey", rows), "l_orderkey")
+    pairs = network.cocitation(edges, "l_orderkey", "l_suppkey", ("decade",), rows=rows)
     return network.top_k(pairs, 20, ("decade",), F.desc("n"), "ref1", "ref2")
 
 
 @query(_by("lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey", "c_mktsegment"))
 def cocitation_by_field_topk(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders", "o_orderkey", "o_custkey").join(table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    edges = table(spark, d, "lineitem", "l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    pairs = network.cocitation(edges, "l_orderkey", "l_suppkey", ("c_mktsegment",))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_suppkey")
+    rows = lines.count()
+    edges = _dealt(lines, "l_orderkey", rows).join(_dealt(orders, "o_orderkey", rows), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = network.cocitation(edges, "l_orderkey", "l_suppkey", ("c_mktsegment",), rows=rows)
     return network.top_k(pairs, 20, ("c_mktsegment",), F.desc("n"), "ref1", "ref2")
 
 
@@ -89,8 +98,9 @@ def top_cited(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT decade, l_partkey, count(*) AS n FROM e GROUP BY 1, 2)
 SELECT decade, l_partkey, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY decade ORDER BY n DESC, l_partkey) AS rank FROM n) WHERE rank <= 100""")
 def top_cited_by_decade(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders", "o_orderkey", "o_orderdate")
-    e = _edges(spark, d).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", decade(F.year("o_orderdate")).alias("decade")).distinct()
+    lines, orders = _edges(spark, d), table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    rows = lines.count()
+    e = _dealt(lines, "l_orderkey", rows).join(_dealt(orders, "o_orderkey", rows), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", decade(F.year("o_orderdate")).alias("decade")).distinct()
     return network.top_k(diffusion.counts(e, "decade", "l_partkey"), 100, ("decade",), F.desc("n"), "l_partkey")
 
 

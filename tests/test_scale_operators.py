@@ -94,3 +94,17 @@ def test_pattern_bootstrap_has_the_spread_of_resampled_units(spark, metric):
     low, high = np.percentile(draws, [2.5, 97.5])
     got = stats.bootstrap_alpha(spark.createDataFrame(rows, "unit int, coder string, value double"), metric, resamples=1000).first()
     assert got.resamples == 1000 and abs(got.low - low) < 0.04 and abs(got.high - high) < 0.04
+
+
+@pytest.mark.parametrize("partitions", ["2", "8"])
+def test_partitions_follow_the_number_of_pairs(spark, monkeypatch, partitions):
+    monkeypatch.setattr(network, "SHARE", 1000)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        edges = spark.range(300).select(F.col("id").alias("w"), F.lit(1).alias("r"))
+        pairs = network.coupling(edges, "w", "r", tile=16)
+        assert pairs.rdd.getNumPartitions() == 45 and pairs.count() == 300 * 299 // 2
+        assert network.cocitation(edges, "r", "w", tile=16).rdd.getNumPartitions() == 45
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
