@@ -8,20 +8,29 @@ and the places of the shared tokens bound what can follow, and what survives is
 each pair.
 
 Titles too short to be sure of two tokens are keyed by single tokens, and so are those so long that pairs of tokens would be too many.
+
+Where titles of a block are many and all much alike in their characters, as six words of any text are, such keys thin little and cost more than
+what they save. ``numbered_pairs`` therefore compares numbered titles tile by tile: the titles' counts of characters are multiplied as matrices, which gives
+how many characters two titles have in common at most, and Jaro runs in the same task on what may reach the threshold.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.similarity import jaro
+from citeloom.functions.similarity import jaro, jaro_many
 
 FREQUENT = 256  # tokens whose frequency orders them; all others come first
 LONG = 120  # characters from which on a title has keys of one token
 SURE = 4  # characters up to which a title may share a single token with a partner
+BLOCK = 8192  # numbered titles in a block; two blocks are a tile, which is what meets in a task
+KINDS, WIDE, ROWS = 64, 512, 256  # classes of characters, columns of a matrix, and rows that are multiplied at once
+TILES = 4096  # partitions that tiles are dealt to at most
 
 
 def title_tokens(title: Column) -> Column:
@@ -95,3 +104,77 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, key: str, title: str, least
     both = pairs.join(t.withColumnsRenamed({"k": "a", "t": "t_a"}), "a").join(t.withColumnsRenamed({"k": "b", "t": "t_b"}), "b")
     both = both.where(may_be_similar(F.col("t_a"), F.col("t_b"), least))
     return both.withColumn("sim", jaro(F.col("t_a"), F.col("t_b"))).where(F.col("sim") >= least).select("a", "b", "sim")
+
+
+def _common(titles: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 0/1 row for each title, and the length that it leaves out: two titles have at most as many characters in common as the rows' product
+    and the smaller rest say.
+
+    A column stands for a class of characters and a count that a title reaches; the commonest characters are classes of their own.
+    """
+    size = np.array([len(t) for t in titles], np.int64)
+    _, kind, often = np.unique(np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often)) % KINDS
+    counts = np.bincount(np.repeat(np.arange(len(titles)), size) * KINDS + rank[kind], minlength=len(titles) * KINDS).reshape(-1, KINDS)
+    most, up_to = counts.max(0, initial=0), WIDE // KINDS
+    while up_to < most.max(initial=0) and np.minimum(most, up_to + 1).sum() <= WIDE:
+        up_to += 1
+    rows = np.concatenate([counts[:, c, None] > np.arange(min(m, up_to)) for c, m in enumerate(most)], axis=1).astype(np.float32)
+    return rows, (size - rows.sum(1)).astype(np.float32)
+
+
+def tile_pairs(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(a, b, sim) of two blocks of (id, t, y): a before b, of one year or b of none, Jaro's similarity at least ``least``."""
+    x, y = (side.assign(n=side["t"].str.len()).query("n > 0").sort_values("n", kind="stable") for side in (left, right))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(x) and len(y):
+        need, rows, rest = share_needed(least), *_common([*x["t"], *y["t"]])
+        mine, theirs, other = rows[: len(x)], np.ascontiguousarray(rows[len(x) :].T), rest[len(x) :]
+        xi, yi, xt, yt, xn, yn = (side[c].to_numpy() for c in ("id", "t", "n") for side in (x, y))
+        xy, yy = (side["y"].to_numpy(np.float64, na_value=np.nan) for side in (x, y))
+        for n in np.unique(xn):
+            low, high = np.searchsorted(yn, n * need - 1e-6), np.searchsorted(yn, n / need + 1e-6, "right")
+            least_common = ((3 * least - 1) * n * yn[low:high] / (n + yn[low:high]) - 1e-4).astype(np.float32)
+            end = np.searchsorted(xn, n, "right")
+            for at in range(np.searchsorted(xn, n), end, ROWS):
+                here = slice(at, min(end, at + ROWS))
+                both = mine[here] @ theirs[:, low:high]
+                if rest.any():
+                    both += np.minimum(rest[here][:, None], other[low:high])
+                i, j = np.divmod(np.flatnonzero(both >= least_common), max(1, high - low))
+                i, j = i + at, j + low
+                fits = (xi[i] < yi[j]) & (np.isnan(yy[j]) | (xy[i] == yy[j]))
+                i, j = i[fits], j[fits]
+                sim = jaro_many(xt[i].tolist(), yt[j].tolist())
+                some = sim >= least
+                found.append((xi[i[some]], yi[j[some]], sim[some]))
+    return pd.DataFrame(dict(zip(("a", "b", "sim"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+
+def numbered_pairs(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, sim), a < b, of the similar titles of one year, or an unknown one: ``rows`` (id, t, y) are numbered by year, unknown ones last, from 1.
+
+    Blocks are ranges of ids, so a year is in consecutive blocks, and the unknown ones in the last: a block meets itself, the others of its years and those
+    with unknown years. Every pair is looked at once; a task holds two blocks.
+    """
+    share_needed(least)
+    number = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
+    ends = rows.groupBy("y").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    last, first_open = rows.agg(F.max("id"), F.min(F.when(F.col("y").isNull(), F.col("id")))).first()
+    n = 1 + ((last or 1) - 1) // block
+    opened = n if first_open is None else (first_open - 1) // block
+    known = rows.where("y is not null").join(ends.where("y is not null"), "y").select("id", "t", "y", number("id").alias("_own"), number("_first").alias("_low"), number("_last").alias("_high"))
+    free = rows.where("y is null").select("id", "t", "y", number("id").alias("_own"), F.lit(0).alias("_low"), F.lit(n - 1).alias("_high"))
+    dealt = known.unionByName(free)
+    # as the earlier one: up to the end of its year, and with all blocks of unknown years
+    after = F.array_union(F.sequence("_own", "_high"), F.sequence(F.greatest(F.col("_own"), F.lit(opened)), F.lit(n - 1)) if opened < n else F.array().cast("array<int>"))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(TILES, n + n * (n - opened)))
+    row = [F.col(c).alias(c) for c in ("id", "t", "y")]  # columns of their own for each side
+    one = dealt.select(*row, F.col("_own").alias("_i"), F.explode(after).alias("_j")).repartition(parts, "_i", "_j")
+    two = dealt.select(*row, F.explode(F.sequence("_low", "_own")).alias("_i"), F.col("_own").alias("_j")).repartition(parts, "_i", "_j")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return tile_pairs(left, right, least)
+
+    return one.groupBy("_i", "_j").cogroup(two.groupBy("_i", "_j")).applyInPandas(meet, "a long, b long, sim double")

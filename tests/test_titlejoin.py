@@ -1,8 +1,10 @@
 """The similarity join of titles against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,36 @@ def test_similar_titles_equal_brute_force(spark, least):
     assert pairs.count() < share * sum(1 for i in t for j in t if i < j and i % 2 == j % 2)
 
 
+@pytest.mark.parametrize("block", [7, 64, 1000])
+@pytest.mark.parametrize("open_", [0, 3, 1])  # no year, a third of the years or all unknown
+def test_tiles_of_titles_equal_brute_force(spark, block, open_):
+    t = [*titles(120, 6, 8), "a" * 700, "a" * 690 + "b" * 9, "".join(map(chr, range(200, 330))), "".join(map(chr, range(204, 330)))]
+    rows = sorted({(x, None if open_ and i % open_ == 0 else i * i % 4) for i, x in enumerate(t)}, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    rows = [(i, *r) for i, r in enumerate(rows, 1)]
+    got = [tuple(r) for r in titlejoin.numbered_pairs(spark.createDataFrame(rows, "id long, t string, y int"), 0.92, block).collect()]
+    want = {(i, j): s for i, x, y in rows for j, z, w in rows if i < j and (w is None or w == y) and (s := jaro_similarity(x, z)) >= 0.92}
+    assert len(got) == len(want) > 10 and all(abs(want[a, b] - s) < 1e-12 for a, b, s in got)
+
+
+def test_no_titles_make_no_pairs(spark):
+    assert titlejoin.numbered_pairs(spark.createDataFrame([], "id long, t string, y int"), 0.92).collect() == []
+    assert titlejoin.numbered_pairs(spark.createDataFrame([(1, "", 3), (2, "", None)], "id long, t string, y int"), 0.92).collect() == []
+
+
+def test_many_titles_of_unknown_years_are_compared_in_tiles():
+    """Words of few letters have frequent tokens only: keys of them thin nothing, tiles need a second for 36 million pairs."""
+    rng = np.random.default_rng(3)
+    words = np.array(["the", "an", "on", "in", "er", "es", "ed", "th", "re", "and", "ha", "of"])
+    side = lambda k: pd.DataFrame({"id": np.arange(6000) + k, "t": [" ".join("".join(w) for w in words[rng.integers(0, 12, (6, 3))]) for _ in range(6000)], "y": np.nan})
+    one, two = side(1), side(6001)
+    two.loc[0, "t"] = one.loc[5999, "t"]
+    began = time.process_time()
+    got = titlejoin.tile_pairs(one, two, 0.92)
+    assert time.process_time() - began < 60 and (6000, 6001, 1.0) in set(got.itertuples(index=False, name=None))
+    some = [(i, j, s) for i in range(0, 6000, 97) for j in range(0, 6000, 101) if (s := jaro_similarity(one["t"][i], two["t"][j])) >= 0.92]
+    assert {(i + 1, j + 6001) for i, j, _ in some} == {(a, b) for a, b in zip(got["a"], got["b"], strict=True) if (a - 1) % 97 == 0 and (b - 6001) % 101 == 0}
+
+
 def test_low_thresholds_raise():
     with pytest.raises(ValueError):
         titlejoin.share_needed(0.6)
