@@ -21,7 +21,7 @@ def reference_edges(works: DataFrame, work: str = "work_id", references: str = "
 
 
 TILE = 512  # nodes of one key in a block
-SHARE = 1 << 20  # rows or pairs in a partition: tasks grow in number, not in memory, whatever the session's number of partitions is
+SHARE = 1 << 18  # rows or pairs in a partition, few enough for the five hash tables that a task of edges holds: tasks grow in number, not in memory, from a few million rows on
 
 
 def shares(spark: SparkSession, rows: int) -> int:

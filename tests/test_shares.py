@@ -1,8 +1,10 @@
-"""Tf-idf is dealt by the texts' bytes."""
+"""Tf-idf is dealt by the texts' bytes, networks by their rows and pairs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
+from citeloom.operators import network
 
 
 @pytest.mark.parametrize("vocabulary", [0, 2_000_000])
@@ -16,3 +18,16 @@ def test_more_text_makes_more_partitions(spark, monkeypatch, vocabulary):
     assert weights.rdd.getNumPartitions() >= 20
     got = sorted(tuple(r) for r in weights.collect())
     assert [r[:4] for r in got] == [r[:4] for r in want] and all(abs(a[4] - b[4]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_a_few_million_rows_are_dealt_as_finely_as_more(spark):
+    """3.6 million rows made tasks of 300,000 before, and 36 million tasks of a million."""
+    rows = {n: n / network.shares(spark, n) for n in (3_600_000, 36_000_000, 216_000_000)}
+    assert max(rows.values()) < 1.1 * min(rows.values()) and max(rows.values()) < 300_000
+
+
+def test_pairs_of_a_partition_are_bounded(spark):
+    edges = spark.range(2_400_000).select((F.col("id") / 4).cast("long").alias("w"), F.pmod(F.xxhash64("id"), F.lit(600_011)).alias("r"))
+    pairs = network.cocitation(edges, "w", "r", rows=2_400_000)
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) > 3_000_000 and max(sizes) < 300_000
