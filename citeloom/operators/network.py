@@ -72,6 +72,13 @@ def _distinct(edges: DataFrame, work: str, reference: str, rows: int | None) ->
     return edges.select(work, reference).repartition(shares(edges.sparkSession, edges.count() if rows is None else rows), work).distinct()
 
 
+def _by_reference(edges: DataFrame, work: str, reference: str) -> DataFrame:
+    """(reference, paired) of distinct edges that are dealt by work: whether a work that cites it cites another one too."""
+    several = edges.groupBy(F.col(work).alias("_w")).agg((F.count(reference) >= 2).alias("_several"))
+    each = edges.join(several, F.col(work) == F.col("_w"), "left").select(reference, F.coalesce("_several", F.lit(False)).alias("_several"))
+    return each.groupBy(reference).agg(F.max("_several").alias("paired"))
+
+
 def normalised_strength(pairs: DataFrame, edges: DataFrame, work: str, reference: str, rows: int | None = None) -> DataFrame:
     """Pair counts over the geometric mean of the two references' citation counts."""
     cited = _distinct(edges, work, reference, rows).groupBy(reference).agg(F.count("*").alias("cited"))
@@ -99,10 +106,9 @@ def network_summary(edges: DataFrame, pairs: DataFrame, work: str, reference: st
     edges tell without the pairs.
     """
     e = _distinct(edges, work, reference, rows)
-    base = e.agg(F.countDistinct(work).alias("citing_works"), F.countDistinct(reference).alias("references"), F.count("*").alias("edges"))
+    base = e.groupBy(work).agg(F.count("*").alias("_n")).agg(F.count(work).alias("citing_works"), F.coalesce(F.sum("_n"), F.lit(0)).alias("edges"))
     weights = pairs.agg(F.count("*").alias("pairs"), F.sum("n").alias("total_weight"), F.max("n").alias("max_weight"))
-    several = e.groupBy(work).agg(F.count("*").alias("_n")).where("_n >= 2").select(work)
-    nodes = e.join(several, work, "left_semi").agg(F.countDistinct(reference).alias("pair_nodes"))
+    nodes = _by_reference(e, work, reference).agg(F.count(reference).alias("references"), F.count_if(F.col("paired") & F.col(reference).isNotNull()).alias("pair_nodes"))
     one = base.crossJoin(weights).crossJoin(nodes)  # three single rows
     return one.select(*[F.col(c).cast("long") for c in one.columns]).unpivot([], one.columns, "metric", "value")
 

@@ -31,3 +31,16 @@ def test_pairs_of_a_partition_are_bounded(spark):
     pairs = network.cocitation(edges, "w", "r", rows=2_400_000)
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(sizes) > 3_000_000 and max(sizes) < 300_000
+
+
+def test_summary_counts_each_work_and_reference_once(spark):
+    """A null is no reference and no work, though a row of one is an edge."""
+    rows = [(w, w * 7 % 501 + k) for w in range(5000) for k in range(w % 4)] + [(9000, 1), (9000, 1), (9001, 700), (9001, None), (None, 701), (None, 702)]
+    edges = spark.createDataFrame(rows, "w int, r int")
+    got = {x.metric: x.value for x in network.network_summary(edges, network.cocitation(edges, "w", "r"), "w", "r").collect()}
+    own = {}
+    for w, r in rows:
+        if w is not None and r is not None:
+            own.setdefault(w, set()).add(r)
+    assert got["citing_works"] == len(own) and got["references"] == len({r for _, r in rows if r is not None}) and got["edges"] == len(set(rows))
+    assert got["pair_nodes"] == len({r for s in own.values() if len(s) > 1 for r in s})
