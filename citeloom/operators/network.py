@@ -2,7 +2,8 @@
 
 Pairs come from equi-joins on the shared key. A key that many nodes share makes a quadratic number of pairs; that number is the
 result here, so it is not capped, but spread: the nodes of a key of more than ``TILE`` are dealt to blocks of about that many, and each two
-blocks are a tile of the triangle of pairs, which is what meets in a task. Pairs are dealt to as many partitions as their number needs, and counted there.
+blocks are a tile of the triangle of pairs, which is what meets in a task. Pairs are dealt to as many partitions as their number needs, and counted there;
+coupled works are counted where they meet, if their own references are fewer than the pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ def reference_edges(works: DataFrame, work: str = "work_id", references: str = "
 
 TILE = 512  # nodes of one key in a block
 SHARE = 1 << 18  # rows or pairs in a partition, few enough for the five hash tables that a task of edges holds: tasks grow in number, not in memory, from a few million rows on
+LISTED = 8  # references in the list of an edge's work, on average, up to which a partition of edges has SHARE of them
 
 
 def shares(spark: SparkSession, rows: int) -> int:
@@ -62,10 +64,57 @@ def cocitation(edges: DataFrame, work: str, reference: str, by: tuple[str, ...]
 
 
 def coupling(edges: DataFrame, work: str, reference: str, tile: int = TILE, rows: int | None = None) -> DataFrame:
-    """How many references two works share, repeated edges counted: (work1, work2, n)."""
+    """How many references two works share, repeated edges counted: (work1, work2, n).
+
+    Works carry their references along, so a pair is counted where its first common reference is, and pairs never move. Where these lists
+    are longer than the pairs are many, the pairs are dealt out and counted.
+    """
     e = edges.select(reference, work).where(F.col(work).isNotNull() & F.col(reference).isNotNull())
-    e = e.repartition(shares(e.sparkSession, e.count() if rows is None else rows), reference)
-    return _counted_pairs(e, [], reference, work, "work1", "work2", tile)
+    spark, size, heavy = e.sparkSession, F.col("_n").cast("double"), F.col("_n") > tile
+    dealt = shares(spark, e.count() if rows is None else rows)
+    counts = lambda key: e.repartition(dealt, key).groupBy(key).agg(F.count("*").alias("_n"))
+    both, own = F.sum(size * (size - 1) / 2), F.sum(F.when(heavy, size * (size - 1) / 2))
+    pairs, tiled, light = (int(x or 0) for x in counts(reference).agg(both, own, F.count_if(~heavy)).first())
+    listed = int(counts(work).agg(F.sum(size * size)).first()[0] or 0)
+    if listed > pairs:
+        return _counted_pairs(e.repartition(dealt, reference), [], reference, work, "work1", "work2", tile)
+    dealt = max(dealt, shares(spark, listed // LISTED))
+    held = _with_lists(e.repartition(dealt, work), work, reference).repartition(dealt, reference)
+    if not tiled:
+        return _pairs_at_first(held, held, [reference], work, reference)
+    at, parts, hot = [reference, "_i", "_j"], shares(spark, tiled), counts(reference).where(heavy).select(reference)
+    low, high = (side.repartition(parts, *at) for side in tiles(held.join(hot, reference, "left_semi") if light else held, [reference], work, tile))
+    found = _pairs_at_first(low, high, at, work, reference)
+    if light:
+        few = held.join(hot, reference, "left_anti")
+        found = found.unionByName(_pairs_at_first(few, few, [reference], work, reference))
+    return found
+
+
+def _with_lists(edges: DataFrame, work: str, reference: str) -> DataFrame:
+    """Distinct edges, for ``edges`` dealt by work, with how often each occurs, all references of the work, how often these do (null: once each), and a bit for each."""
+    each = edges.groupBy(work, reference).agg(F.count("*").alias("_m"))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{reference}`), 64) as int))")
+    lists = each.groupBy(work).agg(F.collect_list(F.struct(F.col(reference).alias("r"), F.col("_m").alias("m"))).alias("_all"), F.bit_or(bit).alias("_bits"), F.max("_m").alias("_most"))
+    lists = lists.select(work, "_bits", F.col("_all.r").alias("_refs"), F.when(F.col("_most") > 1, F.col("_all.m")).alias("_times"), F.explode("_all").alias("_one"))
+    return lists.select(F.col("_one.r").alias(reference), work, F.col("_one.m").alias("_m"), "_bits", "_refs", "_times")
+
+
+def _pairs_at_first(low: DataFrame, high: DataFrame, at: list[str], work: str, reference: str) -> DataFrame:
+    """(work1, work2, n) of rows of ``_with_lists`` that meet, each pair where the smallest of its common references is."""
+    own = [work, "_m", "_bits", "_refs", "_times"]
+    x, y = (side.select(*at, *[F.col(c).alias(f"{c}_{k}") for c in own]) for side, k in ((low, "x"), (high, "y")))
+    first, second = F.col(f"{work}_x"), F.col(f"{work}_y")
+    in_order = first < second if low is high else (F.col("_i") < F.col("_j")) | (first < second)
+    # most pairs share this reference only: their bits tell, unless both have references of one bit
+    merged = lambda k: F.size(f"_refs_{k}") > F.bit_count(f"_bits_{k}")
+    several = (F.bit_count(F.col("_bits_x").bitwiseAND(F.col("_bits_y"))) > 1) | (merged("x") & merged("y"))
+    common = F.when(several, F.array_intersect("_refs_x", "_refs_y"))
+    both = x.join(y, at).where(in_order & (common.isNull() | (F.array_min(common) == F.col(reference))))
+    times = lambda k, r: F.coalesce(F.get(F.col(f"_times_{k}"), (F.array_position(F.col(f"_refs_{k}"), r) - 1).cast("int")), F.lit(1).cast("long"))
+    shared = F.aggregate(common, F.lit(0).cast("long"), lambda n, r: n + times("x", r) * times("y", r))
+    n = F.when(F.size(common) > 1, shared).otherwise(F.col("_m_x") * F.col("_m_y"))
+    return both.select(F.least(first, second).alias("work1"), F.greatest(first, second).alias("work2"), n.alias("n"))
 
 
 def _distinct(edges: DataFrame, work: str, reference: str, rows: int | None) -> DataFrame:

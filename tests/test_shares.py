@@ -1,5 +1,8 @@
 """Tf-idf is dealt by the texts' bytes, networks by their rows and pairs."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +47,28 @@ def test_summary_counts_each_work_and_reference_once(spark):
             own.setdefault(w, set()).add(r)
     assert got["citing_works"] == len(own) and got["references"] == len({r for _, r in rows if r is not None}) and got["edges"] == len(set(rows))
     assert got["pair_nodes"] == len({r for s in own.values() if len(s) > 1 for r in s})
+
+
+@pytest.mark.parametrize("tile", [4, 1000])  # some references in tiles, none
+@pytest.mark.parametrize("many", [40, 8])  # references that are cited a few times or by most works
+def test_coupled_works_are_counted_where_they_meet(spark, tile, many):
+    rng = random.Random(many)
+    rows = [(w, rng.randrange(many)) for w in range(200) for _ in range(rng.choice([1, 1, 2, 4]))]
+    rows += [(w, r) for w, r in rows if w % 9 == 0 for _ in range(w % 3 + 1)] + [(7, None), (None, 3), (900, 901)]
+    df, own = spark.createDataFrame(rows, "w long, r int").repartition(3), {}
+    for w, r in rows:
+        if w is not None and r is not None:
+            own.setdefault(w, Counter())[r] += 1
+    want = {(a, b): n for a in own for b in own if a < b and (n := sum(own[a][r] * own[b][r] for r in own[a]))}
+    pairs = network.coupling(df, "w", "r", tile=tile)
+    got = pairs.collect()
+    assert len(got) == len(want) and {(x.work1, x.work2): x.n for x in got} == want
+    assert "hashpartitioning(work1" not in pairs._jdf.queryExecution().toString()  # no pair moves
+
+
+def test_works_of_long_lists_are_coupled_by_pairs(spark):
+    """Two works that share all of their hundred references and few others: lists of them would be longer than the pairs are many."""
+    rows = [(w, w // 2 * 100 + k) for w in range(20) for k in range(100)]
+    pairs = network.coupling(spark.createDataFrame(rows, "w long, r int"), "w", "r")
+    assert "hashpartitioning(work1" in pairs._jdf.queryExecution().toString()
+    assert {tuple(x) for x in pairs.collect()} == {(w, w + 1, 100) for w in range(0, 20, 2)}
