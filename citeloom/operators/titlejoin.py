@@ -10,8 +10,8 @@ each pair.
 Titles too short to be sure of two tokens are keyed by single tokens, and so are those so long that pairs of tokens would be too many.
 
 Where titles of a block are many and all much alike in their characters, as six words of any text are, such keys thin little and cost more than
-what they save. ``numbered_pairs`` therefore compares numbered titles tile by tile: the titles' counts of characters are multiplied as matrices, which gives
-how many characters two titles have in common at most, and Jaro runs in the same task on what may reach the threshold.
+what they save. ``numbered_pairs`` therefore compares numbered titles tile by tile: bits stand for the titles' counts of characters, and how many of them differ bounds
+how many characters two titles have in common; of what is left, the longest common subsequence bounds how many agree in turn, and Jaro runs in the same task on what may reach the threshold.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from citeloom.functions.similarity import jaro, jaro_many
 FREQUENT = 256  # tokens whose frequency orders them; all others come first
 LONG = 120  # characters from which on a title has keys of one token
 SURE = 4  # characters up to which a title may share a single token with a partner
-BLOCK = 8192  # numbered titles in a block; two blocks are a tile, which is what meets in a task
-KINDS, WIDE, ROWS = 64, 512, 256  # classes of characters, columns of a matrix, and rows that are multiplied at once
+BLOCK, SMALL = 1 << 16, 1024  # numbered titles in a block, at most and at least; two blocks are a tile, which is what meets in a task
+KINDS, PLACES, CELLS = 64, 64, 1 << 17  # classes of characters, characters that a word of bits has places for, and pairs that are compared at once
+YEARS = 1024  # titles of known years that meet those of their years at once
 TILES = 4096  # partitions that tiles are dealt to at most
 
 
@@ -106,62 +107,170 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, key: str, title: str, least
     return both.withColumn("sim", jaro(F.col("t_a"), F.col("t_b"))).where(F.col("sim") >= least).select("a", "b", "sim")
 
 
-def _common(titles: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 0/1 row for each title, and the length that it leaves out: two titles have at most as many characters in common as the rows' product
-    and the smaller rest say.
+def _marks(titles: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two words of bits for each title, the classes of its first ``PLACES`` characters (``KINDS`` past its end), a row for each place, and whether each of them has a class of its own.
 
-    A column stands for a class of characters and a count that a title reaches; the commonest characters are classes of their own.
+    A bit stands for a class of characters and a count that a title reaches, those that tell most first; the commonest characters are classes of their own.
+    Two titles' bits differ in as many places at most as the titles have characters that the other one lacks.
     """
-    size = np.array([len(t) for t in titles], np.int64)
-    _, kind, often = np.unique(np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32), return_inverse=True, return_counts=True)
-    rank = np.empty(len(often), np.int64)
-    rank[np.argsort(-often, kind="stable")] = np.arange(len(often)) % KINDS
-    counts = np.bincount(np.repeat(np.arange(len(titles)), size) * KINDS + rank[kind], minlength=len(titles) * KINDS).reshape(-1, KINDS)
-    most, up_to = counts.max(0, initial=0), WIDE // KINDS
-    while up_to < most.max(initial=0) and np.minimum(most, up_to + 1).sum() <= WIDE:
-        up_to += 1
-    rows = np.concatenate([counts[:, c, None] > np.arange(min(m, up_to)) for c, m in enumerate(most)], axis=1).astype(np.float32)
-    return rows, (size - rows.sum(1)).astype(np.float32)
+    kind = np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32)
+    often = np.bincount(kind)
+    order = np.empty(len(often), np.int64)
+    order[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    row, place = np.repeat(np.arange(len(titles)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    exact = np.bincount(row, order[kind] >= KINDS, minlength=len(titles)) == 0
+    kind = (order % KINDS).astype(np.uint8)[kind]
+    counts = np.bincount(row * KINDS + kind, minlength=len(titles) * KINDS).reshape(-1, KINDS)
+    reached = [np.cumsum(np.bincount(c)[::-1])[::-1][1:] / len(titles) for c in counts.T]  # the share of titles that reach 1, 2, 3...
+    share, which = np.concatenate(reached), [(c, k) for c, r in enumerate(reached) for k in range(len(r))]
+    words = np.zeros((2, len(titles)), np.uint64)
+    for at, best in enumerate(np.argsort(-share * (1 - share), kind="stable")[:128]):
+        c, k = which[best]
+        words[at // 64] |= (counts[:, c] > k).astype(np.uint64) << np.uint64(at % 64)
+    codes = np.full((PLACES + 1, len(titles)), KINDS, np.uint8)
+    some = place < PLACES
+    codes[place[some], row[some]] = kind[some]
+    return words, codes, exact
+
+
+class _Tile:
+    """Titles that are compared: by bits, then by the longest common subsequence, then by Jaro's similarity.
+
+    Characters that match and agree in turn are a common subsequence, of m - 2t - 1 at least for m matches and t transpositions.
+    """
+
+    def __init__(self, titles: list[str], least: float):
+        self.titles, self.least, self.need = np.array(titles, object), least, share_needed(least)
+        self.size = np.array([len(t) for t in titles], np.int64)
+        (self.one, self.two), self.codes, self.exact = _marks(titles, self.size)
+        masks = np.zeros((len(titles), KINDS + 1), np.uint64)  # the places of each class, none past the end
+        for place, kind in enumerate(self.codes[: min(PLACES, int(self.size.max()))]):
+            masks[np.arange(len(titles)), kind] |= np.uint64(1 << place)
+        masks[:, KINDS] = 0
+        self.masks = masks.ravel()
+
+    def least_common(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.ceil((3 * self.least - 1) * n * m / (n + m) - 1e-6)
+
+    def similar(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, sim) of the titles i of ``x`` and j of ``y`` whose similarity reaches the threshold."""
+        x, y = (side[np.argsort(self.size[side], kind="stable")] for side in (x, y))
+        xn, yn, ones, found = self.size[x], self.size[y], self.one[y], [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for n in np.unique(xn):
+            low, high = np.searchsorted(yn, n * self.need - 1e-6), np.searchsorted(yn, n / self.need + 1e-6, "right")
+            if low == high:
+                continue
+            here, there, word = x[np.searchsorted(xn, n) : np.searchsorted(xn, n, "right")], y[low:high], ones[low:high]
+            most = np.minimum(n + yn[low:high] - 2 * self.least_common(n, yn[low:high]), 255).astype(np.uint8)
+            rows, hits = max(1, CELLS // len(word)), []
+            differ, bits = np.empty((rows, len(word)), np.uint64), np.empty((rows, len(word)), np.uint8)
+            for at in range(0, len(here), rows):
+                k = min(rows, len(here) - at)
+                np.bitwise_xor(self.one[here[at : at + k], None], word, out=differ[:k])
+                np.bitwise_count(differ[:k], out=bits[:k])
+                hits.append(np.flatnonzero(bits[:k] <= most) + at * len(word))
+                if at + k == len(here) or sum(map(len, hits)) > CELLS:
+                    i, j = np.divmod(np.concatenate(hits), len(word))
+                    hits, i, may = [], here[i], most[j]
+                    j = there[j]
+                    some = np.bitwise_count(self.one[i] ^ self.one[j]) + np.bitwise_count(self.two[i] ^ self.two[j]) <= may
+                    found.append(self._settle(i[some], j[some]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _settle(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, m = self.size[i], self.size[j]
+        differ = np.bitwise_count(self.one[i] ^ self.one[j]).astype(np.int64) + np.bitwise_count(self.two[i] ^ self.two[j])
+        # m - 2t - 1 is concave in the matches, so it is least at an end
+        turn = lambda k: (6 * self.least - 1) * k - 2 * k * k * (1 / n + 1 / m) - 1 - 1e-6
+        short = (n <= PLACES) & (m <= PLACES)
+        some = ~short
+        some[short] = self._in_order(i[short], j[short]) >= np.minimum(turn(self.least_common(n, m)), turn((n + m - differ) // 2))[short]
+        i, j, short = i[some], j[some], short[some]
+        sim, same = np.ones(len(i)), i == j
+        bits = short & ~same & self.exact[i] & self.exact[j]
+        sim[bits] = self._jaro(i[bits], j[bits])
+        other = ~same & ~bits
+        sim[other] = jaro_many(self.titles[i[other]].tolist(), self.titles[j[other]].tolist())
+        some = sim >= self.least
+        return i[some], j[some], sim[some]
+
+    def _in_order(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The longest common subsequences of short titles; classes count as characters."""
+        own, v = i * (KINDS + 1), np.full(len(i), ~np.uint64(0))
+        for kind in self.codes[: self.size[j].max(initial=0)]:
+            u = v & self.masks[own + kind[j]]
+            v = (v + u) | (v - u)
+        return np.bitwise_count(~v)
+
+    def _jaro(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Jaro's similarity of short titles whose characters are classes of their own: places that match are bits of a word."""
+        n, m, every, one = self.size[i], self.size[j], ~np.uint64(0), np.uint64(1)
+        reach, own = np.maximum(0, np.maximum(n, m) // 2 - 1), j * (KINDS + 1)
+        free, hit = np.full(len(i), every), np.zeros(len(i), np.uint64)
+        for place, kind in enumerate(self.codes[: n.max(initial=0)]):
+            window = (every << np.maximum(0, place - reach).astype(np.uint64)) & (every >> (63 - np.minimum(63, place + reach)).astype(np.uint64))
+            fits = self.masks[own + kind[i]] & free & window
+            free &= ~(fits & (~fits + one))  # the first one is taken
+            hit |= (fits > 0).astype(np.uint64) << np.uint64(place)
+        matched, taken, moved = np.bitwise_count(hit).astype(np.int64), ~free, np.zeros(len(i), np.int64)
+        for _ in range(matched.max(initial=0)):
+            p, q = hit & (~hit + one), taken & (~taken + one)
+            moved += self.codes[np.bitwise_count(p - one), i] != self.codes[np.bitwise_count(q - one), j]  # past the last one: two ends
+            hit, taken = hit ^ p, taken ^ q
+        some = np.maximum(matched, 1)
+        return np.where(matched > 0, (matched / n + matched / m + (matched - moved // 2) / some) / 3, 0.0)
 
 
 def tile_pairs(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
-    """(a, b, sim) of two blocks of (id, t, y): a before b, of one year or b of none, Jaro's similarity at least ``least``."""
-    x, y = (side.assign(n=side["t"].str.len()).query("n > 0").sort_values("n", kind="stable") for side in (left, right))
+    """(a, b, sim) of two blocks of (id, t, y): a before b, of one year or b of none, Jaro's similarity at least ``least``.
+
+    Rows of unknown years meet all earlier ones, equal titles once; rows of known years meet those of their years.
+    """
+    x, y = (side[side["t"].str.len() > 0] for side in (left, right))
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     if len(x) and len(y):
-        need, rows, rest = share_needed(least), *_common([*x["t"], *y["t"]])
-        mine, theirs, other = rows[: len(x)], np.ascontiguousarray(rows[len(x) :].T), rest[len(x) :]
-        xi, yi, xt, yt, xn, yn = (side[c].to_numpy() for c in ("id", "t", "n") for side in (x, y))
-        xy, yy = (side["y"].to_numpy(np.float64, na_value=np.nan) for side in (x, y))
-        for n in np.unique(xn):
-            low, high = np.searchsorted(yn, n * need - 1e-6), np.searchsorted(yn, n / need + 1e-6, "right")
-            least_common = ((3 * least - 1) * n * yn[low:high] / (n + yn[low:high]) - 1e-4).astype(np.float32)
-            end = np.searchsorted(xn, n, "right")
-            for at in range(np.searchsorted(xn, n), end, ROWS):
-                here = slice(at, min(end, at + ROWS))
-                both = mine[here] @ theirs[:, low:high]
-                if rest.any():
-                    both += np.minimum(rest[here][:, None], other[low:high])
-                i, j = np.divmod(np.flatnonzero(both >= least_common), max(1, high - low))
-                i, j = i + at, j + low
-                fits = (xi[i] < yi[j]) & (np.isnan(yy[j]) | (xy[i] == yy[j]))
-                i, j = i[fits], j[fits]
-                sim = jaro_many(xt[i].tolist(), yt[j].tolist())
-                some = sim >= least
-                found.append((xi[i[some]], yi[j[some]], sim[some]))
+        code, titles = pd.factorize(pd.concat([x["t"], y["t"]]))
+        tile = _Tile(list(titles), least)
+        (xi, xy), (yi, yy) = ((side["id"].to_numpy(), side["y"].to_numpy(np.float64, na_value=np.nan)) for side in (x, y))
+        xc, yc, known, dated = code[: len(x)], code[len(x) :], ~np.isnan(xy), ~np.isnan(yy)
+        met = [(np.arange(len(x)), np.flatnonzero(~dated))]
+        one, two = (np.flatnonzero(which)[np.argsort(years[which], kind="stable")] for which, years in ((known, xy), (dated, yy)))
+        for at in range(0, len(one), YEARS):
+            some = one[at : at + YEARS]
+            met.append((some, two[np.searchsorted(yy[two], xy[some[0]]) : np.searchsorted(yy[two], xy[some[-1]], "right")]))
+        for p, q in met:
+            i, j, sim = tile.similar(np.unique(xc[p]), np.unique(yc[q]))
+            # from titles to their rows
+            i, sim, j = _held(i, xc[p], p, sim, j)
+            j, sim, i = _held(j, yc[q], q, sim, i)
+            fits = (xi[i] < yi[j]) & (~dated[j] | (xy[i] == yy[j]))
+            found.append((xi[i[fits]], yi[j[fits]], sim[fits]))
     return pd.DataFrame(dict(zip(("a", "b", "sim"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-def numbered_pairs(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def _held(title: np.ndarray, own: np.ndarray, rows: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each title those of ``rows`` that have it (``own`` is their titles), ``more`` repeated beside them."""
+    order = np.argsort(own, kind="stable")
+    first, end = np.searchsorted(own[order], title), np.searchsorted(own[order], title, "right")
+    times = end - first
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+    return rows[order[at]], *(np.repeat(m, times) for m in more)
+
+
+def numbered_pairs(rows: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """(a, b, sim), a < b, of the similar titles of one year, or an unknown one: ``rows`` (id, t, y) are numbered by year, unknown ones last, from 1.
 
     Blocks are ranges of ids, so a year is in consecutive blocks, and the unknown ones in the last: a block meets itself, the others of its years and those
-    with unknown years. Every pair is looked at once; a task holds two blocks.
+    with unknown years. Every pair is looked at once; a task holds two blocks. Blocks grow with the input up to ``BLOCK``, while there are tiles for all cores.
     """
     share_needed(least)
-    number = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     ends = rows.groupBy("y").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
     last, first_open = rows.agg(F.max("id"), F.min(F.when(F.col("y").isNull(), F.col("id")))).first()
+    if block is None:
+        free = 0 if first_open is None else last - first_open + 1
+        block = max(SMALL, min(BLOCK, math.ceil(math.sqrt((last or 0) * max(free, SMALL) / (4 * cores)))))
+    number = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
     n = 1 + ((last or 1) - 1) // block
     opened = n if first_open is None else (first_open - 1) // block
     known = rows.where("y is not null").join(ends.where("y is not null"), "y").select("id", "t", "y", number("id").alias("_own"), number("_first").alias("_low"), number("_last").alias("_high"))
@@ -169,7 +278,7 @@ def numbered_pairs(rows: DataFrame, least: float, block: int = BLOCK) -> DataFra
     dealt = known.unionByName(free)
     # as the earlier one: up to the end of its year, and with all blocks of unknown years
     after = F.array_union(F.sequence("_own", "_high"), F.sequence(F.greatest(F.col("_own"), F.lit(opened)), F.lit(n - 1)) if opened < n else F.array().cast("array<int>"))
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, min(TILES, n + n * (n - opened)))
+    parts = max(cores, min(TILES, n + n * (n - opened)))
     row = [F.col(c).alias(c) for c in ("id", "t", "y")]  # columns of their own for each side
     one = dealt.select(*row, F.col("_own").alias("_i"), F.explode(after).alias("_j")).repartition(parts, "_i", "_j")
     two = dealt.select(*row, F.explode(F.sequence("_low", "_own")).alias("_i"), F.col("_own").alias("_j")).repartition(parts, "_i", "_j")

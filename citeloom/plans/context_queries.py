@@ -66,8 +66,10 @@ def snippet_windows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def early_duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     """Documents as works: a source stands for a DOI in some, the first words are the title; greedy groups have no SQL."""
-    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
-    title = F.nullif(F.array_join(F.slice(F.split(F.trim(F.lower("text")), r"\s+", 7), 1, 6), " "), F.lit(""))
+    # the words before the seventh: whole texts are neither lowered nor split
+    head = F.regexp_extract("text", r"^ *\S*(?:\s+\S*){0,5}", 0)
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source").withColumn("head", head)
+    title = F.nullif(F.array_join(F.slice(F.split(F.trim(F.lower("head")), r"\s+", 7), 1, 6), " "), F.lit(""))
     doi = F.when(F.col("doc_id") % 10 == 0, F.concat_ws("/", F.lit("10"), "source", "lang"))
     works = docs.select("doc_id", doi.alias("doi"), title.alias("title"), F.when(F.col("doc_id") % 4 != 0, F.floor(F.col("doc_id") / 100)).cast("int").alias("year"))
     out = linkage.early_duplicates(works, "doi", "title", "year", "doc_id", Tables(spark, "early"), "doc_id")

@@ -102,6 +102,57 @@ def test_many_titles_of_unknown_years_are_compared_in_tiles():
     assert {(i + 1, j + 6001) for i, j, _ in some} == {(a, b) for a, b in zip(got["a"], got["b"], strict=True) if (a - 1) % 97 == 0 and (b - 6001) % 101 == 0}
 
 
+def word_titles(n, seed):
+    """Six words of two or three of 26 syllables each, as a page of text begins."""
+    rng = np.random.default_rng(seed)
+    parts = np.array("the an on in er es ed th re and ha of at en to it is ou ar as he hi le se me qu".split())
+    return [" ".join("".join(parts[rng.integers(0, 26, k)]) for k in rng.integers(2, 4, 6)) for _ in range(n)]
+
+
+def test_a_tile_of_many_titles_costs_few_seconds():
+    """400 million pairs; comparing them by products of counts took 98 CPU seconds."""
+    one, two = (pd.DataFrame({"id": np.arange(20000) + k, "t": word_titles(20000, k), "y": np.nan}) for k in (1, 20001))
+    two.loc[0, "t"] = one.loc[19999, "t"] + "x"
+    began = time.process_time()
+    got = titlejoin.tile_pairs(one, two, 0.92)
+    assert time.process_time() - began < 15 and (20000, 20001) in set(zip(got["a"], got["b"], strict=True))
+
+
+def test_equal_titles_are_compared_once_and_stand_for_all_their_rows(monkeypatch):
+    seen = []
+    similar = titlejoin._Tile.similar
+    monkeypatch.setattr(titlejoin._Tile, "similar", lambda self, x, y: seen.append(len(x) * len(y)) or similar(self, x, y))
+    one = pd.DataFrame({"id": np.arange(1, 3001), "t": ["limits to growth", "limits to growths", "other"] * 1000, "y": np.arange(3000) // 3})
+    two = pd.DataFrame({"id": [3001, 3002], "t": ["limits to growth", "a world model"], "y": np.nan})
+    got = titlejoin.tile_pairs(one, two, 0.92)
+    assert sum(seen) == 6 and len(got) == 2000 and set(got["b"]) == {3001} and set(got["a"] % 3) == {1, 2}
+
+
+def test_bits_of_words_equal_plain_comparisons():
+    """Long titles, many letters and ends of words of 64 bits."""
+    rng = random.Random(11)
+    t = [*dict.fromkeys([*titles(200, 12, 10), *word_titles(40, 3), "a" * 63, "a" * 64, "a" * 65, "ab" * 32, "ba" * 32, "".join(map(chr, range(300, 364))), "".join(map(chr, range(301, 366)))])]
+    tile = titlejoin._Tile(t, 0.92)
+    i, j = (np.array([rng.randrange(len(t)) for _ in range(4000)]) for _ in range(2))
+    short = np.flatnonzero((tile.size[i] <= 64) & (tile.size[j] <= 64))
+    i, j = i[short], j[short]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[-1]))
+        return row[-1]
+
+    exact = tile.exact[i] & tile.exact[j]
+    got = tile._in_order(i, j)
+    assert all(g == common(t[a], t[b]) if e else g >= common(t[a], t[b]) for a, b, g, e in zip(i[:800], j[:800], got[:800], exact[:800], strict=True))
+    assert np.array_equal(tile._jaro(i[exact], j[exact]), [plain_jaro(t[a], t[b]) for a, b in zip(i[exact], j[exact], strict=True)]) and 0 < exact.sum()
+    everything = np.arange(len(t))
+    assert {(a, b) for a, b, _ in zip(*tile.similar(everything, everything), strict=True)} == {(a, b) for a in everything for b in everything if jaro_similarity(t[a], t[b]) >= 0.92}
+
+
 def test_low_thresholds_raise():
     with pytest.raises(ValueError):
         titlejoin.share_needed(0.6)
